@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
 from .avi import op9_avi
+from .fingerprint import op2_fingerprints
 from .packing import op1_packing
 
-QUERIES = {"op1_packing": op1_packing, "op9_avi": op9_avi}
+QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op9_avi": op9_avi}
 
 SQL: dict[str, str] = {}
