@@ -2,8 +2,9 @@
 
 from .avi import op9_avi
 from .fingerprint import op2_fingerprints
+from .jaccard import op6_jaccard
 from .packing import op1_packing
 
-QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op9_avi": op9_avi}
+QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op6_jaccard": op6_jaccard, "op9_avi": op9_avi}
 
 SQL: dict[str, str] = {}

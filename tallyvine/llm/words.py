@@ -38,9 +38,14 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words; a row's end also ends a word."""
-    word = ~_SPACE[data]
+#: Bytes between words of letters: all of ASCII but its letters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[128:] = NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; a row's end also ends a word. between: whether a byte is outside words."""
+    word = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], word[:-1]])
@@ -54,11 +59,11 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each row's begin among them (one entry more than rows)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends = bounds(data, offsets)
+    starts, ends = bounds(data, offsets, between)
     first = np.searchsorted(starts, offsets)
     if len(data) <= _PIECE:
         return _hashed(data, starts, ends), first
@@ -76,7 +81,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     width = min(size, len(words))
-    total = np.full(len(words) - width + 1, np.uint64(width) * np.uint64(0xD6E8FEB86659FD93), np.uint64)
+    total = np.full(len(words) - width + 1, np.uint64(width * 0xD6E8FEB86659FD93 % 2**64))
     for j in range(width):
         total += words[j : len(words) - width + 1 + j] * _PLACE[j]
     return mix(total)
