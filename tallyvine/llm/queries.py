@@ -4,7 +4,8 @@ from .avi import op9_avi
 from .fingerprint import op2_fingerprints
 from .jaccard import op6_jaccard
 from .packing import op1_packing
+from .toxicity import op7_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op6_jaccard": op6_jaccard, "op9_avi": op9_avi}
+QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op9_avi": op9_avi}
 
 SQL: dict[str, str] = {}
