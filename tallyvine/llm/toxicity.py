@@ -1,7 +1,7 @@
 """Convolutional text classifier for toxicity: hashed word embeddings, filters of several widths, max pooling.
 
-Words are runs of letters (A-Z lower-cased). Each has two hashed rows of embeddings, so that only words equal in both
-hashes are confused; words never seen in training keep zero rows. Filters of one, two and three words slide over the
+Words are runs of letters (A-Z lower-cased). Each has three hashed rows of embeddings, of the word, its first six and
+its first four bytes, so that inflected forms share what was learned; rows never seen in training are zero. Filters of one, two and three words slide over the
 whole text, each gives its largest response, and a logistic layer turns these into a score. Training is plain numpy
 on a bounded sample of labelled rows (FIT_TOXIC, FIT_OTHER, FIT_WORDS), chosen by a hash of doc_id. Thresholds are
 calibrated by language on a fifth of the sample that training doesn't see; the language never enters the score.
@@ -25,14 +25,15 @@ from .words import NOT_LETTER, mix, word_hashes
 
 #: The sample that training takes at most: toxic rows, other rows, and words of a row (longer rows aren't taken).
 FIT_TOXIC, FIT_OTHER, FIT_WORDS = 2000, 4000, 2000
-ROWS, DIM = 1 << 17, 8
+ROWS, DIM = 1 << 17, 6
+VIEWS = (1 << 62, 6, 4)  # how many bytes of a word each table sees
 WIDTHS, FILTERS = (1, 2, 3), 16
 PREDICT = 0.7
 
 
 @dataclass
 class Model:
-    """Embeddings (two tables, row 0 is padding), filters and biases per width, the logistic layer, thresholds."""
+    """Embeddings (a table per view, row 0 is padding), filters and biases per width, the logistic layer, thresholds."""
 
     tables: list[np.ndarray]
     filters: list[np.ndarray]
@@ -42,10 +43,10 @@ class Model:
     thresholds: dict = field(default_factory=dict)
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    """Two embedding rows (from 1) of each word."""
-    two = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    return np.stack([hashes % np.uint64(ROWS - 1), two % np.uint64(ROWS - 1)], axis=1).astype(np.int32) + 1
+def embedding_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows (from 1) of each word, (words, views), and where each text's words begin."""
+    views = [word_hashes(data, offsets, NOT_LETTER, most) for most in VIEWS]
+    return np.stack([(mix(h + np.uint64(k)) % np.uint64(ROWS - 1)).astype(np.int32) + 1 for k, (h, _) in enumerate(views)], axis=1), views[0][1]
 
 
 def _responses(model: Model, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -55,9 +56,9 @@ def _responses(model: Model, rows: np.ndarray, first: np.ndarray) -> tuple[np.nd
     """
     sizes = np.diff(first)
     at = np.arange(len(rows)) + 2 * np.repeat(np.arange(len(sizes)), sizes)
-    x = np.zeros((len(rows) + 2 * len(sizes) + 2, 2 * DIM), np.float32)
-    x[at, :DIM] = model.tables[0][rows[:, 0]]
-    x[at, DIM:] = model.tables[1][rows[:, 1]]
+    x = np.zeros((len(rows) + 2 * len(sizes) + 2, len(VIEWS) * DIM), np.float32)
+    for t, values in enumerate(model.tables):
+        x[at, t * DIM : (t + 1) * DIM] = values[rows[:, t]]
     out = []
     for width, f, b in zip(WIDTHS, model.filters, model.biases):
         r = x[at] @ f[0]
@@ -79,10 +80,10 @@ def scores(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.bias, -30, 30)))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.05, seed: int = 7) -> Model:
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.07, seed: int = 7) -> Model:
     """A model fitted to documents given as embedding rows, by Adagrad on the logistic loss with balanced classes."""
     rng = np.random.default_rng(seed)
-    model = Model([np.zeros((ROWS, DIM), np.float32) for _ in range(2)], [rng.normal(0, 0.4, (w, 2 * DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
+    model = Model([np.zeros((ROWS, DIM), np.float32) for _ in VIEWS], [rng.normal(0, 0.4, (w, len(VIEWS) * DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
     if not len(labels) or labels.min() == labels.max():
         share = labels.mean() if len(labels) else 0.0
         model.weight[:] = 0
@@ -117,27 +118,24 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: in
             seen_c += float(off.sum()) ** 2
             model.bias -= rate * float(off.sum()) / seen_c**0.5
             place = np.arange(len(rows)) + 2 * np.repeat(np.arange(len(pick)), np.diff(first))
-            grads: dict[int, np.ndarray] = {}
+            touched, values = [], []
             for k, (width, p) in enumerate(zip(WIDTHS, peak)):
                 g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                step(model.biases[k], g.sum(axis=0), seen_b[k])
                 gradient = np.zeros_like(model.filters[k])
                 for j in range(width):
                     gradient[j] = np.einsum("dfe,df->ef", x[place[p] + j], g)
-                    inside = p + j < first[1:, None]
-                    for d, f in zip(*np.nonzero(inside & (g != 0))):
-                        at = int(p[d, f]) + j
-                        grads[at] = grads.get(at, 0) + g[d, f] * model.filters[k][j, :, f]
+                    inside = (p + j < first[1:, None]) & (g != 0)
+                    touched.append((p + j)[inside])
+                    values.append((g[:, :, None] * model.filters[k][j].T[None])[inside])
+                step(model.biases[k], g.sum(axis=0), seen_b[k])
                 step(model.filters[k], gradient, seen_f[k])
-            if grads:
-                at = np.fromiter(grads, int)
-                values = np.stack(list(grads.values()))
-                for t in range(2):
-                    which, inverse = np.unique(rows[at, t], return_inverse=True)
-                    total = np.zeros((len(which), DIM), np.float32)
-                    np.add.at(total, inverse, values[:, t * DIM : (t + 1) * DIM])
-                    seen[t][which] += total**2
-                    model.tables[t][which] -= rate * total / np.sqrt(seen[t][which])
+            at, value = np.concatenate(touched), np.concatenate(values)
+            for t in range(len(VIEWS)):
+                which, inverse = np.unique(rows[at, t], return_inverse=True)
+                total = np.zeros((len(which), DIM), np.float32)
+                np.add.at(total, inverse, value[:, t * DIM : (t + 1) * DIM])
+                seen[t][which] += total**2
+                model.tables[t][which] -= rate * total / np.sqrt(seen[t][which])
     return model
 
 
@@ -167,14 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in text_views(b.column(1)):
-                hashes, start = word_hashes(data, offsets, NOT_LETTER)
-                found = [buckets(hashes[x:y]).tobytes() if y - x <= FIT_WORDS else None for x, y in zip(start[:-1], start[1:])]
+                found, start = embedding_rows(data, offsets)
+                found = [found[x:y].tobytes() if y - x <= FIT_WORDS else None for x, y in zip(start[:-1], start[1:])]
                 part = b.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), part.column(2), part.column(3)], names=["doc_id", "words", "lang", "toxic"])
 
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
     got = texts.mapInArrow(rows, "doc_id long, words binary, lang string, toxic int").where("words is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(FIT_TOXIC + FIT_OTHER).collect()
-    words = [np.frombuffer(r.words, np.int32).reshape(-1, 2) for r in got]
+    words = [np.frombuffer(r.words, np.int32).reshape(-1, len(VIEWS)) for r in got]
     label = np.array([int(r.toxic == 1) for r in got])
     aside = np.arange(len(got)) % 5 == 0
     model = train([w for w, x in zip(words, aside) if not x], label[~aside])
@@ -194,10 +192,10 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in text_views(b.column(1)):
-                hashes, start = word_hashes(data, offsets, NOT_LETTER)
+                found, start = embedding_rows(data, offsets)
                 score = np.zeros(end - first)
                 for x, y, span in _runs(start):
-                    score[x:y] = span(sent.value, hashes)
+                    score[x:y] = span(sent.value, found)
                 part = b.slice(first, end - first)
                 limit = [sent.value.thresholds.get(k or "", sent.value.thresholds.get("", PREDICT)) for k in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= PREDICT).astype(np.int32)), pa.array(limit, pa.float64()), pa.array(score >= np.array(limit))], names=["doc_id", "score", "predicted", "threshold", "rejected"])
@@ -211,14 +209,14 @@ def _runs(start: np.ndarray, most: int = 1 << 18):
     responses of a text are the largest of its windows', so its pooling is taken over all of them."""
 
     def plain(x: int, y: int):
-        return lambda model, hashes: scores(model, buckets(hashes[start[x] : start[y]]), start[x : y + 1] - start[x])
+        return lambda model, found: scores(model, found[start[x] : start[y]], start[x : y + 1] - start[x])
 
     def windowed(x: int):
-        def span(model: Model, hashes: np.ndarray) -> np.ndarray:
+        def span(model: Model, found: np.ndarray) -> np.ndarray:
             best = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
             for a in range(int(start[x]), int(start[x + 1]), most):
                 to = min(a + most + 2, int(start[x + 1]))
-                _, r = _responses(model, buckets(hashes[a:to]), np.array([0, to - a]))
+                _, r = _responses(model, found[a:to], np.array([0, to - a]))
                 cut = to - a if to == start[x + 1] else most  # windows but the last end before their padding counts
                 best = np.maximum(best, np.concatenate([k[:cut].max(axis=0) for k in r]))
             return 1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ model.weight + model.bias, -30, 30)))

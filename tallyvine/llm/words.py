@@ -59,12 +59,14 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each row's begin among them (one entry more than rows)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (of their first `most` bytes) in order, and where each row's begin among them (one entry
+    more than rows)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     starts, ends = bounds(data, offsets, between)
     first = np.searchsorted(starts, offsets)
+    ends = np.minimum(ends, starts + most)
     if len(data) <= _PIECE:
         return _hashed(data, starts, ends), first
     parts, at = [], 0
