@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
+from . import warc
 from .avi import op9_avi
 from .fingerprint import op2_fingerprints
 from .jaccard import op6_jaccard
@@ -8,6 +9,6 @@ from .packing import op1_packing
 from .secrets import op4_secrets
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op4_secrets": op4_secrets, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op9_avi": op9_avi}
+QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op4_secrets": op4_secrets, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_warc": warc.op8_warc, "op9_avi": op9_avi}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_warc": warc.SQL}
