@@ -43,7 +43,7 @@ BINS = 128  # of the histogram of a set that bounds its differences
 #: The frequency table: at most so many shingles, each in at least so many documents.
 FREQUENT, FREQUENT_LEAST = 1 << 16, 24
 #: Keys held by one task before they are sent, and by one bucket.
-TASK_KEYS, BUCKET_KEYS = 4 << 20, 1 << 20
+TASK_KEYS, BUCKET_KEYS = 1 << 20, 1 << 20
 
 
 def bands(limit: int) -> np.ndarray:
@@ -233,14 +233,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets are linked."""
-    for b in batches:
-        one = [s for _, _, data, offsets in text_views(b.column(2)) for s in shingle_sets(data, offsets, SIZE)]
-        two = [s for _, _, data, offsets in text_views(b.column(3)) for s in shingle_sets(data, offsets, SIZE)]
-        ok = []
-        for x, y in zip(one, two):
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            ok.append(both > 0 and both * DEN >= (len(x) + len(y) - both) * NUM)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            b = whole.slice(at, 128)
+            one, two = ([s for _, _, data, offsets in text_views(b.column(k)) for s in shingle_sets(data, offsets, SIZE)] for k in (2, 3))
+            ok = []
+            for x, y in zip(one, two):
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                ok.append(both > 0 and both * DEN >= (len(x) + len(y) - both) * NUM)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
@@ -314,6 +315,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.join(found, rows["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component. Of rows that share a doc_id one
+    stays; rows without doc_id stay."""
+    found = written(jaccard_components(docs).select("doc_id", "component_id"), "components")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    return with_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", keep=False)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_components of all documents."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -206,6 +206,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language of the model with a score of `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.get_field_index("text"))
+            for first, end, _, _ in text_views(column):
+                langs, score = predict(sent.value, [t or "" for t in column.slice(first, end - first).to_pylist()])
+                yield b.slice(first, end - first).filter(pa.array((score >= least) & (np.array(langs) != "und")))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     held_out = held_out & F.col("doc_id").isNotNull()

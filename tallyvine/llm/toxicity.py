@@ -1,7 +1,8 @@
 """Convolutional text classifier for toxicity: hashed word embeddings, filters of several widths, max pooling.
 
 Words are runs of letters (A-Z lower-cased). Each has three hashed rows of embeddings, of the word, its first six and
-its first four bytes, so that inflected forms share what was learned; rows never seen in training are zero. Filters of one, two and three words slide over the
+its first four bytes, so that inflected forms share what was learned; rows of fewer than three
+training texts are zero. Filters of one, two and three words slide over the
 whole text, each gives its largest response, and a logistic layer turns these into a score. Training is plain numpy
 on a bounded sample of labelled rows (FIT_TOXIC, FIT_OTHER, FIT_WORDS), chosen by a hash of doc_id. Thresholds are
 calibrated by language on a fifth of the sample that training doesn't see; the language never enters the score.
@@ -80,6 +81,23 @@ def scores(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.bias, -30, 30)))
 
 
+def start_tables(tables: list[np.ndarray], docs: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, least: int = 3, prior: float = 3.0) -> list[np.ndarray]:
+    """Fills embeddings of rows that `least` documents or more have: the first number is the smoothed log odds of the
+    classes' document frequencies, the others are small random ones. Other rows stay zero; returns which are filled."""
+    known = []
+    toxic = max(1, int(labels.sum()))
+    for t, values in enumerate(tables):
+        counts = np.zeros((2, ROWS))
+        for d, y in zip(docs, labels):
+            counts[y][np.unique(d[:, t])] += 1
+        filled = counts.sum(axis=0) >= least
+        odds = np.log((counts[1] + prior) / (toxic + 2 * prior)) - np.log((counts[0] + prior) / (len(labels) - toxic + 2 * prior))
+        values[filled] = rng.normal(0, 0.1, (int(filled.sum()), DIM))
+        values[filled, 0] = odds[filled] / 2
+        known.append(filled)
+    return known
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.07, seed: int = 7) -> Model:
     """A model fitted to documents given as embedding rows, by Adagrad on the logistic loss with balanced classes."""
     rng = np.random.default_rng(seed)
@@ -89,6 +107,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: in
         model.weight[:] = 0
         model.bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return model
+    known = start_tables(model.tables, docs, labels, rng)
     seen = [np.full(t.shape, 1e-2, np.float32) for t in model.tables]
     seen_f, seen_b = [np.full(f.shape, 1e-2, np.float32) for f in model.filters], [np.full(FILTERS, 1e-2, np.float32) for _ in WIDTHS]
     seen_w, seen_c = np.full(model.weight.shape, 1e-2, np.float32), 1e-2
@@ -134,22 +153,23 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: in
                 which, inverse = np.unique(rows[at, t], return_inverse=True)
                 total = np.zeros((len(which), DIM), np.float32)
                 np.add.at(total, inverse, value[:, t * DIM : (t + 1) * DIM])
+                total[~known[t][which]] = 0
                 seen[t][which] += total**2
                 model.tables[t][which] -= rate * total / np.sqrt(seen[t][which])
     return model
 
 
 def threshold(score: np.ndarray, label: np.ndarray, default: float = PREDICT) -> float:
-    """The threshold of the best F1, in the middle between the scores beside it; default without both classes."""
+    """The threshold of the best F0.5 (clean texts weigh more), in the middle between the scores beside it; default without both classes."""
     if len(label) < 20 or label.min() == label.max():
         return default
     order = np.argsort(-score)
     hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(len(score)) + 1 + label.sum())
-    f1[:-1][score[order][:-1] == score[order][1:]] = 0
-    k = int(np.argmax(f1))
+    quality = 1.25 * hits / (np.arange(len(score)) + 1 + 0.25 * label.sum())
+    quality[:-1][score[order][:-1] == score[order][1:]] = 0
+    k = int(np.argmax(quality))
     below = score[order][k + 1] if k + 1 < len(score) else 0.0
-    return float(np.clip((score[order][k] + below) / 2, 0.3, 0.9))
+    return float(np.clip((score[order][k] + below) / 2, 0.5, 0.9))
 
 
 def fold(key: Column, parts: int) -> Column:
@@ -192,18 +212,39 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in text_views(b.column(1)):
-                found, start = embedding_rows(data, offsets)
-                score = np.zeros(end - first)
-                for x, y, span in _runs(start):
-                    score[x:y] = span(sent.value, found)
                 part = b.slice(first, end - first)
-                limit = [sent.value.thresholds.get(k or "", sent.value.thresholds.get("", PREDICT)) for k in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= PREDICT).astype(np.int32)), pa.array(limit, pa.float64()), pa.array(score >= np.array(limit))], names=["doc_id", "score", "predicted", "threshold", "rejected"])
+                score, limit = _rejects(sent.value, part, data, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= PREDICT).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], names=["doc_id", "score", "predicted", "threshold", "rejected"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).mapInArrow(rows, "doc_id long, score double, predicted int, threshold double, rejected boolean")
 
 
+def _rejects(model: Model, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a part's texts and the thresholds of their languages."""
+    found, start = embedding_rows(data, offsets)
+    score = np.zeros(part.num_rows)
+    for x, y, span in _runs(start):
+        score[x:y] = span(model, found)
+    langs = part.column("lang").to_pylist() if "lang" in part.schema.names else [""] * part.num_rows
+    default = model.thresholds.get("", PREDICT)
+    return score, np.array([model.thresholds.get(str(k or ""), default) for k in langs])
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, end, data, offsets in text_views(b.column(b.schema.get_field_index("text"))):
+                part = b.slice(first, end - first)
+                score, limit = _rejects(sent.value, part, data, offsets)
+                yield part.filter(pa.array(score < limit))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def _runs(start: np.ndarray, most: int = 1 << 18):
     """Documents x to y and a function that scores them. A longer text goes in overlapping windows: the largest
     responses of a text are the largest of its windows', so its pooling is taken over all of them."""

@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POINT = 0x9E3779B97F4A7C15
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 _powers: list[np.ndarray] = []
 
 
