@@ -1,4 +1,429 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries over the driver's tables, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import grade, text
+from ..operators import audit, dedup, metrics, rules, select, split
+from ..streaming.work import latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable:
+    """Registers a function by its name, with its SQL where there is one."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# traces: events stand in for graded generations
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("category"), (v > 60).alias("correct"), F.floor(v).cast("long").alias("out_tokens"), F.when(v > 250, "throttled").alias("error"))
+
+
+_T = "t AS (SELECT user_id AS id, event_type AS category, value > 60 AS ok, CAST(floor(value) AS BIGINT) AS tok, value > 250 AS err FROM events)"
+
+
+@query(f"""WITH {_T},
+per AS (SELECT category, id, count(*) FILTER (WHERE NOT err) AS gens, count(*) FILTER (WHERE NOT err AND ok) AS hits, count(*) AS calls FROM t GROUP BY 1, 2),
+mid AS (SELECT category, list_sort(list(tok))[len(list(tok)) // 2 + 1] AS p50 FROM t WHERE NOT err AND tok <> 0 GROUP BY 1)
+SELECT per.category, count(*) FILTER (WHERE gens > 0) AS n_prob, CAST(sum(gens) AS BIGINT) AS n_gen, round(sum(hits) / sum(gens), 6) AS pass1,
+       round(count(*) FILTER (WHERE hits > 0) / count(*) FILTER (WHERE gens > 0), 6) AS pass_any, CAST(sum(calls) AS BIGINT) AS calls,
+       CAST(sum(calls) - sum(gens) AS BIGINT) AS errors, coalesce(any_value(mid.p50), 0) AS tok_p50
+FROM per LEFT JOIN mid ON mid.category = per.category GROUP BY 1""")
+def yield_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.yield_table(_traces(spark, sf_dir), ["category"]), "pass1", "pass_any")
+
+
+_DEC = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)"
+_TEXT = f"""CASE l_linenumber % 6 WHEN 0 THEN 'it is ' || {_DEC} || ' or so'
+WHEN 1 THEN 'so \\boxed{{' || {_DEC} || '}}' WHEN 2 THEN '\\boxed{{1}} then \\boxed{{ ' || {_DEC} || ' }}.'
+WHEN 3 THEN 'about ' || {_DEC} || ' \\boxed{{}}' WHEN 4 THEN '\\boxed{{\\frac{{' || {_DEC} || '}}{{2}}}}' ELSE '\\boxed{{' || {_DEC} || '}} and \\boxed{{7' END"""
+
+
+def _box_sql() -> str:
+    return text.box_pattern().removeprefix("(?s)")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS txt FROM lineitem),
+b AS (SELECT *, nullif(regexp_replace(regexp_extract(txt, '{_box_sql()}', 1, 's'), '^\\s+|\\s+$', '', 'g'), '') AS box FROM t)
+SELECT l_orderkey, l_linenumber, coalesce(box, regexp_extract_all(txt, '{text.NUMBER}')[-1]) AS answer, contains(txt, '\\boxed{{') AS boxed FROM b""")
+def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dec = F.floor("l_extendedprice").cast("long").cast("string")
+    kind = F.col("l_linenumber") % 6
+    txt = (
+        F.when(kind == 0, F.concat(F.lit("it is "), dec, F.lit(" or so"))).when(kind == 1, F.concat(F.lit("so \\boxed{"), dec, F.lit("}"))).when(kind == 2, F.concat(F.lit("\\boxed{1} then \\boxed{ "), dec, F.lit(" }.")))
+        .when(kind == 3, F.concat(F.lit("about "), dec, F.lit(" \\boxed{}"))).when(kind == 4, F.concat(F.lit("\\boxed{\\frac{"), dec, F.lit("}{2}}"))).otherwise(F.concat(F.lit("\\boxed{"), dec, F.lit("} and \\boxed{7")))
+    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", txt.alias("txt"))
+    return rows.select("l_orderkey", "l_linenumber", text.extract_answer(F.col("txt")).alias("answer"), text.has_box(F.col("txt")).alias("boxed"))
+
+
+@query("""WITH t AS (SELECT l_returnflag, l_linenumber % 2 = 0 AS stored, CAST(floor(l_extendedprice) AS BIGINT) AS v, l_partkey % 5 AS k FROM lineitem),
+p AS (SELECT l_returnflag, stored, v, CAST(v AS VARCHAR) AS truth, CASE k WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN CAST(v + v // 200 AS VARCHAR) WHEN 2 THEN CAST(v + v // 10 AS VARCHAR) WHEN 3 THEN v || '.0' ELSE 'n/a' END AS pred FROM t),
+g AS (SELECT *, TRY_CAST(pred AS DOUBLE) AS a, TRY_CAST(truth AS DOUBLE) AS b FROM p),
+h AS (SELECT *, pred = truth OR coalesce(a = b, false) AS exact,
+      CASE WHEN regexp_full_match(truth, '[01]+') THEN pred = truth WHEN a IS NOT NULL THEN abs(a - b) <= greatest(0.01 * greatest(abs(a), abs(b)), 1e-5) ELSE lower(pred) = lower(truth) END AS tol FROM g)
+SELECT l_returnflag, count(*) AS rows, count(*) FILTER (WHERE stored) AS stored, count(*) FILTER (WHERE stored AND exact) AS exact, count(*) FILTER (WHERE stored AND tol AND NOT exact) AS tolerance_only,
+       count(*) FILTER (WHERE stored AND NOT tol) AS wrong, count(*) FILTER (WHERE NOT stored AND exact) AS missed FROM h GROUP BY 1""")
+def grade_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, k = F.floor("l_extendedprice").cast("long"), F.col("l_partkey") % 5
+    s = lambda c: c.cast("string")
+    pred = F.when(k == 0, s(v)).when(k == 1, s(v + F.expr("cast(floor(l_extendedprice) as bigint) div 200"))).when(k == 2, s(v + F.expr("cast(floor(l_extendedprice) as bigint) div 10"))).when(k == 3, F.concat(s(v), F.lit(".0"))).otherwise("n/a")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_linenumber") % 2 == 0).alias("stored"), pred.alias("pred"), s(v).alias("truth"))
+    return metrics.inflation(rows, ["l_returnflag"], F.col("stored"), grade.num_eq(F.col("pred"), F.col("truth")), grade.is_correct(F.col("pred"), F.col("truth"))).drop("inflation_pct")
+
+
+@query("""SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'OVERALL' ELSE o_orderpriority END AS o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000) AS correct, count(*) AS total,
+round(count(*) FILTER (WHERE o_totalprice > 150000) / count(*), 6) AS accuracy FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def accuracy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.accuracy(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_totalprice") > 150000), "accuracy")
+
+
+_QUOTA = "least(greatest(least(15, n // 2), CAST(round_even(n * 0.15::DOUBLE, 0) AS BIGINT)), n)"
+
+
+@query(f"WITH c AS (SELECT lang || '/' || source AS stratum, count(*) AS n FROM documents GROUP BY 1) SELECT stratum, n, {_QUOTA} AS held_out FROM c")
+def split_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.quotas(table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("stratum")), "stratum")
+
+
+@query(f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), q AS (SELECT lang, {_QUOTA} AS quota FROM c),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents)
+SELECT doc_id, r.lang, CASE WHEN k <= quota THEN 'heldout' ELSE 'train' END AS split FROM r JOIN q ON q.lang = r.lang""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", "split")
+
+
+@query("SELECT doc_id, 'in both' AS fault FROM documents WHERE false")
+def split_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return split.split_faults(split.stratified(docs, "doc_id", "lang"), docs, "doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, length(text) AS size FROM documents GROUP BY text")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", dedup.digest(F.col("text")).alias("digest"), F.length("text").cast("long").alias("size"))
+    return select.first_per_key(rows, ["digest"], [F.col("doc_id")]).select("doc_id", "size")
+
+
+@query("""SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, n_chars, doc_id) AS k FROM documents) WHERE k <= 4""")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.top_per_group(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["lang"], [F.col("source"), F.col("n_chars"), F.col("doc_id")], 4)
+
+
+@query("""SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS k FROM labels) WHERE k <= CASE quality WHEN 0 THEN 20 WHEN 1 THEN 30 ELSE 10 END""")
+def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.capped_sample(table(spark, sf_dir, "labels"), "doc_id", "quality", {0: 20, 1: 30}, 10).select("doc_id", "quality")
+
+
+@query("""SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY CASE WHEN toxic = 1 THEN 0 ELSE 1 END, md5('42:' || doc_id), doc_id) AS k FROM labels) WHERE k <= 40""")
+def unsolved_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.unsolved_first(table(spark, sf_dir, "labels"), "doc_id", "quality", F.col("toxic") == 1, {}, 40).select("doc_id", "toxic")
+
+
+@query("SELECT l.doc_id, CAST(c AS INTEGER) AS copy, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id, generate_series(1, 3) g(c) WHERE l.toxic = 1")
+def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").where("toxic = 1").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return select.oversample(rows, 3).select("doc_id", "copy", "n_chars")
+
+
+@query("""WITH n AS (SELECT CAST(ceil(count(*) / 32.0) AS BIGINT) AS b FROM documents),
+r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY lang, md5('42:' || doc_id), doc_id) - 1 AS place FROM documents),
+s AS (SELECT i AS slot, row_number() OVER (ORDER BY md5('43:' || i), i) - 1 AS batch FROM n, generate_series(0, b - 1) g(i))
+SELECT r.doc_id, r.lang, r.place, s.batch FROM r, n, s WHERE s.slot = r.place % n.b""")
+def stratified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.round_robin(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 32).select("doc_id", "lang", "place", "batch")
+
+
+@query("""SELECT lang, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS labelled, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled FROM documents GROUP BY 1""")
+def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ids = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id")
+    both = select.members(docs, ids, "doc_id").select("lang", F.lit(1).alias("in")).union(select.others(docs, ids, "doc_id").select("lang", F.lit(0)))
+    return both.groupBy("lang").agg(F.count_if(F.col("in") == 1).alias("labelled"), F.count_if(F.col("in") == 0).alias("unlabelled"))
+
+
+_NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents), i AS (SELECT item_id, {_NORM} AS t FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN i ON contains(d.t, i.t)""")
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@query(f"SELECT sha256({_NORM}) AS digest, count(*) AS rows, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def norm_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.copies(table(spark, sf_dir, "documents"), "doc_id", text.normalise(F.col("text")))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS rows, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.copies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, ch, count(*) AS m FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, x.n + y.n AS n FROM d x JOIN d y ON x.lang = y.lang AND x.source = y.source AND (x.n < y.n OR (x.n = y.n AND x.doc_id < y.doc_id)) AND 2.0 * x.n / (x.n + y.n) >= 0.98)
+SELECT x AS a, y AS b, round(2.0 * sum(least(c1.m, c2.m)) / any_value(n), 6) AS ratio FROM p JOIN c c1 ON c1.doc_id = x JOIN c c2 ON c2.doc_id = y AND c2.ch = c1.ch GROUP BY 1, 2 HAVING 2.0 * sum(least(c1.m, c2.m)) / any_value(n) >= 0.98""")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(dedup.likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"], 0.98), "ratio")
+
+
+@query()
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.greedy_clusters(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query()
+def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.diversity(dedup.greedy_clusters(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text"), "conv_id")[1]
+
+
+@query("""SELECT conv_id, md5(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn)) AS digest, count(*) AS turns FROM conversations GROUP BY 1""")
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return rows.select("conv_id", F.md5(text.render_chat(F.col("m")).cast("binary")).alias("digest"), F.size("m").cast("long").alias("turns"))
+
+
+_GUESS = " OR ".join(f"contains(lower(text), '{w}')" for w in text.GUESS_WORDS)
+
+
+@query(f"""SELECT lang, count(*) AS rows, count(*) FILTER (WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> 'nan' AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 5) AS usable, count(*) FILTER (WHERE length(text) < 300) AS stubs,
+count(*) FILTER (WHERE {_GUESS}) AS guessing, count(*) FILTER (WHERE regexp_full_match(text, '0+')) AS degenerate, count(*) FILTER (WHERE contains(text, '\\boxed{{')) AS boxed FROM documents GROUP BY 1""")
+def usable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_if(text.usable_cot(c)).alias("usable"), F.count_if(F.length(c) < audit.STUB_CHARS).alias("stubs"), F.count_if(text.lexicon_hit(c)).alias("guessing"), F.count_if(audit.degenerate(c)).alias("degenerate"), F.count_if(text.has_box(c)).alias("boxed"))
+
+
+@query("""SELECT lang, min(n_chars) AS least, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(count(*) FILTER (WHERE n_chars > 5000) / count(*), 6) AS over FROM documents GROUP BY 1""")
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.lengths(table(spark, sf_dir, "documents"), ["lang"], "n_chars", 5000), "mean", "p90", "over")
+
+
+@query("""WITH a AS (SELECT user_id, count(DISTINCT event_type) AS s, count(DISTINCT CAST(floor(value / 100) AS BIGINT)) AS n FROM events WHERE value > 60 GROUP BY 1)
+SELECT count(*) AS solved, count(*) FILTER (WHERE s = 5) AS by_all, count(*) FILTER (WHERE s = 1) AS by_one, count(*) FILTER (WHERE s >= 2) AS by_two, count(*) FILTER (WHERE n > 1) AS conflicting FROM a""")
+def source_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("value > 60").withColumn("answer", F.floor(F.col("value") / 100).cast("long"))
+    return metrics.agreement_report(metrics.agreement(rows, "user_id", "event_type", "answer"), 5)
+
+
+@query(f"""WITH d AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {_NORM} AS t FROM documents) d JOIN (SELECT {_NORM} AS t FROM benchmark) i ON contains(d.t, i.t)), l AS (SELECT DISTINCT doc_id FROM labels)
+SELECT (SELECT count(*) FROM l) AS a, (SELECT count(*) FROM d) AS b, (SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)) AS only_a, (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS only_b,
+(SELECT count(*) FROM l WHERE doc_id IN (SELECT doc_id FROM d)) AS both, (SELECT count(*) FROM (SELECT doc_id FROM l UNION SELECT doc_id FROM d)) AS either""")
+def set_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = audit.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return metrics.complement(table(spark, sf_dir, "labels"), hit, "doc_id")
+
+
+@query("""WITH a AS (SELECT user_id, CAST(floor(value / 20) AS BIGINT) AS ans, event_id FROM events), c AS (SELECT user_id, ans, count(*) AS n, min(event_id) AS f FROM a GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS k, count(*) OVER (PARTITION BY user_id) AS answers FROM c)
+SELECT user_id, ans AS majority, n AS votes, answers, CASE WHEN answers = 1 THEN ans END AS unanimous FROM r WHERE k = 1""")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("value") / 20).cast("long").alias("ans"), "event_id")
+    return metrics.majority(rows, ["user_id"], "ans", "event_id")
+
+
+@query("""WITH t AS (SELECT p_size, CAST(p_partkey % 256 AS BIGINT) AS x, CAST(p_size % 8 AS BIGINT) AS k FROM part),
+e AS (SELECT p_size, x, CASE WHEN p_size % 3 = 0 THEN xor(((x << k) | (x >> (8 - k))) & 255, 255) ELSE ((x << k) | (x >> (8 - k))) & 255 END AS y FROM t),
+r AS (SELECT i AS k, n FROM generate_series(0, 7) g(i), (VALUES (0), (255)) v(n))
+SELECT p_size AS id, count(*) AS rules, min(rule) AS first_rule FROM (SELECT p_size, CASE WHEN n = 0 THEN '' ELSE '~' END || CASE WHEN k = 0 THEN 'x' ELSE 'ROL' || k END AS rule FROM e, r GROUP BY p_size, k, n HAVING bool_and(xor(((x << k) | (x >> (8 - k))) & 255, n) = y)) GROUP BY 1""")
+def rule_search_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("p_partkey") % 256).cast("int")
+    turned = x
+    for k in range(1, 8):
+        turned = F.when(F.col("p_size") % 8 == k, text.rotl(x, k)).otherwise(turned)
+    y = F.when(F.col("p_size") % 3 == 0, text.not8(turned)).otherwise(turned)
+    # a problem has 256 different examples at most
+    problems = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("id")).agg(F.collect_set(F.struct(x.alias("x"), y.alias("y"))).alias("examples"))
+    grammar = [(n, i) for n, i in rules.verifier_rules() if n.lstrip("~").startswith("ROL") or n.lstrip("~") == "x"]
+    grammar = [(n, i) for n, i in grammar if " " not in n]
+    return rules.consistent(problems, rules.rule_table(spark, grammar)).groupBy("id").agg(F.count(F.lit(1)).alias("rules"), F.min("rule").alias("first_rule"))
+
+
+@query()
+def rule_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grammar of the verifier over problems of eight examples each, made of part keys."""
+    at = F.col("p_partkey")
+    x = F.pmod(at * 37, F.lit(256)).cast("int")
+    rows = table(spark, sf_dir, "part").select(F.floor(at / 9).alias("id"), (at % 9).alias("k"), x.alias("x"), text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)).alias("y"))
+    problems = rows.groupBy("id").agg(F.collect_list(F.when(F.col("k") < 8, F.struct("x", "y"))).alias("examples"), F.max(F.when(F.col("k") == 8, F.col("x"))).alias("query"), F.max(F.when(F.col("k") == 8, F.col("y"))).alias("truth"))
+    return rules.verify(problems.where("query is not null"), rules.rule_table(spark, rules.verifier_rules()))
+
+
+_FIT = "(VALUES ('add'), ('sub'), ('mul'), ('concat')) o(operation)"
+
+
+@query(f"""WITH t AS (SELECT CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b, l_orderkey % 2 AS k FROM lineitem),
+e AS (SELECT *, CASE WHEN k = 0 THEN a + b ELSE a * b END AS y FROM t)
+SELECT operation, count(*) FILTER (WHERE y = CASE operation WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b ELSE a * 10 + b END) AS matches, count(*) AS parseable,
+round(count(*) FILTER (WHERE y = CASE operation WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b ELSE a * 10 + b END) / count(*), 6) AS share FROM e, {_FIT} GROUP BY 1""")
+def operator_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    truth = F.when(F.col("l_orderkey") % 2 == 0, a + b).otherwise(a * b)
+    return _round(metrics.candidate_fit(table(spark, sf_dir, "lineitem"), {"add": a + b, "sub": a - b, "mul": a * b, "concat": a * 10 + b}, truth), "share")
+
+
+@query(f"""WITH t AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b, l_orderkey % 2 AS k FROM lineitem),
+e AS (SELECT *, CASE WHEN k = 0 THEN a + b ELSE a * b END AS y FROM t),
+c AS (SELECT l_returnflag, operation, count(*) AS rows, count(*) FILTER (WHERE y = CASE operation WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b ELSE a * 10 + b END) AS matches FROM e, {_FIT} GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY matches DESC, operation) AS k FROM c) SELECT l_returnflag, rows, matches, operation FROM r WHERE k = 1""")
+def argmax_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    truth = F.when(F.col("l_orderkey") % 2 == 0, a + b).otherwise(a * b)
+    return metrics.best_per_symbol(table(spark, sf_dir, "lineitem"), "l_returnflag", {"add": a + b, "sub": a - b, "mul": a * b, "concat": a * 10 + b}, truth)
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(a - b AS VARCHAR) WHEN 1 THEN CAST(b AS VARCHAR) || CAST(a AS VARCHAR) WHEN 2 THEN CAST(a * b AS VARCHAR) ELSE CAST(abs(a - b) AS VARCHAR) END AS answer FROM t""")
+def typographic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    op = F.when(k == 0, "-").when(k == 1, "*").when(k == 2, "/").otherwise("#")
+    prompt = F.concat(F.lit("Now, determine the result for: "), F.col("l_quantity").cast("long").cast("string"), op, F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", prompt.alias("prompt")).select("l_orderkey", "l_linenumber", rules.typographic_answer(F.col("prompt")).alias("answer"))
+
+
+@query("""WITH done AS (SELECT DISTINCT user_id AS id, CAST(event_id % 3 AS INTEGER) AS gen FROM events WHERE value > 100 AND value <= 250)
+SELECT p.id, p.gen FROM (SELECT DISTINCT user_id AS id, CAST(g AS INTEGER) AS gen FROM events, generate_series(0, 2) s(g)) p LEFT JOIN done d ON d.id = p.id AND d.gen = p.gen WHERE d.id IS NULL""")
+def resume_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    done = events.where("value > 100").select(F.col("user_id").alias("id"), (F.col("event_id") % 3).alias("gen"), F.when(F.col("value") > 250, "throttled").alias("error"))
+    return select.grid(events.select(F.col("user_id").alias("id")).distinct(), 3, done)
+
+
+@query("""WITH u AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang FROM pages)
+SELECT regexp_replace(regexp_replace(host, '^(www|m|blog)\\.', ''), '\\.(com|net|org)$', '') AS label, lang, count(*) AS pages FROM u GROUP BY 1, 2""")
+def page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, lang = F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
+    label = F.regexp_replace(F.regexp_replace(host, r"^(www|m|blog)\.", ""), r"\.(com|net|org)$", "")
+    return table(spark, sf_dir, "pages").groupBy(label.alias("label"), lang.alias("lang")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("""SELECT event_type, count(*) AS rows, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total, count(DISTINCT props->>'$.k') AS kinds FROM events GROUP BY 1""")
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum(k.cast("long")).alias("total"), F.count_distinct(k).alias("kinds"))
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT bit_count(xor(CAST(p_partkey % 256 AS BIGINT), CAST(p_size % 256 AS BIGINT))) AS distance, count(*) AS rows FROM part GROUP BY 1")
+def hamming_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.distance_histogram(table(spark, sf_dir, "part"), F.col("p_partkey") % 256, F.col("p_size").cast("long") % 256)
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.value_counts(table(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT least(n, 3) AS turns, count(*) AS n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) GROUP BY 1")
+def capped_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.capped_histogram(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")), "turns").withColumn("turns", F.col("turns").cast("long"))
+
+
+@query("""SELECT event_type AS status, count(*) AS total, count(*) FILTER (WHERE value > 60 AND value <= 200) AS ok, count(*) FILTER (WHERE value <= 60) AS wrong, count(*) FILTER (WHERE value > 200 AND value <= 250) AS error, count(*) FILTER (WHERE value > 250) AS timeout FROM events GROUP BY 1""")
+def outcome_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.when(v <= 60, "wrong").when(v <= 200, "ok").when(v <= 250, "error").otherwise("timeout").alias("outcome"))
+    return metrics.outcomes(rows)
+
+
+@query("""SELECT lang, count(*) AS total, count(*) FILTER (WHERE n_chars > 1000) AS correct, count(*) FILTER (WHERE n_chars > 1000 AND length(text) > 0) AS with_trace, round_even(count(*) FILTER (WHERE n_chars > 1000) * 100.0::DOUBLE / count(*), 1) AS pct FROM documents GROUP BY 1""")
+def conditional_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(table(spark, sf_dir, "documents"), ["lang"], F.col("n_chars") > 1000, text.has_text(F.col("text")))
+
+
+@query("SELECT vec_id, round(CAST(list_min(embedding) AS DOUBLE), 6) AS least_logprob, list_min(embedding) < -0.69::FLOAT AS doubtful FROM embeddings")
+def logprob_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.least_logprob(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    low = F.col("least_logprob")
+    return rows.select("vec_id", F.round(low.cast("double"), 6).alias("least_logprob"), (low < F.lit(-0.69).cast("float")).alias("doubtful"))
+
+
+@query("SELECT count(DISTINCT event_type) AS event_type, count(DISTINCT user_id) AS user_id FROM events")
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.distinct_values(table(spark, sf_dir, "events"), ["event_type", "user_id"])
+
+
+@query("""SELECT event_id, user_id, event_type FROM events WHERE regexp_matches(event_type, '(?i)UR|ick') AND value > 60""")
+def dynamic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("category"), (F.col("value") > 60).alias("correct"))
+    return select.matching(rows, category="UR|ick", correct=True).select("event_id", "user_id", F.col("category").alias("event_type"))
+
+
+@query("SELECT count(*) AS rows, CAST(sum(length(CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) END)) AS BIGINT) AS chars, md5(string_agg(md5(CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) END), '' ORDER BY doc_id)) AS digest FROM documents")
+def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.head_tail(F.col("text")).alias("x"))
+    both = rows.select("doc_id", F.length("x").alias("n"), F.md5(F.col("x").cast("binary")).alias("h"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda s: s["h"]), "").cast("binary")).alias("digest"))
+
+
+@query()
+def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of three examples each from supplier and part numbers, solved by the operator family search."""
+    return rules.equation_search(_equation_prompts(spark, sf_dir)).select("id", "answer")
+
+
+def _equation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = lambda c: F.lpad(F.pmod(c, F.lit(100)).cast("string"), 2, "0")
+    k = F.col("p_partkey")
+    made = F.when(F.pmod(F.floor(k / 4), F.lit(2)) == 0, F.pmod(k * 7, F.lit(100)) + F.pmod(k * 3, F.lit(100))).otherwise(F.pmod(k * 7, F.lit(100)) * F.pmod(k * 3, F.lit(100)))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 4).alias("id"), F.pmod(k, F.lit(4)).alias("i"), two(k * 7).alias("a"), two(k * 3).alias("b"), made.cast("string").alias("out"))
+    line = F.concat("a", F.lit("+"), "b", F.lit(" = "), "out", F.lit("\n"))
+    per = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("i") < 3, F.struct("i", line.alias("t"))))).alias("e"), F.max(F.when(F.col("i") == 3, F.concat("a", F.lit("+"), "b"))).alias("q"))
+    return per.where("q is not null").select("id", F.concat(F.lit("Examples:\n"), F.array_join(F.transform("e", lambda s: s["t"]), ""), F.lit("Now, determine the result for: "), "q").alias("prompt"))
+
+
+@query()
+def bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of eight examples of eight-bit words from part numbers, solved by the word search."""
+    return rules.bit_search(_bit_prompts(spark, sf_dir)).select("id", "answer")
+
+
+def _bit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    x = F.pmod(k * 37, F.lit(256)).cast("int")
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 9).alias("id"), F.pmod(k, F.lit(9)).alias("i"), x.alias("x"), text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)).alias("y"))
+    line = F.concat(text.to_bits(F.col("x")), F.lit(" -> "), text.to_bits(F.col("y")))
+    per = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("i") < 8, F.struct("i", line.alias("t"))))).alias("e"), F.max(F.when(F.col("i") == 8, text.to_bits(F.col("x")))).alias("q"))
+    return per.where("q is not null").select("id", F.concat(F.lit("input -> output:\n"), F.array_join(F.transform("e", lambda s: s["t"]), "\n"), F.lit("\nNow, determine the output for: "), "q").alias("prompt"))
+
+
+@query()
+def bit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prompts solved bit by bit under the harness."""
+    return rules.run_solver(_bit_prompts(spark, sf_dir), _solve_bit_prompt)
+
+
+def _solve_bit_prompt(prompt: str) -> str | None:
+    import re
+
+    found = re.findall(r"([01]{8}) -> ([01]{8})", prompt)
+    asked = re.search(r"determine the output for: ([01]{8})", prompt)
+    return rules.solve_bits([(int(a, 2), int(b, 2)) for a, b in found], int(asked[1], 2)) if asked else None
