@@ -142,12 +142,11 @@ def equation_search(problems: DataFrame, prompt: str = "prompt", guarded: bool =
     rows = problems.withColumn("_all", equation_examples(F.col(prompt))).withColumn("_q", equation_query(F.col(prompt)))
     same = F.filter("_all", lambda e: e["op"] == F.col("_q.op"))
     rows = rows.withColumn("_used", F.when(F.size(same) > 0, same).otherwise(F.col("_all")))
-    n = 8 * (len(_ARITHMETIC) - (0 if guarded else len(GUARDED)))
     key = problems.columns
-    hits = rows.withColumn("_e", F.explode("_used")).withColumn("_made", _produced(F.col("_e.a"), F.col("_e.op"), F.col("_e.b"), guarded))
-    mask = F.transform("_made", lambda v: F.coalesce(v == F.col("_e.out"), F.lit(False)))
-    agreed = hits.select(*key, "_q", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(mask, i), F.lit(0)).otherwise(F.lit(1))).alias("_miss"))
-    per = agreed.select(*key, "_q", F.posexplode("_miss").alias("_h", "_m")).groupBy(*key, "_q", "_h").agg(F.sum("_m").alias("_m")).where("_m = 0")
+    made = rows.select(*key, "_q", F.size("_used").alias("_n"), F.explode("_used").alias("_e")).withColumn("_made", _produced(F.col("_e.a"), F.col("_e.op"), F.col("_e.b"), guarded))
+    hits = F.filter(F.transform("_made", lambda v, i: F.when(v == F.col("_e.out"), i)), lambda i: i.isNotNull())
+    # only hypotheses that an example obeys become rows; those that all obey stay
+    per = made.select(*key, "_q", "_n", F.explode(hits).alias("_h")).groupBy(*key, "_q", "_n", "_h").agg(F.count(F.lit(1)).alias("_ok")).where("_ok = _n")
     asked = per.where(F.col("_q.a") != "").withColumn("_answer", F.get(_produced(F.col("_q.a"), F.col("_q.op"), F.col("_q.b"), guarded), F.col("_h"))).where("_answer is not null")
     best = asked.groupBy(*key).agg(F.min_by("_answer", "_h").alias("answer"))
     return problems.join(best, key, "left")

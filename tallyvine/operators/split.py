@@ -66,9 +66,9 @@ def round_robin(df: DataFrame, key: str, stratum: str, batch_size: int, seed: in
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     total = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
     batches = max(1, -(-total // batch_size))
-    before = sizes.select(stratum, (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(stratum)) - F.col("n")).alias("_before"))  # a row per stratum
+    before = sizes.select(F.col(stratum).alias("_stratum"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(stratum)) - F.col("n")).alias("_before"))  # a row per stratum
     order = Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key)
-    rows = df.join(F.broadcast(before), F.col(stratum).eqNullSafe(before[stratum])).drop(before[stratum])
+    rows = df.join(F.broadcast(before), F.col(stratum).eqNullSafe(F.col("_stratum"))).drop("_stratum")
     rows = rows.withColumn("place", F.col("_before") + F.row_number().over(order) - 1).withColumn("slot", F.pmod("place", F.lit(batches)))
     slots = df.sparkSession.range(batches).select(F.col("id").alias("slot"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw(F.col("id"), seed + 1), "id")) - 1).cast("long").alias("batch"))
     return rows.join(slots, "slot").drop("_before", "slot")
