@@ -17,8 +17,9 @@ narrow ones are kept if fewer than four are: two sets whose wide segments differ
 in that number, so either both have wide keys or neither has skipped too many.
 
 Candidates are verified exactly on the sets. A component needs no more than one path: a first round joins each key's
-members to its smallest member; only pairs of one key that are in different components after that are verified in a
-second round, so no group is expanded into all its pairs and no link between different components is lost.
+members to its smallest member. After that only pairs of one key in different components can matter: their parity
+sketches bound the differences from below, and only pairs that can still be linked leave the task for a second round
+of verification. So no group is expanded into all its pairs and no link between different components is lost.
 
 Defined results: null, empty and blank texts have no shingles and no links; 1 to 4 words are one shingle; repeated
 rows of one doc_id are nodes of one document; rows without doc_id get a null component. Shingles are compared by
@@ -39,7 +40,10 @@ from .words import mix, shingle_sets
 
 SIZE = 5
 NUM, DEN = 3, 4  # the threshold as a fraction
-BINS = 128  # of the histogram of a set that bounds its differences
+#: Bits of a set's parity sketch: twice its size as a power of two, within these bounds.
+SKETCH_BITS = (256, 1 << 16)
+#: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
+BLOCK = 4096
 #: The frequency table: at most so many shingles, each in at least so many documents.
 FREQUENT, FREQUENT_LEAST = 1 << 16, 24
 #: Keys held by one task before they are sent, and by one bucket.
@@ -107,16 +111,32 @@ def keys_of(hashes: np.ndarray, cost: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
-def _histogram(hashes: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of b slots: whether an odd number of elements falls there. The bits in which two sketches differ
+    are no more than the elements in which the sets differ."""
+    bits = min(max(1 << int(2 * len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-_BASE = "kind int, doc_id long, n long, d1 long, d2 long, bins binary"
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest: a fold is a sketch of fewer slots."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for k, x in enumerate(sketches):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) * 8 > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[k] = row
+    return out
+
+
+_BASE = "kind int, doc_id long, n long, d1 long, d2 long, sketch binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document's set size, digest and histogram; kind 1: a shingle and how many sets of a run hold it."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bins", pa.binary())])
+    """kind 0: a document's set size, digest and sketch; kind 1: a shingle and how many sets of a run hold it."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
     held, count = [], 0
 
     def frequent() -> pa.RecordBatch:
@@ -131,7 +151,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 digests = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).view(np.int64))) if len(s) else (0, 0) for s in sets]
             ids = b.column(0).slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([_histogram(s) for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.binary())], schema=schema)
             held += sets
             count += sum(map(len, sets))
             if count > TASK_KEYS:
@@ -177,6 +197,8 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
                     at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                     cost = np.where(common[at] == s, counts[at], 1) if len(common) else np.ones(len(s), np.int64)
                     keys = keys_of(s, cost, ends)
+                    if not len(keys):
+                        continue
                     held.append((doc, keys))
                     count += len(keys)
                     if count > TASK_KEYS:
@@ -220,15 +242,71 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(run[a : a + (1 << 18)]), pa.array(doc[take][a : a + (1 << 18)])], names=["run", "doc"])
 
 
+def _able(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m that differ in `apart` elements or more can be linked."""
+    return (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (apart <= (n + m) * (DEN - NUM) // (DEN + NUM))
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and histograms leave a link possible."""
+    """Pairs whose sizes and sketches leave a link possible."""
     for b in batches:
         if b.num_rows:
-            n = [b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
-            bins = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5)]
-            apart = np.abs(bins[0] - bins[1]).sum(axis=1)
-            able = (np.minimum(*n) * DEN >= np.maximum(*n) * NUM) & (apart <= (n[0] + n[1]) * (DEN - NUM) // (DEN + NUM))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(able)), b.column(1).filter(pa.array(able))], names=["a", "b"])
+            n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            apart = np.zeros(len(n), np.int64)
+            for k, pair in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                two = folded(list(pair))
+                apart[k] = int(np.bitwise_count(two[0] ^ two[1]).sum())
+            able = pa.array(_able(n, m, apart))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(able), b.column(1).filter(able)], names=["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in each cell (a run, or a pair of blocks of a large one) that can be linked.
+
+    Rows come sorted by run and cell: run, cell, block, doc, component, n, sketch. A cell has two blocks at most.
+    """
+    seen: set[tuple[int, int]] = set()
+
+    def pairs(cell: tuple) -> list[tuple[int, int]]:
+        block, doc, component, n = (np.array(x) for x in cell[:4])
+        sketch = folded(cell[4])
+        of = np.unique(component, return_inverse=True)[1]
+        main = np.bincount(of).argmax()
+        rest = np.flatnonzero(of != main)
+        one = len(np.unique(block)) == 1
+        out = []
+        for i in rest:
+            j = np.flatnonzero((component != component[i]) & ((of == main) | (doc > doc[i])) & (one | (block != block[i])) & (np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM))
+            if len(j):
+                apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
+                for k in doc[j[_able(n[j], n[i], apart)]].tolist():
+                    pair = (min(k, int(doc[i])), max(k, int(doc[i])))
+                    if pair not in seen:
+                        seen.add(pair)
+                        out.append(pair)
+        if len(seen) > 1 << 18:
+            seen.clear()
+        return out
+
+    def sent(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    now, held, found = None, ([], [], [], [], []), []
+    for b in batches:
+        columns = [b.column(k).to_pylist() for k in range(7)]
+        for run, cell, *row in zip(*columns):
+            if (run, cell) != now:
+                if len(held[0]) > 1:
+                    found += pairs(held)
+                now, held = (run, cell), ([], [], [], [], [])
+                if len(found) > 10_000:
+                    yield sent(found)
+                    found = []
+            for x, v in zip(held, row):
+                x.append(v)
+    if len(held[0]) > 1:
+        found += pairs(held)
+    yield sent(found)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +323,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links. base: sizes and histograms; docs: doc_id and text."""
-    one, two = (base.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins{k}")) for k in "ab")
-    near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "binsa", "binsb").mapInArrow(_near, "a long, b long"), "near")
+    """The pairs (a, b) that are links. base: sizes and sketches; docs: doc_id and text."""
+    one, two = (base.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
+    near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(_near, "a long, b long"), "near")
     texts = with_ids(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", keep=True)
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long"), "links").distinct()
@@ -297,17 +375,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = cut(members)
     hubs = members.groupBy("run").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
     stars = cut(members.join(hubs, "run").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    sized = base.groupBy("doc_id").agg(F.max("n").alias("n"), F.max_by("bins", "n").alias("bins"))
+    sized = base.groupBy("doc_id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
     links = verified(stars, sized, docs)
     found = cut(components(links))
 
     # pairs of one run that are in different components so far
     placed = members.join(found, members["doc"] == found["node"], "left").select("run", "doc", F.coalesce("component", "doc").alias("component"))
-    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run")
-    placed = cut(placed.join(open_runs, "run", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n"), "doc"))
-    other = placed.select("run", F.col("doc").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"))
-    across = placed.join(other, "run").where(f"doc < b and component <> other and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}")
-    across = across.select(F.col("doc").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high").select("run", F.ceil(F.col("holders") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(open_runs, "run").join(sized.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
+    placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "doc", "component", "n", "sketch")
+    apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(_across, "a long, b long")
+    across = cut(apart.distinct().join(stars, ["a", "b"], "left_anti"))
     more = verified(across, sized, docs)
 
     whole = links.union(more).union(copies.select("rep", "doc"))
