@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,17 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     if not tolerant:
         return reader.schema(schema).option("mode", "FAILFAST").json(paths)
     found = reader.schema(T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
-    return found if keep_corrupt else found.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return found if keep_corrupt else found.where(F.col(CORRUPT).isNull() & _parsed(schema)).drop(CORRUPT)
+
+
+def _parsed(schema: T.StructType) -> Column:
+    """Always true, but not to the optimizer: lines are only found to be malformed while their fields are read."""
+    return F.xxhash64(*schema.names) >= F.lit(-(2**63))
 
 
 def corrupt_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """file, dropped: how many lines of each file a tolerant read drops."""
-    return read_jsonl(spark, paths, schema, keep_corrupt=True).select(F.col("_metadata.file_path").alias("file"), CORRUPT).groupBy("file").agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("dropped"))
+    return read_jsonl(spark, paths, schema, keep_corrupt=True).select(F.col("_metadata.file_path").alias("file"), (F.col(CORRUPT).isNotNull() & _parsed(schema)).alias("bad")).groupBy("file").agg(F.count_if(F.col("bad")).alias("dropped"))
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -46,7 +51,8 @@ def read_labelled(spark: SparkSession, root: str, schema: T.StructType, name: st
 
 
 def read_tree(spark: SparkSession, root: str, schema: T.StructType, name: str = "results.jsonl") -> DataFrame:
-    """All files of a name below root, with source_file and the normalised name of their folder as label."""
+    """All files of a name below root, with source_file and the normalised name of their folder as label. Folders that
+    begin with an underscore or a dot are hidden from Spark and left out."""
     found = read_jsonl(spark, root, schema, recursiveFileLookup="true", pathGlobFilter=name).withColumn("source_file", F.col("_metadata.file_path"))
     return found.withColumn("label", run_label(F.element_at(F.split("source_file", "/"), -2)))
 
