@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ids that a broadcast may hold (eight bytes each); above it the same join runs as a shuffle.
@@ -51,6 +51,22 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows: int
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
+def few_by_hash(df: DataFrame, key: str, group: str, most: dict) -> DataFrame:
+    """At most most[g] rows of each group g in most, those of the smallest hashes of their key.
+
+    A share of hashes that holds somewhat more than that is kept before anything is ranked, so that what is shuffled
+    does not grow with df; the groups of `most` are few.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().where(F.col(group).isin(list(most))).collect()}
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    kept, cap = F.lit(False), F.lit(0)
+    for g, n in most.items():
+        kept = F.when(F.col(group) == g, place <= (n + 6 * n**0.5 + 10) / max(1, counts.get(g, 0))).otherwise(kept)
+        cap = F.when(F.col(group) == g, F.lit(n)).otherwise(cap)
+    order = Window.partitionBy(group).orderBy(place, key)
+    return df.where(kept).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
+
+
 def text_views(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets of rows in them) of runs of rows that hold about 1 MB each."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_views
+from .common import few_by_hash, table, text_views
 from .toxicity import fold
 from .words import mix
 
@@ -160,10 +160,9 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, usable: Column) -> Model:
     """A model from rows of docs (doc_id, text, lang) that are usable (a condition on doc_id) and have a language."""
     mine = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = mine.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= FIT_DOCS)
-    languages = sorted(r.lang for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    chosen = chosen.where(F.col("lang").isin(languages)).select("doc_id").distinct()  # at most FIT_DOCS * LANGUAGES ids
+    counts = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    languages = sorted(r.lang for r in counts)
+    chosen = few_by_hash(mine.select("lang", "doc_id"), "doc_id", "lang", dict.fromkeys(languages, FIT_DOCS)).select("doc_id").distinct()  # at most FIT_DOCS * LANGUAGES ids
     texts = mine.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     words = words.repartition("lang", "gram")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_views
+from .common import few_by_hash, table, text_views
 from .words import NOT_LETTER, mix, word_hashes
 
 #: The sample that training takes at most: toxic rows, other rows, and words of a row (longer rows aren't taken).
@@ -179,8 +179,7 @@ def fold(key: Column, parts: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """A model from labels (doc_id, toxic) that are usable (a condition on doc_id) and the texts of docs."""
     mine = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    take = lambda toxic, n: mine.where((F.col("toxic") == 1) == F.lit(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = take(True, FIT_TOXIC).union(take(False, FIT_OTHER))  # at most FIT_TOXIC + FIT_OTHER ids
+    chosen = few_by_hash(mine.withColumn("toxic", F.when(F.col("toxic") == 1, 1).otherwise(0)), "doc_id", "toxic", {1: FIT_TOXIC, 0: FIT_OTHER})  # at most FIT_TOXIC + FIT_OTHER ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
