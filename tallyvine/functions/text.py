@@ -246,3 +246,16 @@ def roman(n: Column) -> Column:
     for value, sign in parts:
         out, left = F.concat(out, F.repeat(F.lit(sign), F.floor(left / value).cast("int"))), F.pmod(left, F.lit(value))
     return F.when(n.between(1, 3999), out)
+
+
+# time
+
+
+def parse_time(c: Column) -> Column:
+    """UTC times with or without fractions of a second and a final Z; null for anything else."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(form)) for form in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X", "yyyy-MM-dd'T'HH:mm:ss[.SSS]X", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")])
+
+
+def stamp() -> Column:
+    """The present time as text."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -427,3 +427,103 @@ def _solve_bit_prompt(prompt: str) -> str | None:
     found = re.findall(r"([01]{8}) -> ([01]{8})", prompt)
     asked = re.search(r"determine the output for: ([01]{8})", prompt)
     return rules.solve_bits([(int(a, 2), int(b, 2)) for a, b in found], int(asked[1], 2)) if asked else None
+
+
+_X = "CAST(p_partkey % 256 AS BIGINT)"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_X} AS x FROM part), u AS (SELECT *, ((x << 1) | (x >> 7)) & 255 AS l, ((x >> 1) | (x << 7)) & 255 AS r FROM t)
+SELECT p_partkey, lpad(bin(x), 8, '0') AS bits, ((x << 3) | (x >> 5)) & 255 AS turned, (x << 2) & 255 AS up, x >> 2 AS down, xor(x, 255) AS inverse, CAST(concat('0b', reverse(lpad(bin(x), 8, '0'))) AS BIGINT) AS mirrored,
+xor(l, r) AS rule90, xor(xor(l, r), x) AS rule150, (l & r) | (l & x) | (r & x) AS most FROM u""")
+def bit_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("p_partkey") % 256).cast("int")
+    left, right = text.rotl(x, 1), text.rotl(x, 7)
+    made = {"turned": text.rotl(x, 3), "up": F.shiftleft(x, 2).bitwiseAND(F.lit(255)), "down": F.shiftright(x, 2), "inverse": text.not8(x), "mirrored": text.reverse_bits(x), "rule90": text.neighbours(x, False), "rule150": text.neighbours(x, True), "most": text.majority(left, right, x)}
+    return table(spark, sf_dir, "part").select("p_partkey", text.to_bits(x).alias("bits"), *[c.cast("long").alias(n) for n, c in made.items()])
+
+
+_PAIR = "t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, CAST(l_suppkey % 100 AS BIGINT) AS b, lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 2, '0') AS s, lpad(CAST(CAST(l_suppkey % 100 AS BIGINT) AS VARCHAR), 2, '0') AS u FROM lineitem), d AS (SELECT *, CAST(s[1] AS BIGINT) AS p, CAST(s[2] AS BIGINT) AS q, CAST(u[1] AS BIGINT) AS r, CAST(u[2] AS BIGINT) AS v FROM t)"
+_OPS = {
+    "concat": "s || u", "revconcat": "u || s", "add": "a + b", "absdiff": "abs(a - b)", "negabsdiff": "-abs(a - b)", "sub": "a - b", "revsub": "b - a", "mul": "a * b", "mul+1": "a * b + 1", "mul-1": "a * b - 1", "add+1": "a + b + 1", "add-1": "a + b - 1", "sub+1": "a - b + 1", "sub-1": "a - b - 1",
+    "maxmodmin": "CASE WHEN least(a, b) <> 0 THEN greatest(a, b) % least(a, b) END", "div": "CASE WHEN b <> 0 THEN a // b END", "mod": "CASE WHEN b <> 0 THEN a % b END", "revdiv": "CASE WHEN a <> 0 THEN b // a END", "revmod": "CASE WHEN a <> 0 THEN b % a END",
+    "digabsdiff": "abs(p - r) || '' || abs(q - v)", "digaddmod10": "((p + r) % 10) || '' || ((q + v) % 10)", "digsubmod10": "((p - r + 10) % 10) || '' || ((q - v + 10) % 10)", "crossmul": "p * r + q * v", "crossmulrev": "p * v + q * r", "digmul": "(p * r) || '' || (q * v)", "digmulrev": "(p * v) || '' || (q * r)",
+    "digsumdiff": "p + q - r - v", "digsumsum": "p + q + r + v", "digproddiff": "p * q - r * v", "digprodsum": "p * q + r * v", "det": "p * v - q * r", "absdet": "abs(p * v - q * r)",
+}
+
+
+@query(f"WITH {_PAIR} SELECT l_orderkey, l_linenumber, md5(concat_ws('|', {', '.join(f'coalesce(CAST({e} AS VARCHAR), chr(45))' for e in _OPS.values())})) AS digest FROM d")
+def arithmetic_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 32 operations on pairs of two-digit operands, as a digest per row."""
+    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", two(F.col("l_quantity")).alias("a"), two(F.col("l_suppkey") % 100).alias("b"))
+    made = rules.arithmetic(F.col("a"), F.col("b"))
+    return rows.select("l_orderkey", "l_linenumber", F.md5(F.concat_ws("|", *[F.coalesce(made[n], F.lit("-")) for n in _OPS]).cast("binary")).alias("digest"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'bit_manipulation' WHEN 1 THEN 'gravity' WHEN 2 THEN 'numeral' WHEN 3 THEN 'cipher' ELSE 'other' END AS kind, CAST(l_quantity AS BIGINT) AS v, l_partkey % 3 AS k FROM lineitem),
+p AS (SELECT *, 'A' || v AS text_truth, CASE k WHEN 0 THEN 'a' || v WHEN 1 THEN 'A' || v ELSE 'B' || v END AS text_pred, CAST(v AS VARCHAR) AS truth, CASE k WHEN 0 THEN v || '.04' WHEN 1 THEN v || '.9' ELSE v || '.0' END AS pred FROM t)
+SELECT kind, count(*) AS rows, count(*) FILTER (WHERE CASE kind WHEN 'bit_manipulation' THEN text_pred = text_truth WHEN 'gravity' THEN abs(CAST(pred AS DOUBLE) - CAST(truth AS DOUBLE)) <= greatest(0.005 * greatest(abs(CAST(pred AS DOUBLE)), abs(CAST(truth AS DOUBLE))), 0.05)
+WHEN 'numeral' THEN lower(text_pred) = lower(text_truth) WHEN 'cipher' THEN lower(text_pred) = lower(text_truth) ELSE text_pred = text_truth END) AS right FROM p GROUP BY 1""")
+def type_checkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("bit_manipulation", "gravity", "numeral", "cipher", "other")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    v, k = F.col("l_quantity").cast("long").cast("string"), F.col("l_partkey") % 3
+    pick = lambda *cs: F.when(k == 0, cs[0]).when(k == 1, cs[1]).otherwise(cs[2])
+    rows = table(spark, sf_dir, "lineitem").select(kind.alias("kind"), F.when(kind == "gravity", v).otherwise(F.concat(F.lit("A"), v)).alias("truth"), F.when(kind == "gravity", pick(*[F.concat(v, F.lit(x)) for x in (".04", ".9", ".0")])).otherwise(pick(*[F.concat(F.lit(x), v) for x in "aAB"])).alias("pred"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_if(grade.by_type(F.col("kind"), F.col("pred"), F.col("truth"))).alias("right"))
+
+
+_SQUEEZE = "regexp_replace({}, '\\s+', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT text FROM documents), p AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 1)
+SELECT 'exact' AS key, count(*) AS rows FROM d WHERE text IN (SELECT text FROM p)
+UNION ALL SELECT 'normalised', count(*) FROM d WHERE {_NORM} IN (SELECT {_NORM} FROM p)
+UNION ALL SELECT 'squeezed', count(*) FROM d WHERE {_SQUEEZE.format('text')} IN (SELECT {_SQUEEZE.format('text')} FROM p)""")
+def prompt_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all texts equal one of an odd id, by three keys."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = dedup.prompt_keys(F.col("text"), F.array())
+    return dedup.overlap(docs, docs.where("doc_id % 2 = 1"), {n: (made[n], made[n]) for n in ("exact", "normalised", "squeezed")})
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE value > 150), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 60)
+SELECT 'union' AS op, user_id FROM (SELECT user_id FROM a UNION SELECT user_id FROM b) UNION ALL SELECT 'both', user_id FROM (SELECT user_id FROM a INTERSECT SELECT user_id FROM b) UNION ALL SELECT 'less', user_id FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b)""")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    a, b = events.where("value > 150").select("user_id").distinct(), events.where("event_type = 'error' and value > 60").select("user_id").distinct()
+    named = lambda df, n: df.select(F.lit(n).alias("op"), "user_id")
+    return named(a.union(b).distinct(), "union").union(named(a.intersect(b), "both")).union(named(a.subtract(b), "less"))
+
+
+@query("""SELECT event_id, user_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 40""")
+def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the 40 largest values."""
+    return select.first_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), [F.desc("value"), F.col("event_id")], 40)
+
+
+@query("""SELECT event_id, CASE WHEN value > 60 THEN props END AS text, left(CASE WHEN value > 250 THEN repeat('e', 200) END, 160) AS error FROM events""")
+def capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") > 60).alias("correct"), F.col("props").alias("text"), F.when(F.col("value") > 250, F.repeat(F.lit("e"), 200)).alias("error"))
+    return select.capture_row(rows).select("event_id", "text", "error")
+
+
+@query("""SELECT 'src0' AS source, CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE length(text) < 300) AS is_stub FROM documents WHERE source = 'src0' UNION ALL SELECT source, count(*), count(*) FILTER (WHERE length(text) < 300) FROM documents WHERE source <> 'src0' GROUP BY 1""")
+def trace_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = audit.trace_flags(table(spark, sf_dir, "documents"), "text", text.estimated_tokens(F.col("text")), F.lit("end_turn"))
+    return audit.flag_report(flagged, ["source"]).select("source", "rows", "is_stub")
+
+
+@query()
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat records of all documents, oversampled where they are labelled toxic, in training order."""
+    from ..operators import corpus
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("prompt"), F.col("lang").alias("type"), F.col("text").alias("generated_cot"), F.col("n_chars").cast("string").alias("answer"))
+    extra = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")), "id")
+    return corpus.training_order(corpus.chat_records(docs, extra, 3)).select("id", "copy", "type", "batch", "place")
+
+
+@query()
+def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.roman(F.col("p_partkey") % 4000).alias("numeral"))
