@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_by_hash, table, text_views
+from .common import few_by_hash, table, text_views, written
 from .toxicity import fold
 from .words import mix
 
@@ -175,10 +175,11 @@ def fit(docs: DataFrame, usable: Column) -> Model:
     for x in some[1:]:
         counts = counts.union(x)
     rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("k") == 0, WORDS).otherwise(GRAMS)).drop("_r").toPandas()
+    top = counts.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("k") == 0, WORDS).otherwise(GRAMS)).drop("_r")
+    top = written(top, "grams")
     made = {}
-    for k in range(LONGEST + 1):
-        part = top[top["k"] == k]
+    for k in range(LONGEST + 1):  # one length at a time on the driver
+        part = top.where(F.col("k") == k).toPandas()
         if not len(part):
             made[k] = (np.zeros(0, np.uint64), np.zeros((0, len(languages))))
             continue
