@@ -40,7 +40,7 @@ from .words import mix, shingle_sets
 
 SIZE = 5
 NUM, DEN = 3, 4  # the threshold as a fraction
-#: Bits of a set's parity sketch: twice its size as a power of two, within these bounds.
+#: Bits of a set's parity sketch: four times its size or more as a power of two, within these bounds.
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
@@ -114,7 +114,7 @@ def keys_of(hashes: np.ndarray, cost: np.ndarray, ends: np.ndarray) -> np.ndarra
 def parity_sketch(hashes: np.ndarray) -> bytes:
     """A bit for each of b slots: whether an odd number of elements falls there. The bits in which two sketches differ
     are no more than the elements in which the sets differ."""
-    bits = min(max(1 << int(2 * len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
+    bits = min(max(1 << int(4 * len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -261,7 +261,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each cell (a run, or a pair of blocks of a large one) that can be linked.
+    """Pairs of different components in each cell (a group, or a pair of blocks of a large one) that can be linked.
 
     Rows come sorted by run and cell: run, cell, block, doc, component, n, sketch. A cell has two blocks at most.
     """
@@ -381,8 +381,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # pairs of one run that are in different components so far
     placed = members.join(found, members["doc"] == found["node"], "left").select("run", "doc", F.coalesce("component", "doc").alias("component"))
-    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high").select("run", F.ceil(F.col("holders") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(open_runs, "run").join(sized.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # runs that touch the same least component are compared as one group, in which a document stands once
+    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run", F.col("low").alias("anchor"))
+    held = cut(placed.join(open_runs, "run").select(F.col("anchor").alias("run"), "doc", "component").distinct())
+    blocks = held.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = held.join(blocks, "run").join(sized.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
     placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "doc", "component", "n", "sketch")
     apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(_across, "a long, b long")
