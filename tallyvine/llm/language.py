@@ -27,7 +27,7 @@ from .words import mix
 FIT_DOCS, LANGUAGES = 2000, 64
 WORDS, GRAMS, LONGEST = 30_000, 20_000, 5
 _POINT = 0x9E3779B97F4A7C15
-_LIMIT = 1 << 21
+_LIMIT = 1 << 20
 _letters: list[np.ndarray] = []
 _powers: list[np.ndarray] = []
 
