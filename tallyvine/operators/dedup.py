@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,80 @@ def likely_copies(df: DataFrame, key: str, text: str, blocks: list[str], ratio:
     return shared.where(2.0 * F.col("shared") / F.col("both") >= ratio).select("a", "b", (2.0 * F.col("shared") / F.col("both")).alias("ratio"))
 
 
+#: Counts of characters by code point modulo GROUPS bound a pair's likeness; a band is compared in PARTS tasks or more.
+GROUPS, PARTS = 16, 8
+
+
+def whole_likely_copies(df: DataFrame, key: str, text: str, block: str, ratio: float) -> DataFrame:
+    """All pairs of one block (null is a block too) whose character likeness is at least `ratio` (below 1).
+
+    Texts with the same counts of all characters are one node, so exact copies are compared once. Nodes meet by block
+    and length band; differences of the counts of GROUPS groups of characters sum to no more than those of single
+    characters, so only pairs that cannot be alike fall before the exact counts are compared. Rows without a key or
+    with a null or empty text have no pairs. The output is quadratic in rows that are alike.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log((2 - ratio) / ratio) * (1 + 1e-9)))
+    groups = [f"g{i}" for i in range(GROUPS)]
+    named = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("null"))
+    rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), named.alias("block"), F.col(text).alias("t"))
+    rows = rows.mapInArrow(_histograms, f"k {dict(df.dtypes)[key]}, block string, n long, digest string, codes array<int>, counts array<int>, {', '.join(f'{g} int' for g in groups)}")
+    rows = rows.withColumn("h", F.sha2(F.concat_ws("", "digest", "block").cast("binary"), 256)).drop("digest")
+    nodes = rows.drop("k").dropDuplicates(["h"]).withColumn("band", band)
+    one = nodes.select("h", "n", *groups, "block", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int").alias("part"))
+    two = nodes.select(F.col("h").alias("h2"), F.col("n").alias("n2"), *[F.col(g).alias(f"{g}b") for g in groups], "block", "band", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    apart = sum((F.abs(F.col(g) - F.col(f"{g}b")) for g in groups[1:]), F.abs(F.col("g0") - F.col("g0b")))
+    both = F.col("n") + F.col("n2")
+    near = one.join(two.hint("merge"), ["block", "band", "part"]).where("n < n2 or (n = n2 and h < h2)").where((both - apart).cast("double") / both >= ratio).select("h", "h2")
+    near = near.join(nodes.select("h", "codes", "counts"), "h").join(nodes.select(F.col("h").alias("h2"), F.col("codes").alias("codes2"), F.col("counts").alias("counts2")), "h2")
+    near = near.select("h", "h2", "codes", "counts", "codes2", "counts2").mapInArrow(_likeness, "h string, h2 string, ratio double").where(F.col("ratio") >= ratio)
+    left, right = rows.select("h", F.col("k").alias("a"), "n"), rows.select(F.col("h").alias("h2"), F.col("k").alias("b"), F.col("n").alias("n2"))
+    swapped = (F.col("n") == F.col("n2")) & (F.col("a") > F.col("b"))
+    unlike = near.join(left, "h").join(right, "h2").where("a <> b").select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), "ratio")
+    return left.join(right, F.col("h") == F.col("h2")).where("a < b").select("a", "b", F.lit(1.0).alias("ratio")).union(unlike)
+
+
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (k, block, t) as k, block, length, digest of the counts, code points, their counts, counts by group."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1000):
+            b = batch.slice(first, 1000)
+            sizes, digests, codes, counts, grouped = [], [], [], [], []
+            for t in b.column(2).to_pylist():
+                points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if points.max() < 4096:
+                    m = np.bincount(points)
+                    c = np.flatnonzero(m)
+                    m = m[c]
+                else:
+                    c, m = np.unique(points, return_counts=True)
+                c, m = c.astype(np.int32), m.astype(np.int32)
+                sizes.append(len(points))
+                digests.append(hashlib.sha256(np.concatenate([c, m]).tobytes()).hexdigest())
+                codes.append(c)
+                counts.append(m)
+                grouped.append(np.bincount(c % GROUPS, m, GROUPS).astype(np.int32))
+            kinds = pa.list_(pa.int32())
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(codes, kinds), pa.array(counts, kinds), *map(pa.array, np.array(grouped).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "block", "n", "digest", "codes", "counts", *[f"g{i}" for i in range(GROUPS)]])
+
+
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, h2 and twice the shared characters over all, of rows of (h, h2, codes, counts, codes2, counts2)."""
+
+    def flat(codes: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(codes), dtype=np.int64), codes.value_lengths().to_numpy())
+        return row, (row << 21) | codes.flatten().to_numpy(), counts.flatten().to_numpy()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        (row, at, m), (row2, at2, m2) = flat(b.column(2), b.column(3)), flat(b.column(4), b.column(5))
+        _, i, j = np.intersect1d(at, at2, assume_unique=True, return_indices=True)
+        shared = np.bincount(row[i], np.minimum(m[i], m2[j]), b.num_rows)
+        total = np.bincount(row, m, b.num_rows) + np.bincount(row2, m2, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(2.0 * shared / total)], names=["h", "h2", "ratio"])
+
+
 def greedy_clusters(df: DataFrame, group: str, order: str, text: str, least: float = 0.55) -> DataFrame:
     """group, order, representative (the order value of its cluster's first row), and whether it is one.
 

@@ -192,6 +192,12 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(dedup.likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"], 0.98), "ratio")
 
 
+@query()
+def near_dup_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_dup_pairs across sources, rows of null lang or source included: its SQL compares within a source alone."""
+    return _round(dedup.whole_likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 0.98), "ratio")
+
+
 @query()
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_clusters(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")

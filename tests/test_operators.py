@@ -74,6 +74,27 @@ def test_likely_copies_against_all_pairs(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_near_dup_pairs_all_against_brute_force(spark, tmp_path):
+    from tallyvine.plans import catalogue
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh é漢😀 "), int(n))) for n in rng.integers(1, 400, 50)]
+    texts += [t + "a" for t in texts[:30]] + [t[::-1] for t in texts[:10]] + texts[:20] + ["x" * 49, "x" * 51, "y" * 98, "y" * 102, "y" * 103]
+    rows = [(i, t, [None, "en", "fr"][i % 3 if i % 2 else 1], [None, "s1", "s2"][i % 3]) for i, t in enumerate([*texts, "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["near_dup_pairs_all"](spark, str(tmp_path)).collect()
+    got = {(r.a, r.b): r.ratio for r in found}
+    want = {}
+    for (i, x, lang, _), (j, y, lang2, _) in itertools.combinations(rows, 2):
+        if lang == lang2 and x and y:
+            shared = sum(min(x.count(c), y.count(c)) for c in set(x))
+            if 2.0 * shared / (len(x) + len(y)) >= 0.98:
+                want[(i, j) if len(x) <= len(y) else (j, i)] = round(2.0 * shared / (len(x) + len(y)), 6)
+    assert len(found) == len(got) and got == want
+    sources = {r[0]: r[3] for r in rows}
+    assert any(sources[a] != sources[b] for a, b in want) and any(rows[a][2] is None for a, _ in want)
+
+
 def test_greedy_clusters(spark):
     rows = [("g", 0, "aaaa"), ("g", 1, "aaab"), ("g", 2, "zzzz"), ("g", 3, None), ("h", 0, "aaaa"), (None, 0, "q")]
     got = {(r.g, r.o): (r.representative, r.is_first) for r in dedup.greedy_clusters(spark.createDataFrame(rows, "g string, o int, t string"), "g", "o", "t").collect()}
