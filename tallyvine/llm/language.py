@@ -6,7 +6,8 @@ which the model knows any add the mean of their log frequencies. The languages'
 root of the number of words, give the prediction and its score.
 
 The model is fitted on at most FIT_DOCS labelled rows per language, those of the smallest hash of doc_id, and keeps
-the WORDS most frequent words and GRAMS n-grams of each length per language. Defined results: null texts and texts
+the WORDS most frequent words and GRAMS n-grams of each length per language. Every value of lang is a language; tables
+hold only the frequencies that a language has, so the model grows in proportion to the languages. Defined results: null texts and texts
 without a letter give `und` and score 0; a model without languages gives `und`; ties go to the first language by name.
 """
 
@@ -20,25 +21,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_by_hash, table, text_views, written
+from .common import MAX_BROADCAST_ROWS, table, text_views, written
 from .toxicity import fold
 from .words import mix
 
-FIT_DOCS, LANGUAGES = 2000, 64
+FIT_DOCS = 2000
 WORDS, GRAMS, LONGEST = 30_000, 20_000, 5
 _POINT = 0x9E3779B97F4A7C15
 _LIMIT = 1 << 20
+#: Numbers of a dense block of words or n-grams by languages, and languages that the driver fetches at once.
+_CELLS, _FETCHED = 1 << 22, 16
 _letters: list[np.ndarray] = []
 _powers: list[np.ndarray] = []
 
 
+@dataclass
+class Sparse:
+    """Rows of log frequencies by language, indexed as a dense array is: row i has values[first[i] : first[i + 1]] of the languages at the same places, and rest of all others."""
+
+    first: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+    rest: np.ndarray
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        n = self.first[at + 1] - self.first[at]
+        place = np.arange(int(n.sum())) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        out = np.repeat(self.rest[None, :], len(at), axis=0)
+        out[np.repeat(np.arange(len(at)), n), self.languages[place]] = self.values[place]
+        return out
+
+
 @dataclass
 class Model:
     """Languages, and for words and for n-grams of each length: sorted hashes and their log frequencies by language."""
 
     languages: list[str]
-    words: tuple[np.ndarray, np.ndarray]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    words: tuple[np.ndarray, np.ndarray | Sparse]
+    grams: dict[int, tuple[np.ndarray, np.ndarray | Sparse]]
 
 
 def _is_letter() -> np.ndarray:
@@ -91,9 +111,13 @@ def word_scores(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.n
         known, at = _known(model.grams[k], _hashes(points, begin, begin + k))
         count = np.bincount(owner[known], minlength=len(left))
         found = count > 0
-        for j in range(len(model.languages)):
-            total = np.bincount(owner[known], model.grams[k][1][at[known], j], minlength=len(left))
-            mine[left[found], j] = total[found] / count[found]
+        owner, at, step = owner[known], at[known], max(1, _CELLS // max(1, len(model.languages)))
+        total = np.zeros((len(model.languages), len(left)))
+        for a in range(0, len(at), step):
+            block = model.grams[k][1][at[a : a + step]]
+            for j in range(len(model.languages)):
+                total[j] += np.bincount(owner[a : a + step], block[:, j], minlength=len(left))
+        mine[left[found]] = (total[:, found] / count[found]).T
         left = left[~found]
     out[:] = mine[of]
     return out
@@ -145,9 +169,11 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
         ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
         owner = np.asarray(rows)[np.searchsorted(first, starts, "right") - 1]
         if len(starts) and model.languages:
-            found = word_scores(model, points, starts, ends)
-            for j in range(len(model.languages)):
-                total[:, j] += np.bincount(owner, found[:, j], minlength=len(texts))
+            step = max(1, _CELLS // len(model.languages))
+            for a in range(0, len(starts), step):
+                found = word_scores(model, points, starts[a : a + step], ends[a : a + step])
+                for j in range(len(model.languages)):
+                    total[:, j] += np.bincount(owner[a : a + step], found[:, j], minlength=len(texts))
         count += np.bincount(owner, minlength=len(texts))
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
@@ -160,10 +186,14 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, usable: Column) -> Model:
     """A model from rows of docs (doc_id, text, lang) that are usable (a condition on doc_id) and have a language."""
     mine = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
-    chosen = few_by_hash(mine.select("lang", "doc_id"), "doc_id", "lang", dict.fromkeys(languages, FIT_DOCS)).select("doc_id").distinct()  # at most FIT_DOCS * LANGUAGES ids
-    texts = mine.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = {r[0]: r[1] for r in mine.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    shares = docs.sparkSession.createDataFrame([(g, (FIT_DOCS + 6 * FIT_DOCS**0.5 + 10) / n) for g, n in sizes.items()], "lang string, _share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # as few_by_hash does, for any number of groups
+    chosen = mine.select("lang", "doc_id").join(F.broadcast(shares), "lang").where(place <= F.col("_share")).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")))
+    chosen = chosen.where(F.col("_rank") <= FIT_DOCS).select("doc_id").distinct()  # at most FIT_DOCS ids per language
+    texts = mine.select("doc_id", "lang", "text").join(F.broadcast(chosen) if FIT_DOCS * len(languages) <= MAX_BROADCAST_ROWS else chosen.hint("merge"), "doc_id")
     words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     words = words.repartition("lang", "gram")
     padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
@@ -178,17 +208,19 @@ def fit(docs: DataFrame, usable: Column) -> Model:
     top = counts.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("k") == 0, WORDS).otherwise(GRAMS)).drop("_r")
     top = written(top, "grams")
     made = {}
-    for k in range(LONGEST + 1):  # one length at a time on the driver
-        part = top.where(F.col("k") == k).toPandas()
-        if not len(part):
-            made[k] = (np.zeros(0, np.uint64), np.zeros((0, len(languages))))
-            continue
-        wide = part.pivot(index="gram", columns="lang", values="n").reindex(columns=languages).fillna(0)
-        values = wide.to_numpy(float) + 0.5
-        values = np.log(values / values.sum(axis=0))
-        hashes = _hash_of(list(wide.index))
-        order = np.argsort(hashes)
-        made[k] = (hashes[order], values[order])
+    for k in range(LONGEST + 1):  # one length and a few languages at a time on the driver
+        hashes, langs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for a in range(0, len(languages), _FETCHED):
+            part = top.where((F.col("k") == k) & F.col("lang").isin(languages[a : a + _FETCHED])).select("lang", "gram", "n").toPandas()
+            hashes.append(_hash_of(list(part["gram"])))
+            langs.append(np.searchsorted(np.array(languages, object), part["lang"].to_numpy(object)).astype(np.int32))
+            counts.append(part["n"].to_numpy(float))
+        hashes, langs, counts = map(np.concatenate, (hashes, langs, counts))
+        order = np.argsort(hashes, kind="stable")
+        own, first = np.unique(hashes[order], return_index=True)
+        sums = np.bincount(langs, counts, len(languages)) + 0.5 * len(own)
+        values = np.log((counts + 0.5) / sums[langs])[order]
+        made[k] = (own, Sparse(np.append(first, len(hashes)), langs[order], values, np.log(0.5 / np.maximum(sums, 0.5))))
     return Model(languages, made[0], {k: made[k] for k in range(1, LONGEST + 1)})
 
 

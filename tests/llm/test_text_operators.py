@@ -147,6 +147,23 @@ def test_language(spark):
     assert language.predict(model, [long])[0] == ["en"]
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(7)
+    stems = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=12)), lang) for i, lang in enumerate([*stems] * 2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == sorted(stems)
+    assert language.predict(model, [" ".join(words_) for words_ in stems.values()])[0] == list(stems)
+    for table_ in (model.words, *model.grams.values()):  # values of a dense table
+        dense = table_[1][np.arange(len(table_[0]))]
+        assert dense.shape == (len(table_[0]), 70) and np.exp(dense).sum(axis=0) == pytest.approx(np.ones(70))
+    small, language._CELLS = language._CELLS, 700  # blocks of ten words
+    try:
+        assert language.predict(model, [" ".join(words_ + ["x" + words_[0]] * 9) for words_ in stems.values()])[0] == list(stems)
+    finally:
+        language._CELLS = small
+
+
 def test_language_scores_are_backoff_means():
     model = language.Model(["a", "b"], (language._hash_of(["cat"]), np.array([[-1.0, -5.0]])), {k: (np.sort(language._hash_of(g)), np.array(v)[np.argsort(language._hash_of(g))]) if g else (np.zeros(0, np.uint64), np.zeros((0, 2))) for k, (g, v) in {1: (["d"], [[-3.0, -4.0]]), 2: ([], []), 3: ([" do", "og "], [[-2.0, -1.0], [-4.0, -2.0]]), 4: ([], []), 5: ([], [])}.items()})
     (points, _), _ = next(language._pieces(["cat dog d zz"]))
