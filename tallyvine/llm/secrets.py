@@ -3,9 +3,17 @@
 Base patterns (kinds assign, access, hex) are matched leftmost without overlaps, and matches of the wrong length fall.
 Beyond them a value that follows a credential word and a separator is a secret (kind guess) if an attacker who knows
 words, dates, repeats and keyboard walks needs GUESS_BITS bits of guesses or more: dynamic programming finds the
-cheapest segmentation of the whole value. Word ranks come from a public tokenizer's vocabulary file (VOCABULARY, a
-parameter); without the file a short list of common passwords serves. Null and empty texts have no spans; spans are in
-code points, end exclusive; guess spans that overlap base spans fall.
+cheapest segmentation of the whole value. Every value in a credential's context is costed, also those inside base
+spans. Word ranks come from a public tokenizer's vocabulary file (VOCABULARY, a parameter); a missing file is an error.
+
+The attacker's grammar, each segment at one bit for its place but brute force: a character (log2 10 bits); a word of
+the list (its rank; a bit for a capital or all capitals, a bit a letter for other mixtures); a year, or a date of 4 to
+10 characters; three or more equal characters; three or more steps on the keyboard; a block of 2 to PERIOD characters
+twice or more in a row (the cheapest segmentation of the block and the number of times). Repeats, walks, counts of
+blocks and words may have any length.
+
+Defined results: null and empty texts have no spans; spans are in code points, end exclusive; guess spans that overlap
+base spans fall; repeated rows are rows like any other; further columns are never read.
 """
 
 from __future__ import annotations
@@ -13,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 import re
 from collections.abc import Iterator
 
@@ -37,54 +44,103 @@ NEAR = ("pass", "pwd", "login", "credential", "contrase", "clave", "secret", "to
 GUESS_BITS = 33.2
 COMMON = "password 123456 12345678 qwerty letmein admin welcome login abc123 monkey dragon master football iloveyou sunshine princess secret root test guest changeme default example sample required optional null none true false user username your value string".split()
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
-_DATES = tuple(map(re.compile, (r"(?:19|20)\d\d", r"\d{1,2}([./-]?)\d{1,2}\1(?:19|20)?\d\d", r"(?:19|20)\d\d([./-]?)\d{1,2}\1\d{1,2}")))
+PERIOD = 32
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DATE = re.compile(r"\d{1,2}([./-]?)\d{1,2}\1(?:19|20)?\d\d|(?:19|20)\d\d([./-]?)\d{1,2}\2\d{1,2}")
 _BRUTE = math.log2(10)
-_words: dict[str, float] = {}
+_YEAR_BITS, _DATE_BITS, _WALK_BITS = math.log2(120) + 1, math.log2(366 * 120) + 1, math.log2(40) + 1
 _steps: set[tuple[str, str]] = {(a, b) for row in KEYBOARD for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {(a, b) for up, down in zip(KEYBOARD[:2], KEYBOARD[1:3]) for i, b in enumerate(down) for a in (up[i], up[min(i + 1, len(up) - 1)])} | {(b, a) for up, down in zip(KEYBOARD[:2], KEYBOARD[1:3]) for i, b in enumerate(down) for a in (up[i], up[min(i + 1, len(up) - 1)])}
 
 
 def word_bits(path: str = VOCABULARY) -> dict[str, float]:
     """Bits of the rank of each word of three letters or more: common passwords, then the vocabulary in its order."""
-    words = list(COMMON)
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        words += [w for w in (x.removesuffix("</w>").lower() for x in sorted(vocabulary, key=vocabulary.get)) if len(w) > 2 and w.isalpha()]
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = COMMON + [w for w in (x.removesuffix("</w>").lower() for x in sorted(vocabulary, key=vocabulary.get)) if len(w) > 2 and w.isalpha()]
     return {w: math.log2(k + 2) for k, w in enumerate(dict.fromkeys(words))}
 
 
-def guess_bits(value: str, words: dict[str, float], longest: int = 24) -> float:
-    """Bits of guesses of the cheapest segmentation of the whole value. Each segment costs one bit for its place."""
+class _Starts:
+    """Starts a of a run, of which best() finds min(bits[a] + log2((i - a) / unit) + slope * (i - a)).
+
+    Between two starts the older one's disadvantage only shrinks as i grows, down to what bits and slope leave. So a
+    newer start that is no cheaper now never will be, and an older one that is dearer without the logarithm always is:
+    both are dropped, and few starts remain in any run.
+    """
+
+    def __init__(self, unit: int = 1, slope: float = 0.0) -> None:
+        self.unit, self.slope, self.held = unit, slope, []
+
+    def best(self, i: int, bits: list[float], new: int) -> float:
+        held, slope = self.held, self.slope
+        while held and bits[held[-1]] - slope * held[-1] >= bits[new] - slope * new:
+            held.pop()
+        least, kept = math.inf, []
+        for a in (*held, new):
+            cost = bits[a] + math.log2((i - a) // self.unit) + slope * (i - a)
+            if cost < least:
+                least = cost
+                kept.append(a)
+        self.held = kept
+        return least
+
+
+def guess_bits(value: str, words: dict[str, float], longest: int | None = None) -> float:
+    """Bits of guesses of the cheapest segmentation of the whole value. longest: the length of the longest word."""
     n, low = len(value), value.lower()
-    repeat, walk, block = [1] * (n + 1), [1] * (n + 1), [[0] * (n + 1) for _ in range(4)]
-    for i in range(1, n):
-        repeat[i] = repeat[i - 1] + 1 if low[i] == low[i - 1] else 1
-        walk[i] = walk[i - 1] + 1 if (low[i - 1], low[i]) in _steps else 1
-        for p in (2, 3):
-            block[p][i] = block[p][i - 1] + 1 if i >= p and low[i] == low[i - p] else 0
-    dates: dict[int, list[int]] = {}
-    for a in range(n):
-        for form in _DATES if low[a].isdigit() else ():
-            if m := form.match(low, a):
-                dates.setdefault(m.end(), []).append(a)
+    if len(low) != n:  # a few letters change their length
+        low = value
+    longest = max(map(len, words), default=0) if longest is None else longest
     best = [0.0] + [math.inf] * n
+    same, walk = 0, 0  # equal pairs and steps that end here
+    repeats, walks = _Starts(), _Starts(slope=0.5)
+    periods = range(2, min(PERIOD, n // 2) + 1)
+    equal = [0] * (len(periods) + 2)
+    blocks: dict[tuple[int, int], _Starts] = {}
+    inner: dict[str, float] = {}
     for i in range(1, n + 1):
+        c = value[i - 1]
         cost = best[i - 1] + _BRUTE
-        for a in range(max(0, i - longest), i - 2):
+        for a in range(max(0, i - longest), i):
             bits = words.get(low[a:i])
             if bits is not None:
                 part = value[a:i]
                 cased = 0.0 if part.islower() else 1.0 if part.istitle() or part.isupper() else float(i - a)
                 cost = min(cost, best[a] + bits + cased + 1)
-        for a in dates.get(i, ()):
-            cost = min(cost, best[a] + math.log2(366 * 120) + 1 if i - a > 4 else best[a] + math.log2(120) + 1)
-        if (k := repeat[i - 1]) >= 3:
-            cost = min(cost, best[i - k] + _BRUTE + math.log2(k) + 1)
-        if (k := walk[i - 1]) >= 3:
-            cost = min(cost, best[i - k] + math.log2(40) + math.log2(k) + k / 2 + 1)
-        for p in (2, 3):
-            if (k := block[p][i - 1]) >= p:
-                cost = min(cost, best[i - k - p] + p * _BRUTE + math.log2(k / p + 1) + 1)
+        if c.isdigit():
+            for a in range(max(0, i - 10), i - 3):
+                if low[a].isdigit():
+                    if i - a == 4 and _YEAR.fullmatch(low, a, i):
+                        cost = min(cost, best[a] + _YEAR_BITS)
+                    if _DATE.fullmatch(low, a, i):
+                        cost = min(cost, best[a] + _DATE_BITS)
+        if i > 1:
+            if c == value[i - 2]:
+                same += 1
+            else:
+                same, repeats.held = 0, []
+            if same >= 2:
+                cost = min(cost, repeats.best(i, best, i - 3) + _BRUTE + 1)
+            if (low[i - 2], low[i - 1]) in _steps:
+                walk += 1
+            else:
+                walk, walks.held = 0, []
+            if walk >= 2:
+                cost = min(cost, walks.best(i, best, i - 3) + _WALK_BITS)
+        for p in periods:
+            if i <= p or c != value[i - 1 - p]:
+                if equal[p]:
+                    for r in range(p):
+                        blocks.pop((p, r), None)
+                equal[p] = 0
+                continue
+            equal[p] += 1
+            if equal[p] >= p:
+                block = value[i - p : i]
+                if block not in inner:
+                    inner[block] = guess_bits(block, words, longest)
+                starts = blocks.setdefault((p, i % p), _Starts(p))
+                cost = min(cost, starts.best(i, best, i - 2 * p) + inner[block] + 1)
         best[i] = cost
     return best[n]
 
@@ -101,21 +157,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], words: dict[str, float]) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, bits) of values in context that are hard to guess and overlap no base span."""
+def context_values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values in a credential's context: after a credential word, and those of the assign pattern."""
     low = text.lower()
     if not any(k in low for k in NEAR):
         return []
-    out, at = [], 0
+    out = set()
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        value = m[1].rstrip(".,;:!?)]}")
-        b = a + len(value)
+        a = m.start(1)
+        b = a + len(m[1].rstrip(".,;:!?)]}"))
+        if b - a >= ASSIGN_LEAST:
+            out.add((a, b))
+    out |= {m.span(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST}
+    return sorted(out)
+
+
+def costed(text: str, base: list[tuple[int, int, int]], words: dict[str, float], longest: int | None = None) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, float]]]:
+    """(start, end, bits) of all values in context, and spans (start, kind, end, bits) of those among them that are hard
+    to guess and overlap no base span nor each other."""
+    values = [(a, b, guess_bits(text[a:b], words, longest)) for a, b in context_values(text)]
+    out, at, last = [], 0, 0
+    for a, b, bits in values:
         while at < len(base) and base[at][2] <= a:
             at += 1
-        if len(value) >= 6 and not any(x < b and y > a for x, _, y in base[max(0, at - 3) : at + 4]) and (bits := guess_bits(value, words)) >= GUESS_BITS:
+        if bits >= GUESS_BITS and a >= last and not any(x < b and y > a for x, _, y in base[max(0, at - 3) : at + 4]):
             out.append((a, 3, b, bits))
-    return out
+            last = b
+    return values, out
 
 
 def named(spans: list[tuple]) -> str:
@@ -132,9 +200,18 @@ def redacted(text: str, spans: list[tuple], mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
+def _found(text: str, words: dict[str, float], longest: int) -> tuple[list, list, list]:
+    """Base spans, values in context, and all spans of a text."""
+    base = base_spans(text)
+    values, more = costed(text, base, words, longest)
+    return base, values, sorted([*base, *more])
+
+
 def secrets(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, counts by kind, base digest, all spans, and the text with all spans redacted."""
-    sent = docs.sparkSession.sparkContext.broadcast(word_bits() if words is None else words)
+    """doc_id, counts by kind, base digest, all spans, the bits of every value in a credential's context (start:end:bits,
+    comma-joined), and the text with all spans redacted."""
+    words = word_bits() if words is None else words
+    sent, longest = docs.sparkSession.sparkContext.broadcast(words), max(map(len, words), default=0)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,19 +219,19 @@ def secrets(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame
                 part = b.slice(first, 1000)
                 made = []
                 for text in part.column(1).to_pylist():
-                    base = base_spans(text or "")
-                    more = guess_spans(text or "", base, sent.value)
-                    spans = sorted([*base, *more])
-                    made.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(named(base).encode()).hexdigest(), named(spans), len(more), max((s[3] for s in more), default=None), redacted(text, spans) if text else text))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*made), types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "most_bits", "redacted"])
+                    base, values, spans = _found(text or "", sent.value, longest)
+                    costs = ",".join(f"{x}:{y}:{bits:.2f}" for x, y, bits in values)
+                    made.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(named(base).encode()).hexdigest(), named(spans), len(spans) - len(base), max((v[2] for v in values), default=None), costs, redacted(text, spans) if text else text))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*made), types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "most_bits", "value_bits", "redacted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, most_bits double, redacted string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, most_bits double, value_bits string, redacted string")
 
 
 def without_secrets(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame:
-    """docs with all spans of text redacted and n_chars, if there is one, counted anew."""
-    sent = docs.sparkSession.sparkContext.broadcast(word_bits() if words is None else words)
+    """docs with all spans of text redacted and n_chars, if there is one, counted anew where the text changed."""
+    words = word_bits() if words is None else words
+    sent, longest = docs.sparkSession.sparkContext.broadcast(words), max(map(len, words), default=0)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +240,7 @@ def without_secrets(docs: DataFrame, words: dict[str, float] | None = None) -> D
                 part = b.slice(first, 1000)
                 texts = []
                 for text in part.column(at).to_pylist():
-                    base = base_spans(text or "")
-                    spans = sorted([*base, *guess_spans(text or "", base, sent.value)])
+                    spans = _found(text or "", sent.value, longest)[2]
                     texts.append(redacted(text, spans) if spans else text)
                 columns = list(part.columns)
                 if size >= 0:
@@ -177,4 +253,6 @@ def without_secrets(docs: DataFrame, words: dict[str, float] | None = None) -> D
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secrets() of all documents without the redacted text. Null and empty texts have counts of 0 and empty spans;
+    repeated rows give a row each; an empty table gives none."""
     return secrets(table(spark, sf_dir, "documents")).drop("redacted")
