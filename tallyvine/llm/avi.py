@@ -5,7 +5,11 @@ coefficient of size category 8 whose eight magnitude bits are v, so every coeffi
 eight bits. Each block is a restart interval, which resets the DC prediction and bounds damage to one block. The last
 frame is filled with zero blocks; the payload's length stands in the INFO list. Pixels come from the inverse DCT; a
 shot starts where the histogram difference to the frame before exceeds the recent mean by several deviations.
-An empty payload gives an AVI without frames and no clips; bytes that are not an AVI give ValueError.
+
+Files of other writers are read too: frames of any baseline coder (jpeg.py), with or without an index. A frame that
+cannot be decoded counts as like the one before it; a file without any decodable frame, or that is no AVI, gives one
+quarantine row with the reason instead of clips. An empty payload gives an AVI without frames and no clips; null media
+give no rows; repeated rows are rows like any other; a column of the name asked for is replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .jpeg import DCT, ZIGZAG, luma
 
 BLOCKS = 32  # a full frame's: 64 x 32 pixels
 FPS = 25
 _CHUNK = 256  # frames coded at once
-_ZIGZAG = np.array([y * 8 + x for s in range(15) for y, x in sorted(((y, s - y) for y in range(8) if 0 <= s - y < 8), reverse=s % 2 == 0)])
-_k, _x = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
-_DCT = (np.cos((2 * _x + 1) * _k * np.pi / 16) * np.where(_k == 0, np.sqrt(1 / 8), 0.5)).astype(np.float32)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -97,26 +99,44 @@ def parse_avi(data: bytes) -> tuple[int | None, float, list[bytes]]:
     """Payload length (None if the file doesn't say), frames a second and the JPEG frames that the index lists."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    length, fps, movi, index = None, float(FPS), 0, b""
+    length, fps, movis, index = None, float(FPS), [], b""
     for name, at, n in _chunks(data, 12, len(data)):
         kind = data[at : at + 4]
         if name == b"LIST" and kind == b"movi":
-            movi = at
+            movis.append((at, n))
         elif name == b"idx1":
-            index = data[at : at + n]
+            index = data[at : at + n // 16 * 16]
         elif name == b"LIST" and kind == b"INFO":
             for sub, to, m in _chunks(data, at + 4, at + n):
-                if sub == b"ICMT" and data[to : to + 8] == b"payload=":
+                if sub == b"ICMT" and data[to : to + 8] == b"payload=" and data[to + 8 : to + m].rstrip(b"\0").isdigit():
                     length = int(data[to + 8 : to + m].rstrip(b"\0"))
-        elif name == b"LIST" and kind == b"hdrl":
+        elif name == b"LIST" and kind == b"hdrl" and n >= 16:
             fps = 1e6 / max(1, struct.unpack_from("<I", data, at + 12)[0])
+    if not movis:
+        raise ValueError("an AVI file without frames")
     frames = []
     for name, _, at, n in struct.iter_unpack("<4sIII", index):
         if name[2:] == b"dc":
-            frames.append(data[movi + at + 8 : movi + at + 8 + n])
+            begin = movis[0][0] + at
+            if data[begin : begin + 4] != name:  # some writers count from the file's start
+                begin = at
+            if data[begin : begin + 4] != name:
+                raise ValueError("an index entry without its frame")
+            frames.append(data[begin + 8 : begin + 8 + n])
+    if not index:
+        frames = [data[to : to + m] for at, n in movis for name, to, m in _movi(data, at + 4, at + n) if name[2:] == b"dc"]
     return length, fps, frames
 
 
+def _movi(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Chunks of a movi list, also those inside rec lists."""
+    for name, to, n in _chunks(data, at, end):
+        if name == b"LIST":
+            yield from _movi(data, to + 4, to + n)
+        else:
+            yield name, to, n
+
+
 def _scan_of(frame: bytes) -> tuple[int, int, bytes]:
     """Width, height and entropy-coded data of a frame, whose markers are checked."""
     if frame[:2] != b"\xff\xd8" or frame[-2:] != b"\xff\xd9":
@@ -173,9 +193,9 @@ def histograms(units: np.ndarray, bins: int = 16) -> np.ndarray:
         coefficient = np.empty((some.shape[0] * some.shape[1], 64), np.float32)
         signed = some.reshape(-1, 64).astype(np.float32)
         signed[signed < 128] -= 255
-        coefficient[:, _ZIGZAG] = signed
-        half = (coefficient.reshape(-1, 8) @ _DCT).reshape(-1, 8, 8).transpose(0, 2, 1)
-        pixel = np.clip(half.reshape(-1, 8) @ _DCT + 128, 0, 255).reshape(len(some), -1)
+        coefficient[:, ZIGZAG] = signed
+        half = (coefficient.reshape(-1, 8) @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1)
+        pixel = np.clip(half.reshape(-1, 8) @ DCT + 128, 0, 255).reshape(len(some), -1)
         level = (pixel * np.float32(bins / 256)).astype(np.int64) + np.arange(len(some))[:, None] * bins
         out[a : a + len(some)] = np.bincount(level.ravel(), minlength=len(some) * bins).reshape(-1, bins) / pixel.shape[1]
     return out
@@ -196,22 +216,64 @@ def shots(histogram: np.ndarray, window: int = 12, factor: float = 2.5, least: f
     return list(zip(cuts, [*cuts[1:], len(histogram)]))
 
 
+def _own(frame: bytes) -> bool:
+    """Whether a frame was written here, so that its blocks can be read all at once."""
+    at = frame.find(b"\xff\xc0")
+    return at > 0 and frame.startswith(_head(*struct.unpack_from(">HH", frame[at : at + 9].ljust(9, b"\0"), 5)[::-1]))
+
+
+def frame_histograms(frames: list[bytes], bins: int = 16) -> tuple[np.ndarray, int]:
+    """Shares of luminance bins of each frame, and how many frames could not be decoded (they repeat their forerunner)."""
+    if frames and all(map(_own, frames)) and len({_scan_of(x)[:2] for x in frames}) == 1:
+        try:
+            return histograms(decode_frames(frames), bins), 0
+        except ValueError:
+            pass  # a damaged frame: one by one below
+    out: list[np.ndarray | None] = []
+    for frame in frames:
+        try:
+            level = (luma(frame) * np.float32(bins / 256)).astype(np.int64).ravel()
+            out.append(np.bincount(level, minlength=bins) / len(level))
+        except ValueError as e:
+            why = e
+            out.append(None)
+    good = [x for x in out if x is not None]
+    if frames and not good:
+        raise ValueError(f"no frame can be decoded: {why}")
+    last, bad = good[0] if good else None, len(out) - len(good)
+    for k, x in enumerate(out):
+        last = out[k] = last if x is None else x
+    return np.array(out).reshape(-1, bins), bad
+
+
 def clips(data: bytes) -> list[dict]:
-    """Timed clips of an AVI file written by write_avi."""
-    _, fps, units = read_avi(data)
-    return [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps} for k, (a, b) in enumerate(shots(histograms(units)))]
+    """Timed clips of an AVI file."""
+    _, fps, frames = parse_avi(data)
+    return _clips(frame_histograms(frames)[0], fps)
+
+
+def _clips(histogram: np.ndarray, fps: float) -> list[dict]:
+    return [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps} for k, (a, b) in enumerate(shots(histogram))]
+
+
+_CLIP = pa.struct([("clip", pa.int32()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def clip_rows(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """A row per clip of every AVI in df (null media: no rows)."""
+    """A row per clip of every AVI in df (null media: no rows); a file that cannot be read has one row with an error."""
     kind = dict(df.dtypes)[id_col]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [{"id": i, **c} for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if m is not None for c in clips(m)]
-            yield pa.RecordBatch.from_pylist(found, pa.schema([("id", b.column(0).type), ("clip", pa.int32()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+            found = []
+            for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found += [{"id": i, **c, "error": None} for c in clips(m)] if m is not None else []
+                except (ValueError, struct.error) as e:
+                    found.append({"id": i, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("id", b.column(0).type), *((f.name, f.type) for f in _CLIP), ("error", pa.string())]))
 
-    return df.select(id_col, media_col).mapInArrow(rows, f"id {kind}, clip int, first_frame long, frames long, start_s double, end_s double").withColumnRenamed("id", id_col)
+    return df.select(id_col, media_col).mapInArrow(rows, f"id {kind}, clip int, first_frame long, frames long, start_s double, end_s double, error string").withColumnRenamed("id", id_col)
 
 
 def avi_column(df: DataFrame, payload_col: str, media_col: str = "media") -> DataFrame:
@@ -228,15 +290,17 @@ def _digest(raw: bytes) -> tuple:
     media = write_avi(padded(raw))
     payload, fps, units = read_avi(media)
     histogram = histograms(units)
-    found = ",".join(f"{a / fps:g}-{b / fps:g}" for a, b in shots(histogram))
+    found = _clips(histogram, fps)
+    named = ",".join(f"{c['start_s']:g}-{c['end_s']:g}" for c in found)
     mean = ",".join(f"{x:.4f}" for x in histogram.mean(axis=0))
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(units)};shots={found};luma={mean}", len(found.split(","))
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(units)};shots={named};luma={mean}", len(found), found
 
 
 def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each whole text through write_avi and read_avi. Null texts count as empty; equal texts give equal values."""
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_clips")
-    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+    """Each whole text through write_avi and read_avi, with its timed clips. Null texts count as empty; equal texts give
+    equal values; an empty table gives no rows."""
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_clips", "clips")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(_CLIP))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,4 +309,4 @@ def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made = list(zip(*(_digest(bytes(x.as_buffer() or b"") if x.is_valid else b"") for x in part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(made, types))], names=["doc_id", *names])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int, clips array<struct<clip: int, first_frame: long, frames: long, start_s: double, end_s: double>>")
