@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, mark, release, written  # noqa: F401
+
 #: Ids that a broadcast may hold (eight bytes each); above it the same join runs as a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -20,49 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallyvine-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-#: Rows of an Arrow batch in the jobs that written() and cut() run: texts of a batch stand in memory on both sides.
-BATCH_ROWS = 1000
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows while a job runs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    with small_batches(df.sparkSession):
-        return df.checkpoint(eager=True)
-
-
 def with_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is (keep) or is not (not keep) in ids; ids are broadcast only if at most max_rows."""
     how = "left_semi" if keep else "left_anti"
@@ -70,20 +26,35 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows: int
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
-def few_by_hash(df: DataFrame, key: str, group: str, most: dict) -> DataFrame:
-    """At most most[g] rows of each group g in most, those of the smallest hashes of their key.
+#: Rows of one key from which a join sends its match by broadcast: a table of n rows has at most n / HEAVY such keys.
+HEAVY = 20_000
+
+
+def with_match(rows: DataFrame, key: str, matches: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with matches: key (unique), further columns, and `_n`, the rows that have the key.
+
+    Keys of more than HEAVY rows are met by broadcast, so that no task gets all rows of one; the others are shuffled,
+    unless all matches are few enough to be broadcast.
+    """
+    matches = cut(matches)
+    plain = matches.drop("_n")
+    if matches.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(plain), key, how)
+    heavy = F.broadcast(matches.where(F.col("_n") > HEAVY).drop("_n"))
+    light = matches.where(F.col("_n") <= HEAVY).drop("_n")
+    rest = rows.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key, how))
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, chosen: Column) -> DataFrame:
+    """At most n of the chosen rows of df, those of the smallest hashes of their key.
 
-    A share of hashes that holds somewhat more than that is kept before anything is ranked, so that what is shuffled
-    does not grow with df; the groups of `most` are few.
+    A share of hashes that holds somewhat more than that is kept before anything is ranked, so that what is sorted
+    does not grow with df; each task sorts and sends n rows at most.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().where(F.col(group).isin(list(most))).collect()}
+    df = df.where(chosen)
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept, cap = F.lit(False), F.lit(0)
-    for g, n in most.items():
-        kept = F.when(F.col(group) == g, place <= (n + 6 * n**0.5 + 10) / max(1, counts.get(g, 0))).otherwise(kept)
-        cap = F.when(F.col(group) == g, F.lit(n)).otherwise(cap)
-    order = Window.partitionBy(group).orderBy(place, key)
-    return df.where(kept).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
+    return df.where(place <= (n + 6 * n**0.5 + 10) / max(1, df.count())).orderBy(place, key).limit(n)
 
 
 def text_views(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

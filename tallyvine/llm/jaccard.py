@@ -16,14 +16,17 @@ costly segments are skipped. The wide one is skipped if fewer than three of its
 narrow ones are kept if fewer than four are: two sets whose wide segments differ by one element differ by at most one
 in that number, so either both have wide keys or neither has skipped too many.
 
-Candidates are verified exactly on the sets. A component needs no more than one path: a first round joins each key's
-members to its smallest member. After that only pairs of one key in different components can matter: their parity
-sketches bound the differences from below, and only pairs that can still be linked leave the task for a second round
-of verification. So no group is expanded into all its pairs and no link between different components is lost.
-
-Defined results: null, empty and blank texts have no shingles and no links; 1 to 4 words are one shingle; repeated
-rows of one doc_id are nodes of one document; rows without doc_id get a null component. Shingles are compared by
-64-bit hashes.
+The nodes of all this are distinct sets, so copies of one set, however many, are one node, and rows that share a
+doc_id but not their text are several. Candidates are verified exactly on the sets. A component needs no more than one
+path: a first round joins each key's members to its smallest member. After that only pairs of one key in different
+components can matter: their parity sketches bound the differences from below, and only pairs that can still be linked
+leave the task for a second round of verification. So no group is expanded into all its pairs and no link between
+different components is lost.
+
+Defined results: null, empty and blank texts have no shingles and no links; 1 to 4 words are one shingle. A document's
+links are those of all rows with its doc_id, whatever their texts. Rows without doc_id link others like any row; their
+component is the smallest doc_id reachable, null if there is none. Further columns are never read. Shingles and sets
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_views, with_ids, written
+from .common import MAX_BROADCAST_ROWS, cut, table, text_views, with_match, written
 from .words import mix, shingle_sets
 
 SIZE = 5
@@ -131,27 +134,32 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-_BASE = "kind int, doc_id long, n long, d1 long, d2 long, sketch binary"
+_BASE = "kind int, doc_id long, th long, node long, n long, sketch binary"
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """The name of a set that is not empty."""
+    with np.errstate(over="ignore"):
+        total = np.array([hashes.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(hashes + np.uint64(77))), np.uint64(len(hashes))], np.uint64)
+        return int(mix(mix(mix(total[:1]) ^ total[1:2]) + total[2:])[0].view(np.int64))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document's set size, digest and sketch; kind 1: a shingle and how many sets of a run hold it."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+    """kind 0: a row's set, its size and sketch; kind 1: a shingle (as node) and how many sets of a run hold it."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
     held, count = [], 0
 
     def frequent() -> pa.RecordBatch:
         shingles, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         some = counts >= 3
         k = int(some.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(shingles[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(shingles[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.binary())], schema=schema)
 
     for b in batches:
         for first, end, data, offsets in text_views(b.column(1)):
             sets = shingle_sets(data, offsets, SIZE)
-            with np.errstate(over="ignore"):
-                digests = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).view(np.int64))) if len(s) else (0, 0) for s in sets]
-            ids = b.column(0).slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.binary())], schema=schema)
+            part = b.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), part.column(0), part.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
             held += sets
             count += sum(map(len, sets))
             if count > TASK_KEYS:
@@ -170,12 +178,12 @@ def _unplaned(data: bytes) -> np.ndarray:
 
 
 def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
-    """Keys of each document, by bucket; a run's copies of one set send theirs once."""
+    """Keys of each set, by bucket; a run's copies of one set send theirs once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = (np.frombuffer(x, t) for x, t in zip(frequent.value, (np.uint64, np.int64)))
         held: list[tuple[int, np.ndarray]] = []
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         count = 0
 
         def send() -> pa.RecordBatch:
@@ -189,21 +197,22 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()), pa.array([_planes(docs[a:b]) for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "keys", "docs"])
 
         for b in batches:
-            for first, end, data, offsets in text_views(b.column(1)):
-                for doc, s in zip(b.column(0).slice(first, end - first).to_pylist(), shingle_sets(data, offsets, SIZE)):
-                    if doc is None or not len(s) or (mark := s.tobytes() if len(s) < 3 else s[:3].tobytes() + s.sum(dtype=np.uint64).tobytes()) in seen:
+            for _, _, data, offsets in text_views(b.column(0)):
+                for s in shingle_sets(data, offsets, SIZE):
+                    if not len(s) or (node := node_of(s)) in seen:
                         continue
-                    seen.add(mark)
+                    seen.add(node)
                     at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                     cost = np.where(common[at] == s, counts[at], 1) if len(common) else np.ones(len(s), np.int64)
                     keys = keys_of(s, cost, ends)
                     if not len(keys):
                         continue
-                    held.append((doc, keys))
+                    held.append((node, keys))
                     count += len(keys)
                     if count > TASK_KEYS:
                         yield send()
                         held, count = [], 0
+                    if len(seen) > TASK_KEYS:
                         seen.clear()
         if held:
             yield send()
@@ -212,7 +221,7 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, doc) of the keys of a bucket that several documents hold; keys with the same holders make one run."""
+    """(run, node) of the keys of a bucket that several sets hold; keys with the same holders make one run."""
     keys, docs = [], []
     for b in batches:
         keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
@@ -221,10 +230,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     key, doc = np.concatenate(keys), np.concatenate(docs)
     del keys, docs
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    starts = np.flatnonzero(fresh)
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])  # copies of a set come from many tasks
+    key, doc = key[once], doc[once]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     several = np.repeat(sizes > 1, sizes)
     key, doc = key[several], doc[several]
@@ -322,12 +332,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links. base: sizes and sketches; docs: doc_id and text."""
-    one, two = (base.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) of nodes that are links. nodes: their sizes, sketches and one row (doc, th) each; docs: doc, th
+    and text, where `repeated` tells whether a row occurs more than once."""
+    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
     near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(_near, "a long, b long"), "near")
-    texts = with_ids(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", keep=True)
-    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    rows = nodes.select("node", "doc", "th").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    few = rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    texts = docs.join(F.broadcast(rows) if few else rows.hint("merge"), ["doc", "th"]).select("node", "text")
+    if repeated:
+        texts = texts.dropDuplicates(["node"])
+    # a hot hub's rows are slim on this side, and a partition of them that grows large is split by adaptive execution
+    both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long"), "links").distinct()
 
 
@@ -349,61 +365,91 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+#: Stands for no doc_id where rows are ordered by it.
+_NO_ID = 2**63 - 1
+
+
+def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of docs (doc_id, text), the groups among their sets, and whether a row with words occurs more than once.
+
+    rows: doc_id, doc (doc_id, the largest number for null), th (hash of the text), n (size of the set), node (the set,
+    null if it is empty). groups: node, first row (first_doc, first_th) of its component, and rows that hold the node
+    (_n), for all nodes that have a copy or a link.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     described = written(docs.mapInArrow(_describe, _BASE), "base")
-    rows = described.where("kind = 0").drop("kind")
-    base = rows.where("n > 0 and doc_id is not null")
-    total = base.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "th", "text")
+    rows = described.where("kind = 0").select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "th", "n", "node")
+    total = rows.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
     if not total.n:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    common = described.where("kind = 1").groupBy(F.col("doc_id").alias("s")).agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_LEAST).orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
+        return rows, spark.createDataFrame([], "node long, first_doc long, first_th long, _n long"), False
+    own = described.where("kind = 0 and n > 0").withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
+    nodes = cut(own.groupBy("node").agg(F.min(F.struct("doc", "th")).alias("row"), F.max("n").alias("n"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).select("node", "row.doc", "row.th", "n", "sketch", "copies"))
+    repeated = not rows.where("n > 0").groupBy("doc", "th").count().where("count > 1").isEmpty()
+    common = described.where("kind = 1").groupBy(F.col("node").alias("s")).agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_LEAST).orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
     order = np.argsort(common["s"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((common["s"].to_numpy(np.int64)[order].tobytes(), common["c"].to_numpy(np.int64)[order].tobytes()))
     ends = bands(int(total.most) * DEN // NUM + DEN)
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total.n) // BUCKET_KEYS))
 
-    # copies of one set are linked to its first document; only that one goes on
-    first = base.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    copies = cut(base.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct())
-
-    sent = docs.mapInArrow(_emit(frequent, ends, buckets), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket")
-    members = written(sent.mapInArrow(_runs, "run long, doc long"), "runs")
-    members = members.join(copies, "doc", "left").select("run", F.coalesce("rep", "doc").alias("doc")).distinct()
-    members = cut(members)
-    hubs = members.groupBy("run").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
-    stars = cut(members.join(hubs, "run").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    sized = base.groupBy("doc_id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
-    links = verified(stars, sized, docs)
+    sent = docs.select("text").mapInArrow(_emit(frequent, ends, buckets), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket")
+    members = written(sent.mapInArrow(_runs, "run long, node long").distinct(), "runs")
+    hubs = members.groupBy("run").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    stars = cut(with_match(members, "run", hubs, "inner").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = verified(stars, nodes, docs, repeated)
     found = cut(components(links))
 
     # pairs of one run that are in different components so far
-    placed = members.join(found, members["doc"] == found["node"], "left").select("run", "doc", F.coalesce("component", "doc").alias("component"))
-    # runs that touch the same least component are compared as one group, in which a document stands once
+    placed = members.join(found, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
+    # runs that touch the same least component are compared as one group, in which a set stands once
     open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run", F.col("low").alias("anchor"))
-    held = cut(placed.join(open_runs, "run").select(F.col("anchor").alias("run"), "doc", "component").distinct())
+    held = cut(placed.join(open_runs, "run").select(F.col("anchor").alias("run"), "node", "component").distinct())
     blocks = held.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = held.join(blocks, "run").join(sized.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = held.join(blocks, "run").join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
-    placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "doc", "component", "n", "sketch")
+    placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "node", "component", "n", "sketch")
     apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(_across, "a long, b long")
     across = cut(apart.distinct().join(stars, ["a", "b"], "left_anti"))
-    more = verified(across, sized, docs)
+    more = verified(across, nodes, docs, repeated)
+
+    found = components(links.union(more))
+    grouped = cut(nodes.join(found, "node", "left").where("component is not null or copies > 1").select("node", F.coalesce("component", "node").alias("component"), "doc", "th", "copies"))
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("row"), F.count(F.lit(1)).alias("_n")).select("component", F.col("row.doc").alias("first_doc"), F.col("row.th").alias("first_th"), "_n")
+    groups = with_match(grouped, "component", first, "inner").select("node", "first_doc", "first_th", F.col("copies").alias("_n"))
+    return rows, groups, repeated
 
-    whole = links.union(more).union(copies.select("rep", "doc"))
-    found = components(whole)
-    return rows.join(found, rows["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    rows, groups, _ = set_components(docs)
+    rows = with_match(rows, "node", groups.drop("first_th")).select("doc_id", "doc", F.col("n").alias("n_shingles"), F.coalesce("first_doc", "doc").alias("component"))
+    # components that rows of one doc_id join
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    if not several.isEmpty():
+        rows = cut(rows)
+        joined = rows.join(several.select("doc_id", "low"), "doc_id").select(F.col("low").alias("a"), F.col("component").alias("b"))
+        # a row without shingles is a component of its own, named like its doc_id
+        found = components(joined).select(F.col("node").alias("component"), F.col("component").alias("least"))
+        sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        rows = with_match(rows, "component", found.join(sizes, "component")).withColumn("component", F.coalesce("least", "component"))
+    return rows.select("doc_id", "n_shingles", F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component. Of rows that share a doc_id one
-    stays; rows without doc_id stay."""
-    found = written(jaccard_components(docs).select("doc_id", "component_id"), "components")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
-    return with_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", keep=False)
+    """The rows of docs, with all their columns, that are the first of their component by doc_id (null last) and text
+    hash. Texts that differ too much to be linked stay even where they share a doc_id; of wholly equal pairs of doc_id
+    and text one row stays; rows without words stay."""
+    rows, groups, repeated = set_components(docs)
+    gone = with_match(rows.where("n > 0"), "node", groups, "inner").where("doc <> first_doc or th <> first_th").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
+    gone = cut(gone)
+    few = gone.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), here, "left_anti")
+    if repeated:
+        words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(words).dropDuplicates(["doc_id", "text"]).union(kept.where(~words))
+    return kept
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
