@@ -3,7 +3,8 @@
 A document's shingles are the runs of five words of `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased (fewer words: the
 whole sequence as one; none: none). Its fingerprint is the ascending array of the k smallest distinct 64-bit hashes of
 them; the fingerprint of a union of parts is the k smallest of their fingerprints. With fewer than k shingles it is
-the set itself and every estimate is exact. Null texts count as empty; two empty fingerprints are alike (1.0).
+the set itself and every estimate is exact. Null texts count as empty; two empty fingerprints are alike (1.0). Repeated
+rows are rows like any other; of the caller's columns only one of the name asked for is replaced.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, size: i
     Word hashes are a column of their own before the shingles, so that no lambda computes them again.
     """
     words = F.filter(F.split(ascii_lower(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
-    last = F.size("_words") - size
-    run = lambda i: F.xxhash64(*[F.get(F.col("_words"), i.cast("int") + j) for j in range(size)])
-    shingles = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).when(F.size("_words") > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(shingles)), 1, k)).drop("_words")
+    held = "_words"
+    while held in df.columns:
+        held += "_"
+    df = df.withColumn(held, F.transform(words, lambda w: F.xxhash64(w)))
+    last = F.size(held) - size
+    run = lambda i: F.xxhash64(*[F.get(F.col(held), i.cast("int") + j) for j in range(size)])
+    shingles = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).when(F.size(held) > 0, F.array(F.xxhash64(held))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(shingles)), 1, k)).drop(held)
 
 
 def merge(df: DataFrame, keys: list[str], sketch_col: str, out: str, k: int = K) -> DataFrame:
@@ -71,41 +75,48 @@ def encoded(sketch: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
-#: Rows that a range of ids should hold, and the most ranges (their heads are broadcast, 24 bytes each).
+#: Rows that a range of keys should hold, and the most ranges (their ends go through the driver, 32 bytes each).
 RANGE_ROWS, MAX_RANGES = 500, 1 << 16
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df's id and text with `_range`, repartitioned by it, each range followed by the rows that head the next one.
+    """df's id and text with a key (_d, _h) and `_range`, repartitioned by it, each range with the row that follows it.
 
-    Ranges of ids have one width. The head of the next non-empty range is sent to the range above as well (`_guest`),
-    so a window inside a range sees the successor of each row; the last range gets the first rows of all.
+    Keys are the id (null last) and the text's hash, in descending order. Ranges are quantiles of the keys, so neither
+    ids far apart nor an id with many texts fill one. A copy of the row that follows a range's last one is sent to that
+    range too (`_guest`), so a window inside a range sees the successor of each row; the last range gets the first row.
     """
-    span = df.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(id_col).alias("n")).first()
-    low, width = span.low or 0, max(1, -(-((span.high or 0) - (span.low or 0) + 1) // max(1, min(MAX_RANGES, -(-span.n // RANGE_ROWS)))))
-    of = F.expr(f"cast((cast({id_col} as decimal(20, 0)) - {low}) div {width} as int)")
-    df = df.select(id_col, text_col, F.coalesce(of, F.lit(-1)).alias("_range"))
-    heads = df.where(F.col(id_col).isNotNull()).groupBy("_range").agg(F.max(id_col).alias("_head"))
-    above = F.lead("_range").over(Window.partitionBy(F.lit(0)).orderBy("_range"))
-    top = F.lit(0) if span.n else F.lit(-1)
-    heads = heads.select("_head", F.coalesce(above, top).alias("_to"))  # ranges are at most MAX_RANGES rows
-    rows = df.join(F.broadcast(heads), df[id_col] == heads["_head"], "left")
-    first = F.struct(F.col("_range").alias("to"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("_to").alias("to"), F.lit(True).alias("guest"))
-    rows = rows.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(first)).otherwise(F.array(first, guest))))
-    return rows.select(id_col, text_col, F.col("_at.to").alias("_range"), F.col("_at.guest").alias("_guest")).repartition("_range")
+    rows = df.select(id_col, text_col, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text_col).alias("_h"))
+    keys = rows.select("_d", "_h")
+    ranges = max(1, min(MAX_RANGES, -(-keys.count() // RANGE_ROWS)))
+    key = F.struct("_d", "_h")
+    ends = keys.repartitionByRange(ranges, "_d", "_h").groupBy(F.spark_partition_id().alias("_p")).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    ends.sort(key=lambda e: e.low)
+    n = len(ends)
+    low = [F.split(F.lit(",".join(str(e.low[k]) for e in ends)), ",").cast("array<bigint>") for k in range(2)]
+    steps = [1 << k for k in range(max(0, n - 1).bit_length())][::-1]
+
+    def further(at: Column, step: Column) -> Column:
+        d, h = (F.get(x, at + step) for x in low)
+        return F.when((d < F.col("_d")) | ((d == F.col("_d")) & (h <= F.col("_h"))), at + step).otherwise(at)
+
+    of = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further) if steps else F.lit(0)  # by bisection
+    heads = df.sparkSession.createDataFrame([(e.high[0], e.high[1], (k + 1) % n) for k, e in enumerate(ends)], "_d long, _h long, _range int")
+    guests = rows.join(F.broadcast(heads), ["_d", "_h"]).dropDuplicates(["_range"])  # at most MAX_RANGES heads
+    names = [id_col, text_col, "_d", "_h"]
+    both = rows.select(*names, of.alias("_range"), F.lit(False).alias("_guest")).union(guests.select(*names, "_range", F.lit(True)))
+    return both.repartition("_range")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edits with the next document's first half.
 
-    The next document has the next smaller doc_id (ties: by text, null first); after the last comes the first. A single
-    document is its own next. Rows without doc_id form a ring of their own that ends with an empty text.
+    The next document has the next smaller doc_id (ties: the next smaller hash of the text); rows without doc_id come
+    last; after the last comes the first. A single document is its own next; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_fingerprint(with_next(docs, "doc_id", "text"), "text", "_own")
-    # a guest heads the range below (it comes last) or, in the lowest range, the whole table
-    order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc("_d"), F.desc("_h"))  # a guest comes last
     rows = rows.withColumn("_next", F.lead("text", 1, "").over(order)).withColumn("_next_own", F.lead("_own").over(order)).where(~F.col("_guest"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
