@@ -7,8 +7,9 @@ root of the number of words, give the prediction and its score.
 
 The model is fitted on at most FIT_DOCS labelled rows per language, those of the smallest hash of doc_id, and keeps
 the WORDS most frequent words and GRAMS n-grams of each length per language. Every value of lang is a language; tables
-hold only the frequencies that a language has, so the model grows in proportion to the languages. Defined results: null texts and texts
-without a letter give `und` and score 0; a model without languages gives `und`; ties go to the first language by name.
+hold only the frequencies that a language has, so the model grows in proportion to the languages. Defined results: null
+texts and texts without a letter give `und` and score 0; a model without languages gives `und`; ties go to the first
+language by name; repeated rows are rows like any other; an empty table gives no rows; further columns are never read.
 """
 
 from __future__ import annotations
@@ -92,14 +93,15 @@ def _known(table_: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[n
     return table_[0][at] == hashes, at
 
 
-def word_scores(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log frequencies by language of the words at the given spans (non-letters are 0 in points)."""
-    out = np.zeros((len(starts), len(model.languages)))
+def word_scores(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log frequencies by language of the words at the given spans (non-letters are 0 in points), and what gave them:
+    LONGEST + 1 for a known word, the length of n-grams, 0 for nothing."""
     hashes = _hashes(points, starts, ends)
     _, one, of = np.unique(hashes, return_index=True, return_inverse=True)
     mine = np.zeros((len(one), len(model.languages)))
     known, at = _known(model.words, hashes[one])
     mine[known] = model.words[1][at[known]]
+    basis = np.where(known, LONGEST + 1, 0)
     left = np.flatnonzero(~known)
     for k in range(LONGEST, 0, -1):
         if not len(left):
@@ -118,9 +120,9 @@ def word_scores(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.n
             for j in range(len(model.languages)):
                 total[j] += np.bincount(owner[a : a + step], block[:, j], minlength=len(left))
         mine[left[found]] = (total[:, found] / count[found]).T
+        basis[left[found]] = k
         left = left[~found]
-    out[:] = mine[of]
-    return out
+    return mine[of], basis[of]
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
@@ -141,12 +143,12 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
 
 
 def _cuts(text: str) -> list[tuple[int, int]]:
-    """Spans of a long text that end between words, where a space can be found."""
+    """Spans of a long text that end between words: a span grows to the end of the word that it would cut."""
     out, at = [], 0
     while at < len(text):
         to = min(len(text), at + _LIMIT // 2)
-        if to < len(text):
-            to = max(text.rfind(" ", at + 1, to), text.rfind("\n", at + 1, to), at + 1) if text.rfind(" ", at + 1, to) > 0 or text.rfind("\n", at + 1, to) > 0 else to
+        while to < len(text) and text[to].isalpha():
+            to += 1
         out.append((at, to))
         at = to
     return out
@@ -160,9 +162,10 @@ def _points(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, first
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and the best basis of any word of it (see word_scores)."""
     total, count = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    basis = np.zeros(len(texts), np.int64)
     for (points, first), rows in _pieces(texts):
         letter = points > 0
         starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
@@ -171,16 +174,17 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if len(starts) and model.languages:
             step = max(1, _CELLS // len(model.languages))
             for a in range(0, len(starts), step):
-                found = word_scores(model, points, starts[a : a + step], ends[a : a + step])
+                found, by = word_scores(model, points, starts[a : a + step], ends[a : a + step])
+                np.maximum.at(basis, owner[a : a + step], by)
                 for j in range(len(model.languages)):
                     total[:, j] += np.bincount(owner[a : a + step], found[:, j], minlength=len(texts))
         count += np.bincount(owner, minlength=len(texts))
     if not model.languages:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), basis
     best = total.argmax(axis=1)
     power = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(count, 1))[:, None])
     score = np.where(count > 0, power.max(axis=1) / power.sum(axis=1), 0.0)
-    return [model.languages[b] if c else "und" for b, c in zip(best, count)], score
+    return [model.languages[b] if c else "und" for b, c in zip(best, count)], score, basis
 
 
 def fit(docs: DataFrame, usable: Column) -> Model:
@@ -196,11 +200,12 @@ def fit(docs: DataFrame, usable: Column) -> Model:
     texts = mine.select("doc_id", "lang", "text").join(F.broadcast(chosen) if FIT_DOCS * len(languages) <= MAX_BROADCAST_ROWS else chosen.hint("merge"), "doc_id")
     words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     words = words.repartition("lang", "gram")
-    padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, F.lit(k))) if k > 1 else F.split("gram", "")
+    # letters are a column of their own: taking a part of a text counts its letters from the start each time
+    letters = words.withColumn("_c", F.split(F.concat(F.lit(" "), F.col("gram"), F.lit(" ")), ""))
+    of = lambda k: F.transform(F.sequence(F.lit(0), F.size("_c") - k), lambda i: F.concat(*[F.get(F.col("_c"), i + j) for j in range(k)])) if k > 1 else F.split("gram", "")
     some = [words.select("lang", F.lit(0).alias("k"), "gram", "n")]
     for k in range(1, LONGEST + 1):
-        some.append(words.where(F.length("gram") + 2 >= k).select("lang", F.lit(k).alias("k"), F.explode(of(k)).alias("gram"), "n").where("gram <> ''").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
+        some.append(letters.where(F.size("_c") >= k).select("lang", F.lit(k).alias("k"), F.explode(of(k)).alias("gram"), "n").where("gram <> ''").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
     counts = some[0]
     for x in some[1:]:
         counts = counts.union(x)
@@ -232,27 +237,35 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for first, end, _, _ in text_views(b.column(1)):
                 part = b.slice(first, end - first)
-                langs, score = predict(sent.value, [t or "" for t in part.column(1).to_pylist()])
+                langs, score, _ = predict(sent.value, [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a language of the model with a score of `least`."""
+#: A text is in a language of the model if one of its words is known, or has an n-gram so long that is.
+EVIDENCE = 3
+
+
+def with_language(docs: DataFrame, model: Model, least: int = EVIDENCE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language of the model: not those without a letter,
+    nor those of which no word is known and no n-gram of `least` letters or more. That two languages are equally likely
+    is no reason to reject a text, as with single words that both have."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
             for first, end, _, _ in text_views(column):
-                langs, score = predict(sent.value, [t or "" for t in column.slice(first, end - first).to_pylist()])
-                yield b.slice(first, end - first).filter(pa.array((score >= least) & (np.array(langs) != "und")))
+                langs, _, basis = predict(sent.value, [t or "" for t in column.slice(first, end - first).to_pylist()])
+                yield b.slice(first, end - first).filter(pa.array((basis >= least) & (np.array(langs) != "und")))
 
     return docs.mapInArrow(rows, docs.schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents by a model of the rows that are not held out. Rows without doc_id are neither held
+    out nor learned from; null texts and texts without a letter give und and 0; repeated rows give a row each."""
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     held_out = held_out & F.col("doc_id").isNotNull()
     return identify(docs, fit(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
