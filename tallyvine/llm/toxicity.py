@@ -4,11 +4,14 @@ Words are runs of letters (A-Z lower-cased). Each has three hashed rows of embed
 its first four bytes, so that inflected forms share what was learned; rows of fewer than three
 training texts are zero. Filters of one, two and three words slide over the
 whole text, each gives its largest response, and a logistic layer turns these into a score. Training is plain numpy
-on a bounded sample of labelled rows (FIT_TOXIC, FIT_OTHER, FIT_WORDS), chosen by a hash of doc_id. Thresholds are
-calibrated by language on a fifth of the sample that training doesn't see; the language never enters the score.
+on a bounded sample of labelled rows, chosen by a hash of doc_id: FIT_TOXIC and FIT_OTHER rows, four fifths of them to
+train on. Rows of more than FIT_WORDS words train only where shorter ones do not fill their class, while its words are
+FIT_TOTAL at most. Thresholds are calibrated by language on the other fifth, whole texts of any length; the language
+never enters the score.
 
 Defined results: null and empty texts have no words and get the score of an all-zero pooling; without labelled rows
-of both classes every score is the share of toxic ones among them (0 if none); rows without doc_id are not held out.
+of both classes every score is the share of toxic ones among them (0 if none); rows without doc_id are not held out;
+repeated rows are rows like any other; an empty table gives no rows; further columns are never read.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_by_hash, table, text_views
+from .common import first_by_hash, table, text_views, written
 from .words import NOT_LETTER, mix, word_hashes
 
-#: The sample that training takes at most: toxic rows, other rows, and words of a row (longer rows aren't taken).
-FIT_TOXIC, FIT_OTHER, FIT_WORDS = 2000, 4000, 2000
+#: The sample: toxic rows and other rows at most, words of a row that trains at once, words of all rows of a class.
+FIT_TOXIC, FIT_OTHER, FIT_WORDS, FIT_TOTAL = 2000, 4000, 2000, 4_000_000
 ROWS, DIM = 1 << 17, 6
 VIEWS = (1 << 62, 6, 4)  # how many bytes of a word each table sees
 WIDTHS, FILTERS = (1, 2, 3), 16
@@ -126,39 +129,63 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: in
                 continue
             first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
             rows = np.concatenate([docs[i] for i in pick])
-            x, responses = _responses(model, rows, first)
-            peak = [np.stack([first[k] + r[first[k] : first[k + 1]].argmax(axis=0) for k in range(len(pick))]) for r in responses]
-            pooled = np.concatenate([np.take_along_axis(r, p, axis=0) for r, p in zip(responses, peak)], axis=1)
-            active = np.maximum(pooled, 0)
-            guess = 1 / (1 + np.exp(-np.clip(active @ model.weight + model.bias, -30, 30)))
-            off = ((guess - labels[pick]) * importance[pick] / len(pick)).astype(np.float32)
-            back = off[:, None] * model.weight[None, :] * (pooled > 0)
-            step(model.weight, active.T @ off + 1e-4 * model.weight, seen_w)
-            seen_c += float(off.sum()) ** 2
-            model.bias -= rate * float(off.sum()) / seen_c**0.5
-            place = np.arange(len(rows)) + 2 * np.repeat(np.arange(len(pick)), np.diff(first))
-            touched, values = [], []
-            for k, (width, p) in enumerate(zip(WIDTHS, peak)):
-                g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                gradient = np.zeros_like(model.filters[k])
-                for j in range(width):
-                    gradient[j] = np.einsum("dfe,df->ef", x[place[p] + j], g)
-                    inside = (p + j < first[1:, None]) & (g != 0)
-                    touched.append((p + j)[inside])
-                    values.append((g[:, :, None] * model.filters[k][j].T[None])[inside])
-                step(model.biases[k], g.sum(axis=0), seen_b[k])
-                step(model.filters[k], gradient, seen_f[k])
-            at, value = np.concatenate(touched), np.concatenate(values)
-            for t in range(len(VIEWS)):
-                which, inverse = np.unique(rows[at, t], return_inverse=True)
-                total = np.zeros((len(which), DIM), np.float32)
-                np.add.at(total, inverse, value[:, t * DIM : (t + 1) * DIM])
+            g = gradients(model, rows, first, labels[pick], importance[pick])
+            step(model.weight, g.weight + np.float32(1e-4) * model.weight, seen_w)
+            seen_c += g.bias**2
+            model.bias -= rate * g.bias / seen_c**0.5
+            for k in range(len(WIDTHS)):
+                step(model.biases[k], g.biases[k], seen_b[k])
+                step(model.filters[k], g.filters[k], seen_f[k])
+            for t, (which, total) in enumerate(g.tables):
                 total[~known[t][which]] = 0
                 seen[t][which] += total**2
                 model.tables[t][which] -= rate * total / np.sqrt(seen[t][which])
     return model
 
 
+@dataclass
+class Gradients:
+    """Of the mean weighted logistic loss; tables: for each view the rows that have one, and theirs."""
+
+    weight: np.ndarray
+    bias: float
+    filters: list[np.ndarray]
+    biases: list[np.ndarray]
+    tables: list[tuple[np.ndarray, np.ndarray]]
+
+
+def gradients(model: Model, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> Gradients:
+    """Gradients over a batch of documents that all have words: only the word of each largest response has any."""
+    n = len(first) - 1
+    x, responses = _responses(model, rows, first)
+    peak = [np.stack([first[k] + r[first[k] : first[k + 1]].argmax(axis=0) for k in range(n)]) for r in responses]
+    pooled = np.concatenate([np.take_along_axis(r, p, axis=0) for r, p in zip(responses, peak)], axis=1)
+    active = np.maximum(pooled, 0)
+    guess = 1 / (1 + np.exp(-np.clip(active @ model.weight + model.bias, -30, 30)))
+    off = ((guess - labels) * importance / n).astype(np.float32)
+    back = off[:, None] * model.weight[None, :] * (pooled > 0)
+    place = np.arange(len(rows)) + 2 * np.repeat(np.arange(n), np.diff(first))
+    touched, values, filters, biases = [], [], [], []
+    for k, (width, p) in enumerate(zip(WIDTHS, peak)):
+        g = back[:, k * FILTERS : (k + 1) * FILTERS]
+        gradient = np.zeros_like(model.filters[k])
+        for j in range(width):
+            gradient[j] = np.einsum("dfe,df->ef", x[place[p] + j], g)
+            inside = (p + j < first[1:, None]) & (g != 0)
+            touched.append((p + j)[inside])
+            values.append((g[:, :, None] * model.filters[k][j].T[None])[inside])
+        biases.append(g.sum(axis=0))
+        filters.append(gradient)
+    at, value = np.concatenate(touched), np.concatenate(values)
+    tables = []
+    for t in range(len(VIEWS)):
+        which, inverse = np.unique(rows[at, t], return_inverse=True)
+        total = np.zeros((len(which), DIM), np.float32)
+        np.add.at(total, inverse, value[:, t * DIM : (t + 1) * DIM])
+        tables.append((which, total))
+    return Gradients(active.T @ off, float(off.sum()), filters, biases, tables)
+
+
 def threshold(score: np.ndarray, label: np.ndarray, default: float = PREDICT) -> float:
     """The threshold of the best F0.5 (clean texts weigh more), in the middle between the scores beside it; default without both classes."""
     if len(label) < 20 or label.min() == label.max():
@@ -178,29 +205,45 @@ def fold(key: Column, parts: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """A model from labels (doc_id, toxic) that are usable (a condition on doc_id) and the texts of docs."""
-    mine = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = few_by_hash(mine.withColumn("toxic", F.when(F.col("toxic") == 1, 1).otherwise(0)), "doc_id", "toxic", {1: FIT_TOXIC, 0: FIT_OTHER})  # at most FIT_TOXIC + FIT_OTHER ids
+    mine = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
+    quota = {1: FIT_TOXIC, 0: FIT_OTHER}
+    # twice the rows, as some may be too long to train on
+    parts = [first_by_hash(mine, "doc_id", (2 if train else 1) * n * (4 if train else 1) // 5, (F.col("toxic") == y) & (~aside if train else aside)).withColumn("train", F.lit(train)) for y, n in quota.items() for train in (True, False)]
+    chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])  # at most 2 * (FIT_TOXIC + FIT_OTHER) ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in text_views(b.column(1)):
                 found, start = embedding_rows(data, offsets)
-                found = [found[x:y].tobytes() if y - x <= FIT_WORDS else None for x, y in zip(start[:-1], start[1:])]
                 part = b.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), part.column(2), part.column(3)], names=["doc_id", "words", "lang", "toxic"])
-
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(rows, "doc_id long, words binary, lang string, toxic int").where("words is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(FIT_TOXIC + FIT_OTHER).collect()
-    words = [np.frombuffer(r.words, np.int32).reshape(-1, len(VIEWS)) for r in got]
-    label = np.array([int(r.toxic == 1) for r in got])
-    aside = np.arange(len(got)) % 5 == 0
-    model = train([w for w, x in zip(words, aside) if not x], label[~aside])
-    if aside.any():
-        held = [w for w, x in zip(words, aside) if x]
-        score = scores(model, np.concatenate(held), np.concatenate([[0], np.cumsum([len(w) for w in held])]))
-        overall = threshold(score, label[aside])
-        lang = np.array([r.lang or "" for r in got])[aside]
-        model.thresholds = {"": overall} | {str(k): threshold(score[lang == k], label[aside][lang == k], overall) for k in np.unique(lang)[:64]}
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([found[x:y].tobytes() for x, y in zip(start[:-1], start[1:])], pa.binary()), pa.array(np.diff(start)), *(part.column(k) for k in (2, 3, 4))], names=["doc_id", "words", "n", "lang", "toxic", "train"])
+
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).join(F.broadcast(chosen), "doc_id")
+    sample = written(texts.mapInArrow(rows, "doc_id long, words binary, n long, lang string, toxic int, train boolean"), "sample")
+    taken, count, held = [], {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(sample.where("train").select("toxic", (F.col("n") > FIT_WORDS).alias("long"), F.xxhash64("doc_id").alias("place"), "doc_id", "n").collect()):
+        if count[r.toxic] < quota[r.toxic] * 4 // 5 and (not r.long or held[r.toxic] + r.n <= FIT_TOTAL):
+            count[r.toxic] += 1
+            held[r.toxic] += r.n
+            taken.append((r.doc_id,))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long").distinct()
+    got = sample.where("train").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(len(taken)).select("words", "toxic").collect()
+    model = train([np.frombuffer(r.words, np.int32).reshape(-1, len(VIEWS)) for r in got], np.array([r.toxic for r in got], int))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(w, np.int32).reshape(-1, len(VIEWS)) for w in b.column(0).to_pylist()]
+            start = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_scored(sent.value, np.concatenate([np.zeros((0, len(VIEWS)), np.int32), *found]), start)), b.column(1), b.column(2)], names=["score", "lang", "toxic"])
+
+    kept = sample.where("not train").select("words", "lang", "toxic").mapInArrow(scored, "score double, lang string, toxic int").limit(FIT_TOXIC + FIT_OTHER).toPandas()
+    score, label, lang = kept["score"].to_numpy(float), kept["toxic"].to_numpy(int), kept["lang"].fillna("").to_numpy(object)
+    if len(label):
+        overall = threshold(score, label)
+        model.thresholds = {"": overall} | {k: threshold(score[lang == k], label[lang == k], overall) for k in sorted(set(lang)) if k}
     return model
 
 
@@ -221,15 +264,20 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def _rejects(model: Model, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores of a part's texts and the thresholds of their languages."""
-    found, start = embedding_rows(data, offsets)
-    score = np.zeros(part.num_rows)
-    for x, y, span in _runs(start):
-        score[x:y] = span(model, found)
+    score = _scored(model, *embedding_rows(data, offsets))
     langs = part.column("lang").to_pylist() if "lang" in part.schema.names else [""] * part.num_rows
     default = model.thresholds.get("", PREDICT)
     return score, np.array([model.thresholds.get(str(k or ""), default) for k in langs])
 
 
+def _scored(model: Model, found: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Scores of documents given as embedding rows and where each one's begin."""
+    score = np.zeros(len(start) - 1)
+    for x, y, span in _runs(start):
+        score[x:y] = span(model, found)
+    return score
+
+
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not reject, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -277,6 +325,8 @@ def _runs(start: np.ndarray, most: int = 1 << 18):
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled rows that are not held out, beside the threshold of the
+    language and whether it rejects the text. Null and empty texts have a score like any other."""
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "threshold", "rejected")
