@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvine.llm import jaccard, language, packing, secrets, toxicity
-from tallyvine.llm.common import table, written
+from tallyvine.llm.common import mark, release, table, written
 
 #: No SQL: the stages' models, segmentations and components are tested against brute force instead.
 ORACLE_SQL = None
@@ -22,12 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language of the corpus; texts without a letter go."""
+    """Documents whose text is in a language of the corpus; texts without a letter or any known part of a word go."""
     return language.with_language(docs, language.fit(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of near copies."""
+    """The document of smallest doc_id of each group of near copies; different texts of one doc_id are documents."""
     return jaccard.without_near_duplicates(docs)
 
 
@@ -45,8 +45,10 @@ STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near_duplica
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in order over all documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES in order over all documents, each written and read again. Each stage's intermediate tables, and the
+    documents it read, are removed once its own are written."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since, docs)
     return docs

@@ -5,7 +5,8 @@ A length is the number of byte tokens of the whole text (null: 0). The histogram
 boundaries minimise the total padding exactly over the cells' largest lengths. Batches form inside a bucket: as many
 rows as the token budget holds at the bucket's length, one at least, so a row above the budget is a batch of its own.
 A bucket is dealt into shards of about SHARD_ROWS rows by a hash, so that no task holds a bucket; each shard's last
-batch may be part full. Null and repeated ids are rows like any other; an empty table gives no rows.
+batch may be part full. Rows that are equal are dealt by the partition they come from. Null and repeated ids are rows
+like any other; an empty table gives no rows; columns beside the id and the length are never read.
 """
 
 from __future__ import annotations
@@ -73,10 +74,11 @@ def pack(df: DataFrame, id_col: str, length: Column, buckets: int = 16, budget:
     caps = [max(1, budget // max(1, e)) for e in ends]
     pick = lambda values, b: F.element_at(F.array(*[F.lit(int(v)) for v in values]), b + 1)
     rows = rows.withColumn("bucket", sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0)))
-    rows = rows.withColumn("bucket_len", pick(ends, F.col("bucket")).cast("long")).withColumn("shard", F.pmod(F.xxhash64(id_col, "n_tokens"), pick(shards, F.col("bucket"))))
+    rows = rows.withColumn("bucket_len", pick(ends, F.col("bucket")).cast("long")).withColumn("shard", F.pmod(F.xxhash64(F.col(id_col), F.col("n_tokens"), F.spark_partition_id()), pick(shards, F.col("bucket"))))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(id_col, "n_tokens")) - 1).withColumn("cap", pick(caps, F.col("bucket")))
     return rows.select(id_col, "n_tokens", "bucket", "bucket_len", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), F.concat_ws("-", "bucket", "shard", F.floor(F.col("place") / F.col("cap"))).alias("batch"), F.pmod("place", "cap").alias("slot"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by the byte tokens of their whole texts (null: 0)."""
     return pack(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))

@@ -196,4 +196,5 @@ def encoded(docs: DataFrame, pieces: Pieces, ids: bool = True) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their decoding; null and empty texts have none, repeated rows give a row each."""
     return encoded(table(spark, sf_dir, "documents"), load(), ids=False)

@@ -120,4 +120,5 @@ def token_counts(docs: DataFrame, a: Automaton) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of all documents; null, empty and blank texts have none of either, repeated rows a row each."""
     return token_counts(table(spark, sf_dir, "documents"), automaton(*vocabulary()))
