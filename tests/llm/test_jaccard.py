@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyvine.llm import jaccard
+from tallyvine.llm import common, jaccard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,9 +97,28 @@ def test_no_rows_and_repeated_ids(spark):
     text = "a b c d e f g h i j k l m n o p"
     rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (9, text + " q", "en", "s", 1), (None, text, "en", "s", 1), (7, "other words than those above here", "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.jaccard_components(df).collect()) == [(0, 0), (5, 5), (5, 5), (7, 7), (9, 5)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.jaccard_components(df).collect()) == [(0, 5), (5, 5), (5, 5), (7, 7), (9, 5)]
     kept = jaccard.without_near_duplicates(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 7]
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [5, 7]
+
+
+def test_texts_that_share_an_id(spark, monkeypatch):
+    """Links of every row of a doc_id count, and different texts of one doc_id stay."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = some(400), some(60)
+    near = short[:-1] + ["x"]
+    rows = [(5, " ".join(long)), (5, " ".join(short)), (9, " ".join(near)), (12, " ".join(long)), (3, ""), (3, " ".join(near[1:] + ["y"])), (None, " ".join(some(30))), (None, " ".join(long[:-1])), (20, None), (20, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    for most in (1_000_000, 1):  # all groups broadcast, then heavy ones broadcast and the others shuffled
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", most)
+        monkeypatch.setattr(common, "HEAVY", 1)
+        monkeypatch.setattr(jaccard, "MAX_BROADCAST_ROWS", most)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
+        want = [(5, 396, 3), (5, 56, 3), (9, 56, 3), (12, 396, 3), (3, 0, 3), (3, 56, 3), (None, 26, None), (None, 395, 3), (20, 0, 20), (20, 0, 20)]
+        assert got == sorted(want, key=str)
+        kept = jaccard.without_near_duplicates(df.union(df.where("doc_id = 5")))
+        assert sorted(((r.doc_id, len((r.text or "").split())) for r in kept.collect()), key=str) == sorted([(5, 400), (3, 60), (3, 0), (None, 30), (20, 0), (20, 0)], key=str)
 
 
 def test_components_of_long_chains(spark):

@@ -37,3 +37,25 @@ def test_held_out_rows_and_accuracy(spark, name):
         toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
         clean = [r for r in held if toxic.get(r.doc_id) == 0]
         assert sum(r.predicted for r in clean) <= 0.15 * len(clean)
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query over tables without rows gives no rows."""
+    for name in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns give a row for each row."""
+    long = " ".join(f"word{i % 977}" for i in range(200_000))  # 1.5 million characters
+    texts = [(1, "A plain text about nothing much at all.", "en"), (1, "A plain text about nothing much at all.", "en"), (2, None, None), (3, "", "de"), (4, long, "en"), (5, "x" * 120_000, "fr"), (None, "no id here", "en"), (6, "password = hunter2hunter2", None), (None, None, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, media string, _range int, node int"
+    spark.createDataFrame([(i, t, lang, None, None, "s", 1, "m", 1, 1) for i, t, lang in texts], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, None, t, "x") for i, t, _ in texts], "page_id long, url string, html string, refers_to string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name, query in queries.QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        key = "page_id" if name == "op8_warc" else "doc_id"
+        assert sorted((r[key] for r in rows), key=str) == sorted((i for i, _, _ in texts), key=str), name

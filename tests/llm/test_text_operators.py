@@ -1,7 +1,9 @@
 """Operators on single texts against brute force, libraries and exact round trips."""
 
+import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyvine.llm import avi, double_array, fingerprint, language, packing, pieces, secrets, token_counts, toxicity, warc, words
+from tallyvine.llm import avi, double_array, fingerprint, jpeg, language, packing, pieces, secrets, token_counts, toxicity, warc, words
 
 ODD = [None, "", " ", "\n\t", "a", "one two three", "é ü ß", "x" * 5000, "word " * 4000, "same text here", "same text here", "\U0001f600 ▁ mark", "UPPER lower \x0b\x0c end"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, extra int"
@@ -102,6 +104,31 @@ def test_op2_against_brute_force(spark, tmp_path):
         assert abs(rows[i].near_next - (len(x & z) / len(x | z) if x | z else 1)) < 0.2
 
 
+def test_op2_with_odd_ids(spark, tmp_path):
+    """Ids far apart, without value and with many texts; many small ranges."""
+    rows = [(2**62, "far")] + [(-(2**62), "low")] + [(7, f"text {i} " * 9) for i in range(40)] + [(i, f"w{i}") for i in range(100, 400)] + [(None, "none"), (None, "other")] + [(7, "same")] * 3
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = {(r.doc_id, r.text): (r.doc_id if r.doc_id is not None else -(2**63), r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=key.get, reverse=True)
+    want = []
+    for (i, t), (_, other) in zip(order, [*order[1:], order[0]]):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + other[:half]).encode()).hexdigest()))
+    old, fingerprint.RANGE_ROWS = fingerprint.RANGE_ROWS, 7
+    try:
+        got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.op2_fingerprints(spark, str(tmp_path)).collect()]
+        spread = fingerprint.with_next(docs, "doc_id", "text").groupBy("_range").count().agg(F.max("count")).first()[0]
+    finally:
+        fingerprint.RANGE_ROWS = old
+    assert sorted(got, key=str) == sorted(want, key=str) and spread <= 40
+
+
+def test_fingerprint_keeps_columns(spark):
+    df = spark.createDataFrame([("a b c d e f", 1, 2)], "t string, _words int, _words_ int")
+    assert fingerprint.with_fingerprint(df, F.col("t"), "s").drop("s").collect() == df.collect()
+
+
 def test_op2_without_rows(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert fingerprint.op2_fingerprints(spark, str(tmp_path)).count() == 0
@@ -145,6 +172,15 @@ def test_language(spark):
     assert language.predict(language.Model([], model.words, model.grams), ["x", ""])[0] == ["und", "und"]
     long = (en + " ") * 40000
     assert language.predict(model, [long])[0] == ["en"]
+    glued = "the" * 400_000  # a word longer than a piece is not cut
+    assert language._cuts(glued) == [(0, len(glued))] and "".join(long[a:b] for a, b in language._cuts(long)) == long
+
+
+def test_single_words_and_gibberish(spark):
+    rows = [(i, ("the house and taxi", "la maison et taxi")[i % 2], ("en", "fr")[i % 2]) for i in range(20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    tests = documents(spark, ["taxi", "house", "zzqqz qqzz", "houseboats", "!!", None])
+    assert sorted(r.doc_id for r in language.with_language(tests, model).collect()) == [0, 1, 3]
 
 
 def test_every_language_is_learned(spark):
@@ -169,7 +205,9 @@ def test_language_scores_are_backoff_means():
     (points, _), _ = next(language._pieces(["cat dog d zz"]))
     letter = points > 0
     starts, ends = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
-    assert language.word_scores(model, points, starts, ends).tolist() == [[-1, -5], [-3, -1.5], [-3, -4], [0, 0]]
+    found, basis = language.word_scores(model, points, starts, ends)
+    assert basis.tolist()[0] == 6 and basis.tolist()[-1] == 0
+    assert found.tolist() == [[-1, -5], [-3, -1.5], [-3, -4], [0, 0]]
 
 
 # secrets
@@ -191,14 +229,50 @@ def test_base_spans_and_guesses():
     assert secrets.guess_bits("horse", words_) == 4.0 and secrets.guess_bits("aaaaaaaaaaaa", {}) < 10 and secrets.guess_bits("qwertyuiop", {}) < 20 and secrets.guess_bits("1999-12-31", {}) < 18
     assert secrets.guess_bits("xK9#mP2$vL5qZ", words_) > secrets.GUESS_BITS
 
-    def brute(value):  # all segmentations into words and single characters
-        best = [0.0]
-        for i in range(1, len(value) + 1):
-            best.append(min([best[i - 1] + secrets._BRUTE, *(best[a] + words_[value[a:i]] + 1 for a in range(i) if value[a:i] in words_)]))
-        return best[-1]
 
-    for v in ("horsexhorse", "zpasswordz", "horsehors"):
-        assert secrets.guess_bits(v, words_) == pytest.approx(brute(v))
+def cheapest_by_hand(value, words_, seen):
+    """The least bits over all segmentations into segments of every kind and length."""
+    if value in seen:
+        return seen[value]
+    low, best = value.lower(), [0.0] + [math.inf] * len(value)
+    for i in range(1, len(value) + 1):
+        for a in range(i):
+            part, k, costs = value[a:i], i - a, [secrets._BRUTE] * (i - a == 1)
+            if low[a:i] in words_:
+                costs.append(words_[low[a:i]] + (0 if part.islower() else 1 if part.istitle() or part.isupper() else k) + 1)
+            if re.fullmatch("(19|20)[0-9][0-9]", part):
+                costs.append(math.log2(120) + 1)
+            if re.fullmatch(r"[0-9]{1,2}([./-]?)[0-9]{1,2}\1(19|20)?[0-9][0-9]|(19|20)[0-9][0-9]([./-]?)[0-9]{1,2}\4[0-9]{1,2}", part):
+                costs.append(math.log2(366 * 120) + 1)
+            if k >= 3 and len(set(part)) == 1:
+                costs.append(secrets._BRUTE + math.log2(k) + 1)
+            if k >= 3 and all(p in secrets._steps for p in zip(low[a:i], low[a + 1 : i])):
+                costs.append(math.log2(40) + math.log2(k) + k / 2 + 1)
+            costs += [cheapest_by_hand(part[:p], words_, seen) + math.log2(k // p) + 1 for p in range(2, k // 2 + 1) if k % p == 0 and part == part[:p] * (k // p)]
+            best[i] = min([best[i], *(best[a] + c for c in costs)])
+    seen[value] = best[-1]
+    return best[-1]
+
+
+def test_guess_bits_are_the_least(spark):
+    words_ = {"horse": 9.0, "password": 1.0, "monkey": 5.0, "trewq": 30.0, "ab": 2.0, "superlongwordofthirtycharacters": 8.0}
+    parts = ["horse", "password", "9919", "99199919", "qwer", "12-31-99", "aaa", "ABC", "abab", "x", "7", "monkey", "trewq", "zz", "Pass", "asdf", "-", ".", "0987", "2024/1/2"]
+    rng = random.Random(5)
+    for _ in range(700):
+        value = ("".join(rng.choices(parts, k=rng.randint(1, 5))) * rng.choice((1, 1, 1, 2, 3)))[:28]
+        assert secrets.guess_bits(value, words_) == pytest.approx(cheapest_by_hand(value, words_, {})), value
+    assert secrets.guess_bits("superlongwordofthirtycharacters", words_) == 9.0
+    assert secrets.guess_bits("q" * 3000, words_) == pytest.approx(math.log2(10) + math.log2(3000) + 1)
+    with pytest.raises(FileNotFoundError):
+        secrets.word_bits("/no/such/file")
+
+
+def test_every_value_in_context_is_costed(spark):
+    text = 'password = "horsehorse", pwd: xK9#mP2$vL5qZ and api_key=AAAAAAAAAAAAAAAA'
+    row = secrets.secrets(documents(spark, [text]), {"horse": 9.0}).first()
+    got = {(int(a), int(b)): float(c) for a, b, c in (v.split(":") for v in row.value_bits.split(","))}
+    assert {text[a:b] for a, b in got} == {"horsehorse", "xK9#mP2$vL5qZ", "AAAAAAAAAAAAAAAA"} and row.most_bits == pytest.approx(max(got.values()), abs=0.01)
+    assert got[12, 22] == pytest.approx(secrets.guess_bits("horsehorse", {"horse": 9.0}), abs=0.01) and row.n_assign == 2 and row.n_guess == 1
 
 
 def test_secrets(spark):
@@ -334,6 +408,88 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity(tests, empty).collect()} == {0}
 
 
+def by_hand(model, rows, first):
+    """Scores word by word and filter by filter."""
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        pooled = []
+        for width, f, bias in zip(toxicity.WIDTHS, model.filters, model.biases):
+            for k in range(toxicity.FILTERS):
+                best = 0.0
+                for i in range(a, b):
+                    total = float(bias[k])
+                    for j in range(width):
+                        if i + j < b:
+                            word = np.concatenate([t[r] for t, r in zip(model.tables, rows[i + j])]).astype(float)
+                            total += float(word @ f[j][:, k].astype(float))
+                    best = max(best, total)
+                pooled.append(best)
+        z = float(np.array(pooled) @ model.weight.astype(float)) + model.bias
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return np.array(out)
+
+
+def small_model(rng):
+    docs = [rng.integers(1, 40, (int(rng.integers(1, 12)), 3)).astype(np.int32) for _ in range(30)]
+    return toxicity.train(docs, np.arange(30) % 2, epochs=1), docs
+
+
+def test_forward_pass_against_loops():
+    rng = np.random.default_rng(12)
+    model, docs = small_model(rng)
+    docs.append(np.zeros((0, 3), np.int32))
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    assert toxicity.scores(model, np.concatenate(docs), first) == pytest.approx(by_hand(model, np.concatenate(docs), first), abs=1e-4)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(13)
+    model, docs = small_model(rng)
+    for part in (*model.filters, *model.biases, model.weight, *(t[:40] for t in model.tables)):
+        part += rng.normal(0, 0.2, part.shape).astype(np.float32)
+    model.tables[0][0] = model.tables[1][0] = model.tables[2][0] = 0  # padding
+    docs = docs[:6]
+    first, rows = np.concatenate([[0], np.cumsum([len(d) for d in docs])]), np.concatenate(docs)
+    labels, weight = np.arange(6) % 2, np.linspace(0.5, 1.5, 6)
+
+    def loss():
+        p = by_hand(model, rows, first)
+        return float(np.mean(weight * -np.log(np.where(labels == 1, p, 1 - p))))
+
+    g = toxicity.gradients(model, rows, first, labels, weight)
+    table_ = [np.zeros((toxicity.ROWS, toxicity.DIM), np.float32) for _ in model.tables]
+    for t, (which, total) in zip(table_, g.tables):
+        t[which] = total
+    checked = 0
+    for value, gradient in [*zip(model.filters, g.filters), *zip(model.biases, g.biases), (model.weight, g.weight), *((m[:40], t[:40]) for m, t in zip(model.tables, table_))]:
+        for at in rng.choice(value.size, 8, replace=False):
+            where = np.unravel_index(at, value.shape)
+            old, step = value[where], 2e-3
+            sides = []
+            for side in (step, -step):
+                value[where] = old + side
+                sides.append(loss())
+            value[where] = old
+            slope = (sides[0] - sides[1]) / (2 * step)
+            middle = loss()
+            if abs(sides[0] + sides[1] - 2 * middle) < 1e-5:  # no kink between the sides
+                assert gradient[where] == pytest.approx(slope, rel=0.03, abs=2e-3)
+                checked += abs(slope) > 1e-4
+    assert checked > 10
+
+
+def test_every_language_has_its_threshold_and_long_rows_train(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices([f"w{c}" for c in "abcdefgh"], k=30) + (["vile"] if i % 3 == 0 else [])), f"l{i % 70}") for i in range(1800)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1800)], "doc_id long, toxic int"), F.lit(True))
+    assert len(model.thresholds) == 71
+    long = [(i, " ".join(rng.choices([f"w{c}" for c in "abcdefgh"], k=30 if i % 4 else 2500) + ([] if i % 4 else ["vile"])), "en") for i in range(200)]
+    docs = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"), F.lit(True))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(documents(spark, ["wa vile wb", "wa wb"]), model).collect()}
+    assert got == {0: 1, 1: 0}
+
+
 def test_long_texts_score_as_one():
     rng = np.random.default_rng(11)
     model = toxicity.train([rng.integers(1, 50, (30, 3)).astype(np.int32) for _ in range(20)], np.arange(20) % 2, epochs=1)
@@ -372,6 +528,50 @@ def test_salvage():
     assert warc.salvage(b"") == ([], []) and warc.salvage(b"junk") == ([], [(0, 4, "no version line")])
 
 
+def plain_record(headers, block, version="WARC/1.0"):
+    return f"{version}\r\n{headers}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    html = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>he\r\n7;x=y\r\nllo</p>\r\n0\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(html).digest()).decode()
+    records = [
+        plain_record("WARC-Type: warcinfo\r\n", b"software: x"),
+        plain_record(f"WARC-Type: response\r\nWARC-Payload-Digest: sha1:{sha1}\r\nWARC-Target-URI: http://a/\r\n b\r\n", http + html),
+        plain_record("WARC-Type: response\r\n", http + html, "WARC/0.18"),
+        plain_record(f"WARC-Type: response\r\nWARC-Payload-Digest: SHA-1:{sha1.lower()}\r\n", chunked),
+        plain_record("WARC-Type: resource\r\nWARC-Payload-Digest: blake9:zz\r\n", html),
+        plain_record("WARC-Type: response\r\nX-Page-Id: 1z\r\n", http + html),
+        plain_record("WARC-Type: response\r\nWARC-Payload-Digest: md5:00\r\n", http + html),
+        plain_record("WARC-Type: revisit\r\nWARC-Payload-Digest: sha1:X\r\n", http),
+    ]
+    pack = lambda b: zlib.compressobj(6, zlib.DEFLATED, 31).compress(b) and (lambda c: c.compress(b) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
+    for content in (b"".join(records), b"".join(map(pack, records)), pack(b"".join(records))):
+        rows = warc.read_archives(spark.createDataFrame([("a", bytearray(content)), ("none", None)], "name string, content binary")).collect()
+        good = [r for r in rows if r.gap_reason is None]
+        assert [r.record_type for r in good] == ["warcinfo", "response", "response", "response", "resource", "revisit"]
+        assert [bytes(r.payload or b"") for r in good] == [b"software: x", html, html, chunked.partition(b"\r\n\r\n")[2], html, b""]
+        assert sorted(r.gap_reason for r in rows if r.gap_reason) == ["a number that is none", "the payload digest differs"] and good[1].url == "http://a/ b"
+
+
+def test_pages_that_repeat_an_id(spark, tmp_path):
+    import duckdb
+
+    x, y, z = ("<p>" + c * 200 for c in "xyz")
+    rows = [(1, x), (2, y), (5, x), (5, y), (6, x), (6, z), (6, z), (None, x), (None, z), (7, "short"), (7, "short"), (None, None), (None, "n" * 300), (None, "n" * 300)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op8_warc(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.SQL)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+    assert got.where("page_id = 6 and record_type = 'response'").count() == 2 and got.count() == len(rows)
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "empty" / "pages.parquet"))
+    assert warc.op8_warc(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>" + "a" * 200, "<p>" + "a" * 200, "tiny", "tiny", None, "", "é" * 60, "<p>" + "a" * 200]
     pages = spark.createDataFrame([(10 - i, f"http://h/{i}\n x", h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, refers_to int")
@@ -407,6 +607,95 @@ def test_avi_round_trip(size):
             pass
 
 
+def coded_frame(planes, sampling, quality, restart=0, tables=True):
+    """A baseline JPEG of component planes, coded bit by bit; sampling: (h, v) of each."""
+    height, width = planes[0].shape
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    down, across = -(-height // (8 * most_v)), -(-width // (8 * most_h))
+    books = {}
+    for kind, chroma in itertools.product((0, 1), (0, 1)):
+        lengths, symbols = jpeg.typical_symbols(kind, chroma)
+        code, at = 0, 0
+        for size, count in enumerate(lengths, 1):
+            for _ in range(count):
+                books[kind, chroma, symbols[at]] = format(code, f"0{size}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+    padded_planes = []
+    for p, (h, v) in zip(planes, sampling):
+        p = p[:: most_v // v, :: most_h // h].astype(float)
+        padded_planes.append(np.pad(p, ((0, down * v * 8 - p.shape[0]), (0, across * h * 8 - p.shape[1])), "edge"))
+    segments, bits, last = [], "", [0] * len(planes)
+    value = lambda x, s: format(x if x > 0 else x + (1 << s) - 1, f"0{s}b") if s else ""
+    c = lambda u: 0.5**0.5 if u == 0 else 1
+    basis = np.array([[c(u) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    unit = 0
+    for my, mx in itertools.product(range(down), range(across)):
+        if restart and unit and unit % restart == 0:
+            segments, bits, last = [*segments, bits], "", [0] * len(planes)
+        unit += 1
+        for k, (p, (h, v)) in enumerate(zip(padded_planes, sampling)):
+            for by, bx in itertools.product(range(v), range(h)):
+                y, x = (my * v + by) * 8, (mx * h + bx) * 8
+                found = np.rint(basis @ (p[y : y + 8, x : x + 8] - 128) @ basis.T / quality).astype(int).ravel()[jpeg.ZIGZAG]
+                off, last[k] = int(found[0] - last[k]), int(found[0])
+                s = abs(off).bit_length()
+                bits += books[0, min(k, 1), s] + value(off, s)
+                run = 0
+                for a in found[1 : 1 + max(np.flatnonzero(found[1:]) + 1, default=0)].tolist():
+                    if not a:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + books[1, min(k, 1), 0xF0], run - 16
+                    s = abs(a).bit_length()
+                    bits += books[1, min(k, 1), run << 4 | s] + value(a, s)
+                    run = 0
+                if not found[63]:
+                    bits += books[1, min(k, 1), 0]
+    segments.append(bits)
+    part = lambda m, b: struct.pack(">BBH", 255, m, len(b) + 2) + b
+    out = b"\xff\xd8" + part(0xE0, b"AVI1") + part(0xDB, b"\0" + bytes([quality]) * 64)
+    out += part(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling)))
+    if tables:
+        out += part(0xC4, b"".join(bytes([kind << 4 | chroma]) + b"".join(jpeg.typical_symbols(kind, chroma)) for kind in (0, 1) for chroma in (0, 1)))
+    out += part(0xDD, struct.pack(">H", restart)) if restart else b""
+    out += part(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0 if k == 0 else 0x11]) for k in range(len(planes))) + b"\0\x3f\0")
+    for k, bits in enumerate(segments):
+        data = bytes(int(bits[i : i + 8].ljust(8, "1"), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        out += (bytes([255, 0xD0 + (k - 1) % 8]) if k else b"") + data
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling, restart, tables", [([(1, 1)], 0, True), ([(2, 2), (1, 1), (1, 1)], 0, False), ([(2, 1), (1, 1), (1, 1)], 2, True), ([(1, 1)] * 3, 3, False), ([(2, 2)], 0, True)])
+def test_frames_of_other_coders(sampling, restart, tables):
+    y, x = np.mgrid[0:37, 0:51]
+    planes = [np.clip(128 + 100 * np.sin(x / (5 + k)) * np.cos(y / 7) + 20 * ((x // 9 + y // 5) % 2), 0, 255) for k in range(len(sampling))]
+    own = [(1, 1)] if len(sampling) == 1 else sampling  # a scan of one component has one block a unit
+    frame = coded_frame(planes, own, 4, restart, tables)
+    if sampling == [(2, 2)]:
+        frame = frame.replace(bytes([1, 0x11, 0]), bytes([1, 0x22, 0]), 1)
+    got = jpeg.luma(frame)
+    assert got.shape == planes[0].shape and np.abs(got - planes[0]).max() < 12
+    for hurt in (frame[: len(frame) // 2], b"x" + frame, frame[:2], frame.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            jpeg.luma(hurt)
+
+
+def test_clips_of_other_writers(spark):
+    frames = [coded_frame([np.full((24, 40), 40.0 + 140 * (k >= 9))], [(1, 1)], 8) for k in range(20)]
+    frames[4] = frames[4][:30]  # one that cannot be decoded
+    own = avi.write_avi(avi.padded(b"x" * 9000))
+    head = own[: own.index(b"movi") + 4 - 12]  # up to the movi list
+    movi = b"movi" + avi._chunk(b"LIST", b"rec " + b"".join(avi._chunk(b"00dc", f) for f in frames[:6])) + b"".join(avi._chunk(b"00dc", f) + avi._chunk(b"01wb", b"sound") for f in frames[6:])
+    body = head[8:] + avi._chunk(b"LIST", movi)
+    film = b"RIFF" + struct.pack("<I", len(body)) + body
+    df = spark.createDataFrame([(1, bytearray(film)), (2, bytearray(b"not a film")), (3, None), (4, bytearray(film[: len(film) // 2])), (5, bytearray(own))], "id int, media binary")
+    rows = sorted(avi.clip_rows(df, "id", "media").collect(), key=lambda r: (r.id, r.clip or 0))
+    assert [(r.id, r.first_frame, r.frames) for r in rows if r.id == 1] == [(1, 0, 9), (1, 9, 11)] and rows[1].start_s == pytest.approx(9 / 25)
+    assert {r.id: r.clip for r in rows if r.error} == {2: None, 4: None} and {r.id for r in rows} == {1, 2, 4, 5}
+
+
 def test_pixels_are_the_inverse_transform():
     units = np.zeros((1, 1, 64), np.uint8) + 255  # every coefficient 255
     block = np.zeros((8, 8))
