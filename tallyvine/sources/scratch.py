@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch in the jobs that written() and cut() run: texts of a batch stand in memory on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _paths: list[str] = []
 _sessions: list[SparkSession] = []
 
