@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows: int
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
+#: Matches that with_match() sends to all tasks (slim rows); beyond it only those of heavy keys go by broadcast.
+MAX_MATCHES = 200_000
 #: Rows of one key from which a join sends its match by broadcast: a table of n rows has at most n / HEAVY such keys.
 HEAVY = 20_000
 
@@ -38,7 +42,7 @@ def with_match(rows: DataFrame, key: str, matches: DataFrame, how: str = "left")
     """
     matches = cut(matches)
     plain = matches.drop("_n")
-    if matches.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+    if matches.limit(MAX_MATCHES + 1).count() <= MAX_MATCHES:
         return rows.join(F.broadcast(plain), key, how)
     heavy = F.broadcast(matches.where(F.col("_n") > HEAVY).drop("_n"))
     light = matches.where(F.col("_n") <= HEAVY).drop("_n")
@@ -57,6 +61,21 @@ def first_by_hash(df: DataFrame, key: str, n: int, chosen: Column) -> DataFrame:
     return df.where(place <= (n + 6 * n**0.5 + 10) / max(1, df.count())).orderBy(place, key).limit(n)
 
 
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker gives large arrays back to the system at once, and all the rest at the
+    end of a task: workers live on between tasks, and what they keep adds up on an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with contextlib.suppress(OSError, AttributeError):  # no glibc
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_views(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets of rows in them) of runs of rows that hold about 1 MB each."""
     column = column.cast(pa.large_string()).fill_null("")

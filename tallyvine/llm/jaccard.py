@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, cut, table, text_views, with_match, written
+from .common import MAX_BROADCAST_ROWS, cut, lean, table, text_views, with_match, written
 from .words import mix, shingle_sets
 
 SIZE = 5
@@ -49,8 +49,8 @@ SKETCH_BITS = (256, 1 << 16)
 BLOCK = 4096
 #: The frequency table: at most so many shingles, each in at least so many documents.
 FREQUENT, FREQUENT_LEAST = 1 << 16, 24
-#: Keys held by one task before they are sent, and by one bucket.
-TASK_KEYS, BUCKET_KEYS = 1 << 20, 1 << 20
+#: Shingles and keys held by one task before they are counted and sent, and keys of one bucket.
+TASK_SHINGLES, TASK_KEYS, BUCKET_KEYS = 1 << 19, 1 << 18, 1 << 19
 
 
 def bands(limit: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), part.column(0), part.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
             held += sets
             count += sum(map(len, sets))
-            if count > TASK_KEYS:
+            if count > TASK_SHINGLES:
                 yield frequent()
                 held, count = [], 0
     yield frequent()
@@ -336,7 +336,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool
     """The pairs (a, b) of nodes that are links. nodes: their sizes, sketches and one row (doc, th) each; docs: doc, th
     and text, where `repeated` tells whether a row occurs more than once."""
     one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
-    near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(_near, "a long, b long"), "near")
+    near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(lean(_near), "a long, b long"), "near")
     rows = nodes.select("node", "doc", "th").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     few = rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     texts = docs.join(F.broadcast(rows) if few else rows.hint("merge"), ["doc", "th"]).select("node", "text")
@@ -344,7 +344,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool
         texts = texts.dropDuplicates(["node"])
     # a hot hub's rows are slim on this side, and a partition of them that grows large is split by adaptive execution
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long"), "links").distinct()
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long"), "links").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    described = written(docs.mapInArrow(_describe, _BASE), "base")
+    described = written(docs.mapInArrow(lean(_describe), _BASE), "base")
     docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "th", "text")
     rows = described.where("kind = 0").select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "th", "n", "node")
     total = rows.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
@@ -393,8 +393,8 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     ends = bands(int(total.most) * DEN // NUM + DEN)
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total.n) // BUCKET_KEYS))
 
-    sent = docs.select("text").mapInArrow(_emit(frequent, ends, buckets), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket")
-    members = written(sent.mapInArrow(_runs, "run long, node long").distinct(), "runs")
+    sent = docs.select("text").mapInArrow(lean(_emit(frequent, ends, buckets)), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket")
+    members = written(sent.mapInArrow(lean(_runs), "run long, node long").distinct(), "runs")
     hubs = members.groupBy("run").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     stars = cut(with_match(members, "run", hubs, "inner").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     links = verified(stars, nodes, docs, repeated)
@@ -403,13 +403,13 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     # pairs of one run that are in different components so far
     placed = members.join(found, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     # runs that touch the same least component are compared as one group, in which a set stands once
-    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run", F.col("low").alias("anchor"))
-    held = cut(placed.join(open_runs, "run").select(F.col("anchor").alias("run"), "node", "component").distinct())
-    blocks = held.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = held.join(blocks, "run").join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high").select("run", F.col("low").alias("anchor"), "_n")
+    held = cut(with_match(placed, "run", open_runs, "inner").select(F.col("anchor").alias("run"), "node", "component").distinct())
+    blocks = held.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    placed = with_match(held, "run", blocks, "inner").join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
     placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "node", "component", "n", "sketch")
-    apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(_across, "a long, b long")
+    apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_across), "a long, b long")
     across = cut(apart.distinct().join(stars, ["a", "b"], "left_anti"))
     more = verified(across, nodes, docs, repeated)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, table, text_views, written
+from .common import MAX_BROADCAST_ROWS, lean, table, text_views, written
 from .toxicity import fold
 from .words import mix
 
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 langs, score, _ = predict(sent.value, [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(rows), "doc_id long, lang_pred string, score double")
 
 
 #: A text is in a language of the model if one of its words is known, or has an n-gram so long that is.
@@ -260,7 +260,7 @@ def with_language(docs: DataFrame, model: Model, least: int = EVIDENCE) -> DataF
                 langs, _, basis = predict(sent.value, [t or "" for t in column.slice(first, end - first).to_pylist()])
                 yield b.slice(first, end - first).filter(pa.array((basis >= least) & (np.array(langs) != "und")))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Kinds in the order of ties, their patterns and least lengths (of group 2 for assign).
@@ -225,7 +225,7 @@ def secrets(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*made), types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "most_bits", "value_bits", "redacted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, most_bits double, value_bits string, redacted string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(rows), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, most_bits double, value_bits string, redacted string")
 
 
 def without_secrets(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame:
@@ -249,7 +249,7 @@ def without_secrets(docs: DataFrame, words: dict[str, float] | None = None) -> D
                 columns[at] = pa.array(texts, b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, table, text_views, written
+from .common import first_by_hash, lean, table, text_views, written
 from .words import NOT_LETTER, mix, word_hashes
 
 #: The sample: toxic rows and other rows at most, words of a row that trains at once, words of all rows of a class.
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).join(F.broadcast(chosen), "doc_id")
-    sample = written(texts.mapInArrow(rows, "doc_id long, words binary, n long, lang string, toxic int, train boolean"), "sample")
+    sample = written(texts.mapInArrow(lean(rows), "doc_id long, words binary, n long, lang string, toxic int, train boolean"), "sample")
     taken, count, held = [], {0: 0, 1: 0}, {0: 0, 1: 0}
     for r in sorted(sample.where("train").select("toxic", (F.col("n") > FIT_WORDS).alias("long"), F.xxhash64("doc_id").alias("place"), "doc_id", "n").collect()):
         if count[r.toxic] < quota[r.toxic] * 4 // 5 and (not r.long or held[r.toxic] + r.n <= FIT_TOTAL):
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
             start = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(_scored(sent.value, np.concatenate([np.zeros((0, len(VIEWS)), np.int32), *found]), start)), b.column(1), b.column(2)], names=["score", "lang", "toxic"])
 
-    kept = sample.where("not train").select("words", "lang", "toxic").mapInArrow(scored, "score double, lang string, toxic int").limit(FIT_TOXIC + FIT_OTHER).toPandas()
+    kept = sample.where("not train").select("words", "lang", "toxic").mapInArrow(lean(scored), "score double, lang string, toxic int").limit(FIT_TOXIC + FIT_OTHER).toPandas()
     score, label, lang = kept["score"].to_numpy(float), kept["toxic"].to_numpy(int), kept["lang"].fillna("").to_numpy(object)
     if len(label):
         overall = threshold(score, label)
@@ -259,7 +259,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= PREDICT).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], names=["doc_id", "score", "predicted", "threshold", "rejected"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).mapInArrow(rows, "doc_id long, score double, predicted int, threshold double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).mapInArrow(lean(rows), "doc_id long, score double, predicted int, threshold double, rejected boolean")
 
 
 def _rejects(model: Model, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +289,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 score, limit = _rejects(sent.value, part, data, offsets)
                 yield part.filter(pa.array(score < limit))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)
 
 
 def _runs(start: np.ndarray, most: int = 1 << 18):

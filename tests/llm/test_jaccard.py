@@ -65,6 +65,7 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # all that steers cost may change; the result may not
         monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 2)
         monkeypatch.setattr(jaccard, "TASK_KEYS", 500)
+        monkeypatch.setattr(jaccard, "TASK_SHINGLES", 500)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
@@ -111,7 +112,7 @@ def test_texts_that_share_an_id(spark, monkeypatch):
     rows = [(5, " ".join(long)), (5, " ".join(short)), (9, " ".join(near)), (12, " ".join(long)), (3, ""), (3, " ".join(near[1:] + ["y"])), (None, " ".join(some(30))), (None, " ".join(long[:-1])), (20, None), (20, "")]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     for most in (1_000_000, 1):  # all groups broadcast, then heavy ones broadcast and the others shuffled
-        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", most)
+        monkeypatch.setattr(common, "MAX_MATCHES", most)
         monkeypatch.setattr(common, "HEAVY", 1)
         monkeypatch.setattr(jaccard, "MAX_BROADCAST_ROWS", most)
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
