@@ -39,9 +39,31 @@ def box_pattern(depth: int = 3) -> str:
     return r"(?s)^.*\\boxed\s*\{(" + _balanced(depth) + r")\}"
 
 
+def _any_depth(c: Column) -> Column:
+    """Content of the last box that closes, by one pass over the braces with a stack of those that are open."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)(\\boxed\s*\{|[{}]|[^{}\\]+|\\)"), 1)
+    none = "array<struct<at: int, box: boolean>>"
+    start = F.struct(F.lit(0).alias("i"), F.array().cast(none).alias("open"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def on(s: Column, t: Column) -> Column:
+        top, deep = F.get(s["open"], F.size(s["open"]) - 1), F.size(s["open"])
+        closes = (t == "}") & (deep > 0)
+        opened = F.when(t.endswith("{"), F.concat(s["open"], F.array(F.struct(s["i"].alias("at"), (t != "{").alias("box"))))).when(closes, F.slice(s["open"], 1, deep - 1)).otherwise(s["open"])
+        better = closes & top["box"] & (top["at"] > s["first"])
+        return F.struct((s["i"] + 1).alias("i"), opened.alias("open"), F.when(better, top["at"]).otherwise(s["first"]).alias("first"), F.when(better, s["i"]).otherwise(s["last"]).alias("last"))
+
+    found = F.aggregate(tokens, start, on)
+    content = lambda f: F.when(f["first"] >= 0, F.array_join(F.slice(tokens, f["first"] + 2, f["last"] - f["first"] - 1), ""))
+    return F.element_at(F.transform(F.array(found), content), 1)
+
+
 def extract_boxed(c: Column, depth: int = 3) -> Column:
-    """Stripped content of the last closed box; null without one or if it is empty."""
-    return F.nullif(strip(F.regexp_extract(c, box_pattern(depth), 1)), F.lit(""))
+    """Stripped content of the last closed box, with braces nested to any depth; null without one or if it is empty.
+
+    Texts with no more braces behind their first box than `depth` allows are read by a pattern, others brace by brace.
+    """
+    few = F.regexp_count(F.regexp_extract(c, r"(?s)\\boxed\s*\{(.*)", 1), F.lit(r"\{")) <= depth
+    return F.nullif(strip(F.when(few, F.regexp_extract(c, box_pattern(depth), 1)).otherwise(_any_depth(c))), F.lit(""))
 
 
 def last_number(c: Column) -> Column:
@@ -181,10 +203,12 @@ def equation_query(prompt: Column) -> Column:
 
 
 def operands(prompt: Column) -> Column:
-    """struct<a, b>: of `A op B`, else the first two numbers of one to six digits."""
-    line = r"(\d{1,6})\s*[-+*/x×^%]\s*(\d{1,6})"
+    """struct<a, b>: of the first `A op B` (the second may be negative), else the first two numbers of one to six digits
+    that stand alone, else nulls."""
+    line = r"\b(-?\d+)\s*[-+*/÷×]\s*(-?\d+)\b"
     numbers = F.regexp_extract_all(prompt, F.lit(r"\b(\d{1,6})\b"), 1)
-    pick = lambda k: F.coalesce(F.nullif(F.regexp_extract(prompt, line, k), F.lit("")), F.get(numbers, F.lit(k - 1))).cast("long")
+    spare = lambda k: F.when(F.size(numbers) > 1, F.get(numbers, F.lit(k - 1)))
+    pick = lambda k: F.when(prompt.rlike(line), F.regexp_extract(prompt, line, k)).otherwise(spare(k)).try_cast("long")
     return F.struct(pick(1).alias("a"), pick(2).alias("b"))
 
 

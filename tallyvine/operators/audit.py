@@ -32,24 +32,50 @@ def distance_histogram(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.groupBy(hamming(a, b).alias("distance")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+#: Pairs and short items that may be broadcast.
+FEW = 100_000
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """All runs of `size` characters of a column that holds them as an array."""
+    return F.transform(F.sequence(F.lit(0), F.size(text) - size), lambda i: F.array_join(F.slice(text, i + 1, size), ""))
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str = "text", size: int = 8) -> DataFrame:
-    """(key, item_key) of texts that contain an item's whole text, both normalised.
+    """(key, item_key) of texts that contain an item's whole text, both normalised; null and empty items are in none.
 
-    Items of `size` words or more meet texts through one word run of theirs (an equality join on its hash) and are
-    then sought as a whole; shorter items are broadcast, behind a count, since no run identifies them.
+    An item of three words or more meets texts through a run of its inner words, up to `size` of them, by an equality
+    join on its hash: its first and last word may be parts of others in the text. Words are hashed once and runs are
+    made of those hashes; texts that meet an item are sought as a whole, without being moved as long as the pairs are
+    few. Items of one or two words have no inner word: a few are sought in every text, more meet texts by a run of up to
+    `size` characters.
     """
-    words = lambda c: F.split(normalise(c), " ")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(size)), " ")))
-    held = items.where(F.col(text).isNotNull()).select(F.col(item_key), normalise(F.col(text)).alias("_item"), words(F.col(text)).alias("_iw")).where("_item <> ''")
+    held = items.where(F.col(text).isNotNull()).select(F.col(item_key), normalise(F.col(text)).alias("_item")).where("_item <> ''").withColumn("_iw", F.transform(F.split("_item", " "), lambda w: F.xxhash64(w)))
+    inner = F.least(F.size("_iw") - 2, F.lit(size))
     whole = docs.where(F.col(text).isNotNull()).select(F.col(key), normalise(F.col(text)).alias("_doc"))
-    # an item's inner run: its first and last words may touch others in the text
-    long_items = held.where(F.size("_iw") >= size + 2).withColumn("_run", F.xxhash64(F.array_join(F.slice("_iw", 2, size), " ")))
-    split = docs.where(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("_w")).where(F.size("_w") >= size)
-    met = split.select(key, F.explode(F.array_distinct(runs(F.col("_w")))).alias("_run")).join(F.broadcast(long_items.select(item_key, "_run")) if items.limit(100_001).count() <= 100_000 else long_items.select(item_key, "_run"), "_run").select(key, item_key).distinct()
-    found = met.join(whole, key).join(held.select(item_key, "_item"), item_key).where(F.contains("_doc", "_item")).select(key, item_key)
-    short = held.where(F.size("_iw") < size + 2).select(item_key, "_item")
+    sizes = [r[0] for r in held.where(inner >= 1).select(inner).distinct().collect()]  # at most `size` numbers
+    found = whole.limit(0).select(key).join(held.limit(0).select(item_key))
+    if sizes:
+        few = held.limit(FEW + 1).count() <= FEW
+        words = whole.select(key, F.transform(F.split("_doc", " "), lambda w: F.xxhash64(w)).alias("_w"))
+        at = lambda n: lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(n)])
+        runs = [F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(0), F.size("_w") - n), at(n))).otherwise(F.array().cast("array<bigint>")) for n in sizes]
+        by_size = F.lit(None).cast("long")
+        for n in sizes:
+            by_size = F.when(inner == n, F.xxhash64(*[F.get(F.col("_iw"), F.lit(1 + j)) for j in range(n)])).otherwise(by_size)
+        keyed = held.where(inner >= 1).select(item_key, by_size.alias("_run"))
+        met = words.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_run")).join(F.broadcast(keyed) if few else keyed.hint("merge"), "_run").select(key, item_key).distinct().persist()
+        close = met.limit(FEW + 1).count() <= FEW
+        pairs = met.join(F.broadcast(held.select(item_key, "_item")) if few else held.select(item_key, "_item"), item_key)
+        found = whole.join(F.broadcast(pairs) if close else pairs.hint("merge"), key).where(F.contains("_doc", "_item")).select(key, item_key)
+    short = held.where(inner < 1).select(item_key, "_item")
     if short.isEmpty():
         return found.distinct()
-    if short.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 items are too short for word runs")
-    return found.union(whole.join(F.broadcast(short), F.contains("_doc", "_item")).select(key, item_key)).distinct()
+    if short.limit(FEW // 10 + 1).count() <= FEW // 10:
+        return found.union(whole.join(F.broadcast(short), F.contains("_doc", "_item")).select(key, item_key)).distinct()
+    chars = short.withColumn("_n", F.least(F.length("_item"), F.lit(size))).withColumn("_run", F.left("_item", F.col("_n")))
+    letters = whole.select(key, "_doc", F.split("_doc", "").alias("_c"))
+    for n in [r[0] for r in chars.select("_n").distinct().collect()]:
+        met = letters.where(F.size("_c") >= n).select(key, F.explode(F.array_distinct(_grams(F.col("_c"), F.lit(n)))).alias("_run")).join(chars.where(F.col("_n") == n).select("_run", item_key), "_run").select(key, item_key).distinct()
+        found = found.union(whole.join(met.join(short, item_key), key).where(F.contains("_doc", "_item")).select(key, item_key))
+    return found.distinct()

@@ -14,11 +14,12 @@ from .split import SEED, round_robin
 BUDGET, KEEP = 8000, 4
 
 
-def curate(traces: DataFrame, problems: DataFrame, held_out: DataFrame, ranks: dict[str, int], allowed: list[str] | None = None, keep: int = KEEP, budget: int = BUDGET, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+def curate(traces: DataFrame, problems: DataFrame, held_out: DataFrame, ranks: dict[str, int], allowed: list[str] | None = None, keep: int = KEEP, budget: int = BUDGET, tokens: Callable[[Column], Column] = estimated_tokens, prefix: str = "bedrock_") -> DataFrame:
     """Curated records from traces (with source), at most `keep` per problem by source rank and length.
 
     Truth comes from the problem table. Gates run from cheap to dear: errors, membership, text, exact answer, tokens.
-    allowed: sources that may be used (None: all that have a rank).
+    allowed: sources that may be used (None: all that have a rank). prefix: what records of traces have before their
+    source.
     """
     known = others(problems, held_out, "id").select("id", "prompt", F.col("answer").alias("truth"), F.col("category").alias("type"))
     rows = without_errors(traces).where(F.col("source").isin(list(ranks) if allowed is None else allowed))
@@ -26,7 +27,7 @@ def curate(traces: DataFrame, problems: DataFrame, held_out: DataFrame, ranks: d
     rows = within_budget(rows, render_chat(chat(F.col("prompt"), F.col("cot"), F.col("truth"))), budget, tokens)
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), F.col("source")), F.lit(len(ranks)))
     best = top_per_group(rows, ["id"], [rank, F.length("cot"), F.col("source"), F.col("gen")], keep)
-    return best.select("id", "prompt", F.col("truth").alias("answer"), "type", F.col("cot").alias("generated_cot"), F.concat(F.lit("bedrock_"), F.col("source")).alias("source"))
+    return best.select("id", "prompt", F.col("truth").alias("answer"), "type", F.col("cot").alias("generated_cot"), F.concat(F.lit(prefix), F.col("source")).alias("source"))
 
 
 def synthetic(problems: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def chat_records(base: DataFrame, extra: DataFrame | None = None, times: int = 1
 
 def training_order(records: DataFrame, batch_size: int = 32, seed: int = SEED) -> DataFrame:
     """Records with batch and place, each batch mixed over types."""
-    keyed = records.withColumn("_key", F.concat_ws(":", "id", "copy", F.md5(F.to_json("messages"))))
+    keyed = records.withColumn("_key", F.concat_ws(":", "id", "copy", F.md5(render_chat(F.col("messages")).cast("binary"))))
     return round_robin(keyed, "_key", "type", batch_size, seed).drop("_key")
 
 

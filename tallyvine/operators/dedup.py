@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,41 +38,22 @@ def overlap(a: DataFrame, b: DataFrame, keys: dict[str, tuple[Column, Column]])
     return out
 
 
-def likely_copies(df: DataFrame, key: str, text: str, blocks: list[str], ratio: float) -> DataFrame:
-    """Pairs inside a block whose character likeness (quick ratio) is at least `ratio`.
-
-    Twice the shorter length over the sum bounds the likeness, so a pair's lengths lie in one or in neighbouring
-    geometric bands: an equality join on block and band finds all. The overlap is a sum over equal characters.
-    """
-    step = math.log((2 - ratio) / ratio) if ratio < 1 else 1.0
-    rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), *blocks, F.length(text).alias("n"), F.col(text).alias("t"))
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
-    one = rows.drop("t").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    two = rows.select(F.col("k").alias("k2"), *blocks, F.col("n").alias("n2"), "band")
-    # a pair of one band meets once; one of neighbours when the lower one is lifted
-    pairs = one.join(two, [*blocks, "band"]).where("k <> k2 and (n < n2 or (n = n2 and k < k2))").where(2.0 * F.least("n", "n2") / (F.col("n") + F.col("n2")) >= ratio).select(F.col("k").alias("a"), F.col("k2").alias("b"), (F.col("n") + F.col("n2")).alias("both")).distinct()
-    chars = rows.select("k", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
-    left, right = chars.select(F.col("k").alias("a"), "c", F.col("m").alias("ma")), chars.select(F.col("k").alias("b"), "c", F.col("m").alias("mb"))
-    shared = pairs.join(left, "a").join(right, ["b", "c"]).groupBy("a", "b", "both").agg(F.sum(F.least("ma", "mb")).alias("shared"))
-    return shared.where(2.0 * F.col("shared") / F.col("both") >= ratio).select("a", "b", (2.0 * F.col("shared") / F.col("both")).alias("ratio"))
-
-
 #: Counts of characters by code point modulo GROUPS bound a pair's likeness; a band is compared in PARTS tasks or more.
 GROUPS, PARTS = 16, 8
 
 
-def whole_likely_copies(df: DataFrame, key: str, text: str, block: str, ratio: float) -> DataFrame:
+def likely_copies(df: DataFrame, key: str, text: str, block: str, ratio: float) -> DataFrame:
     """All pairs of one block (null is a block too) whose character likeness is at least `ratio` (below 1).
 
     Texts with the same counts of all characters are one node, so exact copies are compared once. Nodes meet by block
     and length band; differences of the counts of GROUPS groups of characters sum to no more than those of single
     characters, so only pairs that cannot be alike fall before the exact counts are compared. Rows without a key or
-    with a null or empty text have no pairs. The output is quadratic in rows that are alike.
+    with a null text have no pairs; empty texts are all alike. The output is quadratic in rows that are alike.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log((2 - ratio) / ratio) * (1 + 1e-9)))
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(math.log((2 - ratio) / ratio) * (1 + 1e-9)))
     groups = [f"g{i}" for i in range(GROUPS)]
     named = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("null"))
-    rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), named.alias("block"), F.col(text).alias("t"))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), named.alias("block"), F.col(text).alias("t"))
     rows = rows.mapInArrow(_histograms, f"k {dict(df.dtypes)[key]}, block string, n long, digest string, codes array<int>, counts array<int>, {', '.join(f'{g} int' for g in groups)}")
     rows = rows.withColumn("h", F.sha2(F.concat_ws("", "digest", "block").cast("binary"), 256)).drop("digest")
     nodes = rows.drop("k").dropDuplicates(["h"]).withColumn("band", band)
@@ -81,7 +61,7 @@ def whole_likely_copies(df: DataFrame, key: str, text: str, block: str, ratio: f
     two = nodes.select(F.col("h").alias("h2"), F.col("n").alias("n2"), *[F.col(g).alias(f"{g}b") for g in groups], "block", "band", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     apart = sum((F.abs(F.col(g) - F.col(f"{g}b")) for g in groups[1:]), F.abs(F.col("g0") - F.col("g0b")))
     both = F.col("n") + F.col("n2")
-    near = one.join(two.hint("merge"), ["block", "band", "part"]).where("n < n2 or (n = n2 and h < h2)").where((both - apart).cast("double") / both >= ratio).select("h", "h2")
+    near = one.join(two.hint("merge"), ["block", "band", "part"]).where("n < n2 or (n = n2 and h < h2)").where((both - apart).cast("double") >= ratio * both).select("h", "h2")
     near = near.join(nodes.select("h", "codes", "counts"), "h").join(nodes.select(F.col("h").alias("h2"), F.col("codes").alias("codes2"), F.col("counts").alias("counts2")), "h2")
     near = near.select("h", "h2", "codes", "counts", "codes2", "counts2").mapInArrow(_likeness, "h string, h2 string, ratio double").where(F.col("ratio") >= ratio)
     left, right = rows.select("h", F.col("k").alias("a"), "n"), rows.select(F.col("h").alias("h2"), F.col("k").alias("b"), F.col("n").alias("n2"))
@@ -98,7 +78,7 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, digests, codes, counts, grouped = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-                if points.max() < 4096:
+                if points.max(initial=0) < 4096:
                     m = np.bincount(points)
                     c = np.flatnonzero(m)
                     m = m[c]
@@ -135,33 +115,46 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def greedy_clusters(df: DataFrame, group: str, order: str, text: str, least: float = 0.55) -> DataFrame:
     """group, order, representative (the order value of its cluster's first row), and whether it is one.
 
-    In order, a row joins the first representative that is at least so alike, else becomes one. Rows stream sorted
-    through each task, which holds the current group's representatives alone.
+    In order, a row joins the first representative that is at least so alike, else becomes one; null is a group, a null
+    text counts as empty, two empty texts are alike. Each decision needs those before it, so a group is read by one
+    task; rows stream through it sorted, and it holds the counts of characters of the group's representatives alone.
     """
 
-    def alike(a: tuple[Counter, int], b: tuple[Counter, int]) -> float:
-        return 2.0 * sum(min(n, b[0][c]) for c, n in a[0].items()) / (a[1] + b[1]) if a[1] + b[1] else 1.0
-
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = object(), []
+        now, places, counts, names, sizes = object(), {}, np.zeros((0, 0), np.int32), [], []
         for frame in frames:
             out = []
-            for g, o, t in frame.itertuples(index=False):
+            for g, o, t in zip(frame["g"].tolist(), frame["o"].tolist(), frame["t"].tolist()):
+                g, t = (None if pd.isna(g) else g), t if isinstance(t, str) else ""
                 if g != now:
-                    now, kept = g, []
-                mine = (Counter(t or ""), len(t or ""))
-                found = next((k for k, other in kept if alike(mine, other) >= least), None)
-                if found is None:
-                    kept.append((o, mine))
-                out.append((g, o, o if found is None else found, found is None))
-            yield pd.DataFrame(out, columns=["g", "o", "r", "first"])
+                    now, places, counts, names, sizes = g, {}, np.zeros((4, 64), np.int32), [], []
+                codes, mine = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+                at = np.array([places.setdefault(c, len(places)) for c in codes.tolist()], int)
+                if len(places) > counts.shape[1]:
+                    counts = np.pad(counts, ((0, 0), (0, max(len(places) - counts.shape[1], counts.shape[1]))))
+                shared = np.minimum(counts[: len(names)][:, at], mine).sum(axis=1)
+                both = np.array(sizes, float) + len(t)
+                alike = np.flatnonzero(np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0) >= least)
+                if len(alike):
+                    out.append((g, o, names[alike[0]], False))
+                    continue
+                if len(names) == len(counts):
+                    counts = np.pad(counts, ((0, len(counts)), (0, 0)))
+                counts[len(names), at] = mine
+                names.append(o)
+                sizes.append(len(t))
+                out.append((g, o, o, True))
+            yield pd.DataFrame(out, columns=["g", "o", "r", "first"]).astype({"g": frame["g"].dtype}) if out else frame.head(0)
 
     kinds = dict(df.dtypes)
-    sorted_rows = df.where(F.col(group).isNotNull()).select(group, order, text).repartition(group).sortWithinPartitions(group, order)
+    sorted_rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t")).repartition("g").sortWithinPartitions("g", "o")
     return sorted_rows.mapInPandas(rows, f"g {kinds[group]}, o {kinds[order]}, r {kinds[order]}, first boolean").toDF(group, order, "representative", "is_first")
 
 
-def diversity(clusters: DataFrame, group: str, cap: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Representatives per group, and their histogram capped at `cap`."""
+def diversity(clusters: DataFrame, group: str, cap: int = 3, status: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Representatives per group, and their histogram capped at `cap` or, with the groups' status (group, status), how
+    many groups of each status have two or more."""
     per = clusters.groupBy(group).agg(F.count_if("is_first").alias("nrep"), F.count(F.lit(1)).alias("ngens"))
+    if status is not None:
+        return per, per.join(status, group).groupBy("status").agg(F.count(F.lit(1)).alias("problems"), F.count_if(F.col("nrep") >= 2).alias("diverse"))
     return per, per.groupBy(F.least("nrep", F.lit(cap)).alias("nrep")).agg(F.count(F.lit(1)).alias("problems"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ def yield_table(traces: DataFrame, groups: list[str], problem: str = "id") -> Da
     per = traces.groupBy(*groups, problem).agg(F.count_if(fine).alias("gens"), F.count_if(fine & hit).alias("hits"), F.count(F.lit(1)).alias("calls"))
     mid = traces.where(fine).groupBy(*groups).agg(median_sql("nullif(out_tokens, 0)").alias("tok_p50"))
     found = per.groupBy(*groups).agg(F.count_if(F.col("gens") > 0).alias("n_prob"), F.sum("gens").alias("n_gen"), (F.sum("hits") / F.sum("gens")).alias("pass1"), (F.count_if(F.col("hits") > 0) / F.count_if(F.col("gens") > 0)).alias("pass_any"), F.sum("calls").alias("calls"), (F.sum("calls") - F.sum("gens")).alias("errors"))
-    return found.join(mid, groups, "left").withColumn("tok_p50", F.coalesce("tok_p50", F.lit(0)))
+    same = functools.reduce(Column.__and__, [found[g].eqNullSafe(mid[g]) for g in groups], F.lit(True))  # null is a group too
+    return found.join(mid, same, "left").select(*[found[c] for c in found.columns], F.coalesce(mid["tok_p50"], F.lit(0)).alias("tok_p50"))
 
 
 def median_sql(expression: str) -> Column:
@@ -115,3 +118,15 @@ def least_logprob(df: DataFrame, logprobs: str, limit: float = -0.69) -> DataFra
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many values each column has."""
     return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+
+
+def value_list(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in order."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def best_rules(df: DataFrame, symbol: str, candidates: dict[str, Column], truth: Column) -> DataFrame:
+    """One row: matches of the best operation of each symbol, summed; the best operation for all, and its matches."""
+    per = best_per_symbol(df, symbol, candidates, truth).agg(F.sum("rows").alias("rows"), F.sum("matches").alias("by_symbol"))
+    fixed = candidate_fit(df, candidates, truth).agg(F.max("matches").alias("fixed"), F.min_by("operation", F.struct(-F.col("matches"), "operation")).alias("operation"))
+    return per.join(F.broadcast(fixed))

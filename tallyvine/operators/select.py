@@ -60,9 +60,15 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows by an ordinal: rows of files have none of their own, so it must be a column."""
     return df.orderBy(*order).limit(n)
 
 
+def with_status(df: DataFrame, *statuses: str, column: str = "status") -> DataFrame:
+    """Rows of one of the statuses; rows without status are of none."""
+    return df.where(F.col(column).isin(*statuses))
+
+
 def matching(df: DataFrame, category: str | None = None, model: str | None = None, correct: bool | None = None, with_text: bool | None = None) -> DataFrame:
     """The conjunction of the given conditions; category and model are patterns, letter case aside."""
     found = []
@@ -93,10 +99,15 @@ def exact_answers(df: DataFrame, truth: str = "truth") -> DataFrame:
 
 
 def within_budget(df: DataFrame, text: Column, most: int = 8000, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
-    """Rows whose formatted example takes at most so many tokens."""
+    """Rows whose formatted example takes at most so many tokens; over_budget() counts the others."""
     return df.where(tokens(text) <= most)
 
 
+def over_budget(df: DataFrame, text: Column, most: int = 8000, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+    """How many rows within_budget() drops."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(tokens(text) > most).alias("dropped"))
+
+
 def within_recorded(df: DataFrame, most: int = 8192) -> DataFrame:
     """Rows whose recorded tokens are unknown or at most so many."""
     return df.where(F.coalesce("out_tokens", F.lit(0)) <= most)

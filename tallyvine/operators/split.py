@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Rows that a broadcast may hold.
+BROADCAST_IDS = 1_000_000
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
@@ -23,11 +25,37 @@ def quotas(df: DataFrame, stratum: str) -> DataFrame:
     return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).withColumn("held_out", quota(F.col("n")))
 
 
+#: Hash ranges of a stratum; each is ranked by itself after the rows of those before it have been counted.
+RANGES = 1 << 12
+
+
+def ranked(df: DataFrame, key: str, stratum: str, seed: int = SEED, ahead: Column | None = None, most: Column | None = None) -> DataFrame:
+    """df with `_rank` of each row in its stratum by draw order (rows with `ahead` first) and `_total` of the stratum; null is
+    a stratum too. most: only rows up to this rank, a function of the stratum, are kept and sorted at all.
+
+    Rows are counted by stratum and hash range; a row's rank is the count of the ranges before its own plus its place
+    inside, so no task sees more than one range of a stratum.
+    """
+    rows = df.withColumn("_draw", draw(F.col(key), seed))
+    place = F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int")  # 12 bits: RANGES
+    rows = rows.withColumn("_range", place if ahead is None else place + F.when(ahead, 0).otherwise(RANGES))
+    counts = rows.groupBy(F.col(stratum).alias("_stratum"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_stratum")
+    before = counts.select("_stratum", "_of", (F.sum("_n").over(whole.orderBy("_of")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    few = before.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(before) if few else before.hint("merge"), F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_range") == F.col("_of")))
+    if most is not None:
+        rows = rows.where(F.col("_before") < most)
+    rows = rows.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_draw", key)))
+    if most is not None:
+        rows = rows.where(F.col("_rank") <= most)
+    return rows.drop("_draw", "_range", "_stratum", "_of", "_before")
+
+
 def stratified(df: DataFrame, key: str, stratum: str, seed: int = SEED) -> DataFrame:
     """df (a row per key) with split: heldout for the first quota of each stratum in draw order, else train."""
-    sizes = quotas(df, stratum)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key)))
-    return ranked.join(F.broadcast(sizes.select(stratum, "held_out")), stratum).withColumn("split", F.when(F.col("_rank") <= F.col("held_out"), "heldout").otherwise("train")).drop("_rank", "held_out")
+    rows = ranked(df, key, stratum, seed)
+    return rows.withColumn("split", F.when(F.col("_rank") <= quota(F.col("_total")), "heldout").otherwise("train")).drop("_rank", "_total")
 
 
 def split_faults(split: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -36,39 +64,41 @@ def split_faults(split: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return both.union(ids.select(key).distinct().join(split, key, "left_anti").select(key, F.lit("in none").alias("fault")))
 
 
-def capped_sample(df: DataFrame, key: str, stratum: str, caps: dict, default: int, seed: int = SEED) -> DataFrame:
-    """At most a cap of rows per stratum, without replacement, in draw order."""
+def _cap(stratum: str, caps: dict, default: int) -> Column:
     cap = F.lit(default)
     for value, n in caps.items():
         cap = F.when(F.col(stratum) == value, F.lit(n)).otherwise(cap)
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key))).where(F.col("_rank") <= cap).drop("_rank")
+    return cap
+
+
+def capped_sample(df: DataFrame, key: str, stratum: str, caps: dict, default: int, seed: int = SEED) -> DataFrame:
+    """At most a cap of rows per stratum, without replacement, in draw order."""
+    return ranked(df, key, stratum, seed, most=_cap(stratum, caps, default)).drop("_rank", "_total")
 
 
 def unsolved_first(df: DataFrame, key: str, stratum: str, unsolved: Column, caps: dict, default: int, seed: int = SEED) -> DataFrame:
     """A capped sample that takes unsolved rows of a stratum before the others."""
-    cap = F.lit(default)
-    for value, n in caps.items():
-        cap = F.when(F.col(stratum) == value, F.lit(n)).otherwise(cap)
-    order = Window.partitionBy(stratum).orderBy(F.when(unsolved, 0).otherwise(1), draw(F.col(key), seed), key)
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
+    return ranked(df, key, stratum, seed, F.coalesce(unsolved, F.lit(False)), _cap(stratum, caps, default)).drop("_rank", "_total")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
-    return df.orderBy(draw(F.col(key), seed), key)
+    """df with its position in draw order, from 0."""
+    rows = ranked(df.withColumn("_whole", F.lit(0)), key, "_whole", seed)
+    return rows.withColumn("position", F.col("_rank") - 1).drop("_whole", "_rank", "_total")
 
 
 def round_robin(df: DataFrame, key: str, stratum: str, batch_size: int, seed: int = SEED) -> DataFrame:
     """df with batch and place: each stratum's rows, in draw order, are dealt over all batches by a counter that runs
     on from stratum to stratum; batches themselves come in draw order.
 
-    The counter is a row number inside each stratum plus the sizes of the strata before it, so no task sees all rows.
+    The counter is a rank inside each stratum plus the sizes of the strata before it, so no task sees all rows.
     """
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"))
     total = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
     batches = max(1, -(-total // batch_size))
-    before = sizes.select(F.col(stratum).alias("_stratum"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(stratum)) - F.col("n")).alias("_before"))  # a row per stratum
-    order = Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key)
-    rows = df.join(F.broadcast(before), F.col(stratum).eqNullSafe(F.col("_stratum"))).drop("_stratum")
-    rows = rows.withColumn("place", F.col("_before") + F.row_number().over(order) - 1).withColumn("slot", F.pmod("place", F.lit(batches)))
-    slots = df.sparkSession.range(batches).select(F.col("id").alias("slot"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw(F.col("id"), seed + 1), "id")) - 1).cast("long").alias("batch"))
-    return rows.join(slots, "slot").drop("_before", "slot")
+    before = sizes.select("_stratum", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_stratum")) - F.col("n")).alias("_before"))  # a row per stratum
+    few = before.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = ranked(df, key, stratum, seed).join(F.broadcast(before) if few else before.hint("merge"), F.col(stratum).eqNullSafe(F.col("_stratum")))
+    rows = rows.withColumn("place", F.col("_before") + F.col("_rank") - 1).withColumn("slot", F.pmod("place", F.lit(batches))).drop("_before", "_rank", "_total", "_stratum")
+    slots = ranked(df.sparkSession.range(batches).select(F.col("id").alias("slot"), F.lit(0).alias("_all")), "slot", "_all", seed + 1)
+    return rows.join(slots.select("slot", (F.col("_rank") - 1).alias("batch")), "slot").drop("slot")

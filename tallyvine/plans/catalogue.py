@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grade, text
-from ..operators import audit, dedup, metrics, rules, select, split
-from ..streaming.work import latest
+from ..operators import audit, corpus, dedup, metrics, rules, select, split
+from ..sources import files, schemas
+from ..sources.scratch import fresh_path
+from ..streaming.work import latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,10 +43,10 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("category"), (v > 60).alias("correct"), F.floor(v).cast("long").alias("out_tokens"), F.when(v > 250, "throttled").alias("error"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("category"), (v > 60).alias("correct"), F.floor(v).cast("long").alias("out_tokens"), F.when(v > 250, "throttled").alias("error"))
 
 
-_T = "t AS (SELECT user_id AS id, event_type AS category, value > 60 AS ok, CAST(floor(value) AS BIGINT) AS tok, value > 250 AS err FROM events)"
+_T = "t AS (SELECT user_id AS id, CASE WHEN event_type <> 'click' THEN event_type END AS category, value > 60 AS ok, CAST(floor(value) AS BIGINT) AS tok, value > 250 AS err FROM events)"
 
 
 @query(f"""WITH {_T},
@@ -52,7 +55,7 @@ mid AS (SELECT category, list_sort(list(tok))[len(list(tok)) // 2 + 1] AS p50 FR
 SELECT per.category, count(*) FILTER (WHERE gens > 0) AS n_prob, CAST(sum(gens) AS BIGINT) AS n_gen, round(sum(hits) / sum(gens), 6) AS pass1,
        round(count(*) FILTER (WHERE hits > 0) / count(*) FILTER (WHERE gens > 0), 6) AS pass_any, CAST(sum(calls) AS BIGINT) AS calls,
        CAST(sum(calls) - sum(gens) AS BIGINT) AS errors, coalesce(any_value(mid.p50), 0) AS tok_p50
-FROM per LEFT JOIN mid ON mid.category = per.category GROUP BY 1""")
+FROM per LEFT JOIN mid ON mid.category IS NOT DISTINCT FROM per.category GROUP BY 1""")
 def yield_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.yield_table(_traces(spark, sf_dir), ["category"]), "pass1", "pass_any")
 
@@ -60,25 +63,29 @@ def yield_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEC = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)"
 _TEXT = f"""CASE l_linenumber % 6 WHEN 0 THEN 'it is ' || {_DEC} || ' or so'
 WHEN 1 THEN 'so \\boxed{{' || {_DEC} || '}}' WHEN 2 THEN '\\boxed{{1}} then \\boxed{{ ' || {_DEC} || ' }}.'
-WHEN 3 THEN 'about ' || {_DEC} || ' \\boxed{{}}' WHEN 4 THEN '\\boxed{{\\frac{{' || {_DEC} || '}}{{2}}}}' ELSE '\\boxed{{' || {_DEC} || '}} and \\boxed{{7' END"""
+WHEN 3 THEN 'about ' || {_DEC} || ' \\boxed{{}}' WHEN 4 THEN '\\boxed{{\\frac{{{{{{{{{{' || {_DEC} || '}}}}}}}}}}{{2}}}}' ELSE '\\boxed{{' || {_DEC} || '}} and \\boxed{{7' END"""
 
 
 def _box_sql() -> str:
-    return text.box_pattern().removeprefix("(?s)")
+    return text.box_pattern(7).removeprefix("(?s)")
 
 
 @query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS txt FROM lineitem),
 b AS (SELECT *, nullif(regexp_replace(regexp_extract(txt, '{_box_sql()}', 1, 's'), '^\\s+|\\s+$', '', 'g'), '') AS box FROM t)
 SELECT l_orderkey, l_linenumber, coalesce(box, regexp_extract_all(txt, '{text.NUMBER}')[-1]) AS answer, contains(txt, '\\boxed{{') AS boxed FROM b""")
 def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _boxed_texts(spark, sf_dir)
+    return rows.select("l_orderkey", "l_linenumber", text.extract_answer(F.col("txt")).alias("answer"), text.has_box(F.col("txt")).alias("boxed"))
+
+
+def _boxed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec = F.floor("l_extendedprice").cast("long").cast("string")
     kind = F.col("l_linenumber") % 6
     txt = (
         F.when(kind == 0, F.concat(F.lit("it is "), dec, F.lit(" or so"))).when(kind == 1, F.concat(F.lit("so \\boxed{"), dec, F.lit("}"))).when(kind == 2, F.concat(F.lit("\\boxed{1} then \\boxed{ "), dec, F.lit(" }.")))
-        .when(kind == 3, F.concat(F.lit("about "), dec, F.lit(" \\boxed{}"))).when(kind == 4, F.concat(F.lit("\\boxed{\\frac{"), dec, F.lit("}{2}}"))).otherwise(F.concat(F.lit("\\boxed{"), dec, F.lit("} and \\boxed{7")))
+        .when(kind == 3, F.concat(F.lit("about "), dec, F.lit(" \\boxed{}"))).when(kind == 4, F.concat(F.lit("\\boxed{\\frac{{{{{"), dec, F.lit("}}}}}{2}}"))).otherwise(F.concat(F.lit("\\boxed{"), dec, F.lit("} and \\boxed{7")))
     )
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", txt.alias("txt"))
-    return rows.select("l_orderkey", "l_linenumber", text.extract_answer(F.col("txt")).alias("answer"), text.has_box(F.col("txt")).alias("boxed"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", txt.alias("txt"))
 
 
 @query("""WITH t AS (SELECT l_returnflag, l_linenumber % 2 = 0 AS stored, CAST(floor(l_extendedprice) AS BIGINT) AS v, l_partkey % 5 AS k FROM lineitem),
@@ -87,13 +94,13 @@ g AS (SELECT *, TRY_CAST(pred AS DOUBLE) AS a, TRY_CAST(truth AS DOUBLE) AS b FR
 h AS (SELECT *, pred = truth OR coalesce(a = b, false) AS exact,
       CASE WHEN regexp_full_match(truth, '[01]+') THEN pred = truth WHEN a IS NOT NULL THEN abs(a - b) <= greatest(0.01 * greatest(abs(a), abs(b)), 1e-5) ELSE lower(pred) = lower(truth) END AS tol FROM g)
 SELECT l_returnflag, count(*) AS rows, count(*) FILTER (WHERE stored) AS stored, count(*) FILTER (WHERE stored AND exact) AS exact, count(*) FILTER (WHERE stored AND tol AND NOT exact) AS tolerance_only,
-       count(*) FILTER (WHERE stored AND NOT tol) AS wrong, count(*) FILTER (WHERE NOT stored AND exact) AS missed FROM h GROUP BY 1""")
+       count(*) FILTER (WHERE stored AND NOT tol) AS wrong, count(*) FILTER (WHERE NOT stored AND exact) AS missed, round_even((count(*) FILTER (WHERE stored) - count(*) FILTER (WHERE stored AND exact)) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE stored), 0), 1) AS inflation_pct FROM h GROUP BY 1""")
 def grade_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.floor("l_extendedprice").cast("long"), F.col("l_partkey") % 5
     s = lambda c: c.cast("string")
     pred = F.when(k == 0, s(v)).when(k == 1, s(v + F.expr("cast(floor(l_extendedprice) as bigint) div 200"))).when(k == 2, s(v + F.expr("cast(floor(l_extendedprice) as bigint) div 10"))).when(k == 3, F.concat(s(v), F.lit(".0"))).otherwise("n/a")
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_linenumber") % 2 == 0).alias("stored"), pred.alias("pred"), s(v).alias("truth"))
-    return metrics.inflation(rows, ["l_returnflag"], F.col("stored"), grade.num_eq(F.col("pred"), F.col("truth")), grade.is_correct(F.col("pred"), F.col("truth"))).drop("inflation_pct")
+    return metrics.inflation(rows, ["l_returnflag"], F.col("stored"), grade.num_eq(F.col("pred"), F.col("truth")), grade.is_correct(F.col("pred"), F.col("truth")))
 
 
 @query("""SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'OVERALL' ELSE o_orderpriority END AS o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000) AS correct, count(*) AS total,
@@ -184,28 +191,43 @@ def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE text <> ''),
+_RATIO = "round(2.0 * sum(least(c1.m, c2.m)) / any_value(n), 6)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, length(text) AS n FROM documents),
 c AS (SELECT doc_id, ch, count(*) AS m FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
-p AS (SELECT x.doc_id AS x, y.doc_id AS y, x.n + y.n AS n FROM d x JOIN d y ON x.lang = y.lang AND x.source = y.source AND (x.n < y.n OR (x.n = y.n AND x.doc_id < y.doc_id)) AND 2.0 * x.n / (x.n + y.n) >= 0.98)
-SELECT x AS a, y AS b, round(2.0 * sum(least(c1.m, c2.m)) / any_value(n), 6) AS ratio FROM p JOIN c c1 ON c1.doc_id = x JOIN c c2 ON c2.doc_id = y AND c2.ch = c1.ch GROUP BY 1, 2 HAVING 2.0 * sum(least(c1.m, c2.m)) / any_value(n) >= 0.98""")
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, x.n + y.n AS n FROM d x JOIN d y ON x.lang IS NOT DISTINCT FROM y.lang AND (x.n < y.n OR (x.n = y.n AND x.doc_id < y.doc_id)) AND 2.0 * x.n >= 0.98 * (x.n + y.n))
+SELECT x AS a, y AS b, {_RATIO} AS ratio FROM p JOIN c c1 ON c1.doc_id = x JOIN c c2 ON c2.doc_id = y AND c2.ch = c1.ch GROUP BY 1, 2 HAVING 2.0 * sum(least(c1.m, c2.m)) / any_value(n) >= 0.98
+UNION ALL SELECT x, y, 1.0 FROM p WHERE n = 0""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(dedup.likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"], 0.98), "ratio")
+    """All texts of one language, null included, whatever their sources."""
+    return _round(dedup.likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 0.98), "ratio")
 
 
-@query()
-def near_dup_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """near_dup_pairs across sources, rows of null lang or source included: its SQL compares within a source alone."""
-    return _round(dedup.whole_likely_copies(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 0.98), "ratio")
+# the clusters' SQL walks through a conversation and keeps the list of representatives
+_GREEDY = """c AS (SELECT conv_id, turn, ch, count(*) AS m FROM (SELECT conv_id, turn, unnest(string_split(text, '')) AS ch FROM conversations) WHERE ch <> '' GROUP BY 1, 2, 3),
+q AS (SELECT c1.conv_id, c1.turn AS t, c2.turn AS u, sum(least(c1.m, c2.m)) AS shared FROM c c1 JOIN c c2 ON c2.conv_id = c1.conv_id AND c2.ch = c1.ch AND c2.turn < c1.turn GROUP BY 1, 2, 3),
+k AS (SELECT x.conv_id, x.turn AS t, list(y.turn) FILTER (WHERE y.turn IS NOT NULL AND CASE WHEN length(x.text) + length(y.text) = 0 THEN true ELSE 2.0 * coalesce(q.shared, 0) / (length(x.text) + length(y.text)) >= 0.55 END) AS alike, row_number() OVER (PARTITION BY x.conv_id ORDER BY x.turn) AS i
+  FROM conversations x LEFT JOIN conversations y ON y.conv_id = x.conv_id AND y.turn < x.turn LEFT JOIN q ON q.conv_id = x.conv_id AND q.t = x.turn AND q.u = y.turn GROUP BY x.conv_id, x.turn),
+g AS (SELECT conv_id, t, i, t AS r, [t] AS reps FROM k WHERE i = 1
+  UNION ALL SELECT k.conv_id, k.t, k.i, coalesce(list_filter(g.reps, lambda z: list_contains(k.alike, z))[1], k.t), CASE WHEN len(list_filter(g.reps, lambda z: list_contains(k.alike, z))) > 0 THEN g.reps ELSE list_append(g.reps, k.t) END FROM g JOIN k ON k.conv_id = g.conv_id AND k.i = g.i + 1)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_GREEDY} SELECT conv_id, t AS turn, r AS representative, r = t AS is_first FROM g")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_clusters(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
+@query(f"WITH RECURSIVE {_GREEDY}, n AS (SELECT conv_id, count(*) FILTER (WHERE r = t) AS nrep FROM g GROUP BY 1) SELECT CAST(least(nrep, 3) AS BIGINT) AS nrep, count(*) AS problems FROM n GROUP BY 1")
 def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.diversity(dedup.greedy_clusters(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text"), "conv_id")[1]
+    return dedup.diversity(greedy_clusters(spark, sf_dir), "conv_id")[1].withColumn("nrep", F.col("nrep").cast("long"))
+
+
+@query(f"WITH RECURSIVE {_GREEDY}, n AS (SELECT conv_id, count(*) FILTER (WHERE r = t) AS nrep FROM g GROUP BY 1), s AS (SELECT conv_id, min_by(role, turn) AS status FROM conversations GROUP BY 1) SELECT status, count(*) AS problems, count(*) FILTER (WHERE nrep >= 2) AS diverse FROM n JOIN s ON s.conv_id = n.conv_id GROUP BY 1")
+def diversity_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by the role that opens them, and how many have two clusters or more."""
+    status = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("status"))
+    return dedup.diversity(greedy_clusters(spark, sf_dir), "conv_id", status=status)[1]
 
 
 @query("""SELECT conv_id, md5(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn)) AS digest, count(*) AS turns FROM conversations GROUP BY 1""")
@@ -269,14 +291,38 @@ def rule_search_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.consistent(problems, rules.rule_table(spark, grammar)).groupBy("id").agg(F.count(F.lit(1)).alias("rules"), F.min("rule").alias("first_rule"))
 
 
-@query()
+def _bit_images(v: str, names: tuple[str, ...]) -> str:
+    """DuckDB list of (name, value) of bit terms of an expression."""
+    turn = lambda k: f"((({v} << {k}) | ({v} >> {8 - k})) & 255)"
+    left, right = turn(1), turn(7)
+    made = {"x": v, "id": v, "NOT": f"xor({v}, 255)", "not": f"xor({v}, 255)", "REV": f"CAST(concat('0b', reverse(lpad(bin({v}), 8, '0'))) AS BIGINT)"}
+    for k in range(1, 8):
+        made |= {f"ROL{k}": turn(k), f"ROR{k}": turn(8 - k), f"SHL{k}": f"(({v} << {k}) & 255)", f"SHR{k}": f"({v} >> {k})"}
+    made |= {"NB_XOR": f"xor({left}, {right})", "NB_XOR3": f"xor(xor({left}, {right}), {v})", "NB_MAJ": f"(({left} & {right}) | ({left} & {v}) | ({right} & {v}))"}
+    return "[" + ", ".join(f"{{'o': {i}, 'n': '{n}', 'v': CAST({made[n]} AS BIGINT)}}" for i, n in enumerate(names)) + "]"
+
+
+_PUZZLE = """t AS (SELECT p_partkey // 9 AS id, p_partkey % 9 AS k, (p_partkey * 37) % 256 AS x FROM part),
+e AS (SELECT *, xor(((x << 3) | (x >> 5)) & 255, x >> 2) AS y FROM t WHERE id IN (SELECT id FROM t WHERE k = 8)),
+need AS (SELECT id, count(*) FILTER (WHERE k < 8) AS n FROM e GROUP BY 1)"""
+_OPERATORS = "(VALUES (0, 'AND'), (1, 'OR'), (2, 'XOR')) o(q, op), (VALUES (0), (255)) s(neg)"
+
+
+@query(f"""WITH {_PUZZLE}, m AS (SELECT id, k, x, y, unnest({_bit_images('x', tuple(rules.bit_terms()))}) AS b FROM e),
+f AS (SELECT id, k, y, b.n AS n, b.v AS v FROM m),
+r AS (SELECT id, k, y, n || neg AS rule, xor(v, neg) AS p FROM f, (VALUES (0), (255)) s(neg)
+  UNION ALL SELECT a.id, a.k, a.y, a.n || op || b.n || neg, xor(CASE q WHEN 0 THEN a.v & b.v WHEN 1 THEN a.v | b.v ELSE xor(a.v, b.v) END, neg) FROM f a JOIN f b ON a.id = b.id AND a.k = b.k, {_OPERATORS}),
+h AS (SELECT r.id, rule, max(p) FILTER (WHERE k = 8) AS guess, max(y) FILTER (WHERE k = 8) AS truth FROM r JOIN need ON need.id = r.id GROUP BY r.id, rule, n HAVING count(*) FILTER (WHERE k < 8 AND p = y) = n AND n > 0),
+g AS (SELECT id, count(*) AS rules, count(DISTINCT guess) AS n_predictions, bool_or(guess = truth) AS truth_predicted FROM h GROUP BY 1)
+SELECT need.id, coalesce(rules, 0) AS rules, coalesce(n_predictions, 0) AS n_predictions, coalesce(truth_predicted, false) AS truth_predicted FROM need LEFT JOIN g ON g.id = need.id""")
 def rule_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole grammar of the verifier over problems of eight examples each, made of part keys."""
     at = F.col("p_partkey")
     x = F.pmod(at * 37, F.lit(256)).cast("int")
     rows = table(spark, sf_dir, "part").select(F.floor(at / 9).alias("id"), (at % 9).alias("k"), x.alias("x"), text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)).alias("y"))
     problems = rows.groupBy("id").agg(F.collect_list(F.when(F.col("k") < 8, F.struct("x", "y"))).alias("examples"), F.max(F.when(F.col("k") == 8, F.col("x"))).alias("query"), F.max(F.when(F.col("k") == 8, F.col("y"))).alias("truth"))
-    return rules.verify(problems.where("query is not null"), rules.rule_table(spark, rules.verifier_rules()))
+    found = rules.verify(problems.where("query is not null"), rules.rule_table(spark, rules.verifier_rules()))
+    return found.withColumn("n_predictions", F.col("n_predictions").cast("long"))
 
 
 _FIT = "(VALUES ('add'), ('sub'), ('mul'), ('concat')) o(operation)"
@@ -383,17 +429,13 @@ def dynamic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.matching(rows, category="UR|ick", correct=True).select("event_id", "user_id", F.col("category").alias("event_type"))
 
 
-@query("SELECT count(*) AS rows, CAST(sum(length(CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) END)) AS BIGINT) AS chars, md5(string_agg(md5(CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) END), '' ORDER BY doc_id)) AS digest FROM documents")
-def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.head_tail(F.col("text")).alias("x"))
-    both = rows.select("doc_id", F.length("x").alias("n"), F.md5(F.col("x").cast("binary")).alias("h"))
-    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda s: s["h"]), "").cast("binary")).alias("digest"))
+_HEAD_TAIL = "CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) END"
 
 
-@query()
-def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of three examples each from supplier and part numbers, solved by the operator family search."""
-    return rules.equation_search(_equation_prompts(spark, sf_dir)).select("id", "answer")
+@query(f"SELECT doc_id, length({_HEAD_TAIL}) AS chars, md5({_HEAD_TAIL}) AS digest FROM documents")
+def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.head_tail(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.length("x").cast("long").alias("chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
 def _equation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,9 +448,19 @@ def _equation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.where("q is not null").select("id", F.concat(F.lit("Examples:\n"), F.array_join(F.transform("e", lambda s: s["t"]), ""), F.lit("Now, determine the result for: "), "q").alias("prompt"))
 
 
-@query()
+_PRIMS = tuple(rules.bit_primitives())
+
+
+@query(f"""WITH {_PUZZLE}, m AS (SELECT id, k, y, unnest({_bit_images('x', _PRIMS)}) AS b FROM e), f AS (SELECT id, k, y, b.o AS o, b.v AS v FROM m),
+c AS (SELECT id, k, y, o, unnest({_bit_images('v', _PRIMS)}) AS b FROM f),
+r AS (SELECT id, k, y, o AS rule, v AS p FROM f UNION ALL SELECT id, k, y, 30 + o * 30 + b.o, b.v FROM c
+  UNION ALL SELECT a.id, a.k, a.y, 1000 + q * 1000 + a.o * 30 + b.o, CASE q WHEN 0 THEN xor(a.v, b.v) WHEN 1 THEN a.v | b.v ELSE a.v & b.v END FROM f a JOIN f b ON a.id = b.id AND a.k = b.k AND a.o <= b.o, (VALUES (0), (1), (2)) w(q)),
+h AS (SELECT r.id, rule, max(p) FILTER (WHERE k = 8) AS guess FROM r JOIN need ON need.id = r.id GROUP BY r.id, rule, n HAVING count(*) FILTER (WHERE k < 8 AND p = y) = n AND n > 0),
+v AS (SELECT id, guess, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(rule)) AS place FROM h GROUP BY 1, 2)
+SELECT need.id, lpad(bin(guess), 8, '0') AS answer FROM need LEFT JOIN v ON v.id = need.id AND place = 1""")
 def bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of eight examples of eight-bit words from part numbers, solved by the word search."""
+    """Prompts of eight examples of eight-bit words from part numbers, solved by the word search. Its first tier holds a
+    rule for all of them, which is what the SQL searches."""
     return rules.bit_search(_bit_prompts(spark, sf_dir)).select("id", "answer")
 
 
@@ -424,15 +476,7 @@ def _bit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same prompts solved bit by bit under the harness."""
-    return rules.run_solver(_bit_prompts(spark, sf_dir), _solve_bit_prompt)
-
-
-def _solve_bit_prompt(prompt: str) -> str | None:
-    import re
-
-    found = re.findall(r"([01]{8}) -> ([01]{8})", prompt)
-    asked = re.search(r"determine the output for: ([01]{8})", prompt)
-    return rules.solve_bits([(int(a, 2), int(b, 2)) for a, b in found], int(asked[1], 2)) if asked else None
+    return rules.answers(_bit_prompts(spark, sf_dir), "bit_columns")
 
 
 _X = "CAST(p_partkey % 256 AS BIGINT)"
@@ -466,6 +510,33 @@ def arithmetic_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.md5(F.concat_ws("|", *[F.coalesce(made[n], F.lit("-")) for n in _OPS]).cast("binary")).alias("digest"))
 
 
+def _hypotheses() -> str:
+    """DuckDB list of the 216 results of operands s, u, in the order of the search."""
+    plain = {n: f"CAST({e} AS VARCHAR)" for n, e in _OPS.items()}
+    swap = str.maketrans({"a": "b", "b": "a", "s": "u", "u": "s", "p": "r", "r": "p", "q": "v", "v": "q"})
+    out = []
+    for name in rules._ARITHMETIC:
+        if name not in rules.GUARDED:
+            other = re.sub(r"\\b[abpqrsuv]\\b", lambda m: m[0].translate(swap), plain[name])
+            for base in (plain[name], other):
+                for value in (base, f"CASE WHEN {base} LIKE '-%' THEN '-' || reverse({base}[2:]) ELSE reverse({base}) END"):
+                    out += [value, f"'+' || ({value})"]
+    return "[" + ", ".join(out) + "]"
+
+
+@query(f"""WITH k AS (SELECT p_partkey // 4 AS id, p_partkey % 4 AS i, (p_partkey * 7) % 100 AS a, (p_partkey * 3) % 100 AS b, (p_partkey // 4) % 2 AS m FROM part),
+e AS (SELECT id, i, a, b, CASE WHEN m = 0 THEN a + b ELSE a * b END AS y, lpad(CAST(a AS VARCHAR), 2, '0') AS s, lpad(CAST(b AS VARCHAR), 2, '0') AS u FROM k),
+d AS (SELECT *, CAST(s[1] AS BIGINT) AS p, CAST(s[2] AS BIGINT) AS q, CAST(u[1] AS BIGINT) AS r, CAST(u[2] AS BIGINT) AS v FROM e WHERE id IN (SELECT id FROM e WHERE i = 3)),
+w AS (SELECT id, i, CAST(y AS VARCHAR) AS y, {_hypotheses()} AS made FROM d),
+x AS (SELECT id, i, y, unnest(made) AS made, generate_subscripts(made, 1) AS h FROM w),
+n AS (SELECT id, count(*) FILTER (WHERE i < 3) AS n FROM d GROUP BY 1),
+o AS (SELECT x.id, h, max(made) FILTER (WHERE i = 3) AS answer FROM x JOIN n ON n.id = x.id GROUP BY x.id, h, n HAVING n > 0 AND count(*) FILTER (WHERE i < 3 AND made = y) = n)
+SELECT n.id, min_by(answer, h) FILTER (WHERE answer IS NOT NULL) AS answer FROM n LEFT JOIN o ON o.id = n.id GROUP BY 1""")
+def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of three examples each from part numbers, solved by the operator family search."""
+    return rules.equation_search(_equation_prompts(spark, sf_dir)).select("id", "answer")
+
+
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'bit_manipulation' WHEN 1 THEN 'gravity' WHEN 2 THEN 'numeral' WHEN 3 THEN 'cipher' ELSE 'other' END AS kind, CAST(l_quantity AS BIGINT) AS v, l_partkey % 3 AS k FROM lineitem),
 p AS (SELECT *, 'A' || v AS text_truth, CASE k WHEN 0 THEN 'a' || v WHEN 1 THEN 'A' || v ELSE 'B' || v END AS text_pred, CAST(v AS VARCHAR) AS truth, CASE k WHEN 0 THEN v || '.04' WHEN 1 THEN v || '.9' ELSE v || '.0' END AS pred FROM t)
 SELECT kind, count(*) AS rows, count(*) FILTER (WHERE CASE kind WHEN 'bit_manipulation' THEN text_pred = text_truth WHEN 'gravity' THEN abs(CAST(pred AS DOUBLE) - CAST(truth AS DOUBLE)) <= greatest(0.005 * greatest(abs(CAST(pred AS DOUBLE)), abs(CAST(truth AS DOUBLE))), 0.05)
@@ -482,15 +553,19 @@ def type_checkers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQUEEZE = "regexp_replace({}, '\\s+', '', 'g')"
 
 
-@query(f"""WITH d AS (SELECT text FROM documents), p AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 1)
+_LINES = "list_sort(list_distinct(string_split(text, chr(10))))"
+
+
+@query(f"""WITH d AS (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), p AS (SELECT text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT 'exact' AS key, count(*) AS rows FROM d WHERE text IN (SELECT text FROM p)
 UNION ALL SELECT 'normalised', count(*) FROM d WHERE {_NORM} IN (SELECT {_NORM} FROM p)
-UNION ALL SELECT 'squeezed', count(*) FROM d WHERE {_SQUEEZE.format('text')} IN (SELECT {_SQUEEZE.format('text')} FROM p)""")
+UNION ALL SELECT 'squeezed', count(*) FROM d WHERE {_SQUEEZE.format('text')} IN (SELECT {_SQUEEZE.format('text')} FROM p)
+UNION ALL SELECT 'pairs', count(*) FROM d WHERE {_LINES} IN (SELECT {_LINES} FROM p)""")
 def prompt_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of all texts equal one of an odd id, by three keys."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = dedup.prompt_keys(F.col("text"), F.array())
-    return dedup.overlap(docs, docs.where("doc_id % 2 = 1"), {n: (made[n], made[n]) for n in ("exact", "normalised", "squeezed")})
+    """How many labelled texts equal one without label, by four keys (lines stand for examples)."""
+    docs, ids = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
+    made = dedup.prompt_keys(F.col("text"), F.split("text", "\\n"))
+    return dedup.overlap(select.members(docs, ids, "doc_id"), select.others(docs, ids, "doc_id"), {n: (k, k) for n, k in made.items()})
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE value > 150), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 60)
@@ -514,22 +589,285 @@ def capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.capture_row(rows).select("event_id", "text", "error")
 
 
-@query("""SELECT 'src0' AS source, CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE length(text) < 300) AS is_stub FROM documents WHERE source = 'src0' UNION ALL SELECT source, count(*), count(*) FILTER (WHERE length(text) < 300) FROM documents WHERE source <> 'src0' GROUP BY 1""")
+_OVER = "ceil(length(text) / 4.0) > 7680"
+_SURE = f"(contains(lower(text), 'matches all') OR contains(lower(text), 'perfect match')) AND NOT ({' OR '.join(f'contains(lower(right(text, 400)), {chr(39)}{w}{chr(39)})' for w in text.GUESS_WORDS)})"
+
+
+@query(f"""SELECT source, count(*) AS rows, count(*) FILTER (WHERE length(text) < 300) AS is_stub, count(*) FILTER (WHERE lang = 'de') AS is_cut, count(*) FILTER (WHERE {_OVER}) AS is_over,
+count(*) FILTER (WHERE {_GUESS}) AS has_guess, count(*) FILTER (WHERE {_SURE}) AS is_verified FROM documents GROUP BY 1""")
 def trace_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = audit.trace_flags(table(spark, sf_dir, "documents"), "text", text.estimated_tokens(F.col("text")), F.lit("end_turn"))
-    return audit.flag_report(flagged, ["source"]).select("source", "rows", "is_stub")
+    stop = F.when(F.col("lang") == "de", "max_tokens").otherwise("end_turn")
+    flagged = audit.trace_flags(table(spark, sf_dir, "documents"), "text", text.estimated_tokens(F.col("text")), stop)
+    return audit.flag_report(flagged, ["source"])
 
 
-@query()
+_USABLE = "regexp_replace(text, '^\\\\s+|\\\\s+$', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS prompt, lang AS type, text AS cot, CAST(n_chars AS VARCHAR) AS answer, doc_id FROM documents),
+r AS (SELECT *, 1 AS copy FROM d WHERE {_USABLE.replace('text', 'cot')} <> 'nan' AND length({_USABLE.replace('text', 'cot')}) >= 5 UNION ALL SELECT d.*, CAST(c AS INTEGER) FROM d JOIN labels l ON l.doc_id = d.doc_id, generate_series(1, 3) g(c) WHERE l.toxic = 1),
+m AS (SELECT id, copy, type, concat_ws(':', id, copy, md5('<|user|>' || chr(10) || prompt || chr(10) || 'Please put your final answer inside `\\boxed{{}}`. For example: `\\boxed{{your answer}}`' || chr(10) || '<|assistant|>' || chr(10) || regexp_replace(regexp_replace(cot, '\\\\boxed\\{{{text._balanced(3)}\\}}', '', 'g'), '\\s+$', '', 'g') || chr(10) || '</think>' || chr(10) || '\\boxed{{' || answer || '}}' || chr(10))) AS key FROM r),
+n AS (SELECT CAST(ceil(count(*) / 32.0) AS BIGINT) AS b FROM m),
+o AS (SELECT id, copy, type, row_number() OVER (ORDER BY type, md5('42:' || key), key) - 1 AS place FROM m),
+s AS (SELECT i AS slot, row_number() OVER (ORDER BY md5('43:' || i), i) - 1 AS batch FROM n, generate_series(0, b - 1) g(i))
+SELECT o.id, o.copy, o.type, s.batch, o.place FROM o, n, s WHERE s.slot = o.place % n.b""")
 def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records of all documents, oversampled where they are labelled toxic, in training order."""
-    from ..operators import corpus
-
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("prompt"), F.col("lang").alias("type"), F.col("text").alias("generated_cot"), F.col("n_chars").cast("string").alias("answer"))
     extra = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")), "id")
     return corpus.training_order(corpus.chat_records(docs, extra, 3)).select("id", "copy", "type", "batch", "place")
 
 
-@query()
+def _roman_sql(n: str) -> str:
+    tens = lambda i, v, x: f"['', '{i}', '{i}{i}', '{i}{i}{i}', '{i}{v}', '{v}', '{v}{i}', '{v}{i}{i}', '{v}{i}{i}{i}', '{i}{x}']"
+    return f"repeat('M', CAST({n} // 1000 AS INTEGER)) || {tens('C', 'D', 'M')}[{n} // 100 % 10 + 1] || {tens('X', 'L', 'C')}[{n} // 10 % 10 + 1] || {tens('I', 'V', 'X')}[{n} % 10 + 1]"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 4000 BETWEEN 1 AND 3999 THEN {_roman_sql('(p_partkey % 4000)')} END AS numeral FROM part")
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.roman(F.col("p_partkey") % 4000).alias("numeral"))
+
+
+# sources and sinks: tables written to the shared folder and read back
+
+
+def _trace_lines(spark: SparkSession, sf_dir: str, bad: Column) -> DataFrame:
+    """Events as JSON lines of traces with blank lines between; bad ones are cut off in the middle."""
+    line = F.concat(F.lit('{"id":"'), "event_id", F.lit('","category":"'), "event_type", F.lit('","out_tokens":'), F.floor("value").cast("string"), F.lit("}\n"))
+    return table(spark, sf_dir, "events").select("event_type", F.when(bad, F.left(line, F.lit(20))).otherwise(line).alias("value"))
+
+
+_TRACE_SQL = "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS category, CAST(floor(value) AS INTEGER) AS out_tokens FROM events"
+
+
+@query(f"{_TRACE_SQL} WHERE value <= 250")
+def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "lines")
+    _trace_lines(spark, sf_dir, F.col("value") > 250).select("value").write.text(path)
+    return files.read_jsonl(spark, path, schemas.TRACE).select("id", "category", "out_tokens")
+
+
+@query("SELECT count(*) FILTER (WHERE value > 250) AS dropped FROM events")
+def jsonl_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "lines")
+    _trace_lines(spark, sf_dir, F.col("value") > 250).select("value").write.text(path)
+    return files.corrupt_lines(spark, path, schemas.TRACE).agg(F.sum("dropped").alias("dropped"))
+
+
+@query(_TRACE_SQL)
+def jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "lines")
+    _trace_lines(spark, sf_dir, F.lit(False)).select("value").write.text(path)
+    return files.read_jsonl(spark, path, schemas.TRACE, tolerant=False).select("id", "category", "out_tokens")
+
+
+@query(f"{_TRACE_SQL} WHERE event_type <> 'error' OR NOT EXISTS (SELECT * FROM events WHERE event_type = 'error' AND value > 60)")
+def jsonl_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per event type, one of them with malformed lines."""
+    path = fresh_path(spark, "lines")
+    _trace_lines(spark, sf_dir, (F.col("event_type") == "error") & (F.col("value") > 60)).repartition("event_type").write.partitionBy("event_type").text(path)
+    return files.read_whole_files(spark, f"{path}/*", schemas.TRACE).select("id", "category", "out_tokens")
+
+
+@query("""SELECT conv_id || '-' || turn AS id, text || chr(10) || '"' || role || '",x' AS prompt FROM conversations""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas through CSV."""
+    path = fresh_path(spark, "csv")
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit(" "), "conv_id", F.lit("-"), "turn").alias("ID"), F.concat("text", F.lit('\n"'), "role", F.lit('",x')).alias("Prompt"))
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path)
+
+
+@query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels")
+def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    files.write_ids(table(spark, sf_dir, "labels"), "doc_id", path)
+    return files.read_ids(spark, path)
+
+
+@query("SELECT 'run_' || event_type AS label, count(*) AS rows FROM events WHERE event_type <> 'error' GROUP BY 1")
+def labelled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder per event type, of which one is a test run."""
+    root, lines = fresh_path(spark, "runs"), _trace_lines(spark, sf_dir, F.lit(False))
+    for kind in ("view", "signup", "purchase", "click", "error"):
+        lines.where(F.col("event_type") == kind).select("value").write.text(f"{root}/{'_test' if kind == 'error' else 'run'}_{kind}/results.jsonl")
+    return files.read_labelled(spark, root, schemas.TRACE).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT 'a' AS source, CAST(event_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS lang FROM events UNION ALL SELECT 'b', CAST(event_id AS VARCHAR), NULL FROM events WHERE value <= 250
+UNION ALL SELECT NULL, CAST(doc_id AS VARCHAR), lang FROM documents""")
+def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registered sources, a missing one, and a table of other columns."""
+    one, two = fresh_path(spark, "one"), fresh_path(spark, "two")
+    _trace_lines(spark, sf_dir, F.lit(False)).select("value").write.text(one)
+    _trace_lines(spark, sf_dir, F.col("value") > 250).select("value").write.text(two)
+    found, _ = files.read_registry(spark, {"a": one, "b": two, "gone": f"{one}-gone"}, schemas.TRACE)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    return files.union_all(found.select("source", "id"), docs).select("source", "id", "lang")
+
+
+@query("SELECT doc_id, count(*) * 2 AS appended, count(*) AS overwritten FROM labels GROUP BY 1")
+def appended_and_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows appended twice to one sink and written twice over another."""
+    rows, one, two = table(spark, sf_dir, "labels").select("doc_id"), fresh_path(spark, "appended"), fresh_path(spark, "overwritten")
+    for _ in range(2):
+        files.append_jsonl(rows, one)
+        files.overwrite_jsonl(rows, two)
+    counted = lambda path, name: spark.read.schema("doc_id long").json(path).groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    return counted(one, "appended").join(counted(two, "overwritten"), "doc_id", "full")
+
+
+@query("SELECT '| source | n |' AS line UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || source || ' | ' || count(*) || ' |' FROM documents GROUP BY source")
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files.markdown(metrics.value_counts(table(spark, sf_dir, "documents"), "source")).split("\n")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), w AS (SELECT greatest(max(length(source)), 6) AS w FROM c)
+SELECT rpad('source', CAST(w AS INTEGER), ' ') || '  n' AS line FROM w UNION ALL SELECT rpad(source, CAST(w AS INTEGER), ' ') || '  ' || n FROM c, w""")
+def fixed_width_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files.fixed_width(metrics.value_counts(table(spark, sf_dir, "documents"), "source")).split("\n")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("""SELECT 'RESULT {"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS value FROM documents""")
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.result_line(table(spark, sf_dir, "documents").select("doc_id", "lang"), "RESULT")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1""")
+def state_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, from two batches merged into a state table."""
+    rows, path = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), fresh_path(spark, "state")
+    merge = upsert(path, "user_id", "event_id")
+    merge(rows.where("event_type <> 'click'"), 0)
+    merge(rows.where("event_type = 'click'"), 1)
+    return files.load_state(spark, path)
+
+
+# curation
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Traces, problems and held-out ids made of line items and parts."""
+    part = table(spark, sf_dir, "part")
+    answer = F.floor("p_retailprice").cast("long")
+    problems = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("category"), F.col("p_name").alias("prompt"), answer.cast("string").alias("answer"))
+    rows = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), answer.alias("a")), "l_partkey")
+    box = F.concat(F.lit(" \\boxed{"), F.when(F.col("l_tax") < 0.04, F.col("a")).otherwise(F.col("a") + 5).cast("string"), F.lit("} "))
+    traces = rows.select(F.col("l_partkey").cast("string").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gen"), F.col("l_returnflag").alias("source"), F.when(F.col("l_linestatus") == "O", F.concat(F.repeat(F.lit("a"), F.col("l_quantity").cast("int")), box)).alias("text"), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("b"), box)).alias("answer_text"), F.when(F.col("l_discount") > 0.09, "x").alias("error"))
+    return traces, problems, part.where("p_size = 50").select(F.col("p_partkey").cast("string").alias("id"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_type, p_name, p_size, CAST(floor(p_retailprice) AS BIGINT) AS a FROM part),
+t AS (SELECT p.*, l_orderkey * 10 + l_linenumber AS gen, l_returnflag AS source, CASE l_linestatus WHEN 'O' THEN repeat('a', CAST(l_quantity AS INTEGER)) WHEN 'F' THEN 'b' END AS words FROM lineitem JOIN p ON p_partkey = l_partkey WHERE l_discount <= 0.09 AND l_tax < 0.04 AND l_returnflag IN ('N', 'A') AND p_size <> 50),
+c AS (SELECT *, words || ' \\boxed{' || a || '}' AS cot FROM t WHERE words IS NOT NULL),
+f AS (SELECT *, ceil(length('<|user|>.' || p_name || '.Please put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`.' || '<|assistant|>.' || words || '.</think>.\\boxed{' || a || '}.') / 4.0) AS tokens FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE source WHEN 'N' THEN 0 ELSE 1 END, length(cot), source, gen) AS k FROM f WHERE tokens <= 55)
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS prompt, CAST(a AS VARCHAR) AS answer, p_type AS type, cot AS generated_cot, 'bedrock_' || source AS source FROM r WHERE k <= 4""")
+def curated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, held-out problems, empty traces, wrong answers and long examples fall; the four best traces stay."""
+    traces, problems, held = _captured(spark, sf_dir)
+    return corpus.curate(traces, problems, held, {"N": 0, "A": 1}, keep=4, budget=55)
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) AS b, l_linenumber % 4 AS k, l_tax < 0.04 AS good FROM lineitem),
+m AS (SELECT *, CASE k WHEN 0 THEN '-' WHEN 1 THEN '*' WHEN 2 THEN '/' END AS op, CASE k WHEN 0 THEN CAST(a - b AS VARCHAR) WHEN 1 THEN CAST(b AS VARCHAR) || CAST(a AS VARCHAR) WHEN 2 THEN CAST(a * b AS VARCHAR) END AS made FROM t)
+SELECT l_orderkey || '-' || l_linenumber AS id, made AS answer, l_returnflag AS type, 'No example shows the operator ' || op || ', so its sign has to tell: it ' || CASE k WHEN 0 THEN 'subtracts the second number from the first' WHEN 1 THEN 'writes the second number before the first' ELSE 'multiplies both numbers' END || '. For ' || a || ' and ' || b || ' that gives ' || made || '.' AS generated_cot, 'solver_rule' AS source
+FROM m WHERE good AND k < 3""")
+def synthetic_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems whose operator tells its meaning; a part of them has another answer and gives no trace."""
+    k, a, b = F.col("l_linenumber") % 4, F.col("l_quantity").cast("long").cast("string"), F.col("l_suppkey").cast("string")
+    op = F.when(k == 0, "-").when(k == 1, "*").when(k == 2, "/").otherwise("#")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.col("l_returnflag").alias("category"), F.concat(F.lit("Now, determine the result for: "), a, op, b).alias("prompt"), F.when(F.col("l_tax") < 0.04, text.typographic(a, op, b)).otherwise("none").alias("answer"))
+    return corpus.synthetic(rows).drop("prompt")
+
+
+@query("SELECT event_id, event_type AS status FROM events WHERE event_type IN ('view', 'signup')")
+def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.with_status(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("status")), "view", "signup")
+
+
+@query("""SELECT l.doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN '' WHEN toxic = 1 THEN 'known' END, ''), d.lang) AS lang FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def filled_from_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "").when(F.col("toxic") == 1, "known").alias("lang"))
+    return select.enrich(rows, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang")
+
+
+@query("SELECT user_id, event_id FROM events WHERE coalesce(CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS BIGINT) END, 0) <= 120")
+def recorded_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("out_tokens", F.when(F.col("event_type") != "view", F.floor("value").cast("long")))
+    return select.within_recorded(rows, 120).select("user_id", "event_id")
+
+
+@query("SELECT doc_id, (contains(lower(text), 'license') OR contains(lower(text), 'the ')) AND NOT (contains(lower(right(text, 400)), 'ing ') OR contains(lower(right(text, 400)), 'maybe')) AS sure FROM documents")
+def verify_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of verification and of guessing near the end, with words that occur in the texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.verified_without_guess(F.col("text"), ("License", "the "), ("ing ", "maybe")).alias("sure"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'licence' WHEN contains(lower(text), '@') THEN 'mail' ELSE 'other' END AS category FROM documents")
+def prompt_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.category(F.col("text"), [("license", "licence"), ("@", "mail")]).alias("category"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS position FROM documents")
+def full_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, round(404.0::DOUBLE / ceil(length(text) / 4.0), 6) AS keep_share FROM documents WHERE ceil(length(text) / 4.0) > 500")
+def over_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("generated_cot", F.col("text"))
+    return _round(corpus.over_length(rows, 500, 96).select("doc_id", "tokens", "keep_share"), "keep_share")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def value_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.value_list(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"""WITH t AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b, l_orderkey % 2 AS k FROM lineitem),
+e AS (SELECT *, CASE WHEN k = 0 THEN a + b ELSE a * b END AS y FROM t),
+c AS (SELECT l_returnflag, operation, count(*) AS n, count(*) FILTER (WHERE y = CASE operation WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b ELSE a * 10 + b END) AS m FROM e, {_FIT} GROUP BY 1, 2),
+s AS (SELECT l_returnflag, max(n) AS n, max(m) AS m FROM c GROUP BY 1), o AS (SELECT operation, sum(m) AS m FROM c GROUP BY 1)
+SELECT CAST((SELECT sum(n) FROM s) AS BIGINT) AS rows, CAST((SELECT sum(m) FROM s) AS BIGINT) AS by_symbol, CAST(m AS BIGINT) AS fixed, operation FROM o ORDER BY m DESC, operation LIMIT 1""")
+def best_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the best operation of each flag, and with the best one for all: a report of one row."""
+    a, b = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    truth = F.when(F.col("l_orderkey") % 2 == 0, a + b).otherwise(a * b)
+    return metrics.best_rules(table(spark, sf_dir, "lineitem"), "l_returnflag", {"add": a + b, "sub": a - b, "mul": a * b, "concat": a * 10 + b}, truth)
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) AS b, l_linenumber % 4 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN a WHEN 1 THEN a * 100000000 + a WHEN 2 THEN a END AS a, CASE k WHEN 0 THEN -b WHEN 1 THEN b WHEN 2 THEN b END AS b FROM t""")
+def prompt_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs, long numbers, numbers apart from each other, and none."""
+    k, a, b = F.col("l_linenumber") % 4, F.col("l_quantity").cast("long"), F.col("l_suppkey").cast("string")
+    prompt = F.when(k == 0, F.concat(F.lit("take "), a, F.lit(" + -"), b)).when(k == 1, F.concat(a * 100000000 + a, F.lit("÷"), b, F.lit("?"))).when(k == 2, F.concat(F.lit("from "), a, F.lit(" to "), b)).otherwise(F.concat(a, F.lit("x"), b))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.operands(prompt).alias("o")).select("l_orderkey", "l_linenumber", "o.a", "o.b")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS txt FROM lineitem) SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(txt, '\\\\boxed\\{{{text._balanced(3)}\\}}', '', 'g'), '\\s+$', '') AS rest FROM t WHERE l_linenumber % 6 <> 4""")
+def boxes_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _boxed_texts(spark, sf_dir).where("l_linenumber % 6 <> 4")
+    return rows.select("l_orderkey", "l_linenumber", text.strip_boxed(F.col("txt")).alias("rest"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey > l_quantity THEN '-' ELSE '' END || reverse(CAST(abs(CAST(l_quantity AS BIGINT) - l_suppkey) AS VARCHAR)) AS turned FROM lineitem""")
+def signed_reverses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.signed_reverse((F.col("l_quantity").cast("long") - F.col("l_suppkey")).cast("string")).alias("turned"))
+
+
+@query()
+def symbol_puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of two-digit part numbers in letters, four examples each, solved under the harness."""
+    k = F.col("p_partkey")
+    two = lambda c: F.lpad(F.pmod(c, F.lit(100)).cast("string"), 2, "0")
+    coded = lambda c: F.translate(c, "0123456789", "qwertyuiop")
+    a, b = k * 7, k * 13
+    line = F.concat(coded(two(a)), F.lit("+"), coded(two(b)))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 5).alias("id"), F.pmod(k, F.lit(5)).alias("i"), line.alias("left"), coded((F.pmod(a, F.lit(100)) + F.pmod(b, F.lit(100))).cast("string")).alias("right"))
+    per = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("i") < 4, F.struct("i", F.concat("left", F.lit(" = "), "right").alias("t"))))).alias("e"), F.max(F.when(F.col("i") == 4, F.col("left"))).alias("q"))
+    prompts = per.where("q is not null").select("id", F.concat(F.lit("examples:\n"), F.array_join(F.transform("e", lambda s: s["t"]), "\n"), F.lit("\nNow, determine the result for: "), "q").alias("prompt"))
+    return rules.answers(prompts, "symbols")

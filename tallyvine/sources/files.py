@@ -1,8 +1,11 @@
-"""Sources and sinks: line-delimited JSON in three tolerances, multi-line CSV, id lists, labelled trees of files."""
+"""Sources and sinks: line-delimited JSON, tolerant of malformed lines, of malformed files or of nothing; multi-line
+CSV, id lists, labelled trees of files, reports, state tables that are replaced atomically."""
 
 from __future__ import annotations
 
 import functools
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +36,25 @@ def corrupt_lines(spark: SparkSession, paths: str | list[str], schema: T.StructT
     return read_jsonl(spark, paths, schema, keep_corrupt=True).select(F.col("_metadata.file_path").alias("file"), (F.col(CORRUPT).isNotNull() & _parsed(schema)).alias("bad")).groupBy("file").agg(F.count_if(F.col("bad")).alias("dropped"))
 
 
+def read_whole_files(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """Rows of the files that have no malformed line; corrupt_lines() tells which have. A reader that goes line by line
+    would keep the rows before the first malformed one, which a split file has no order for."""
+    found = read_jsonl(spark, paths, schema, keep_corrupt=True).withColumn("_file", F.col("_metadata.file_path"))
+    bad = found.where(F.col(CORRUPT).isNotNull() & _parsed(schema)).select("_file").distinct()
+    return found.join(bad, "_file", "left_anti").where(F.col(CORRUPT).isNull() & _parsed(schema)).drop("_file", CORRUPT)
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV with quoted line breaks, all columns as strings; header names without byte-order mark, blanks or case."""
+    """CSV with quoted line breaks, all columns as strings (empty ones null, ids without blanks at their ends); header
+    names without byte-order mark, blanks or case."""
     found = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(paths)
-    return found.toDF(*[c.lstrip("\ufeff").strip().lower() for c in found.columns])
+    found = found.toDF(*[c.lstrip("\ufeff").strip().lower() for c in found.columns])
+    return found.withColumn("id", F.trim("id")) if "id" in found.columns else found
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that read_csv reads back: every value quoted, quotes doubled, blanks kept."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_ids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -46,7 +64,7 @@ def read_ids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_labelled(spark: SparkSession, root: str, schema: T.StructType, name: str = "results.jsonl") -> DataFrame:
     """root/<label>/name with the label as a column; labels of test runs (`_test...`) are left out."""
-    found = read_jsonl(spark, f"{root}/*/{name}", schema).withColumn("label", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    found = read_jsonl(spark, f"{root}/*/{name}", schema).withColumn("label", F.regexp_extract("_metadata.file_path", f"/([^/]+)/{re.escape(name)}(/[^/]*)?$", 1))
     return found.where(~F.col("label").startswith("_test"))
 
 
@@ -93,26 +111,63 @@ def result_line(df: DataFrame, tag: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"{tag} "), F.to_json(F.struct(*df.columns))).alias("value"))
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small, already aggregated frame as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame) -> str:
+    """An aggregated frame, all of its rows, as a Markdown table."""
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in df.toLocalIterator())])
 
 
-def fixed_width(df: DataFrame, limit: int = 1000) -> str:
-    """A small, already aggregated frame as a table of aligned columns."""
-    rows = [df.columns, *([("" if v is None else str(v)) for v in r] for r in df.limit(limit).collect())]
+def fixed_width(df: DataFrame) -> str:
+    """An aggregated frame, all of its rows, as a table of aligned columns."""
+    rows = [df.columns, *([("" if v is None else str(v)) for v in r] for r in df.toLocalIterator())]
     widths = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in rows)
 
 
+def _renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Renames over what is there, in one step."""
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    where = hadoop.Path(target)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    qualified = base.makeQualified(where)
+    hadoop.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(base.makeQualified(hadoop.Path(source)), qualified, options)
+
+
 def save_state(df: DataFrame, path: str) -> None:
-    """A keyed state table, replaced as a whole: written beside the old one and moved into its place."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    """A keyed state table, replaced as a whole and at once: a version is written beside the others, and then a file that
+    names it is renamed over the old one. Readers see the old or the new version; versions before these are removed."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    old = _pointed_name(spark, path)
+    df.write.parquet(f"{path}/version={name}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    hadoop = jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(conf)
+    out = fs.create(hadoop.Path(f"{path}/_next-{name}"), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    _renamed(spark, f"{path}/_next-{name}", f"{path}/_current")
+    for status in fs.listStatus(hadoop.Path(path)):
+        found = status.getPath().getName()
+        if found.startswith("version=") and found not in (f"version={name}", f"version={old}"):
+            fs.delete(status.getPath(), True)
+
+
+def _pointed_name(spark: SparkSession, path: str) -> str | None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{path}/_current")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(32)).decode()
+    finally:
+        stream.close()
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state table as it was last saved; None before that."""
+    name = _pointed_name(spark, path)
+    return None if name is None else spark.read.parquet(f"{path}/version={name}")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: States of a submission, and an error that asks for another try in the next cycle.
@@ -70,18 +71,34 @@ def latest(states: DataFrame, key: str, time: str) -> DataFrame:
 
 def upsert(path: str, key: str, time: str):
     """A function for foreachBatch that merges each batch into a keyed state table by its latest rows."""
-    from ..sources.files import save_state
+    from ..sources.files import load_state, save_state
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        old = spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else batch.limit(0)
-        save_state(latest(old.unionByName(batch), key, time), path)
+        old = load_state(batch.sparkSession, path)
+        save_state(latest(batch if old is None else old.unionByName(batch), key, time), path)
 
     return merge
 
 
-def progress(query: Any, step: int = 50) -> list[int]:
-    """Multiples of `step` that a query's processed rows have passed."""
-    total = sum(p["numInputRows"] for p in query.recentProgress)
-    return list(range(step, total + 1, step))
+class Progress(StreamingQueryListener):
+    """Counts the rows of all batches of every query; passed() gives the multiples of `step` that one has passed. Register
+    it by spark.streams.addListener before the query starts."""
+
+    def __init__(self, step: int = 50) -> None:
+        self.step, self.rows = step, {}
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event: Any) -> None:
+        of = str(event.progress.id)
+        self.rows[of] = self.rows.get(of, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+    def passed(self, query: Any) -> list[int]:
+        return list(range(self.step, self.rows.get(str(query.id), 0) + 1, self.step))

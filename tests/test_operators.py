@@ -58,35 +58,21 @@ def test_votes(spark):
     assert (got[1].majority, got[2].majority, got[2].unanimous, got[3].unanimous) == ("y", "b", None, "z")
 
 
-def test_likely_copies_against_all_pairs(spark):
-    rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("abcdef "), int(n))) for n in rng.integers(1, 60, 60)]
-    texts += [t + "a" for t in texts[:20]]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("g", F.lit(1))
-    got = {(min(r.a, r.b), max(r.a, r.b)): r.ratio for r in dedup.likely_copies(df, "id", "t", ["g"], 0.9).collect()}
-    import difflib
-
-    want = {}
-    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
-        x = difflib.SequenceMatcher(None, a, b).quick_ratio()
-        if x >= 0.9:
-            want[(i, j)] = x
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-
-
-def test_near_dup_pairs_all_against_brute_force(spark, tmp_path):
+def test_near_dup_pairs_against_brute_force(spark, tmp_path):
     from tallyvine.plans import catalogue
 
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("abcdefgh é漢😀 "), int(n))) for n in rng.integers(1, 400, 50)]
     texts += [t + "a" for t in texts[:30]] + [t[::-1] for t in texts[:10]] + texts[:20] + ["x" * 49, "x" * 51, "y" * 98, "y" * 102, "y" * 103]
-    rows = [(i, t, [None, "en", "fr"][i % 3 if i % 2 else 1], [None, "s1", "s2"][i % 3]) for i, t in enumerate([*texts, "", None])]
+    rows = [(i, t, [None, "en", "fr"][i % 3 if i % 2 else 1], [None, "s1", "s2"][i % 3]) for i, t in enumerate([*texts, "", "", None])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalogue.QUERIES["near_dup_pairs_all"](spark, str(tmp_path)).collect()
+    found = catalogue.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()
     got = {(r.a, r.b): r.ratio for r in found}
     want = {}
     for (i, x, lang, _), (j, y, lang2, _) in itertools.combinations(rows, 2):
-        if lang == lang2 and x and y:
+        if lang == lang2 and x == y == "":
+            want[i, j] = 1.0
+        elif lang == lang2 and x and y:
             shared = sum(min(x.count(c), y.count(c)) for c in set(x))
             if 2.0 * shared / (len(x) + len(y)) >= 0.98:
                 want[(i, j) if len(x) <= len(y) else (j, i)] = round(2.0 * shared / (len(x) + len(y)), 6)
@@ -96,16 +82,30 @@ def test_near_dup_pairs_all_against_brute_force(spark, tmp_path):
 
 
 def test_greedy_clusters(spark):
-    rows = [("g", 0, "aaaa"), ("g", 1, "aaab"), ("g", 2, "zzzz"), ("g", 3, None), ("h", 0, "aaaa"), (None, 0, "q")]
+    rows = [("g", 0, "aaaa"), ("g", 1, "aaab"), ("g", 2, "zzzz"), ("g", 3, None), ("g", 4, ""), ("h", 0, "aaaa"), (None, 0, "q"), (None, 1, "q"), (None, 2, "é😀")]
     got = {(r.g, r.o): (r.representative, r.is_first) for r in dedup.greedy_clusters(spark.createDataFrame(rows, "g string, o int, t string"), "g", "o", "t").collect()}
-    assert got == {("g", 0): (0, True), ("g", 1): (0, False), ("g", 2): (2, True), ("g", 3): (3, True), ("h", 0): (0, True)}
-
-
-def test_contamination(spark):
+    assert got == {("g", 0): (0, True), ("g", 1): (0, False), ("g", 2): (2, True), ("g", 3): (3, True), ("g", 4): (3, False), ("h", 0): (0, True), (None, 0): (0, True), (None, 1): (0, False), (None, 2): (2, True)}
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"[: int(rng.integers(2, 26))]), int(rng.integers(0, 30)))) for _ in range(150)]
+    kept, want = [], {}
+    for o, t in enumerate(texts):
+        alike = lambda u: 2 * sum(min(t.count(c), u.count(c)) for c in set(t)) / (len(t) + len(u)) if t or u else 1.0  # noqa: E731, B023
+        want[o] = next((p for p, u in kept if alike(u) >= 0.55), o)
+        kept += [(o, t)] * (want[o] == o)
+    df = spark.createDataFrame([(1, o, t) for o, t in enumerate(texts)], "g int, o int, t string").repartition(3)
+    assert {r.o: r.representative for r in dedup.greedy_clusters(df, "g", "o", "t").collect()} == want
+
+
+def test_contamination(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven"
-    docs = spark.createDataFrame([(1, f"Say: {item.upper()}.\n ok"), (2, "one two three"), (3, None), (4, "a short Item here")], "d int, text string")
-    items = spark.createDataFrame([(7, item), (8, "short item"), (9, ""), (10, None)], "i int, text string")
-    assert sorted(map(tuple, audit.contamination(docs, items, "d", "i").collect())) == [(1, 7), (4, 8)]
+    docs = [(1, f"Say: {item.upper()}.\n ok"), (2, "one two three"), (3, None), (4, "a short Item here"), (5, "abcone two threefour"), (6, "concatenate"), (7, ""), (7, f"x{item}y"), (8, "a b c d a b c d e")]
+    items = [(7, item), (8, "short item"), (9, ""), (10, None), (11, "one two three"), (12, "cat"), (13, "b c d e"), (14, "ONE  two"), (15, "t"), (16, "b c d a b c d e f")]
+    norm = lambda t: " ".join(t.lower().split())
+    want = sorted({(d, i) for d, t in docs for i, u in items if t is not None and u and norm(u) in norm(t)})
+    for few in (100_000, 0):  # broadcast, then joined
+        monkeypatch.setattr(audit, "FEW", few)
+        got = audit.contamination(spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i")
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_rule_counts_and_division(spark):
@@ -136,34 +136,99 @@ def test_bit_solvers(spark):
 def test_equation_search(spark):
     ask = lambda lines, q: "examples:\n" + "\n".join(lines) + f"\nNow, determine the result for: {q}"
     prompts = spark.createDataFrame([("add", ask(["12#34 = 46", "50#07 = 57"], "20#22")), ("rev", ask(["12+34 = #64"], "11+22")), ("op", ask(["12#34 = 46", "12*34 = 408"], "11*11")), ("none", ask(["12#34 = zz"], "11#11")), ("empty", "x")], "id string, prompt string")
-    got = {r.id: r.answer for r in rules.equation_search(prompts).collect()}
+    prompts = prompts.withColumn("note", F.lit(None).cast("string"))
+    prompts = prompts.union(prompts).union(spark.createDataFrame([(None, None, None)], prompts.schema))
+    rows = rules.equation_search(prompts).collect()
+    got = {r.id: r.answer for r in rows}
+    assert len(rows) == 11 and got[None] is None and rules.equation_search(spark.createDataFrame([("t", ask(["12#34 = 46", "20#22 = 440"], "20#22"))] * 2, "id string, prompt string")).where("answer is not null").count() == 0
     assert got["add"] == "42" and got["op"] == "121" and got["none"] is None and got["empty"] is None
 
 
+def symbols_by_hand(examples, query):
+    """All digits of all symbols, tried one after the other."""
+    parts = [(left[:2] + left[3:], right) for left, right in examples]
+    asked = query[:2] + query[3:]
+    symbols = list(dict.fromkeys("".join(a + r for a, r in parts) + asked))
+    answers = set()
+    for op in (lambda a, b: a + b, lambda a, b: a - b, lambda a, b: abs(a - b), lambda a, b: a * b):
+        for digits in itertools.product(range(10), repeat=len(symbols)):
+            of, names = dict(zip(symbols, digits)), {}
+            for s, d in of.items():
+                names.setdefault(str(d), s)
+            made = lambda t: "".join(c if c == "-" else names.get(c, "?") for c in str(op(of[t[0]] * 10 + of[t[1]], of[t[2]] * 10 + of[t[3]])))  # noqa: E731, B023
+            if all(made(a) == r for a, r in parts) and "?" not in made(asked):
+                answers.add(made(asked))
+    return answers.pop() if len(answers) == 1 else None
+
+
+def test_symbols_against_all_digits():
+    rng = np.random.default_rng(9)
+    some = lambda n: "".join(rng.choice(list("abcd"), n))
+    found = set()
+    for k in range(60):
+        examples = [(some(2) + "+" + some(2), ("-" if rng.random() < 0.15 else "") + some(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 3)))]
+        if k % 2:  # one that has a solution
+            of = dict(zip("abcd", rng.integers(0, 10, 4)))
+            names = {}
+            for s in "abcd":
+                names.setdefault(str(of[s]), s)
+            made = []
+            for left, _ in examples:
+                value = str([lambda a, b: a + b, lambda a, b: a - b, lambda a, b: a * b][k % 3](of[left[0]] * 10 + of[left[1]], of[left[3]] * 10 + of[left[4]]))
+                made.append((left, "".join("-" if c == "-" else names.get(c, "a") for c in value)))
+            examples = made
+        query = some(2) + "*" + some(2)
+        if any(how == [r for _, r in examples] for how in ([x[:2] + x[3:] for x, _ in examples], [x[3:] + x[:2] for x, _ in examples])):
+            continue
+        want = symbols_by_hand(examples, query)
+        found.add(want is not None)
+        assert rules.solve_symbols(examples, query) == want, (examples, query)
+    assert found == {True, False}
+    assert rules.solve_symbols([("db+dc", "dcc"), ("ca+da", "da")], "aa+cc") is None
+
+
 def test_symbol_solver_and_harness(spark):
-    digits = dict(zip("abcdefghij", range(10)))
-    name = {d: s for s, d in digits.items()}
-    made = [(x + "+" + y, "".join(name[int(c)] for c in str(int("".join(str(digits[s]) for s in x)) + int("".join(str(digits[s]) for s in y))))) for x, y in (("bc", "de"), ("jj", "bb"), ("fg", "hi"), ("aj", "ca"), ("ih", "ge"))]
-    answer = rules.solve_symbols(made, "bb+bc")
-    assert answer in (None, "cd")
     assert rules.solve_symbols([("ab+cd", "abcd")], "xy+zw") == "xyzw"
+    assert rules.solve_symbol_prompt("examples:\nab+cd = cdab\nNow, determine the result for: xy+zw") == "zwxy" and rules.solve_symbol_prompt("nothing") is None
     with pytest.raises(TimeoutError):
         rules.solve_symbols([("ab*cd", "ef")], "gh*ab", deadline=time.monotonic() - 1)
 
     def solve(prompt):
         if prompt == "bad":
             raise ValueError
-        if prompt == "slow":
-            time.sleep(0.4)
+        if prompt == "end":
+            import os
+
+            os._exit(3)
+        while prompt == "stuck":
+            pass
         return prompt.upper()
 
-    problems = spark.createDataFrame([("1", "x", "X"), ("2", "bad", "?"), ("3", "slow", "?"), ("4", "y", "z")], "id string, prompt string, answer string")
-    got = rules.graded(rules.run_solver(problems, solve, seconds=0.2), problems.select("id", "answer"))
-    assert {r.id: r.outcome for r in got.collect()} == {"1": "ok", "2": "error", "3": "timeout", "4": "wrong"}
+    problems = spark.createDataFrame([("1", "x", "X"), ("2", "bad", "?"), ("3", "stuck", "?"), ("4", "y", "z"), ("5", "end", "?"), ("6", None, "?"), ("7", "v", "V")], "id string, prompt string, answer string").coalesce(1)
+    got = rules.graded(rules.run_solver(problems, solve, seconds=0.5), problems.select("id", "answer"))
+    assert {r.id: r.outcome for r in got.collect()} == {"1": "ok", "2": "error", "3": "timeout", "4": "wrong", "5": "error", "6": "error", "7": "ok"}
+    assert rules.answers(problems, "baseline_null").where("answer is null").count() == 7
     null = problems.select(F.lit("s").alias("status"), F.when(rules.null_answer(F.col("prompt")).isNull(), "wrong").alias("outcome"))
     assert metrics.outcomes(null).first().ok == 0
 
 
+def test_null_groups_and_strata(spark):
+    rows = [(1, None, 7, "a"), (2, None, 7, "b"), (3, "x", 3, "c")]
+    df = spark.createDataFrame(rows, "id int, category string, out_tokens int, note string").withColumn("correct", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
+    assert {r.category: r.tok_p50 for r in metrics.yield_table(df, ["category"]).collect()} == {None: 7, "x": 3}
+    assert split.stratified(df, "id", "category").count() == 3 and split.split_faults(split.stratified(df, "id", "category"), df, "id").count() == 0
+    assert split.capped_sample(df, "id", "category", {}, 1).count() == 2 and sorted(r.place for r in split.round_robin(df, "id", "category", 2).collect()) == [0, 1, 2]
+
+
+def test_ranks_are_row_numbers(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("s"))
+    got = split.ranked(df, "id", "s")
+    want = df.withColumn("_rank", F.row_number().over(Window.partitionBy("s").orderBy(split.draw(F.col("id")), "id")).cast("long"))
+    assert sorted(map(str, (tuple(r) for r in got.select("id", "s", "_rank").collect()))) == sorted(map(str, (tuple(r) for r in want.select("id", "s", "_rank").collect())))
+
+
 def test_corpus(spark):
     problems = spark.createDataFrame([("p1", "equation_numeric_guess", "q1", "42"), ("p2", "x", "held", "7"), ("p3", "equation_numeric_guess", "Now, determine the result for: 12-30", "-18")], "id string, category string, prompt string, answer string")
     traces = spark.createDataFrame(
@@ -205,9 +270,16 @@ def test_files(spark, tmp_path):
     assert found.first().source == "x" and missing == ["no"]
     assert files.markdown(spark.createDataFrame([(1, 0.5)], "a int, b double")) == "| a | b |\n|---|---|\n| 1 | 0.500 |"
     state = spark.createDataFrame([("s", "new")], "slug string, status string")
-    files.save_state(state, str(tmp_path / "state"))
-    files.save_state(spark.read.parquet(str(tmp_path / "state")).withColumn("status", F.lit("done")), str(tmp_path / "state"))
-    assert spark.read.parquet(str(tmp_path / "state")).first().status == "done"
+    where = str(tmp_path / "state")
+    assert files.load_state(spark, where) is None
+    files.save_state(state, where)
+    before = files.load_state(spark, where)
+    files.save_state(before.withColumn("status", F.lit("done")), where)
+    assert files.load_state(spark, where).first().status == "done" and before.first().status == "new"  # readers keep what they read
+    files.save_state(state, where)
+    assert len(list((tmp_path / "state").glob("version=*"))) == 2
+    assert {r.id for r in files.read_whole_files(spark, [str(tmp_path / "run_x"), str(tmp_path / "deep" / "eq_model")], schemas.TRACE).collect()} == {"00066667"} and files.read_whole_files(spark, str(tmp_path / "run_x"), schemas.TRACE).count() == 0
+    assert files.fixed_width(spark.createDataFrame([(1, "ab"), (None, "c")], "a int, bcd string").coalesce(1)) == "a  bcd\n1  ab\n   c"
     assert files.result_line(state, "R").first().value == 'R {"slug":"s","status":"new"}'
 
 
@@ -228,4 +300,30 @@ def test_state_machine(spark, tmp_path):
     merge = work.upsert(str(tmp_path / "table"), "slug", "event_time")
     merge(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "slug string, event_time int, status string"), 0)
     merge(spark.createDataFrame([("a", 1, "old"), ("b", 1, "z")], "slug string, event_time int, status string"), 1)
-    assert {r.slug: r.status for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {"a": "y", "b": "z"}
+    assert {r.slug: r.status for r in files.load_state(spark, str(tmp_path / "table")).collect()} == {"a": "y", "b": "z"}
+
+
+def test_streams(spark, tmp_path):
+    """Sentinels, keys that are replayed, traces that are appended, and progress over all batches."""
+    for run in ("r1", "r2"):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "x.done").write_text("ok")
+    (tmp_path / "runs" / "r1" / "results.jsonl").write_text('{"id": "1"}\n')
+    found = work.sentinels(spark, str(tmp_path / "runs")).writeStream.format("memory").queryName("runs").trigger(availableNow=True).start()
+    found.awaitTermination()
+    assert sorted(r.run for r in spark.table("runs").collect()) == ["r1", "r2"]
+    listener = work.Progress(step=4)
+    spark.streams.addListener(listener)
+    (tmp_path / "traces").mkdir()
+    for k in range(3):
+        (tmp_path / "traces" / f"{k}.json").write_text("".join('{"id": "%d", "gen": %d}\n' % (i, k % 2) for i in range(3)))
+    stream = work.distinct_keys(spark.readStream.schema(schemas.TRACE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "traces")), ["id", "gen"])
+    query = stream.writeStream.format("memory").queryName("keys").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("keys").count() == 6
+    end = time.monotonic() + 20
+    while listener.rows.get(str(query.id), 0) < 9 and time.monotonic() < end:
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert listener.passed(query) == [4, 8]
+    assert work.trace_stream(spark, str(tmp_path / "traces"), schemas.TRACE).isStreaming
