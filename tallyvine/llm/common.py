@@ -76,8 +76,8 @@ def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
-def text_views(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets of rows in them) of runs of rows that hold about 1 MB each."""
+def text_views(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, offsets of rows in them) of runs of rows that hold about `most` bytes each."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -86,6 +86,6 @@ def text_views(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 20), "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end

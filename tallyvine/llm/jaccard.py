@@ -47,6 +47,8 @@ NUM, DEN = 3, 4  # the threshold as a fraction
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
+#: Text that a task cuts into shingles at once.
+VIEW_BYTES = 1 << 18
 #: The frequency table: at most so many shingles, each in at least so many documents.
 FREQUENT, FREQUENT_LEAST = 1 << 16, 24
 #: Shingles and keys held by one task before they are counted and sent, and keys of one bucket.
@@ -156,7 +158,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(shingles[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.binary())], schema=schema)
 
     for b in batches:
-        for first, end, data, offsets in text_views(b.column(1)):
+        for first, end, data, offsets in text_views(b.column(1), VIEW_BYTES):
             sets = shingle_sets(data, offsets, SIZE)
             part = b.slice(first, end - first)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), part.column(0), part.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
@@ -197,7 +199,7 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()), pa.array([_planes(docs[a:b]) for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "keys", "docs"])
 
         for b in batches:
-            for _, _, data, offsets in text_views(b.column(0)):
+            for _, _, data, offsets in text_views(b.column(0), VIEW_BYTES):
                 for s in shingle_sets(data, offsets, SIZE):
                     if not len(s) or (node := node_of(s)) in seen:
                         continue
@@ -324,7 +326,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 128):
             b = whole.slice(at, 128)
-            one, two = ([s for _, _, data, offsets in text_views(b.column(k)) for s in shingle_sets(data, offsets, SIZE)] for k in (2, 3))
+            one, two = ([s for _, _, data, offsets in text_views(b.column(k), VIEW_BYTES) for s in shingle_sets(data, offsets, SIZE)] for k in (2, 3))
             ok = []
             for x, y in zip(one, two):
                 both = len(x) + len(y) - len(np.union1d(x, y))

@@ -33,6 +33,8 @@ ROWS, DIM = 1 << 17, 6
 VIEWS = (1 << 62, 6, 4)  # how many bytes of a word each table sees
 WIDTHS, FILTERS = (1, 2, 3), 16
 PREDICT = 0.7
+#: Text that a task hashes at once.
+VIEW_BYTES = 1 << 18
 
 
 @dataclass
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, offsets in text_views(b.column(1)):
+            for first, end, data, offsets in text_views(b.column(1), VIEW_BYTES):
                 found, start = embedding_rows(data, offsets)
                 part = b.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([found[x:y].tobytes() for x, y in zip(start[:-1], start[1:])], pa.binary()), pa.array(np.diff(start)), *(part.column(k) for k in (2, 3, 4))], names=["doc_id", "words", "n", "lang", "toxic", "train"])
@@ -253,7 +255,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, offsets in text_views(b.column(1)):
+            for first, end, data, offsets in text_views(b.column(1), VIEW_BYTES):
                 part = b.slice(first, end - first)
                 score, limit = _rejects(sent.value, part, data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= PREDICT).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], names=["doc_id", "score", "predicted", "threshold", "rejected"])
@@ -284,7 +286,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, offsets in text_views(b.column(b.schema.get_field_index("text"))):
+            for first, end, data, offsets in text_views(b.column(b.schema.get_field_index("text")), VIEW_BYTES):
                 part = b.slice(first, end - first)
                 score, limit = _rejects(sent.value, part, data, offsets)
                 yield part.filter(pa.array(score < limit))
@@ -292,7 +294,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lean(rows), docs.schema)
 
 
-def _runs(start: np.ndarray, most: int = 1 << 18):
+def _runs(start: np.ndarray, most: int = 1 << 14):
     """Documents x to y and a function that scores them. A longer text goes in overlapping windows: the largest
     responses of a text are the largest of its windows', so its pooling is taken over all of them."""
 
