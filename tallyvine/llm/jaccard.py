@@ -443,10 +443,13 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     hash. Texts that differ too much to be linked stay even where they share a doc_id; of wholly equal pairs of doc_id
     and text one row stays; rows without words stay."""
     rows, groups, repeated = set_components(docs)
-    gone = with_match(rows.where("n > 0"), "node", groups, "inner").where("doc <> first_doc or th <> first_th").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
+    own_doc, own_th = "_doc", "_th"
+    while {own_doc.lower(), own_th.lower()} & {c.lower() for c in docs.columns}:
+        own_doc, own_th = own_doc + "_", own_th + "_"
+    gone = with_match(rows.where("n > 0"), "node", groups, "inner").where("doc <> first_doc or th <> first_th").select(F.col("doc").alias(own_doc), F.col("th").alias(own_th)).distinct()
     gone = cut(gone)
     few = gone.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col(own_doc)) & (F.xxhash64(docs["text"]) == F.col(own_th))
     kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), here, "left_anti")
     if repeated:
         words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -9,8 +9,9 @@ train on. Rows of more than FIT_WORDS words train only where shorter ones do not
 FIT_TOTAL at most. Thresholds are calibrated by language on the other fifth, whole texts of any length; the language
 never enters the score.
 
-Defined results: null and empty texts have no words and get the score of an all-zero pooling; without labelled rows
-of both classes every score is the share of toxic ones among them (0 if none); rows without doc_id are not held out;
+Defined results: null and empty texts have no words and get the score of an all-zero pooling; if all labelled texts of
+a class fall in the fifth set aside, all rows train and thresholds are PREDICT; without labelled texts of both classes
+every score is the share of toxic ones among them (0 if none) and none is rejected; rows without doc_id are not held out;
 repeated rows are rows like any other; an empty table gives no rows; further columns are never read.
 """
 
@@ -224,6 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).join(F.broadcast(chosen), "doc_id")
     sample = written(texts.mapInArrow(lean(rows), "doc_id long, words binary, n long, lang string, toxic int, train boolean"), "sample")
+    classes = {(r.train, r.toxic) for r in sample.select("train", "toxic").distinct().collect()}
+    if len({y for train_row, y in classes if train_row}) < 2 <= len({y for _, y in classes}):
+        sample = sample.withColumn("train", F.lit(True))  # the fifth set aside has all rows of a class
     taken, count, held = [], {0: 0, 1: 0}, {0: 0, 1: 0}
     for r in sorted(sample.where("train").select("toxic", (F.col("n") > FIT_WORDS).alias("long"), F.xxhash64("doc_id").alias("place"), "doc_id", "n").collect()):
         if count[r.toxic] < quota[r.toxic] * 4 // 5 and (not r.long or held[r.toxic] + r.n <= FIT_TOTAL):
@@ -233,6 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     ids = docs.sparkSession.createDataFrame(taken, "doc_id long").distinct()
     got = sample.where("train").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(len(taken)).select("words", "toxic").collect()
     model = train([np.frombuffer(r.words, np.int32).reshape(-1, len(VIEWS)) for r in got], np.array([r.toxic for r in got], int))
+    if len({r.toxic for r in got}) < 2:
+        model.thresholds = {"": float("inf")}
+        return model
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
