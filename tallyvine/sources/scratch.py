@@ -10,8 +10,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch in the jobs that written() and cut() run: texts of a batch stand in memory on both sides.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch in the jobs that written() and cut() run: a batch stands in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 _paths: list[str] = []
 _sessions: list[SparkSession] = []
 
@@ -41,14 +41,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows while a job runs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes while a job runs."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
