@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm import jaccard, language, packing, secrets, toxicity
+from tallyvine.llm import jaccard, language, packing, secrets, token_counts, toxicity
 from tallyvine.llm.common import mark, release, table, written
 
 #: No SQL: the stages' models, segmentations and components are tested against brute force instead.
 ORACLE_SQL = None
+#: Tokens of a batch, padding included.
+PACK_TOKENS = 1 << 16
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in token-budget batches of optimal length buckets."""
-    return packing.pack(docs, "doc_id", F.octet_length("text"))
+    """All documents in token-budget batches of optimal length buckets; lengths are word-piece tokens."""
+    counts = written(token_counts.token_counts(docs, token_counts.automaton(*token_counts.vocabulary())), "tokens")
+    return packing.pack(counts, "doc_id", F.col("n_tokens"), budget=PACK_TOKENS)
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("packing", pack)]
