@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -9,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..sources.scratch import written
 
 
 def digest(c: Column) -> Column:
@@ -112,43 +114,106 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(2.0 * shared / total)], names=["h", "h2", "ratio"])
 
 
+#: Rows of each group that a round decides in order, at first and at most; rows that one task holds against them.
+FIRST_ROWS, MOST_ROWS, PART_ROWS = 256, 4096, 20_000
+_STATE = "g string, o {0}, h long, id long, n int, codes array<int>, counts array<int>"
+
+
+class _Representatives:
+    """Counts of the characters of a group's representatives, in order."""
+
+    def __init__(self) -> None:
+        self.places: dict[int, int] = {}
+        self.counts, self.sizes, self.names = np.zeros((4, 64), np.int32), [], []
+
+    def first_alike(self, codes: np.ndarray, counts: np.ndarray, n: int, least: float) -> int | None:
+        """The first representative that is at least so alike."""
+        if not self.names:
+            return None
+        known = [(self.places[c], m) for c, m in zip(codes.tolist(), counts.tolist()) if c in self.places]
+        at, mine = np.array([k for k, _ in known], int), np.array([m for _, m in known], np.int32)
+        shared = np.minimum(self.counts[: len(self.names)][:, at], mine).sum(axis=1)
+        both = np.array(self.sizes, float) + n
+        alike = np.flatnonzero(np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0) >= least)
+        return int(alike[0]) if len(alike) else None
+
+    def add(self, name: object, codes: np.ndarray, counts: np.ndarray, n: int) -> None:
+        at = np.array([self.places.setdefault(c, len(self.places)) for c in codes.tolist()], int)
+        rows, columns = self.counts.shape
+        self.counts = np.pad(self.counts, ((0, rows if len(self.names) == rows else 0), (0, max(0, len(self.places) - columns) and max(columns, len(self.places) - columns))))
+        self.counts[len(self.names), at] = counts
+        self.names.append(name)
+        self.sizes.append(n)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (g, o, h, id, t) with the characters of t counted: n, codes, counts."""
+    kind = pa.list_(pa.int32())
+    for b in batches:
+        made = [np.unique(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32), return_counts=True) for t in b.column(4).to_pylist()]
+        counts = [m.astype(np.int32) for _, m in made]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([int(m.sum()) for m in counts], pa.int32()), pa.array([c for c, _ in made], kind), pa.array(counts, kind)], names=["g", "o", "h", "id", "n", "codes", "counts"])
+
+
 def greedy_clusters(df: DataFrame, group: str, order: str, text: str, least: float = 0.55) -> DataFrame:
     """group, order, representative (the order value of its cluster's first row), and whether it is one.
 
     In order, a row joins the first representative that is at least so alike, else becomes one; null is a group, a null
-    text counts as empty, two empty texts are alike. Each decision needs those before it, so a group is read by one
-    task; rows stream through it sorted, and it holds the counts of characters of the group's representatives alone.
-    """
+    text counts as empty, two empty texts are alike; rows of one order value go by a hash of their text.
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, places, counts, names, sizes = object(), {}, np.zeros((0, 0), np.int32), [], []
+    The representatives are the first independent set of the likeness graph in that order, and rounds build it: the next
+    rows of each group (FIRST_ROWS, twice as many each round) are decided among themselves, as all earlier
+    representatives have met them; then all later rows of the group, dealt into parts of PART_ROWS, meet the new
+    representatives, and those that join one leave. So a group of any size is shared by many tasks, and one task holds
+    MOST_ROWS rows in order or a part. Each round is a written table.
+    """
+    kinds = dict(df.dtypes)
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))
+    rows = df.select(key.alias("g"), F.col(order).alias("o"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("id"), F.col(text).alias("t"))
+    state = _STATE.format(kinds[order])
+    left = written(rows.mapInArrow(_counted, state), "clusters")
+    place, result, size = F.struct("o", "h", "id"), f"g string, o {kinds[order]}, id long, r {kinds[order]}, first boolean", FIRST_ROWS
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, _Representatives()
         for frame in frames:
             out = []
-            for g, o, t in zip(frame["g"].tolist(), frame["o"].tolist(), frame["t"].tolist()):
-                g, t = (None if pd.isna(g) else g), t if isinstance(t, str) else ""
+            for g, o, i, n, codes, counts in zip(*(frame[c].tolist() for c in ("g", "o", "id", "n", "codes", "counts"))):
                 if g != now:
-                    now, places, counts, names, sizes = g, {}, np.zeros((4, 64), np.int32), [], []
-                codes, mine = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                at = np.array([places.setdefault(c, len(places)) for c in codes.tolist()], int)
-                if len(places) > counts.shape[1]:
-                    counts = np.pad(counts, ((0, 0), (0, max(len(places) - counts.shape[1], counts.shape[1]))))
-                shared = np.minimum(counts[: len(names)][:, at], mine).sum(axis=1)
-                both = np.array(sizes, float) + len(t)
-                alike = np.flatnonzero(np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0) >= least)
-                if len(alike):
-                    out.append((g, o, names[alike[0]], False))
-                    continue
-                if len(names) == len(counts):
-                    counts = np.pad(counts, ((0, len(counts)), (0, 0)))
-                counts[len(names), at] = mine
-                names.append(o)
-                sizes.append(len(t))
-                out.append((g, o, o, True))
-            yield pd.DataFrame(out, columns=["g", "o", "r", "first"]).astype({"g": frame["g"].dtype}) if out else frame.head(0)
-
-    kinds = dict(df.dtypes)
-    sorted_rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t")).repartition("g").sortWithinPartitions("g", "o")
-    return sorted_rows.mapInPandas(rows, f"g {kinds[group]}, o {kinds[order]}, r {kinds[order]}, first boolean").toDF(group, order, "representative", "is_first")
+                    now, held = g, _Representatives()
+                k = held.first_alike(codes, counts, n, least)
+                if k is None:
+                    held.add(o, codes, counts, n)
+                out.append((g, o, i, o if k is None else held.names[k], k is None))
+            yield pd.DataFrame(out, columns=["g", "o", "id", "r", "first"]).astype({"o": frame["o"].dtype, "r": frame["o"].dtype}) if out else pd.DataFrame({c: frame[x].head(0) for c, x in (("g", "g"), ("o", "o"), ("id", "id"), ("r", "o"))}).assign(first=False)
+
+    def meet(later: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        held = _Representatives()
+        for o, n, codes, counts in zip(*(new.sort_values(["o", "h", "id"], na_position="first")[c].tolist() for c in ("o", "n", "codes", "counts"))):
+            held.add(o, codes, counts, n)
+        found = [held.first_alike(codes, counts, n, least) for n, codes, counts in zip(later["n"].tolist(), later["codes"], later["counts"])]
+        return later[["g", "o", "id"]].assign(r=pd.Series([None if k is None else held.names[k] for k in found], index=later.index, dtype=object), first=[k is None for k in found])
+
+    parts = []
+    while True:
+        block = left.withColumn("_k", F.row_number().over(Window.partitionBy("g").orderBy("o", "h", "id"))).where(F.col("_k") <= size).drop("_k")
+        decided = written(block.repartition("g").sortWithinPartitions("g", "o", "h", "id").mapInPandas(decide, result), "decided")
+        parts.append(decided)
+        done = left.join(decided.select("g", "id"), ["g", "id"], "left_semi")
+        edges = done.groupBy("g").agg(F.max(place).alias("edge"), F.count(F.lit(1)).alias("n_done")).where(F.col("n_done") == size)
+        later = left.join(edges.select("g", "edge"), "g").where(place > F.col("edge")).drop("edge")
+        sizes = written(later.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")), "sizes")
+        if sizes.isEmpty():
+            break
+        later = later.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        new = written(left.join(decided.where("first").select("g", "id"), ["g", "id"], "left_semi"), "new").join(sizes, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = written(later.groupBy("g", "part").cogroup(new.groupBy("g", "part")).applyInPandas(meet, result), "met")
+        parts.append(met.where("not first"))
+        left = written(left.join(met.where("first").select("g", "id"), ["g", "id"], "left_semi"), "clusters")
+        size = min(MOST_ROWS, 2 * size)
+    out = functools.reduce(DataFrame.union, parts)
+    named = F.when(F.col("g") != "null", F.substring("g", 2, 2**31 - 1)).cast(kinds[group])
+    return out.select(named.alias(group), F.col("o").alias(order), F.col("r").alias("representative"), F.col("first").alias("is_first"))
 
 
 def diversity(clusters: DataFrame, group: str, cap: int = 3, status: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -96,6 +96,31 @@ def test_greedy_clusters(spark):
     assert {r.o: r.representative for r in dedup.greedy_clusters(df, "g", "o", "t").collect()} == want
 
 
+def test_greedy_clusters_of_a_hot_group(spark, monkeypatch):
+    """A group of many rounds, whose later rows are dealt into parts, equals the walk through it in order."""
+    monkeypatch.setattr(dedup, "FIRST_ROWS", 8)
+    monkeypatch.setattr(dedup, "MOST_ROWS", 32)
+    monkeypatch.setattr(dedup, "PART_ROWS", 50)
+    met = []
+    monkeypatch.setattr(dedup, "written", lambda df, label, f=dedup.written: (met.append((label, out := f(df, label))), out)[1])
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    texts = ["".join(rng.choice(rng.choice(letters, 6), int(rng.integers(0, 25)))) for _ in range(700)]
+    rows = [("hot", o, t) for o, t in enumerate(texts)] + [(None, None, "q"), (None, 1, "zz")] + [(f"g{o % 40}", o, texts[o]) for o in range(300)]
+    want = []
+    for g in {r[0] for r in rows}:
+        kept = []
+        for _, o, t in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0)):
+            alike = lambda u: 2 * sum(min(t.count(c), u.count(c)) for c in set(t)) / (len(t) + len(u)) if t or u else 1.0  # noqa: E731, B023
+            found = [p for p, u in kept if alike(u) >= 0.55]
+            kept += [] if found else [(o, t)]
+            want.append((g, o, found[0] if found else o, not found))
+    got = dedup.greedy_clusters(spark.createDataFrame(rows, "g string, o int, t string").repartition(5), "g", "o", "t").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    parts = [df.collect() for label, df in met if label == "sizes"]
+    assert len(parts) > 2 and parts[0][0].parts > 10
+
+
 def test_contamination(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Say: {item.upper()}.\n ok"), (2, "one two three"), (3, None), (4, "a short Item here"), (5, "abcone two threefour"), (6, "concatenate"), (7, ""), (7, f"x{item}y"), (8, "a b c d a b c d e")]
