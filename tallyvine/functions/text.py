@@ -57,13 +57,23 @@ def _any_depth(c: Column) -> Column:
     return F.element_at(F.transform(F.array(found), content), 1)
 
 
+def _from_box(c: Column) -> Column:
+    """The text from its first box on; braces before it never decide which box is the last, or which closes."""
+    return F.substring(c, F.greatest(F.locate("\\boxed", c), F.lit(1)), F.length(c))
+
+
+def _deep(c: Column, depth: int) -> Column:
+    """Whether more braces than `depth` follow the first box."""
+    return F.regexp_count(F.regexp_extract(c, r"(?s)\\boxed\s*\{(.*)", 1), F.lit(r"\{")) > depth
+
+
 def extract_boxed(c: Column, depth: int = 3) -> Column:
     """Stripped content of the last closed box, with braces nested to any depth; null without one or if it is empty.
 
     Texts with no more braces behind their first box than `depth` allows are read by a pattern, others brace by brace.
     """
-    few = F.regexp_count(F.regexp_extract(c, r"(?s)\\boxed\s*\{(.*)", 1), F.lit(r"\{")) <= depth
-    return F.nullif(strip(F.when(few, F.regexp_extract(c, box_pattern(depth), 1)).otherwise(_any_depth(c))), F.lit(""))
+    found = strip(F.when(_deep(c, depth), _any_depth(_from_box(c))).otherwise(F.regexp_extract(c, box_pattern(depth), 1)))
+    return F.get(F.filter(F.array(found), lambda x: x != ""), F.lit(0))  # evaluates it once
 
 
 def last_number(c: Column) -> Column:
@@ -75,10 +85,30 @@ def extract_answer(c: Column, depth: int = 3) -> Column:
     return F.coalesce(extract_boxed(c, depth), last_number(c))
 
 
+def _without_boxes(c: Column) -> Column:
+    """Without the boxes that close, by one pass over the braces; a box inside a removed one goes with it."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)(\\boxed\{|[{}]|[^{}\\]+|\\)"), 1)
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<at: int, box: boolean>>").alias("open"), F.array().cast("array<struct<at: int, to: int>>").alias("gone"))
+
+    def on(s: Column, t: Column) -> Column:
+        top, deep = F.get(s["open"], F.size(s["open"]) - 1), F.size(s["open"])
+        closes = (t == "}") & (deep > 0)
+        opened = F.when(t.endswith("{"), F.concat(s["open"], F.array(F.struct(s["i"].alias("at"), (t != "{").alias("box"))))).when(closes, F.slice(s["open"], 1, deep - 1)).otherwise(s["open"])
+        gone = F.when(closes & top["box"], F.concat(F.filter(s["gone"], lambda g: g["at"] < top["at"]), F.array(F.struct(top["at"].alias("at"), s["i"].alias("to"))))).otherwise(s["gone"])
+        return F.struct((s["i"] + 1).alias("i"), opened.alias("open"), gone.alias("gone"))
+
+    gone = F.aggregate(tokens, start, on)["gone"]
+    return F.array_join(F.flatten(F.transform(F.array(gone), lambda g: F.filter(tokens, lambda t, i: ~F.exists(g, lambda x: (x["at"] <= i) & (i <= x["to"]))))), "")
+
+
 def strip_boxed(c: Column, compat: bool = False, depth: int = 3) -> Column:
-    """Without boxes and trailing white space. compat ends a box at its first brace, balanced by default."""
-    inner = r"[^}]*" if compat else _balanced(depth)
-    return F.regexp_replace(F.regexp_replace(c, r"\\boxed\{" + inner + r"\}", ""), r"\s+$", "")
+    """Without boxes and trailing white space. compat ends a box at its first closing brace; by default boxes are
+    balanced, with braces nested to any depth: by a pattern up to `depth`, else brace by brace."""
+    if compat:
+        rest = F.regexp_replace(c, r"\\boxed\{[^}]*\}", "")
+    else:
+        rest = F.when(_deep(c, depth), _without_boxes(c)).otherwise(F.regexp_replace(c, r"\\boxed\{" + _balanced(depth) + r"\}", ""))
+    return F.regexp_replace(rest, r"\s+$", "")
 
 
 def has_box(c: Column) -> Column:

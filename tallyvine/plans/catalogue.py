@@ -439,10 +439,14 @@ def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _equation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three examples and a question for every four part numbers, by one of eight rules that need both orders of the
+    operands, operations on digits, reversed results and results with the operator in front."""
     two = lambda c: F.lpad(F.pmod(c, F.lit(100)).cast("string"), 2, "0")
     k = F.col("p_partkey")
-    made = F.when(F.pmod(F.floor(k / 4), F.lit(2)) == 0, F.pmod(k * 7, F.lit(100)) + F.pmod(k * 3, F.lit(100))).otherwise(F.pmod(k * 7, F.lit(100)) * F.pmod(k * 3, F.lit(100)))
-    rows = table(spark, sf_dir, "part").select(F.floor(k / 4).alias("id"), F.pmod(k, F.lit(4)).alias("i"), two(k * 7).alias("a"), two(k * 3).alias("b"), made.cast("string").alias("out"))
+    a, b, rule = F.pmod(k * 7, F.lit(100)), F.pmod(k * 3, F.lit(100)), F.pmod(F.floor(k / 4), F.lit(8))
+    digits = F.concat(F.pmod(F.floor(b / 10) - F.floor(a / 10), F.lit(10)), F.pmod(b - a, F.lit(10)))  # of the operands in the other order
+    results = ((a + b).cast("string"), (a * b).cast("string"), (b - a).cast("string"), F.concat(two(b), two(a)), digits, text.signed_reverse((a - b).cast("string")), F.concat(F.lit("+"), (b - a).cast("string")), F.concat(F.lit("+"), F.reverse((a * b).cast("string"))))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 4).alias("id"), F.pmod(k, F.lit(4)).alias("i"), two(k * 7).alias("a"), two(k * 3).alias("b"), F.element_at(F.array(*results), (rule + 1).cast("int")).alias("out"))
     line = F.concat("a", F.lit("+"), "b", F.lit(" = "), "out", F.lit("\n"))
     per = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("i") < 3, F.struct("i", line.alias("t"))))).alias("e"), F.max(F.when(F.col("i") == 3, F.concat("a", F.lit("+"), "b"))).alias("q"))
     return per.where("q is not null").select("id", F.concat(F.lit("Examples:\n"), F.array_join(F.transform("e", lambda s: s["t"]), ""), F.lit("Now, determine the result for: "), "q").alias("prompt"))
@@ -517,15 +521,16 @@ def _hypotheses() -> str:
     out = []
     for name in rules._ARITHMETIC:
         if name not in rules.GUARDED:
-            other = re.sub(r"\\b[abpqrsuv]\\b", lambda m: m[0].translate(swap), plain[name])
+            other = re.sub(r"\b[abpqrsuv]\b", lambda m: m[0].translate(swap), plain[name])
             for base in (plain[name], other):
                 for value in (base, f"CASE WHEN {base} LIKE '-%' THEN '-' || reverse({base}[2:]) ELSE reverse({base}) END"):
                     out += [value, f"'+' || ({value})"]
     return "[" + ", ".join(out) + "]"
 
 
-@query(f"""WITH k AS (SELECT p_partkey // 4 AS id, p_partkey % 4 AS i, (p_partkey * 7) % 100 AS a, (p_partkey * 3) % 100 AS b, (p_partkey // 4) % 2 AS m FROM part),
-e AS (SELECT id, i, a, b, CASE WHEN m = 0 THEN a + b ELSE a * b END AS y, lpad(CAST(a AS VARCHAR), 2, '0') AS s, lpad(CAST(b AS VARCHAR), 2, '0') AS u FROM k),
+@query(f"""WITH k AS (SELECT p_partkey // 4 AS id, p_partkey % 4 AS i, (p_partkey * 7) % 100 AS a, (p_partkey * 3) % 100 AS b, (p_partkey // 4) % 8 AS m FROM part),
+e AS (SELECT id, i, a, b, lpad(CAST(a AS VARCHAR), 2, '0') AS s, lpad(CAST(b AS VARCHAR), 2, '0') AS u, CASE m WHEN 0 THEN CAST(a + b AS VARCHAR) WHEN 1 THEN CAST(a * b AS VARCHAR) WHEN 2 THEN CAST(b - a AS VARCHAR) WHEN 3 THEN u || s WHEN 4 THEN ((b // 10 - a // 10 + 10) % 10) || '' || ((b - a + 100) % 10)
+  WHEN 5 THEN CASE WHEN a < b THEN '-' ELSE '' END || reverse(CAST(abs(a - b) AS VARCHAR)) WHEN 6 THEN '+' || (b - a) ELSE '+' || reverse(CAST(a * b AS VARCHAR)) END AS y FROM k),
 d AS (SELECT *, CAST(s[1] AS BIGINT) AS p, CAST(s[2] AS BIGINT) AS q, CAST(u[1] AS BIGINT) AS r, CAST(u[2] AS BIGINT) AS v FROM e WHERE id IN (SELECT id FROM e WHERE i = 3)),
 w AS (SELECT id, i, CAST(y AS VARCHAR) AS y, {_hypotheses()} AS made FROM d),
 x AS (SELECT id, i, y, unnest(made) AS made, generate_subscripts(made, 1) AS h FROM w),
@@ -533,7 +538,7 @@ n AS (SELECT id, count(*) FILTER (WHERE i < 3) AS n FROM d GROUP BY 1),
 o AS (SELECT x.id, h, max(made) FILTER (WHERE i = 3) AS answer FROM x JOIN n ON n.id = x.id GROUP BY x.id, h, n HAVING n > 0 AND count(*) FILTER (WHERE i < 3 AND made = y) = n)
 SELECT n.id, min_by(answer, h) FILTER (WHERE answer IS NOT NULL) AS answer FROM n LEFT JOIN o ON o.id = n.id GROUP BY 1""")
 def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of three examples each from part numbers, solved by the operator family search."""
+    """Prompts of three examples each from part numbers, solved by the operator family search: 216 hypotheses each."""
     return rules.equation_search(_equation_prompts(spark, sf_dir)).select("id", "answer")
 
 
@@ -601,7 +606,7 @@ def trace_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.flag_report(flagged, ["source"])
 
 
-_USABLE = "regexp_replace(text, '^\\\\s+|\\\\s+$', '', 'g')"
+_USABLE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
 @query(f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS prompt, lang AS type, text AS cot, CAST(n_chars AS VARCHAR) AS answer, doc_id FROM documents),
@@ -669,6 +674,41 @@ def jsonl_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_whole_files(spark, f"{path}/*", schemas.TRACE).select("id", "category", "out_tokens")
 
 
+def _files_in_order(spark: SparkSession, sf_dir: str, bad: Column) -> str:
+    """Files of 2,000 events each, in the order of their ids, with a blank line after every event."""
+    path = fresh_path(spark, "ordered")
+    line = F.concat(F.lit('{"id":"'), "event_id", F.lit('","gen":'), F.floor("value").cast("string"), F.lit(',"category":"'), "event_type", F.lit('"}\n'))
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2000).alias("part"), "event_id", F.when(bad, F.left(line, F.lit(20))).otherwise(line).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return path
+
+
+def _part() -> Column:
+    return F.regexp_extract("file", r"/part=(-?\d+)/", 1).cast("long").alias("part")
+
+
+@query("""SELECT event_id // 2000 AS part, CAST(event_id AS VARCHAR) AS id, 2 * (row_number() OVER (PARTITION BY event_id // 2000 ORDER BY event_id) - 1) AS ordinal FROM events""")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line number of each event in its file, blank lines counted."""
+    lines = files.read_lines(spark, f"{_files_in_order(spark, sf_dir, F.lit(False))}/*")
+    return lines.where("value <> ''").select(_part(), F.get_json_object("value", "$.id").alias("id"), "ordinal")
+
+
+@query("""WITH e AS (SELECT event_id, event_id // 2000 AS part, event_type, CAST(floor(value) AS INTEGER) AS gen FROM events), b AS (SELECT part, min(event_id) AS stop FROM e WHERE event_id % 991 = 17 GROUP BY 1)
+SELECT e.part, CAST(event_id AS VARCHAR) AS id, gen, event_type AS category FROM e LEFT JOIN b ON b.part = e.part WHERE stop IS NULL OR event_id < stop""")
+def rows_before_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each file before its first line that is cut off; some files have none, some several."""
+    path = _files_in_order(spark, sf_dir, F.col("event_id") % 991 == 17)
+    return files.read_until_bad(spark, f"{path}/*", schemas.TRACE).select(_part(), "id", "gen", "category")
+
+
+@query("""SELECT part, category, id, gen FROM (SELECT event_id // 2000 AS part, event_type AS category, CAST(event_id AS VARCHAR) AS id, CAST(floor(value) AS INTEGER) AS gen, row_number() OVER (PARTITION BY event_id // 2000, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1""")
+def first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each type in the order of its file."""
+    rows = files.read_until_bad(spark, f"{_files_in_order(spark, sf_dir, F.lit(False))}/*", schemas.TRACE)
+    return select.first_per_key(rows, ["file", "category"], [F.col("place")]).select(_part(), "category", "id", "gen")
+
+
 @query("""SELECT conv_id || '-' || turn AS id, text || chr(10) || '"' || role || '",x' AS prompt FROM conversations""")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line breaks, quotes and commas through CSV."""
@@ -848,10 +888,12 @@ def prompt_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.operands(prompt).alias("o")).select("l_orderkey", "l_linenumber", "o.a", "o.b")
 
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS txt FROM lineitem) SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(txt, '\\\\boxed\\{{{text._balanced(3)}\\}}', '', 'g'), '\\s+$', '') AS rest FROM t WHERE l_linenumber % 6 <> 4""")
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS txt FROM lineitem) SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(txt, '\\\\boxed\\{{{text._balanced(8)}\\}}', '', 'g'), '\\s+$', '') AS rest,
+regexp_replace(regexp_replace(txt, '\\\\boxed\\{{[^}}]*\\}}', '', 'g'), '\\s+$', '') AS rest_compat FROM t""")
 def boxes_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxed_texts(spark, sf_dir).where("l_linenumber % 6 <> 4")
-    return rows.select("l_orderkey", "l_linenumber", text.strip_boxed(F.col("txt")).alias("rest"))
+    """Boxes of any depth removed as a whole, and up to their first closing brace."""
+    txt = F.col("txt")
+    return _boxed_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", text.strip_boxed(txt).alias("rest"), text.strip_boxed(txt, compat=True).alias("rest_compat"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey > l_quantity THEN '-' ELSE '' END || reverse(CAST(abs(CAST(l_quantity AS BIGINT) - l_suppkey) AS VARCHAR)) AS turned FROM lineitem""")

@@ -7,11 +7,12 @@ import functools
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import run_label
+from .scratch import written
 
 CORRUPT = "_corrupt_record"
 
@@ -37,13 +38,45 @@ def corrupt_lines(spark: SparkSession, paths: str | list[str], schema: T.StructT
 
 
 def read_whole_files(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
-    """Rows of the files that have no malformed line; corrupt_lines() tells which have. A reader that goes line by line
-    would keep the rows before the first malformed one, which a split file has no order for."""
+    """Rows of the files that have no malformed line; corrupt_lines() tells which have, and read_until_bad() keeps the
+    rows before the first one."""
     found = read_jsonl(spark, paths, schema, keep_corrupt=True).withColumn("_file", F.col("_metadata.file_path"))
     bad = found.where(F.col(CORRUPT).isNotNull() & _parsed(schema)).select("_file").distinct()
     return found.join(bad, "_file", "left_anti").where(F.col(CORRUPT).isNull() & _parsed(schema)).drop("_file", CORRUPT)
 
 
+def lines_in_order(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """value, file, block, seq of each line: ordered by (file, block, seq), lines stand as in their files.
+
+    A block is the byte at which Spark's split of the file begins, and lines of a split are numbered as they are read, so
+    the order costs no shuffle and files of any size are read by many tasks. Splits may differ from scan to scan (they
+    depend on the executors there are): what compares places of two scans needs a written table of one.
+    """
+    found = spark.read.options(**options).text(paths)
+    return found.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """value, file and ordinal (from 0, blank lines count) of each line. Blocks are counted, not sorted: a block's first
+    ordinal is the number of lines in the file's blocks before it."""
+    lines = written(lines_in_order(spark, paths, **options), "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block")  # a row per split of the file
+    starts = blocks.select("file", "block", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return lines.join(starts, ["file", "block"]).select("value", "file", (F.col("seq") + F.col("_shift")).alias("ordinal"))
+
+
+def read_until_bad(spark: SparkSession, paths: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
+    """Rows of JSON lines up to each file's first malformed one, as a reader that goes line by line keeps them, with
+    file and place (struct that orders the rows of a file). Blank lines are skipped."""
+    parsed = F.from_json("value", T.StructType([*schema, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = lines_in_order(spark, paths, **options).where(F.trim("value") != "")
+    rows = written(lines.select(parsed.alias("row"), "file", F.struct("block", "seq").alias("place")), "parsed")
+    bad = rows.where(F.col(f"row.{CORRUPT}").isNotNull()).groupBy("file").agg(F.min("place").alias("_end"))  # a row per file at most
+    kept = rows.join(bad, "file", "left").where(F.col("_end").isNull() | (F.col("place") < F.col("_end")))
+    return kept.select(*[F.col("row")[c].alias(c) for c in schema.names], "file", "place")
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV with quoted line breaks, all columns as strings (empty ones null, ids without blanks at their ends); header
     names without byte-order mark, blanks or case."""

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyvine.operators import audit, corpus, dedup, metrics, rules, select, split
 from tallyvine.sources import files, schemas
@@ -121,6 +122,28 @@ def test_greedy_clusters_of_a_hot_group(spark, monkeypatch):
     assert len(parts) > 2 and parts[0][0].parts > 10
 
 
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    """Files of many splits: ordinals are line numbers; rows stop at the first malformed line of each file."""
+    from tallyvine.sources import files
+
+    schema = T.StructType([T.StructField("n", T.IntegerType())])
+    texts = {"a": [f'{{"n": {k}}}' if k % 7 else "" for k in range(3000)], "b": [f'{{"n": {k}}}' if k != 1700 and k != 200 else '{"n": ' for k in range(2500)], "c": ["not json"], "d": [], "e": ['{"n": 1}', "  ", '"text"', '{"n": 2}']}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.jsonl").write_text("".join(x + "\n" for x in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = files.read_lines(spark, str(tmp_path)).collect()
+        assert len({r.block for r in files.lines_in_order(spark, str(tmp_path)).where("file like '%a.jsonl'").collect()}) > 5
+        rows = files.read_until_bad(spark, str(tmp_path), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    name = lambda r: r.file.rsplit("/", 1)[1][0]
+    assert sorted((name(r), r.ordinal, r.value) for r in lines) == sorted((f, k, x) for f, xs in texts.items() for k, x in enumerate(xs))
+    got = {f: [r.n for r in sorted((r for r in rows if name(r) == f), key=lambda r: r.place)] for f in texts}
+    assert got == {"a": [k for k in range(3000) if k % 7], "b": list(range(200)), "c": [], "d": [], "e": [1]}
+
+
 def test_contamination(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Say: {item.upper()}.\n ok"), (2, "one two three"), (3, None), (4, "a short Item here"), (5, "abcone two threefour"), (6, "concatenate"), (7, ""), (7, f"x{item}y"), (8, "a b c d a b c d e")]
