@@ -223,22 +223,29 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, node) of the keys of a bucket that several sets hold; keys with the same holders make one run."""
-    keys, docs = [], []
+    """(run, node) of the keys that several sets hold, from rows sorted by bucket; one bucket is held at a time."""
+    now, keys, docs = None, [], []
     for b in batches:
-        keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
-        docs += [_unplaned(x.as_buffer()) for x in b.column(2)]
-    if not keys:
-        return
+        for bucket, of_keys, of_docs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            if bucket != now and keys:
+                yield from _runs_of(keys, docs)
+                keys, docs = [], []
+            now = bucket
+            keys.append(np.frombuffer(of_keys.as_buffer(), np.uint64))
+            docs.append(_unplaned(of_docs.as_buffer()))
+    if keys:
+        yield from _runs_of(keys, docs)
+
+
+def _runs_of(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The runs of a bucket; keys with the same holders make one run."""
     key, doc = np.concatenate(keys), np.concatenate(docs)
-    del keys, docs
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])  # copies of a set come from many tasks
     key, doc = key[once], doc[once]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    several = np.repeat(sizes > 1, sizes)
+    several = np.concatenate([[False], key[1:] == key[:-1]])
+    several[:-1] |= several[1:]
     key, doc = key[several], doc[several]
     if not len(key):
         return
@@ -249,9 +256,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = np.zeros(len(starts), bool)
     kept[one] = True
     take = np.repeat(kept, sizes)
-    run = np.repeat(holders, sizes)[take].view(np.int64)
+    run, doc = np.repeat(holders, sizes)[take].view(np.int64), doc[take]
     for a in range(0, len(run), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(run[a : a + (1 << 18)]), pa.array(doc[take][a : a + (1 << 18)])], names=["run", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(run[a : a + (1 << 18)]), pa.array(doc[a : a + (1 << 18)])], names=["run", "doc"])
 
 
 def _able(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -324,8 +331,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets are linked."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 128):
-            b = whole.slice(at, 128)
+        for at in range(0, whole.num_rows, 32):
+            b = whole.slice(at, 32)
             one, two = ([s for _, _, data, offsets in text_views(b.column(k), VIEW_BYTES) for s in shingle_sets(data, offsets, SIZE)] for k in (2, 3))
             ok = []
             for x, y in zip(one, two):
@@ -395,7 +402,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     ends = bands(int(total.most) * DEN // NUM + DEN)
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total.n) // BUCKET_KEYS))
 
-    sent = docs.select("text").mapInArrow(lean(_emit(frequent, ends, buckets)), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket")
+    sent = docs.select("text").mapInArrow(lean(_emit(frequent, ends, buckets)), "bucket int, keys binary, docs binary").repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket")
     members = written(sent.mapInArrow(lean(_runs), "run long, node long").distinct(), "runs")
     hubs = members.groupBy("run").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     stars = cut(with_match(members, "run", hubs, "inner").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
