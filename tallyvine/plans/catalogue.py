@@ -469,18 +469,43 @@ def bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.pmod(F.col("p_partkey") * 37, F.lit(256)).cast("int")
+    return _word_prompts(spark, sf_dir, text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)))
+
+
+def _word_prompts(spark: SparkSession, sf_dir: str, y: Column) -> DataFrame:
+    """Eight examples and a question for every nine part numbers."""
     k = F.col("p_partkey")
     x = F.pmod(k * 37, F.lit(256)).cast("int")
-    rows = table(spark, sf_dir, "part").select(F.floor(k / 9).alias("id"), F.pmod(k, F.lit(9)).alias("i"), x.alias("x"), text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)).alias("y"))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 9).alias("id"), F.pmod(k, F.lit(9)).alias("i"), x.alias("x"), y.alias("y"))
     line = F.concat(text.to_bits(F.col("x")), F.lit(" -> "), text.to_bits(F.col("y")))
     per = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("i") < 8, F.struct("i", line.alias("t"))))).alias("e"), F.max(F.when(F.col("i") == 8, text.to_bits(F.col("x")))).alias("q"))
     return per.where("q is not null").select("id", F.concat(F.lit("input -> output:\n"), F.array_join(F.transform("e", lambda s: s["t"]), "\n"), F.lit("\nNow, determine the output for: "), "q").alias("prompt"))
 
 
-@query()
+_PAIRS = [(f, k, k // 8, k % 8) for f in ("XOR", "AND", "OR", "XOR-NOT", "AND-NOT", "OR-NOT") for k in range(64)]
+_CANDIDATES = ", ".join(f"('{f}', {k}, {a}, {b})" for f, k, a, b in [*_PAIRS, *((f, k, k, 0) for f in ("NOT", "I") for k in range(8)), ("0", 0, 0, 0), ("1", 0, 0, 0)])
+_TURN = "((({0} << {1}) | ({0} >> (8 - {1}))) & 255)"
+
+
+# the SQL tries every rule on every example, one row each
+@query(f"""WITH t AS (SELECT p_partkey // 9 AS id, p_partkey % 9 AS k, (p_partkey * 37) % 256 AS x FROM part),
+e AS (SELECT *, CASE id % 5 WHEN 0 THEN xor({_TURN.format('x', 3)}, x >> 2) WHEN 1 THEN xor({_TURN.format('x', 1)}, {_TURN.format('x', 5)}) WHEN 2 THEN {_TURN.format('x', 2)} & (255 - {_TURN.format('x', 7)}) WHEN 3 THEN (x * x + id) % 256 ELSE 255 - {_TURN.format('x', 4)} END AS y FROM t WHERE id IN (SELECT id FROM t WHERE k = 8)),
+c(f, n, a, b) AS (VALUES {_CANDIDATES}), o(f, first, second) AS (VALUES {", ".join(f"('{f}', {i}, {rules.TIE_ORDER.index(f)})" for i, f in enumerate(rules.FAMILIES))}),
+w AS (SELECT id, k, y, f, n, (x >> (7 - a)) & 1 AS p, (x >> (7 - b)) & 1 AS q FROM e, c),
+v AS (SELECT id, k, y, f, n, CASE f WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN 'I' THEN p WHEN 'NOT' THEN 1 - p WHEN 'AND' THEN p & q WHEN 'OR' THEN p | q WHEN 'XOR' THEN xor(p, q) WHEN 'AND-NOT' THEN p & (1 - q) WHEN 'OR-NOT' THEN p | (1 - q) ELSE xor(p, 1 - q) END AS v FROM w),
+h AS (SELECT id, j, f, n, max(v) FILTER (WHERE k = 8) AS guess FROM v, generate_series(0, 7) g(j) GROUP BY id, j, f, n HAVING bool_and(k = 8 OR v = (y >> (7 - j)) & 1) AND count(*) > 1),
+s AS (SELECT id, min(first) AS family FROM (SELECT id, f FROM h GROUP BY id, f HAVING count(DISTINCT j) = 8) JOIN o USING (f) GROUP BY id),
+u AS (SELECT h.id, j, second, n, guess FROM h JOIN o USING (f) LEFT JOIN s ON s.id = h.id WHERE family IS NULL OR family = first),
+b AS (SELECT id, j, CASE WHEN 2 * sum(guess) > count(*) THEN 1 WHEN 2 * sum(guess) < count(*) THEN 0 ELSE min_by(guess, second * 64 + n) END AS bit FROM u GROUP BY id, j),
+r AS (SELECT id, string_agg(CAST(bit AS VARCHAR), '' ORDER BY j) AS answer FROM b GROUP BY id HAVING count(*) = 8)
+SELECT i.id, answer FROM (SELECT DISTINCT id FROM e) i LEFT JOIN r ON r.id = i.id""")
 def bit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same prompts solved bit by bit under the harness."""
-    return rules.answers(_bit_prompts(spark, sf_dir), "bit_columns")
+    """Prompts of eight examples of five kinds, solved bit by bit: by one family, by votes, or by none."""
+    k = F.col("p_partkey")
+    x, at = F.pmod(k * 37, F.lit(256)).cast("int"), F.floor(k / 9)
+    kinds = (text.rotl(x, 3).bitwiseXOR(F.shiftright(x, 2)), text.rotl(x, 1).bitwiseXOR(text.rotl(x, 5)), text.rotl(x, 2).bitwiseAND(text.not8(text.rotl(x, 7))), F.pmod(x * x + at, F.lit(256)).cast("int"), text.not8(text.rotl(x, 4)))
+    return rules.bit_columns(_word_prompts(spark, sf_dir, F.element_at(F.array(*kinds), (at % 5 + 1).cast("int")))).select("id", "answer")
 
 
 _X = "CAST(p_partkey % 256 AS BIGINT)"

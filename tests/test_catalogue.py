@@ -46,15 +46,11 @@ def test_against_duckdb(spark, duck, name):
 
 @needs_data
 def test_solvers_under_the_harness(spark):
-    """The queries without SQL: each has an outcome for every puzzle, and answers that its rule explains."""
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"bit_columns", "symbol_puzzles"}
-    words = {r.id: r.answer for r in catalogue.QUERIES["bit_search"](spark, DATA).collect()}
-    rows = catalogue.QUERIES["bit_columns"](spark, DATA).collect()
-    assert {r.id for r in rows} == set(words) and {r.outcome for r in rows} == {"ok"}
-    right = {r.id: format((((x := (9 * r.id + 8) * 37 % 256) << 3 | x >> 5) & 255) ^ x >> 2, "08b") for r in rows}
-    assert sum(r.answer == right[r.id] for r in rows) > 0 and sum(words[i] == a for i, a in right.items()) > len(words) // 2
-    symbols = catalogue.QUERIES["symbol_puzzles"](spark, DATA).collect()
-    assert {r.outcome for r in symbols} <= {"ok", "timeout"} and len(symbols) == 40
+    """The query without SQL: each puzzle has an outcome, and an answer that its rule explains where there is one."""
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"symbol_puzzles"}
+    rows = catalogue.QUERIES["symbol_puzzles"](spark, DATA).collect()
+    assert {r.outcome for r in rows} <= {"ok", "timeout"} and len(rows) == 40
+    assert all(r.answer is None or set(r.answer) <= set("qwertyuiop-") for r in rows)
 
 
 def test_nothing_else_needs_the_llm_folder():

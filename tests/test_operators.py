@@ -174,13 +174,48 @@ def test_rule_counts_and_division(spark):
 def test_bit_solvers(spark):
     image = rules.bit_terms()["ROL3"]
     xs = [0, *(1 << k for k in range(8)), *range(11, 256, 13), 255]
-    assert rules.solve_bits([(x, int(image[x])) for x in xs], 0b10110001) == format(int(image[0b10110001]), "08b")
-    assert rules.solve_bits([], 1) is None
     lines = "\n".join(f"{x:08b} -> {int(image[x]):08b}" for x in xs)
     prompts = spark.createDataFrame([("a", f"input -> output:\n{lines}\nNow, determine the output for: 10110001"), ("b", "nothing")], "id string, prompt string")
     assert {r.id: r.answer for r in rules.bit_search(prompts).collect()} == {"a": format(int(image[0b10110001]), "08b"), "b": None}
 
 
+def columns_by_hand(examples, query):
+    """Every rule of every family, tried on every example."""
+    ops = {"AND": lambda p, q: p & q, "OR": lambda p, q: p | q, "XOR": lambda p, q: p ^ q}
+    bit = lambda v, k: v >> 7 - k & 1
+
+    def family(name, x):
+        if name in ("0", "1"):
+            return [int(name)]
+        if name in ("I", "NOT"):
+            return [bit(x, k) ^ (name == "NOT") for k in range(8)]
+        op, _, inverted = name.partition("-")
+        return [ops[op](bit(x, a), bit(x, b) ^ bool(inverted)) for a in range(8) for b in range(8)]
+
+    fits = {f: [[all(family(f, x)[k] == bit(y, j) for x, y in examples) for k in range(len(family(f, 0)))] for j in range(8)] for f in rules.FAMILIES}
+    if not examples or not all(any(any(fits[f][j]) for f in fits) for j in range(8)):
+        return None
+    by = next(([f] for f in rules.FAMILIES if all(any(fits[f][j]) for j in range(8))), rules.TIE_ORDER)
+    out = ""
+    for j in range(8):
+        votes = [v for f in by for v, ok in zip(family(f, query), fits[f][j]) if ok]
+        out += str(int(2 * sum(votes) > len(votes) or (2 * sum(votes) == len(votes) and votes[0])))
+    return out
+
+
+def test_bit_columns(spark):
+    rng = np.random.default_rng(6)
+    turn = lambda x, k: (x << k | x >> 8 - k) & 255
+    kinds = [lambda x: turn(x, 3) ^ x >> 2, lambda x: turn(x, 1) & ~turn(x, 2) & 255, lambda x: x ^ 255, lambda x: 0, lambda x: turn(x, 5) | turn(x, 6), lambda x: x * x % 256, lambda x: 255]
+    cases = [([(int(x), f(int(x))) for x in rng.integers(0, 256, n)], int(rng.integers(0, 256))) for f in kinds for n in (0, 1, 2, 4, 9, 70)]
+    rows = [(k, "input -> output:\n" + "\n".join(f"{x:08b} -> {y:08b}" for x, y in e) + f"\nNow, determine the output for: {q:08b}") for k, (e, q) in enumerate(cases)]
+    prompts = spark.createDataFrame([*rows, *rows[:3], (None, None), (-1, "no question")], "id int, prompt string")
+    got = rules.bit_columns(prompts).collect()
+    want = {k: columns_by_hand(e, q) for k, (e, q) in enumerate(cases)} | {None: None, -1: None}
+    assert len(got) == len(rows) + 5 and all(r.answer == want[r.id] for r in got)
+    assert sum(v is not None for v in want.values()) > 20
+
+
 def test_equation_search(spark):
     ask = lambda lines, q: "examples:\n" + "\n".join(lines) + f"\nNow, determine the result for: {q}"
     prompts = spark.createDataFrame([("add", ask(["12#34 = 46", "50#07 = 57"], "20#22")), ("rev", ask(["12+34 = #64"], "11+22")), ("op", ask(["12#34 = 46", "12*34 = 408"], "11*11")), ("none", ask(["12#34 = zz"], "11#11")), ("empty", "x")], "id string, prompt string")
