@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.grade import num_eq
 from ..functions.text import estimated_tokens, extract_answer, first_non_empty, has_text, strip
 
-#: Rows of an id set that may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows and bytes of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """df marked for a broadcast if a count proves it small, for a merge join otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df has at most so many rows, which hold at most so many bytes as text."""
+    rows, size = BROADCAST_IDS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    if df.limit(rows + 1).count() > rows:
+        return False
+    held = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return (df.agg(F.sum(held)).first()[0] or 0) <= size
+
+
+def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """df marked for a broadcast if its rows and bytes prove it small, for a merge join otherwise."""
+    return F.broadcast(df) if is_small(df, rows, size) else df.hint("merge")
 
 
 def without_errors(df: DataFrame) -> DataFrame:
@@ -26,12 +35,12 @@ def without_errors(df: DataFrame) -> DataFrame:
 
 def members(df: DataFrame, ids: DataFrame, keys: str | list[str]) -> DataFrame:
     """Rows whose key is among ids."""
-    return df.join(_small(ids), keys, "left_semi")
+    return df.join(small(ids), keys, "left_semi")
 
 
 def others(df: DataFrame, ids: DataFrame, keys: str | list[str]) -> DataFrame:
     """Rows whose key is not among ids."""
-    return df.join(_small(ids), keys, "left_anti")
+    return df.join(small(ids), keys, "left_anti")
 
 
 def grid(problems: DataFrame, generations: int, done: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -45,9 +54,13 @@ def grid(problems: DataFrame, generations: int, done: DataFrame | None = None, k
 
 
 def enrich(df: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
-    """df with a column filled from a lookup where it is null or empty."""
-    other = lookup.groupBy(key).agg(F.min(column).alias("_found"))
-    return df.join(_small(other), key, "left").withColumn(column, F.coalesce(F.nullif(column, F.lit("")), "_found")).drop("_found")
+    """df with a column filled from a lookup where it is null or empty. The lookup is broadcast only if its texts are
+    few bytes; columns of df keep their names, whatever they are."""
+    found = "_found"
+    while found in df.columns:
+        found += "_"
+    other = lookup.groupBy(key).agg(F.min(column).alias(found))
+    return df.join(small(other), key, "left").withColumn(column, F.coalesce(F.nullif(column, F.lit("")), found)).drop(found)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

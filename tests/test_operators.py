@@ -156,6 +156,22 @@ def test_contamination(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    """Few rows of long texts are no small table; the lookup's join is then a merge join with the same rows."""
+    docs = spark.createDataFrame([(1, None, "f"), (2, "kept", "f"), (3, "", "f"), (4, None, "f")], "id int, text string, _found string")
+    lookup = spark.createDataFrame([(1, "x" * 5000), (3, "y" * 5000), (3, "z"), (9, "none")], "id int, text string")
+    assert select.is_small(lookup) and not select.is_small(lookup, size=9000) and not select.is_small(lookup, rows=3)
+    want = [(1, "x" * 5000, "f"), (2, "kept", "f"), (3, "y" * 5000, "f"), (4, None, "f")]
+    for size in (select.BROADCAST_BYTES, 9000):
+        select.BROADCAST_BYTES, before = size, select.BROADCAST_BYTES
+        try:
+            found = select.enrich(docs, lookup, "id", "text")
+        finally:
+            select.BROADCAST_BYTES = before
+        assert sorted(tuple(r) for r in found.select("id", "text", "_found").collect()) == want
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()) == (size > 9000)
+
+
 def test_rule_counts_and_division(spark):
     all_rules = rules.verifier_rules()
     assert len(all_rules) == 7004 and len(rules.bit_primitives()) == 30 and len(rules.word_rules()) == 30 + 900 + 3 * 465
