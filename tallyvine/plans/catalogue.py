@@ -12,7 +12,7 @@ from ..functions import grade, text
 from ..operators import audit, corpus, dedup, metrics, rules, select, split
 from ..sources import files, schemas
 from ..sources.scratch import fresh_path
-from ..streaming.work import latest, upsert
+from ..streaming.work import append_once, latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -810,6 +810,21 @@ def state_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.load_state(spark, path)
 
 
+@query("""WITH b AS (SELECT k AS batch, event_id, event_type, k = 0 AND value > 60 AS failed FROM events, generate_series(0, 3) g(k) WHERE event_id % 4 IN (k, (k + 1) % 4))
+SELECT 'events-' || batch AS batch, CAST(event_id AS VARCHAR) AS id, event_type AS category, CASE WHEN failed THEN 'late' END AS error FROM b
+WHERE failed OR batch = (SELECT min(o.batch) FROM b o WHERE o.event_id = b.event_id AND NOT o.failed)""")
+def appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events captured in four batches that share half of their rows, each added and replayed; failed ones come again."""
+    path, rows = fresh_path(spark, "log"), table(spark, sf_dir, "events")
+    append = append_once(path, ["id"], "events")
+    for k in range(4):
+        failed = (F.col("value") > 60) & (F.lit(k) == 0)
+        batch = rows.where((F.col("event_id") % 4).isin(k, (k + 1) % 4)).select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("category"), F.when(failed, "late").alias("error"))
+        for number in (k, k // 2):  # a batch, and it or an earlier one again
+            append(batch, number)
+    return files.load_log(spark, path).select("batch", "id", "category", "error")
+
+
 # curation
 
 

@@ -1,17 +1,20 @@
 """Sources and sinks: line-delimited JSON, tolerant of malformed lines, of malformed files or of nothing; multi-line
-CSV, id lists, labelled trees of files, reports, state tables that are replaced atomically."""
+CSV, id lists, labelled trees of files, reports, state tables of many writers, logs that take a batch once."""
 
 from __future__ import annotations
 
 import functools
 import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import run_label
+from ..operators.select import small
 from .scratch import written
 
 CORRUPT = "_corrupt_record"
@@ -157,42 +160,47 @@ def fixed_width(df: DataFrame) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in rows)
 
 
-def _renamed(spark: SparkSession, source: str, target: str) -> None:
-    """Renames over what is there, in one step."""
-    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
-    options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    where = hadoop.Path(target)
-    base = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    qualified = base.makeQualified(where)
-    hadoop.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(base.makeQualified(hadoop.Path(source)), qualified, options)
+#: Commits whose files stay: a writer that falls behind by fewer finds its number taken.
+KEPT_COMMITS = 100
 
 
-def save_state(df: DataFrame, path: str) -> None:
-    """A keyed state table, replaced as a whole and at once: a version is written beside the others, and then a file that
-    names it is renamed over the old one. Readers see the old or the new version; versions before these are removed."""
-    spark, name = df.sparkSession, uuid.uuid4().hex
-    old = _pointed_name(spark, path)
-    df.write.parquet(f"{path}/version={name}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(conf)
-    out = fs.create(hadoop.Path(f"{path}/_next-{name}"), True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    _renamed(spark, f"{path}/_next-{name}", f"{path}/_current")
-    for status in fs.listStatus(hadoop.Path(path)):
-        found = status.getPath().getName()
-        if found.startswith("version=") and found not in (f"version={name}", f"version={old}"):
-            fs.delete(status.getPath(), True)
-
-
-def _pointed_name(spark: SparkSession, path: str) -> str | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(f"{path}/_current")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return None
+def _on_storage(spark: SparkSession, path: str) -> tuple:
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def claim(spark: SparkSession, source: str, target: str) -> bool:
+    """Gives a file or folder a name that nothing has, in one step; False, and source stays, if the name is taken.
+
+    Renames of local file systems replace what is there, so a local file gets its second name by a hard link, which
+    fails if the name is taken; elsewhere the rename itself does.
+    """
+    (old, fs), (new, _) = _on_storage(spark, source), _on_storage(spark, target)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        if fs.getUri().getScheme() == "file" and fs.getFileStatus(old).isFile():
+            local = lambda at: jvm.java.io.File(at.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(new), local(old))
+            fs.delete(old, False)
+        else:
+            nothing = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(old), fs.makeQualified(new), nothing)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the commits of a state table, ascending."""
+    where, fs = _on_storage(spark, f"{path}/_commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()) if fs.exists(where) else []
+
+
+def _version(spark: SparkSession, path: str, number: int) -> str:
+    where, fs = _on_storage(spark, f"{path}/_commits/{number:020d}")
     stream = fs.open(where)
     try:
         return bytes(stream.readNBytes(32)).decode()
@@ -200,7 +208,93 @@ def _pointed_name(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def update_state(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 50) -> None:
+    """Replaces a keyed state table, as a whole and at once, by change(the table as last saved, None before that).
+
+    A version is written beside the others; a commit, a file of the next number that names it, makes it the table.
+    Only one writer gets a number: any other removes its version and starts again from the newer table, so no change is
+    lost, whoever runs at the same time. change may run several times; a writer KEPT_COMMITS behind may apply it twice,
+    so it should be one that changes nothing the second time. Readers see the old or the new version, and the version
+    before the last stays for those that still read it. Versions that a stopped writer never committed stay unread.
+    """
+    for _ in range(tries):
+        done, name = _commits(spark, path), uuid.uuid4().hex
+        last = done[-1] if done else -1
+        version, draft = f"{path}/version={name}", f"{path}/_commits/_next-{name}"
+        try:
+            change(spark.read.parquet(f"{path}/version={_version(spark, path, last)}") if done else None).write.parquet(version)
+        except Exception:
+            _remove(spark, version)
+            if _commits(spark, path)[-1:] == done[-1:]:
+                raise
+            continue  # what it read was replaced twice, and removed
+        where, fs = _on_storage(spark, draft)
+        out = fs.create(where, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if claim(spark, draft, f"{path}/_commits/{last + 1:020d}"):
+            now = _commits(spark, path)
+            if now[-1] < last + 1 + KEPT_COMMITS:
+                if last > 0:
+                    _remove(spark, f"{path}/version={_version(spark, path, last - 1)}")
+                for number in now:
+                    if number <= last + 1 - KEPT_COMMITS:
+                        _remove(spark, f"{path}/_commits/{number:020d}")
+                return
+            _remove(spark, f"{path}/_commits/{last + 1:020d}")  # a number that was given long ago
+        _remove(spark, draft)
+        _remove(spark, version)
+    raise RuntimeError(f"{path}: other writers came first {tries} times")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, fs = _on_storage(spark, path)
+    fs.delete(where, True)
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    """A keyed state table, replaced as a whole and at once, whatever it holds; see update_state()."""
+    update_state(df.sparkSession, path, lambda _: df)
+
+
 def load_state(spark: SparkSession, path: str) -> DataFrame | None:
     """The state table as it was last saved; None before that."""
-    name = _pointed_name(spark, path)
-    return None if name is None else spark.read.parquet(f"{path}/version={name}")
+    done = _commits(spark, path)
+    return spark.read.parquet(f"{path}/version={_version(spark, path, done[-1])}") if done else None
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all batches that append_batch() has added, with the batch; None before the first."""
+    where, fs = _on_storage(spark, path)
+    if not fs.exists(where) or not any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(where)):
+        return None
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+
+
+def append_batch(df: DataFrame, path: str, batch: str, keys: list[str]) -> bool:
+    """Adds a batch to a log once: False, and nothing changes, if it has been added before.
+
+    The log's folders are the ledger: a batch is written under a hidden name and then renamed to its own, in one step.
+    A row whose key a row without error of the log has is left out, and of rows of one batch with equal keys and no
+    error one stays; rows with an error never count as done and are all kept. Null is a key like any other. Of the log
+    only keys that the batch has are shuffled, where the batch's keys are few enough to be broadcast.
+    """
+    spark, target = df.sparkSession, f"{path}/batch={batch}"
+    where, fs = _on_storage(spark, target)
+    if fs.exists(where):
+        return False
+    failed = F.coalesce("error", F.lit("")) != "" if "error" in df.columns else F.lit(False)
+    good, old = df.where(~failed).dropDuplicates(keys), load_log(spark, path)
+    if old is not None:
+        key = "_key"
+        while key in df.columns:
+            key += "_"
+        done = (old.where(F.coalesce("error", F.lit("")) == "") if "error" in old.columns else old).select(F.struct(*keys).alias(key))
+        good = good.withColumn(key, F.struct(*keys))
+        good = good.join(done.join(small(good.select(key)), key, "left_semi"), key, "left_anti").drop(key)
+    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    good.unionByName(df.where(failed)).write.parquet(draft)
+    if claim(spark, draft, target):
+        return True
+    _remove(spark, draft)
+    return False
