@@ -508,6 +508,57 @@ def bit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.bit_columns(_word_prompts(spark, sf_dir, F.element_at(F.array(*kinds), (at % 5 + 1).cast("int")))).select("id", "answer")
 
 
+_NESTED = ("({x} << 3 & 255) & xor({x} >> 1, {r})", "xor({x} << 2 & 255, {r} & ({x} >> 3))", "({x} << 4 & 255) | (({x} >> 2) & {r})", "({x} * {x} + id) % 256")
+_PRIMITIVES = [("id", "x"), *((f"{n}{k}", v) for k in range(1, 8) for n, v in (("ROL", _TURN.format("x", k)), ("ROR", _TURN.format("x", 8 - k)), ("SHL", f"((x << {k}) & 255)"), ("SHR", f"(x >> {k})"))), ("not", "(255 - x)")]
+_COMBINED = "CASE {0} WHEN 0 THEN xor({1}, {2}) WHEN 1 THEN {1} | {2} ELSE {1} & {2} END"
+
+
+# the SQL packs what the primitives give on the eight examples into one number and tries all 125,550 rules on it
+@query(f"""WITH t AS (SELECT p_partkey // 9 AS id, p_partkey % 9 AS k, (p_partkey * 37) % 256 AS x FROM part),
+e AS (SELECT *, CASE id % 4 {" ".join(f"WHEN {i} THEN {v.format(x='x', r=_TURN.format('x', 3))}" for i, v in enumerate(_NESTED))} END AS y FROM t WHERE id IN (SELECT id FROM t WHERE k = 8)),
+v AS (SELECT id, k, y, unnest([{", ".join(v for _, v in _PRIMITIVES)}]) AS v, generate_subscripts([{", ".join(v for _, v in _PRIMITIVES)}], 1) AS n FROM e),
+g AS (SELECT id, n, CAST(sum(CAST(v AS HUGEINT) << (8 * k)) FILTER (WHERE k < 8) AS UBIGINT) AS p, CAST(coalesce(sum(CAST(y AS HUGEINT) << (8 * k)) FILTER (WHERE k < 8), 0) AS UBIGINT) AS y, max(v) FILTER (WHERE k = 8) AS q FROM v GROUP BY 1, 2),
+s AS (SELECT b.id, i AS inner_op, b.n AS bn, c.n AS cn, {_COMBINED.format('i', 'b.p', 'c.p')} AS p, {_COMBINED.format('i', 'b.q', 'c.q')} AS q FROM g b JOIN g c ON c.id = b.id AND b.n <= c.n, generate_series(0, 2) u(i)),
+h AS (SELECT a.id, {_COMBINED.format('o', 'a.q', 's.q')} AS guess, row_number() OVER (PARTITION BY a.id ORDER BY o, inner_op, a.n, bn, cn) AS place FROM g a JOIN s ON s.id = a.id, generate_series(0, 2) w(o) WHERE {_COMBINED.format('o', 'a.p', 's.p')} = a.y)
+SELECT i.id, lpad(bin(guess), 8, '0') AS answer FROM (SELECT DISTINCT id FROM e) i LEFT JOIN h ON h.id = i.id AND place = 1""")
+def nested_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of eight examples whose rules nest three primitives, solved by the word search's second tier alone."""
+    k = F.col("p_partkey")
+    x, at = F.pmod(k * 37, F.lit(256)).cast("int"), F.floor(k / 9)
+    up, turned = (lambda n: F.shiftleft(x, n).bitwiseAND(F.lit(255))), text.rotl(x, 3)
+    kinds = (up(3).bitwiseAND(F.shiftright(x, 1).bitwiseXOR(turned)), up(2).bitwiseXOR(turned.bitwiseAND(F.shiftright(x, 3))), up(4).bitwiseOR(F.shiftright(x, 2).bitwiseAND(turned)), F.pmod(x * x + at, F.lit(256)).cast("int"))
+    rows = _word_prompts(spark, sf_dir, F.element_at(F.array(*kinds), (at % 4 + 1).cast("int")))
+    found = rules.nested_answers(rows.select(F.col("prompt").alias("id"), text.bit_examples(F.col("prompt")).alias("examples"), text.bit_query(F.col("prompt")).alias("query")))
+    return rows.join(found.withColumnRenamed("id", "prompt"), "prompt", "left").select("id", text.to_bits(F.col("_out")).alias("answer"))
+
+
+_STRIDES = ", ".join(f"({k}, '{f}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for k, (f, a, b, _) in enumerate(rules.stride_rules()))
+
+
+# the SQL looks at single bits: which strides hold on an output bit, and at which bit a run ends
+@query(f"""WITH t AS (SELECT p_partkey // 9 AS id, p_partkey % 9 AS k, (p_partkey * 37) % 256 AS x FROM part),
+e AS (SELECT *, CASE id % 5 WHEN 0 THEN {_TURN.format('x', 5)} & {_TURN.format('x', 7)} WHEN 1 THEN xor((x << 3) & 255, {_TURN.format('x', 1)}) WHEN 2 THEN ((x << 5) & 255) & {_TURN.format('x', 7)} | (x >> 5) WHEN 3 THEN (x * x + id) % 256 ELSE ((x << 2) & 255) & (x >> 1) END AS y FROM t WHERE id IN (SELECT id FROM t WHERE k = 8)),
+c(r, f, a, b) AS (VALUES {_STRIDES}),
+w AS (SELECT id, k, r, f, a, b, j, (y >> (7 - j)) & 1 AS y, (x >> (7 - (coalesce(a, 0) + j) % 8)) & 1 AS p, (x >> (7 - (coalesce(b, 0) + j) % 8)) & 1 AS q FROM e, c, generate_series(0, 7) g(j)),
+v AS (SELECT id, k, r, a, b, j, y, CASE f WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN 'I' THEN p WHEN 'NOT' THEN 1 - p WHEN 'AND' THEN p & q WHEN 'OR' THEN p | q WHEN 'XOR' THEN xor(p, q) WHEN 'AND-NOT' THEN p & (1 - q) WHEN 'OR-NOT' THEN p | (1 - q) ELSE xor(p, 1 - q) END AS v FROM w),
+h AS (SELECT id, r, a, b, j, bool_and(v = y) FILTER (WHERE k < 8) AS holds, max(v) FILTER (WHERE k = 8) AS guess FROM v GROUP BY id, r, a, b, j),
+n AS (SELECT id, r, a, b, coalesce(min(j) FILTER (WHERE NOT holds), 8) AS l, 7 - coalesce(max(j) FILTER (WHERE NOT holds), -1) AS g FROM h GROUP BY id, r, a, b HAVING bool_and(holds IS NOT NULL)),
+m AS (SELECT id, max(l) AS l, min_by(r, (-l) * 1000 + r) AS lr, max(g) AS g, min_by(r, (-g) * 1000 + r) AS gr FROM n GROUP BY id HAVING max(l) > 0 OR max(g) > 0),
+d AS (SELECT m.id, lr, gr, CASE WHEN l >= g THEN l ELSE least(l, 8 - g) END AS l, CASE WHEN l >= g THEN least(g, 8 - l) ELSE g END AS g, c.a, c.b FROM m JOIN c ON c.r = CASE WHEN l >= g THEN lr ELSE gr END),
+k AS (SELECT d.id, min(h.r) AS mr FROM d JOIN (SELECT h.id, h.r, h.a, h.b, count(*) FILTER (WHERE holds AND j >= d.l AND j < 8 - d.g) AS hits, any_value(8 - d.g - d.l) AS need FROM h JOIN d ON d.id = h.id GROUP BY h.id, h.r, h.a, h.b) h ON h.id = d.id AND hits = need
+      AND (h.a IS NULL OR coalesce(h.a = d.a, false) OR coalesce(h.a = d.b, false)) AND (h.b IS NULL OR coalesce(h.b = d.a, false) OR coalesce(h.b = d.b, false)) GROUP BY d.id),
+z AS (SELECT d.id, o.j, CASE WHEN o.j < d.l THEN lr WHEN o.j >= 8 - d.g THEN gr ELSE mr END AS r FROM d LEFT JOIN k ON k.id = d.id, generate_series(0, 7) o(j)),
+s AS (SELECT z.id, string_agg(CAST(coalesce(guess, 1) AS VARCHAR), '' ORDER BY z.j) AS answer FROM z LEFT JOIN h ON h.id = z.id AND h.r = z.r AND h.j = z.j GROUP BY z.id)
+SELECT i.id, answer FROM (SELECT DISTINCT id FROM e) i LEFT JOIN s ON s.id = i.id""")
+def stride_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of eight examples: one stride, a turned word under a shifted one, two that meet, none, a constant between."""
+    k = F.col("p_partkey")
+    x, at = F.pmod(k * 37, F.lit(256)).cast("int"), F.floor(k / 9)
+    up = lambda n: F.shiftleft(x, n).bitwiseAND(F.lit(255))
+    kinds = (text.rotl(x, 5).bitwiseAND(text.rotl(x, 7)), up(3).bitwiseXOR(text.rotl(x, 1)), up(5).bitwiseAND(text.rotl(x, 7)).bitwiseOR(F.shiftright(x, 5)), F.pmod(x * x + at, F.lit(256)).cast("int"), up(2).bitwiseAND(F.shiftright(x, 1)))
+    return rules.stride_search(_word_prompts(spark, sf_dir, F.element_at(F.array(*kinds), (at % 5 + 1).cast("int")))).select("id", "answer")
+
+
 _X = "CAST(p_partkey % 256 AS BIGINT)"
 
 
