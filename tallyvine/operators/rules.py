@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grade import is_correct, num_eq
 from ..functions.text import bit_examples, bit_query, equation_examples, equation_query, signed_reverse, to_bits, typographic
+from ..sources.scratch import written
 
 _WORDS = np.arange(256, dtype=np.int64)
 
@@ -552,9 +553,9 @@ def solve_symbol_prompt(prompt: str) -> str | None:
 
 
 def answers(problems: DataFrame, name: str, seconds: float = 5.0, key: str = "id") -> DataFrame:
-    """key, answer, outcome of a registered solver."""
+    """key, answer, outcome of a registered solver; null prompts are errors."""
     if name in EXPRESSIONS:
-        return problems.select(key, EXPRESSIONS[name](F.col("prompt")).alias("answer"), F.lit("ok").alias("outcome"))
+        return problems.select(key, EXPRESSIONS[name](F.col("prompt")).alias("answer"), F.when(F.col("prompt").isNull(), "error").otherwise("ok").alias("outcome"))
     return run_solver(problems, SOLVERS[name], seconds, key)
 
 
@@ -598,5 +599,80 @@ def substitution(pairs: DataFrame, key: str, cipher: str, plain: str) -> DataFra
     return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("mapping"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shape(w: Column) -> Column:
+    """Which letters of a word are equal: for each the place where it first stands."""
+    return F.array_join(F.transform(F.regexp_extract_all(w, F.lit("(.)"), 1), lambda c: F.call_function("instr", w, c)), ",")
+
+
+def _seen(w: Column, known: Column, stands_for: Column) -> Column:
+    """A word with its known letters in upper case, as what they stand for, and a mark for each other one."""
+    return F.regexp_replace(F.call_function("translate", w, known, F.upper(stands_for)), "[a-z]", "_")
+
+
+def decipher(examples: DataFrame, questions: DataFrame, words: DataFrame, key: str, rounds: int = len(_LETTERS)) -> DataFrame:
+    """questions (key, cipher) with the answer in plain letters, `?` where a letter stays unknown.
+
+    Letters a to z are enciphered one for one, all else stands for itself. examples (key, cipher, plain) show letters;
+    the others come from words (word): a word of the question that one word of the list fits, by its shape, its known
+    letters and the plain letters that are taken, shows its letters. That is repeated until no question learns a letter,
+    which is at most once for each letter. Letters on which examples or such words disagree are left out.
+
+    The list is indexed by shape and each letter's place, so a word of a question meets the words that have its first
+    known letter in that place; those without a known letter meet all of their shape. Null ids and texts have no answer;
+    questions with one id share what they learn; the list's repeated words count once.
+    """
+    kind = dict(questions.dtypes)[key]
+    asked = questions.where(F.col(key).isNotNull() & F.col("cipher").isNotNull())
+    tokens = asked.select(key, F.explode(F.regexp_extract_all("cipher", F.lit("([a-z]+)"), 1)).alias("w")).distinct()
+    tokens = written(tokens.withColumn("shape", _shape(F.col("w"))), "tokens")
+    listed = words.where(F.col("word").rlike("^[a-z]+$")).select("word").distinct().withColumn("shape", _shape(F.col("word")))
+    places = F.array_append(F.transform(F.regexp_extract_all("word", F.lit("(.)"), 1), lambda c, i: F.struct((i + 1).alias("place"), c.alias("letter"))), F.struct(F.lit(0).alias("place"), F.lit("").alias("letter")))
+    index = written(listed.select("shape", "word", F.explode(places).alias("_p")).select("shape", "word", "_p.place", "_p.letter"), "index")
+    shown = examples.where(F.col(key).isNotNull()).select(key, "cipher", "plain")
+    shown = substitution(shown, key, "cipher", "plain").select(key, F.explode("mapping").alias("c", "p")).where(F.col("c").rlike("^[a-z]$") & F.col("p").rlike("^[a-z]$"))
+    letters = written(_one_to_one(shown, key), "letters")
+
+    def tables(letters: DataFrame) -> DataFrame:
+        per = letters.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("_l"))  # 26 at most
+        return per.select(key, F.array_join("_l.c", "").alias("known"), F.array_join("_l.p", "").alias("plain"))
+
+    filled = lambda df: df.fillna("", ["known", "plain"])
+    for _ in range(rounds):
+        open_ = filled(tokens.join(tables(letters), key, "left")).withColumn("seen", _seen(F.col("w"), F.col("known"), F.col("plain"))).where(F.contains("seen", F.lit("_")))
+        open_ = open_.withColumn("place", F.regexp_instr("seen", F.lit("[A-Z]"))).withColumn("letter", F.lower(F.when(F.col("place") > 0, F.substring("seen", F.col("place"), F.lit(1))).otherwise("")))
+        fits = open_.join(index, ["shape", "place", "letter"]).where(_seen(F.col("word"), F.col("plain"), F.col("plain")) == F.col("seen"))
+        sure = fits.groupBy(key, "w", "seen").agg(F.min("word").alias("word"), F.max("word").alias("_other")).where("word = _other")
+        chars = lambda c: F.regexp_extract_all(c, F.lit("(.)"), 1)
+        new = sure.select(key, F.explode(F.arrays_zip(chars("w").alias("c"), chars("word").alias("p"), chars("seen").alias("s"))).alias("_z")).where("_z.s = '_'").select(key, "_z.c", "_z.p").distinct()
+        new = written(_one_to_one(new, key), "new")
+        if new.isEmpty():
+            break
+        letters = written(letters.unionByName(new), "letters")
+    out = filled(questions.withColumn("_key", F.col(key).cast(kind)).join(tables(letters).withColumnRenamed(key, "_key"), "_key", "left")).drop("_key")
+    rest = F.call_function("translate", F.lit(_LETTERS), F.col("known"), F.lit(""))
+    answer = F.call_function("translate", F.col("cipher"), F.concat("known", rest), F.rpad("plain", len(_LETTERS), "?"))
+    return out.withColumn("answer", F.when(F.col(key).isNotNull(), answer)).drop("known", "plain")
+
+
+def _one_to_one(letters: DataFrame, key: str) -> DataFrame:
+    """The rows of distinct (key, c, p) that share neither c nor p with another."""
+    once = letters.groupBy(key, "c").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    taken = letters.groupBy(key, "p").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    return once.join(taken, [key, "p"], "left_semi").select(key, "c", "p")
+
+
+def solve_report(graded: DataFrame, status: str) -> DataFrame:
+    """status (`all` for the last line), correct, total, errors, timeouts and rate (percent) of graded() results; a
+    problem without status counts as `?`."""
+    of = F.coalesce(F.col(status), F.lit("?"))
+    counted = graded.select(of.alias("status"), "outcome").groupBy("status").agg(*[F.count_if(F.col("outcome") == o).alias(n) for n, o in (("correct", "ok"), ("errors", "error"), ("timeouts", "timeout"))], F.count(F.lit(1)).alias("total"))
+    names = ("correct", "total", "errors", "timeouts")
+    every = counted.agg(F.lit("all").alias("status"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return counted.select("status", *names).unionByName(every).withColumn("rate", F.bround(100 * F.col("correct") / F.nullif("total", F.lit(0)), 1))
+
+
 def first_by_ordinal(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))).where("_r = 1").drop("_r")

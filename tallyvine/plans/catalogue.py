@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -559,6 +560,71 @@ def stride_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.stride_search(_word_prompts(spark, sf_dir, F.element_at(F.array(*kinds), (at % 5 + 1).cast("int")))).select("id", "answer")
 
 
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+#: Enciphered alphabets: letter i becomes letter a * i + b.
+_ALPHABETS = ["".join(_AZ[(a * i + b) % 26] for i in range(26)) for a, b in ((1, 3), (5, 8), (7, 1), (11, 20))]
+_ROUNDS = 6  # in the SQL; the searches of these tables end before
+
+
+def _decipher_sql() -> str:
+    seen = "regexp_replace(translate({0}, {1}, upper({2})), '[a-z]', '_', 'g')"
+    shape = "list_transform(string_split({0}, ''), lambda c: instr({0}, c))"
+    enc = lambda c: f"CASE turn % 4 {' '.join(f'WHEN {k} THEN translate({c}, {chr(39)}{_AZ}{chr(39)}, {chr(39)}{a}{chr(39)})' for k, a in enumerate(_ALPHABETS))} END"
+    once = "SELECT id, c, min(p) AS p FROM (SELECT *, count(*) OVER (PARTITION BY id, p) AS n FROM {0}) GROUP BY id, c HAVING count(*) = 1 AND max(n) = 1"
+    parts = [
+        f"t AS (SELECT conv_id || '-' || turn AS id, turn, role, translate(text, '{_AZ.upper()}', '{_AZ}') AS txt FROM conversations)",
+        f"q AS (SELECT id, txt, {enc('txt')} AS enc, {enc('role')} AS secret, role FROM t)",
+        f"w AS (SELECT *, {shape.format('w')} AS shape FROM (SELECT DISTINCT id, unnest(regexp_extract_all(enc, '[a-z]+')) AS w FROM q))",
+        f"d AS (SELECT *, {shape.format('word')} AS shape FROM (SELECT DISTINCT unnest(regexp_extract_all(txt, '[a-z]+')) AS word FROM q))",
+        "x AS (SELECT DISTINCT id, unnest(string_split(secret, '')) AS c, unnest(string_split(role, '')) AS p FROM q)",
+        f"m0 AS ({once.format('x')})",
+    ]
+    for r in range(_ROUNDS):
+        parts += [
+            f"k{r} AS MATERIALIZED (SELECT id, string_agg(c, '' ORDER BY c) AS known, string_agg(p, '' ORDER BY c) AS plain FROM m{r} GROUP BY id)",
+            f"o{r} AS MATERIALIZED (SELECT w.id, w, shape, plain, {seen.format('w', 'known', 'plain')} AS seen FROM w JOIN k{r} k ON k.id = w.id WHERE contains({seen.format('w', 'known', 'plain')}, '_'))",
+            f"s{r} AS (SELECT id, w, any_value(seen) AS seen, min(word) AS word FROM o{r} o JOIN d ON d.shape = o.shape AND {seen.format('word', 'plain', 'plain')} = seen GROUP BY id, w HAVING count(*) = 1)",
+            f"n{r} AS (SELECT DISTINCT id, c, p FROM (SELECT id, unnest(string_split(w, '')) AS c, unnest(string_split(word, '')) AS p, unnest(string_split(seen, '')) AS s FROM s{r}) WHERE s = '_')",
+            f"m{r + 1} AS MATERIALIZED (SELECT * FROM m{r} UNION ALL ({once.format(f'n{r}')}))",
+        ]
+    last = f"SELECT id, string_agg(c, '' ORDER BY c) AS known, string_agg(p, '' ORDER BY c) AS plain FROM m{_ROUNDS} GROUP BY id"
+    return f"WITH {', '.join(parts)} SELECT q.id, translate(enc, known || translate('{_AZ}', known, ''), rpad(plain, 26, '?')) AS answer, enc AS cipher FROM q JOIN ({last}) k ON k.id = q.id"
+
+
+@query(_decipher_sql())
+def ciphers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations enciphered by one of four alphabets, of which the word for the role is shown; the words of
+    all conversations are the list that gives the other letters."""
+    enc = lambda c: functools.reduce(lambda e, k: e.when(F.col("turn") % 4 == k, F.translate(c, _AZ, _ALPHABETS[k])), range(1, 4), F.when(F.col("turn") % 4 == 0, F.translate(c, _AZ, _ALPHABETS[0])))
+    rows = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), "turn", "role", F.translate("text", _AZ.upper(), _AZ).alias("txt"))
+    words = rows.select(F.explode(F.regexp_extract_all("txt", F.lit("([a-z]+)"), 1)).alias("word"))
+    return rules.decipher(rows.select("id", enc(F.col("role")).alias("cipher"), F.col("role").alias("plain")), rows.select("id", enc(F.col("txt")).alias("cipher")), words, "id")
+
+
+@query("""WITH g AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS BIGINT) AS x, (l_orderkey % 7 + 2) * CAST(l_quantity AS BIGINT) AS y FROM lineitem),
+f AS (SELECT l_orderkey, round_even(avg(y / x), 6) AS factor FROM g WHERE n > 1 AND x <> 0 GROUP BY 1)
+SELECT g.l_orderkey, x, factor, factor * x AS answer FROM g LEFT JOIN f ON f.l_orderkey = g.l_orderkey WHERE n = 1""")
+def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose later lines show the factor that the first one asks for; orders of one line have none."""
+    x = F.col("l_quantity").cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), ((F.col("l_orderkey") % 7 + 2) * x).alias("y"))
+    found = rules.scalar_ratio(rows.where("l_linenumber > 1"), "l_orderkey", "x", "y", rows.where("l_linenumber = 1").select("l_orderkey", "x"))
+    return found.select("l_orderkey", "x", F.bround("factor", 6).alias("factor"), "answer")
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS status, p_partkey % 4 AS k FROM part),
+r AS (SELECT coalesce(status, '?') AS status, count(*) FILTER (WHERE k < 2) AS correct, count(*) AS total, count(*) FILTER (WHERE k = 3) AS errors, CAST(0 AS BIGINT) AS timeouts FROM g GROUP BY 1)
+SELECT *, round_even(100.0::DOUBLE * correct / total, 1) AS rate FROM (SELECT * FROM r UNION ALL SELECT 'all', sum(correct)::BIGINT, sum(total)::BIGINT, sum(errors)::BIGINT, sum(timeouts)::BIGINT FROM r)""")
+def solve_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solver of unseen operators on equations of part numbers: half are right, a fourth wrong, a fourth has no prompt
+    and is an error; rates by the parts' type."""
+    k = F.col("p_partkey")
+    a, b = (F.lpad(F.pmod(k * n, F.lit(100)).cast("string"), 2, "0") for n in (7, 3))
+    prompt = F.concat(F.lit("Examples:\n11*22 = 242\nNow, determine the result for: "), a, F.lit("+"), b)
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 5 > 0, F.col("p_type")).alias("status"), F.when(k % 4 < 3, prompt).alias("prompt"), F.when(k % 4 < 2, F.abs(a.cast("long") - b.cast("long")).cast("string")).otherwise("none").alias("answer"))
+    return rules.solve_report(rules.graded(rules.answers(rows, "equation_guess"), rows.select("id", "status", "answer")), "status")
+
+
 _X = "CAST(p_partkey % 256 AS BIGINT)"
 
 
