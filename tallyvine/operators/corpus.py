@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chat, equation_query, estimated_tokens, render_chat, typographic, usable_cot
+from ..functions.grade import num_eq
+from ..functions.text import chat, equation_query, estimated_tokens, extract_answer, first_non_empty, render_chat, strip, typographic, usable_cot
 from .select import exact_answers, others, oversample, top_per_group, trace_text, within_budget, without_errors
 from .split import SEED, round_robin
 
@@ -30,6 +31,28 @@ def curate(traces: DataFrame, problems: DataFrame, held_out: DataFrame, ranks: d
     return best.select("id", "prompt", F.col("truth").alias("answer"), "type", F.col("cot").alias("generated_cot"), F.concat(F.lit(prefix), F.col("source")).alias("source"))
 
 
+#: What becomes of a trace: the first gate that it does not pass, or `kept`.
+GATES = ("error", "source_gate", "problem", "no_text", "wrong", "over_budget", "outranked", "kept")
+
+
+def curation_report(traces: DataFrame, problems: DataFrame, held_out: DataFrame, ranks: dict[str, int], allowed: list[str] | None = None, keep: int = KEEP, budget: int = BUDGET, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+    """source, traces and, for each of GATES, how many traces ended there: what curate() drops and why. A trace whose
+    problem is held out or unknown ends at `problem`; null is a source of its own."""
+    known = others(problems, held_out, "id").select("id", "prompt", F.col("answer").alias("truth"), F.lit(True).alias("known"))
+    rows = traces.select("id", "gen", "source", "text", "answer_text", "error").withColumn("cot", strip(first_non_empty(F.col("text"), F.col("answer_text")))).join(known, "id", "left")
+    right = F.coalesce(num_eq(extract_answer(F.col("cot")), F.col("truth")), F.lit(False))
+    size = tokens(render_chat(chat(F.col("prompt"), F.col("cot"), F.col("truth"))))
+    allowed_here = F.coalesce(F.col("source").isin(list(ranks) if allowed is None else allowed), F.lit(False))
+    gate = F.when(F.coalesce("error", F.lit("")) != "", "error").when(~allowed_here, "source_gate").when(F.col("known").isNull(), "problem").when(F.coalesce("cot", F.lit("")) == "", "no_text").when(~right, "wrong").when(F.coalesce(size > budget, F.lit(True)), "over_budget")
+    slim = rows.select("id", "gen", "source", F.length("cot").alias("size"), gate.alias("gate"))
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), F.col("source")), F.lit(len(ranks)))
+    passed = slim.where("gate is null")
+    best = top_per_group(passed, ["id"], [rank, F.col("size"), F.col("source"), F.col("gen")], keep).groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
+    ended = slim.groupBy("source").agg(F.count(F.lit(1)).alias("traces"), F.count_if(F.col("gate").isNull()).alias("passed"), *[F.count_if(F.col("gate") == g).alias(g) for g in GATES[:-2]])
+    kept = F.coalesce("kept", F.lit(0))
+    return ended.join(best, "source", "left").select("source", "traces", *GATES[:-2], (F.col("passed") - kept).alias("outranked"), kept.alias("kept"))
+
+
 def synthetic(problems: DataFrame) -> DataFrame:
     """Curated records of the problems whose question uses one of three operators with a known meaning and whose
     answer it gives exactly; the fallback rule is not taught."""

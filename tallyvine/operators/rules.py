@@ -672,7 +672,3 @@ def solve_report(graded: DataFrame, status: str) -> DataFrame:
     names = ("correct", "total", "errors", "timeouts")
     every = counted.agg(F.lit("all").alias("status"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
     return counted.select("status", *names).unionByName(every).withColumn("rate", F.bround(100 * F.col("correct") / F.nullif("total", F.lit(0)), 1))
-
-
-def first_by_ordinal(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))).where("_r = 1").drop("_r")

@@ -112,15 +112,10 @@ def exact_answers(df: DataFrame, truth: str = "truth") -> DataFrame:
 
 
 def within_budget(df: DataFrame, text: Column, most: int = 8000, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
-    """Rows whose formatted example takes at most so many tokens; over_budget() counts the others."""
+    """Rows whose formatted example takes at most so many tokens; corpus.curation_report() counts the others."""
     return df.where(tokens(text) <= most)
 
 
-def over_budget(df: DataFrame, text: Column, most: int = 8000, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
-    """How many rows within_budget() drops."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(tokens(text) > most).alias("dropped"))
-
-
 def within_recorded(df: DataFrame, most: int = 8192) -> DataFrame:
     """Rows whose recorded tokens are unknown or at most so many."""
     return df.where(F.coalesce("out_tokens", F.lit(0)) <= most)

@@ -968,6 +968,27 @@ def curated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.curate(traces, problems, held, {"N": 0, "A": 1}, keep=4, budget=55)
 
 
+@query("""WITH p AS (SELECT p_partkey, p_name, p_size, CAST(floor(p_retailprice) AS BIGINT) AS a FROM part),
+t AS (SELECT p.*, l_orderkey * 10 + l_linenumber AS gen, l_returnflag AS source, l_discount, l_tax, CASE l_linestatus WHEN 'O' THEN repeat('a', CAST(l_quantity AS INTEGER)) WHEN 'F' THEN 'b' END AS words FROM lineitem JOIN p ON p_partkey = l_partkey),
+g AS (SELECT *, words || ' \\boxed{' || a || '}' AS cot, CASE WHEN l_discount > 0.09 THEN 'error' WHEN source NOT IN ('N', 'A') THEN 'source' WHEN p_size = 50 THEN 'problem' WHEN words IS NULL THEN 'no_text' WHEN NOT l_tax < 0.04 THEN 'wrong'
+WHEN ceil(length('<|user|>.' || p_name || '.Please put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`.' || '<|assistant|>.' || words || '.</think>.\\boxed{' || a || '}.') / 4.0) > 55 THEN 'over_budget' END AS gate FROM t),
+r AS (SELECT source, gate, CASE WHEN gate IS NULL THEN row_number() OVER (PARTITION BY p_partkey, gate IS NULL ORDER BY CASE source WHEN 'N' THEN 0 ELSE 1 END, length(cot), source, gen) END AS k FROM g)
+SELECT source, count(*) AS traces, count(*) FILTER (WHERE gate = 'error') AS error, count(*) FILTER (WHERE gate = 'source') AS source_gate, count(*) FILTER (WHERE gate = 'problem') AS problem, count(*) FILTER (WHERE gate = 'no_text') AS no_text,
+count(*) FILTER (WHERE gate = 'wrong') AS wrong, count(*) FILTER (WHERE gate = 'over_budget') AS over_budget, count(*) FILTER (WHERE k > 4) AS outranked, count(*) FILTER (WHERE k <= 4) AS kept FROM r GROUP BY 1""")
+def curation_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At which gate the traces of the curated corpus end, by source."""
+    traces, problems, held = _captured(spark, sf_dir)
+    return corpus.curation_report(traces, problems, held, {"N": 0, "A": 1}, keep=4, budget=55)
+
+
+@query("""SELECT event_id, replace(event_type || '_run', '_', '-') || '-ep' || (event_id % 3) AS slug, CASE WHEN event_id % 4 < 3 THEN CASE event_id % 4 WHEN 2 THEN ts ELSE date_trunc('second', ts) END END AS at FROM events""")
+def run_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of runs, and the times that texts of three forms give; a fourth is none."""
+    k, ts = F.col("event_id") % 4, F.col("ts")
+    at = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("soon")
+    return table(spark, sf_dir, "events").select("event_id", text.slug(F.concat("event_type", F.lit("_run")), F.col("event_id") % 3).alias("slug"), text.parse_time(at).alias("at"))
+
+
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) AS b, l_linenumber % 4 AS k, l_tax < 0.04 AS good FROM lineitem),
 m AS (SELECT *, CASE k WHEN 0 THEN '-' WHEN 1 THEN '*' WHEN 2 THEN '/' END AS op, CASE k WHEN 0 THEN CAST(a - b AS VARCHAR) WHEN 1 THEN CAST(b AS VARCHAR) || CAST(a AS VARCHAR) WHEN 2 THEN CAST(a * b AS VARCHAR) END AS made FROM t)
 SELECT l_orderkey || '-' || l_linenumber AS id, made AS answer, l_returnflag AS type, 'No example shows the operator ' || op || ', so its sign has to tell: it ' || CASE k WHEN 0 THEN 'subtracts the second number from the first' WHEN 1 THEN 'writes the second number before the first' ELSE 'multiplies both numbers' END || '. For ' || a || ' and ' || b || ' that gives ' || made || '.' AS generated_cot, 'solver_rule' AS source

@@ -105,10 +105,13 @@ def read_labelled(spark: SparkSession, root: str, schema: T.StructType, name: st
 
 
 def read_tree(spark: SparkSession, root: str, schema: T.StructType, name: str = "results.jsonl") -> DataFrame:
-    """All files of a name below root, with source_file and the normalised name of their folder as label. Folders that
-    begin with an underscore or a dot are hidden from Spark and left out."""
+    """All files of a name (or pattern) below root, with source_file and label: the normalised name of the folder of a
+    results.jsonl, the own name of any other file, both without what marks captures. Folders that begin with an underscore
+    or a dot are hidden from Spark and left out."""
     found = read_jsonl(spark, root, schema, recursiveFileLookup="true", pathGlobFilter=name).withColumn("source_file", F.col("_metadata.file_path"))
-    return found.withColumn("label", run_label(F.element_at(F.split("source_file", "/"), -2)))
+    file = F.element_at(F.split("source_file", "/"), -1)
+    stem = F.regexp_replace(F.regexp_replace(file, r"\.[^.]*$", ""), "_existing$", "")
+    return found.withColumn("label", F.when(file == "results.jsonl", run_label(F.element_at(F.split("source_file", "/"), -2))).otherwise(stem))
 
 
 def read_registry(spark: SparkSession, registry: dict[str, str], schema: T.StructType) -> tuple[DataFrame, list[str]]:

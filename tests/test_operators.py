@@ -357,6 +357,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "deep" / "eq_model" / "results.jsonl").write_text(json.dumps(good) + "\n")
     tree = files.read_tree(spark, str(tmp_path), schemas.TRACE)
     assert tree.count() == 2 and {r.label for r in tree.collect()} == {"run_x", "model"}
+    (tmp_path / "deep" / "glm_existing.jsonl").write_text(json.dumps(good) + "\n")
+    tree = files.read_tree(spark, str(tmp_path), schemas.TRACE, "{results.jsonl,*_existing.jsonl}")
+    assert sorted((r.label, r.id) for r in tree.collect()) == [("glm", "00066667"), ("model", "00066667"), ("run_x", "00066667")]
     assert files.corrupt_lines(spark, str(tmp_path / "run_x"), schemas.TRACE).first().dropped == 1
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(tmp_path / "run_x"), schemas.TRACE, tolerant=False).collect()
