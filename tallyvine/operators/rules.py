@@ -195,7 +195,7 @@ def _word_table(spark: SparkSession, images: list[np.ndarray]) -> DataFrame:
 
 def nested_answers(rows: DataFrame) -> DataFrame:
     """id, _out: what the first rule `a op (b inner c)` of the word search that all examples obey says of the question,
-    for rows of (id, examples, query); rows without examples or without such a rule have none.
+    for rows of (id, examples, query); rows without examples or without such a rule have none. Repeated rows are one.
 
     The two halves meet in the middle. A primitive's values on the first eight examples are one long; pairs (b inner c)
     are built once per row. For XOR the outer primitive says which long the pair must be, an equality join; for OR and
@@ -204,7 +204,7 @@ def nested_answers(rows: DataFrame) -> DataFrame:
     """
     spark, images = rows.sparkSession, list(bit_primitives().values())
     n, words = len(images), _word_table(rows.sparkSession, images)
-    rows = rows.select("id", F.unhex(F.md5(F.col("id").cast("binary"))).alias("h"), "examples", "query")
+    rows = rows.select("id", "examples", "query").distinct().withColumn("h", F.unhex(F.md5(F.col("id").cast("binary"))))
     tests = rows.select("h", F.posexplode("examples").alias("at", "_e")).select("h", "at", F.col("_e.x").alias("x"), F.col("_e.y").alias("y"))
     packed = lambda c: F.bit_or(F.call_function("shiftleft", c.cast("long"), F.col("at") * 8))
     longs = tests.where(F.col("at") < _PACKED).join(words, "x").groupBy("h").agg(packed(F.col("y")).alias("y"), *[packed(F.get("v", F.lit(k))).alias(f"p{k}") for k in range(n)])

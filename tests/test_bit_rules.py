@@ -34,6 +34,14 @@ def test_nested_rules_are_met_in_the_middle(spark):
     assert "p0" not in found and "p11" not in found
 
 
+def test_nested_rules_of_repeated_rows(spark):
+    """A prompt that several rows share has one answer."""
+    image = IMAGES[60_000][1]
+    row = ("p", [(x, image[x]) for x in (3, 77, 130, 201)], 9)
+    df = spark.createDataFrame([row, row, row], "id string, examples array<struct<x int, y int>>, query int")
+    assert [tuple(r) for r in rules.nested_answers(df).collect()] == [("p", first_nested(*row[1:]))]
+
+
 def test_bit_search_reaches_the_second_tier(spark):
     first = [image.tolist() for _, image in rules.word_rules()]
     rng = random.Random(5)
