@@ -612,6 +612,23 @@ def _seen(w: Column, known: Column, stands_for: Column) -> Column:
     return F.regexp_replace(F.call_function("translate", w, known, F.upper(stands_for)), "[a-z]", "_")
 
 
+#: A set of letters with a COMMON_PART-th as many patterns as the list has words has the whole list classed for it.
+COMMON_PART = 400
+
+
+def _places(word: Column) -> Column:
+    """The keys by which patterns may ask for a word: no letter, each letter, and each two letters, in their places."""
+    one = F.transform(F.regexp_extract_all(word, F.lit("(.)"), 1), lambda c, i: F.concat(F.lpad((i + 1).cast("string"), 3, "0"), F.upper(c)))
+    two = F.flatten(F.transform(one, lambda a: F.transform(F.filter(one, lambda b: b > a), lambda b: F.concat(a, b))))
+    return F.flatten(F.array(F.array(F.lit("")), one, two))
+
+
+def _place(seen: Column) -> Column:
+    """The key by which a pattern asks for words: its first two known letters in their places."""
+    known = F.filter(F.transform(F.regexp_extract_all(seen, F.lit("(.)"), 1), lambda c, i: F.concat(F.lpad((i + 1).cast("string"), 3, "0"), c)), lambda x: ~F.endswith(x, F.lit("_")))
+    return F.array_join(F.slice(known, 1, 2), "")
+
+
 def decipher(examples: DataFrame, questions: DataFrame, words: DataFrame, key: str, rounds: int = len(_LETTERS)) -> DataFrame:
     """questions (key, cipher) with the answer in plain letters, `?` where a letter stays unknown.
 
@@ -620,38 +637,50 @@ def decipher(examples: DataFrame, questions: DataFrame, words: DataFrame, key: s
     letters and the plain letters that are taken, shows its letters. That is repeated until no question learns a letter,
     which is at most once for each letter. Letters on which examples or such words disagree are left out.
 
-    The list is indexed by shape and each letter's place, so a word of a question meets the words that have its first
-    known letter in that place; those without a known letter meet all of their shape. Null ids and texts have no answer;
-    questions with one id share what they learn; the list's repeated words count once.
+    All that matters of a word of a question is its pattern: its shape, its known letters and the plain letters that are
+    taken. Where many patterns have one set of taken letters (those of COMMON_PART of the list or more), the list is
+    classed by its words' own patterns under that set and the two are met by equality. Other patterns meet the list by
+    shape and their first two known letters in their places (one or none if there are no more). A question that learned
+    nothing in a round learns nothing later and is set aside. Null ids and texts have no answer; questions with one id
+    share what they learn; the list's repeated words count once.
     """
     kind = dict(questions.dtypes)[key]
     asked = questions.where(F.col(key).isNotNull() & F.col("cipher").isNotNull())
     tokens = asked.select(key, F.explode(F.regexp_extract_all("cipher", F.lit("([a-z]+)"), 1)).alias("w")).distinct()
     tokens = written(tokens.withColumn("shape", _shape(F.col("w"))), "tokens")
-    listed = words.where(F.col("word").rlike("^[a-z]+$")).select("word").distinct().withColumn("shape", _shape(F.col("word")))
-    places = F.array_append(F.transform(F.regexp_extract_all("word", F.lit("(.)"), 1), lambda c, i: F.struct((i + 1).alias("place"), c.alias("letter"))), F.struct(F.lit(0).alias("place"), F.lit("").alias("letter")))
-    index = written(listed.select("shape", "word", F.explode(places).alias("_p")).select("shape", "word", "_p.place", "_p.letter"), "index")
+    listed = written(words.where(F.col("word").rlike("^[a-z]+$")).select("word").distinct().repartition(words.sparkSession.sparkContext.defaultParallelism).withColumn("shape", _shape(F.col("word"))), "listed")
+    index = written(listed.select("shape", "word", F.explode(_places(F.col("word"))).alias("place")), "index")
+    least = max(1, listed.count() // COMMON_PART)
     shown = examples.where(F.col(key).isNotNull()).select(key, "cipher", "plain")
     shown = substitution(shown, key, "cipher", "plain").select(key, F.explode("mapping").alias("c", "p")).where(F.col("c").rlike("^[a-z]$") & F.col("p").rlike("^[a-z]$"))
     letters = written(_one_to_one(shown, key), "letters")
 
     def tables(letters: DataFrame) -> DataFrame:
         per = letters.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("_l"))  # 26 at most
-        return per.select(key, F.array_join("_l.c", "").alias("known"), F.array_join("_l.p", "").alias("plain"))
+        return per.select(key, F.array_join("_l.c", "").alias("known"), F.array_join("_l.p", "").alias("plain"), F.array_join(F.array_sort("_l.p"), "").alias("taken"))
 
-    filled = lambda df: df.fillna("", ["known", "plain"])
+    filled = lambda df: df.fillna("", ["known", "plain", "taken"])
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(.)"), 1)
+    by = ["taken", "shape", "seen"]
     for _ in range(rounds):
         open_ = filled(tokens.join(tables(letters), key, "left")).withColumn("seen", _seen(F.col("w"), F.col("known"), F.col("plain"))).where(F.contains("seen", F.lit("_")))
-        open_ = open_.withColumn("place", F.regexp_instr("seen", F.lit("[A-Z]"))).withColumn("letter", F.lower(F.when(F.col("place") > 0, F.substring("seen", F.col("place"), F.lit(1))).otherwise("")))
-        fits = open_.join(index, ["shape", "place", "letter"]).where(_seen(F.col("word"), F.col("plain"), F.col("plain")) == F.col("seen"))
-        sure = fits.groupBy(key, "w", "seen").agg(F.min("word").alias("word"), F.max("word").alias("_other")).where("word = _other")
-        chars = lambda c: F.regexp_extract_all(c, F.lit("(.)"), 1)
+        open_ = written(open_.select(key, "w", *by), "open")
+        patterns = written(open_.select(*by).distinct(), "patterns")
+        common = patterns.groupBy("taken").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("taken")
+        classed = listed.crossJoin(F.broadcast(common)).select("word", "taken", "shape", _seen(F.col("word"), F.col("taken"), F.col("taken")).alias("seen"))
+        rare = patterns.join(F.broadcast(common), "taken", "left_anti").withColumn("place", _place(F.col("seen")))
+        fits = rare.join(index, ["shape", "place"]).where(_seen(F.col("word"), F.col("taken"), F.col("taken")) == F.col("seen"))
+        single = lambda df: df.groupBy(*by).agg(F.min("word").alias("word"), F.max("word").alias("_other")).where("word = _other").drop("_other")
+        # all words of a question whose patterns are of one word show their letters
+        sure = open_.join(single(classed).unionByName(single(fits)), by)
         new = sure.select(key, F.explode(F.arrays_zip(chars("w").alias("c"), chars("word").alias("p"), chars("seen").alias("s"))).alias("_z")).where("_z.s = '_'").select(key, "_z.c", "_z.p").distinct()
         new = written(_one_to_one(new, key), "new")
         if new.isEmpty():
             break
-        letters = written(letters.unionByName(new), "letters")
-    out = filled(questions.withColumn("_key", F.col(key).cast(kind)).join(tables(letters).withColumnRenamed(key, "_key"), "_key", "left")).drop("_key")
+        learned = new.select(key).distinct()
+        tokens = open_.select(key, "w", "shape").join(learned, key, "left_semi")
+        letters = letters.unionByName(new)
+    out = filled(questions.withColumn("_key", F.col(key).cast(kind)).join(tables(letters).withColumnRenamed(key, "_key"), "_key", "left")).drop("_key", "taken")
     rest = F.call_function("translate", F.lit(_LETTERS), F.col("known"), F.lit(""))
     answer = F.call_function("translate", F.col("cipher"), F.concat("known", rest), F.rpad("plain", len(_LETTERS), "?"))
     return out.withColumn("answer", F.when(F.col(key).isNotNull(), answer)).drop("known", "plain")

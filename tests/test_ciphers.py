@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyvine.operators import rules
@@ -55,6 +56,22 @@ def test_ciphers_against_every_word(spark):
     assert sum("?" not in a for a in want.values()) > 3 and sum("?" in a for a in want.values()) > 3
 
 
+@pytest.mark.parametrize("part", [1, 1 << 40])
+def test_ciphers_by_classes_and_by_letters(spark, monkeypatch, part):
+    """All patterns meet the list by their first letters, or by the classes of common sets of letters."""
+    monkeypatch.setattr(rules, "COMMON_PART", part)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("etaoin", k=rng.randrange(1, 6))) for _ in range(300)})
+    examples, questions = [], []
+    for k in range(12):
+        table = str.maketrans(LETTERS, "".join(rng.sample(LETTERS, 26)))
+        examples.append((k, "tea".translate(table), "tea"))
+        questions.append((k, " ".join(rng.choices(words, k=12)).translate(table)))
+    given = spark.createDataFrame(examples, "id int, cipher string, plain string")
+    found = rules.decipher(given, spark.createDataFrame(questions, "id int, cipher string"), spark.createDataFrame([(w,) for w in words], "word string"), "id").collect()
+    assert {r.id: r.answer for r in found} == {k: searched([(c, p) for i, c, p in examples if i == k], q, words) for k, q in questions}
+
+
 def test_ciphers_of_empty_tables(spark):
     none, few = spark.createDataFrame([], "id int, cipher string, plain string"), spark.createDataFrame([(1, "abc d")], "id int, cipher string")
     words = spark.createDataFrame([], "word string")
