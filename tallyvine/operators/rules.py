@@ -563,19 +563,23 @@ def run_solver(problems: DataFrame, solve: Callable[[str], str | None], seconds:
     """key, answer, outcome (ok, error, timeout) of a Python solver that sees prompts alone.
 
     The solver runs in a process beside each task; one that does not answer in time is killed, so it can neither hold a
-    task nor end it. Null prompts reach no solver and are errors.
+    task nor end it. Each prompt is solved once, whatever the rows that have it, and has one outcome. Null prompts reach
+    no solver and are errors.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         apart = _Apart(solve)
         try:
             for frame in frames:
-                yield pd.DataFrame([(k, *(apart.ask(p, seconds) if isinstance(p, str) else (None, "error"))) for k, p in frame.itertuples(index=False)], columns=["k", "answer", "outcome"])
+                yield pd.DataFrame([(p, *apart.ask(p, seconds)) for p in frame["prompt"]], columns=["_prompt", "answer", "outcome"])
         finally:
             apart.stop()
 
-    kind = dict(problems.dtypes)[key]
-    return problems.select(key, "prompt").mapInPandas(rows, f"k {kind}, answer string, outcome string").withColumnRenamed("k", key)
+    # so many tasks are not merged by the size of their rows, of which each may take `seconds`
+    asked = problems.select("prompt").where("prompt is not null").distinct().repartition(problems.sparkSession.sparkContext.defaultParallelism)
+    solved = written(asked.mapInPandas(rows, "_prompt string, answer string, outcome string"), "solved")
+    joined = problems.select(key, "prompt").join(solved, F.col("prompt") == F.col("_prompt"), "left")
+    return joined.select(key, "answer", F.coalesce("outcome", F.lit("error")).alias("outcome"))
 
 
 def graded(solved: DataFrame, truths: DataFrame, key: str = "id") -> DataFrame:

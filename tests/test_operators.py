@@ -311,6 +311,13 @@ def test_symbol_solver_and_harness(spark):
     assert metrics.outcomes(null).first().ok == 0
 
 
+def test_a_prompt_is_solved_once(spark):
+    """All rows of one prompt have the outcome of one run of the solver; null prompts stay errors."""
+    problems = spark.createDataFrame([(k, "same" if k < 5 else None) for k in range(7)], "id int, prompt string")
+    found = {r.id: (r.answer, r.outcome) for r in rules.run_solver(problems, lambda p: str(time.monotonic_ns())).collect()}
+    assert len({found[k] for k in range(5)}) == 1 and found[0][1] == "ok" and [found[k] for k in (5, 6)] == [(None, "error")] * 2
+
+
 def test_null_groups_and_strata(spark):
     rows = [(1, None, 7, "a"), (2, None, 7, "b"), (3, "x", 3, "c")]
     df = spark.createDataFrame(rows, "id int, category string, out_tokens int, note string").withColumn("correct", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
