@@ -490,6 +490,22 @@ def test_every_language_has_its_threshold_and_long_rows_train(spark):
     assert got == {0: 1, 1: 0}
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Words that few of many labelled rows have are known, with several shards and long texts too."""
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 5000)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"q{a}{b}qqqqq" for a in letters[:10] for b in letters[:6]]
+    texts = ["wa vile wb" + (f" {rare[k // 4]}" if k < 240 else "") for k in range(8000)] + ["wa wb " * (9000 if k == 0 else 1) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < 8000)) for k in range(8300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    rows = [toxicity.embedding_rows(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0, 0] for w in rare]
+    assert sum(bool(model.tables[0][r].any()) for r in rows) > 35
+    assert [r.predicted for r in toxicity.toxicity(documents(spark, ["wa vile wb", "wa wb"]), model).orderBy("doc_id").collect()] == [1, 0]
+    again = toxicity.fit(docs.repartition(3), labels, F.lit(True))
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables)) and model.thresholds == again.thresholds
+
+
 def test_long_texts_score_as_one():
     rng = np.random.default_rng(11)
     model = toxicity.train([rng.integers(1, 50, (30, 3)).astype(np.int32) for _ in range(20)], np.arange(20) % 2, epochs=1)
