@@ -20,8 +20,9 @@ The nodes of all this are distinct sets, so copies of one set, however many, are
 doc_id but not their text are several. Candidates are verified exactly on the sets. A component needs no more than one
 path: a first round joins each key's members to its smallest member. After that only pairs of one key in different
 components can matter: their parity sketches bound the differences from below, and only pairs that can still be linked
-leave the task for a second round of verification. So no group is expanded into all its pairs and no link between
-different components is lost.
+leave the task for verification: the NEAREST of each set at first, then, as long as some set has more in other
+components than it sent, 16 times as many. So no group that links become one is expanded into all its pairs, and no link
+between different components is lost.
 
 Defined results: null, empty and blank texts have no shingles and no links; 1 to 4 words are one shingle. A document's
 links are those of all rows with its doc_id, whatever their texts. Rows without doc_id link others like any row; their
@@ -32,6 +33,7 @@ are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ NUM, DEN = 3, 4  # the threshold as a fraction
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
+#: Partners in other components that a set sends for verification at first.
+NEAREST = 2
 #: Text that a task cuts into shingles at once.
 VIEW_BYTES = 1 << 18
 #: The frequency table: at most so many shingles, each in at least so many documents.
@@ -279,14 +283,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(able), b.column(1).filter(able)], names=["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each cell (a group, or a pair of blocks of a large one) that can be linked.
+def _across(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in each cell (a group, or a pair of blocks of a large one) that can be linked: for
+    each set outside the cell's largest component the `most` whose sketches are nearest, and whether there are more.
 
     Rows come sorted by run and cell: run, cell, block, doc, component, n, sketch. A cell has two blocks at most.
     """
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, bool]] = set()
 
-    def pairs(cell: tuple) -> list[tuple[int, int]]:
+    def pairs(cell: tuple) -> list[tuple[int, int, bool]]:
         block, doc, component, n = (np.array(x) for x in cell[:4])
         sketch = folded(cell[4])
         of = np.unique(component, return_inverse=True)[1]
@@ -295,11 +300,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = len(np.unique(block)) == 1
         out = []
         for i in rest:
-            j = np.flatnonzero((component != component[i]) & ((of == main) | (doc > doc[i])) & (one | (block != block[i])) & (np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM))
+            j = np.flatnonzero((component != component[i]) & (one | (block != block[i])) & (np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM))
             if len(j):
                 apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
-                for k in doc[j[_able(n[j], n[i], apart)]].tolist():
-                    pair = (min(k, int(doc[i])), max(k, int(doc[i])))
+                able = _able(n[j], n[i], apart)
+                j, apart = doc[j[able]], apart[able]
+                for k in j[np.lexsort((j, apart))[:most]].tolist():
+                    pair = (min(k, int(doc[i])), max(k, int(doc[i])), len(j) > most)
                     if pair not in seen:
                         seen.add(pair)
                         out.append(pair)
@@ -307,8 +314,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         return out
 
-    def sent(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    def sent(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in found], pa.int64()), pa.array([b for _, b, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.bool_())], names=["a", "b", "more"])
 
     now, held, found = None, ([], [], [], [], []), []
     for b in batches:
@@ -418,11 +425,18 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     placed = with_match(held, "run", blocks, "inner").join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
     placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "node", "component", "n", "sketch")
-    apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_across), "a long, b long")
-    across = cut(apart.distinct().join(stars, ["a", "b"], "left_anti"))
-    more = verified(across, nodes, docs, repeated)
+    placed = placed.drop("component")
+    tested, most = stars, NEAREST
+    while True:
+        now = placed.join(found, "node", "left").select("run", "cell", "block", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
+        apart = cut(now.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(partial(_across, most=most)), "a long, b long, more boolean"))
+        across = cut(apart.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        links = links.union(verified(across, nodes, docs, repeated))
+        found = cut(components(links))
+        if apart.where("more").isEmpty():
+            break
+        tested, most = tested.union(across), most * 16
 
-    found = components(links.union(more))
     grouped = cut(nodes.join(found, "node", "left").where("component is not null or copies > 1").select("node", F.coalesce("component", "node").alias("component"), "doc", "th", "copies"))
     first = grouped.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("row"), F.count(F.lit(1)).alias("_n")).select("component", F.col("row.doc").alias("first_doc"), F.col("row.th").alias("first_th"), "_n")
     groups = with_match(grouped, "component", first, "inner").select("node", "first_doc", "first_th", F.col("copies").alias("_n"))
