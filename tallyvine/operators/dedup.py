@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
 from ..sources.scratch import written
+from .select import small
 
 
 def digest(c: Column) -> Column:
@@ -40,45 +42,71 @@ def overlap(a: DataFrame, b: DataFrame, keys: dict[str, tuple[Column, Column]])
     return out
 
 
-#: Counts of characters by code point modulo GROUPS bound a pair's likeness; a band is compared in PARTS tasks or more.
-GROUPS, PARTS = 16, 8
+#: Counts of characters by code point modulo GROUPS bound a pair's likeness. Nodes of a band that stand in a chunk, of
+#: which a task holds two; characters that it compares at once.
+GROUPS, CHUNK, COMPARED = 16, 1 << 14, 1 << 18
 
 
 def likely_copies(df: DataFrame, key: str, text: str, block: str, ratio: float) -> DataFrame:
     """All pairs of one block (null is a block too) whose character likeness is at least `ratio` (below 1).
 
-    Texts with the same counts of all characters are one node, so exact copies are compared once. Nodes meet by block
-    and length band; differences of the counts of GROUPS groups of characters sum to no more than those of single
-    characters, so only pairs that cannot be alike fall before the exact counts are compared. Rows without a key or
-    with a null text have no pairs; empty texts are all alike. The output is quadratic in rows that are alike.
+    Texts with the same counts of all characters are one node, so exact copies are compared once. Nodes stand in length
+    bands; two chunks of a band, or of neighbouring ones, meet in a cell with their counts and leave it as alike pairs,
+    so what is shuffled are nodes, a few times each, and never candidates. In a cell, differences of the counts of
+    GROUPS groups of characters sum to no more than those of single characters, so only pairs that cannot be alike fall
+    before the exact counts are compared. Rows without a key or with a null text have no pairs; empty texts are all
+    alike. The output is quadratic in rows that are alike.
     """
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(math.log((2 - ratio) / ratio) * (1 + 1e-9)))
-    groups = [f"g{i}" for i in range(GROUPS)]
+    kind = dict(df.dtypes)[key]
     named = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("null"))
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), named.alias("block"), F.col(text).alias("t"))
-    rows = rows.mapInArrow(_histograms, f"k {dict(df.dtypes)[key]}, block string, n long, digest string, codes array<int>, counts array<int>, {', '.join(f'{g} int' for g in groups)}")
-    rows = rows.withColumn("h", F.sha2(F.concat_ws("", "digest", "block").cast("binary"), 256)).drop("digest")
-    nodes = rows.drop("k").dropDuplicates(["h"]).withColumn("band", band)
-    one = nodes.select("h", "n", *groups, "block", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int").alias("part"))
-    two = nodes.select(F.col("h").alias("h2"), F.col("n").alias("n2"), *[F.col(g).alias(f"{g}b") for g in groups], "block", "band", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    apart = sum((F.abs(F.col(g) - F.col(f"{g}b")) for g in groups[1:]), F.abs(F.col("g0") - F.col("g0b")))
-    both = F.col("n") + F.col("n2")
-    near = one.join(two.hint("merge"), ["block", "band", "part"]).where("n < n2 or (n = n2 and h < h2)").where((both - apart).cast("double") >= ratio * both).select("h", "h2")
-    near = near.join(nodes.select("h", "codes", "counts"), "h").join(nodes.select(F.col("h").alias("h2"), F.col("codes").alias("codes2"), F.col("counts").alias("counts2")), "h2")
-    near = near.select("h", "h2", "codes", "counts", "codes2", "counts2").mapInArrow(_likeness, "h string, h2 string, ratio double").where(F.col("ratio") >= ratio)
-    left, right = rows.select("h", F.col("k").alias("a"), "n"), rows.select(F.col("h").alias("h2"), F.col("k").alias("b"), F.col("n").alias("n2"))
-    swapped = (F.col("n") == F.col("n2")) & (F.col("a") > F.col("b"))
-    unlike = near.join(left, "h").join(right, "h2").where("a <> b").select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), "ratio")
-    return left.join(right, F.col("h") == F.col("h2")).where("a < b").select("a", "b", F.lit(1.0).alias("ratio")).union(unlike)
+    rows = written(rows.mapInArrow(_histograms, f"k {kind}, block string, n long, h binary, counted binary"), "histograms")
+    band = F.floor(F.log(F.greatest(F.first("n"), F.lit(1)).cast("double")) / F.lit(math.log((2 - ratio) / ratio) * (1 + 1e-9)))
+    nodes = rows.groupBy("h").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("block").alias("block"), F.first("counted").alias("counted"), band.alias("band"))
+    nodes = written(nodes, "nodes")
+    sizes = nodes.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    beside = lambda name, by: sizes.select("block", (F.col("band") + by).alias("band"), F.col("chunks").alias(name))
+    sizes = written(sizes.join(beside("above", -1), ["block", "band"], "left").join(beside("below", 1), ["block", "band"], "left").fillna(0, ["above", "below"]), "bands")
+    placed = nodes.join(small(sizes), ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int"))
+    # a cell's halves are compared with each other; own: its first half with itself too
+    cell = lambda at, way, x, y, half, own: F.struct(F.concat_ws(":", at, F.lit(way), x, y, "block").alias("cell"), half.alias("half"), own.alias("own"))
+    counted = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: j < n), f)
+    chunk, no, yes = F.col("chunk"), F.lit(0), F.lit(1)
+    cells = F.concat(
+        F.filter(counted(F.col("chunks"), lambda j: cell(F.col("band"), "in", F.least(chunk, j), F.greatest(chunk, j), F.when(chunk > j, 1).otherwise(0), chunk == j)), lambda c: ~c["own"] | (F.col("above") == 0)),
+        counted(F.col("above"), lambda j: cell(F.col("band"), "up", chunk, j, no, j == 0)),
+        counted(F.col("below"), lambda j: cell(F.col("band") - 1, "up", j, chunk, yes, chunk == 0)),
+    )
+    placed = placed.select(F.explode(cells).alias("c"), "h", "k", "rows", "n", "counted").select("c.*", "h", "k", "rows", "n", "counted")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as small cells can be long work
+    pairs = placed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_alike(ratio), f"h binary, k {kind}, h2 binary, k2 {kind}, same boolean, ratio double")
+    pairs = written(pairs, "alike")
+
+    def all_rows(pairs: DataFrame, h: str, k: str) -> DataFrame:
+        """Pairs with a row for each row of a node that has several."""
+        several = pairs.where(F.col(h).isNotNull()).drop(k).join(rows.select(F.col("h").alias(h), F.col("k").alias(k)), h)
+        return pairs.where(F.col(h).isNull()).unionByName(several)
+
+    unlike = all_rows(all_rows(pairs, "h", "k"), "h2", "k2").where("k <> k2")
+    swapped = F.col("same") & (F.col("k") > F.col("k2"))
+    unlike = unlike.select(F.when(swapped, F.col("k2")).otherwise(F.col("k")).alias("a"), F.when(swapped, F.col("k")).otherwise(F.col("k2")).alias("b"), "ratio")
+    left, right = rows.select("h", F.col("k").alias("a")), rows.select("h", F.col("k").alias("b"))
+    return left.join(right, "h").where("a < b").select("a", "b", F.lit(1.0).alias("ratio")).union(unlike)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: those of high bytes are zeros, which compress to nothing."""
+    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (k, block, t) as k, block, length, digest of the counts, code points, their counts, counts by group."""
+    """Rows of (k, block, t) as k, block, length, digest of block and counts, and the steps between code points and
+    their counts as planes."""
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
             b = batch.slice(first, 1000)
-            sizes, digests, codes, counts, grouped = [], [], [], [], []
-            for t in b.column(2).to_pylist():
+            sizes, digests, counted = [], [], []
+            for named, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
                 if points.max(initial=0) < 4096:
                     m = np.bincount(points)
@@ -86,32 +114,93 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     m = m[c]
                 else:
                     c, m = np.unique(points, return_counts=True)
-                c, m = c.astype(np.int32), m.astype(np.int32)
+                packed = _planes(np.concatenate([np.diff(c.astype(np.int64), prepend=0), m]))
                 sizes.append(len(points))
-                digests.append(hashlib.sha256(np.concatenate([c, m]).tobytes()).hexdigest())
-                codes.append(c)
-                counts.append(m)
-                grouped.append(np.bincount(c % GROUPS, m, GROUPS).astype(np.int32))
-            kinds = pa.list_(pa.int32())
-            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(codes, kinds), pa.array(counts, kinds), *map(pa.array, np.array(grouped).T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "block", "n", "digest", "codes", "counts", *[f"g{i}" for i in range(GROUPS)]])
-
-
-def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, h2 and twice the shared characters over all, of rows of (h, h2, codes, counts, codes2, counts2)."""
-
-    def flat(codes: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(codes), dtype=np.int64), codes.value_lengths().to_numpy())
-        return row, (row << 21) | codes.flatten().to_numpy(), counts.flatten().to_numpy()
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        (row, at, m), (row2, at2, m2) = flat(b.column(2), b.column(3)), flat(b.column(4), b.column(5))
-        _, i, j = np.intersect1d(at, at2, assume_unique=True, return_indices=True)
-        shared = np.bincount(row[i], np.minimum(m[i], m2[j]), b.num_rows)
-        total = np.bincount(row, m, b.num_rows) + np.bincount(row2, m2, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(2.0 * shared / total)], names=["h", "h2", "ratio"])
+                digests.append(hashlib.sha256(packed + named.encode("utf-8", "surrogatepass")).digest())
+                counted.append(packed)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counted, pa.binary())], names=["k", "block", "n", "h", "counted"])
+
+
+def _alike(ratio: float):
+    """The alike pairs of each cell, from rows sorted by it: cell, half, own, h, k, rows, n, counted. The shorter text's
+    node comes first; h stands only where a node has several rows."""
+
+    def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        half, n = (t.column(c).to_numpy().astype(np.int64) for c in ("half", "n"))
+        order = np.lexsort((n, half))
+        half, n, t = half[order], n[order], t.take(pa.array(order)).combine_chunks()
+        both = [np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(2, -1) for x in t.column("counted").combine_chunks()]
+        first = np.concatenate([[0], np.cumsum([x.shape[1] for x in both])])
+        codes, counts = np.concatenate([np.cumsum(x[0]) for x in both]), np.concatenate([x[1] for x in both])
+        row = np.repeat(np.arange(len(n)), np.diff(first))
+        groups = np.bincount(row * GROUPS + codes % GROUPS, counts, len(n) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+        alphabet, place = np.unique(codes, return_inverse=True)
+        coarse = np.ascontiguousarray(groups.reshape(len(n), 4, -1).sum(axis=2).T.astype(np.int32))
+        mine, split, own = np.zeros(len(alphabet), np.int32), int(np.searchsorted(half, 1)), t.column("own")[0].as_py()
+        found, found2, likeness = [], [], []
+
+        def sent() -> pa.RecordBatch:
+            i, j, r = np.concatenate(found), np.concatenate(found2), np.concatenate(likeness)
+            short, long = (pa.array(np.where(n[i] <= n[j], x, y)) for x, y in ((i, j), (j, i)))
+            several = t.column("rows").to_numpy() > 1
+            h, k = (t.column(c).combine_chunks() for c in ("h", "k"))
+            named = lambda at: pc.if_else(pa.array(several[at.to_numpy()]), h.take(at), pa.scalar(None, h.type))
+            return pa.RecordBatch.from_arrays([named(short), k.take(short), named(long), k.take(long), pa.array(n[i] == n[j]), pa.array(r)], names=["h", "k", "h2", "k2", "same", "ratio"])
+
+        for i in range(split):
+            least, most = n[i] * ratio / (2 - ratio) - 1, n[i] * (2 - ratio) / ratio + 1
+            spans = [(split + int(np.searchsorted(n[split:], least)), split + int(np.searchsorted(n[split:], most, "right")))]
+            if own:
+                spans.append((i + 1, i + 1 + int(np.searchsorted(n[i + 1 : split], most, "right"))))
+            for x, y in spans:
+                if x >= y:
+                    continue
+                room = (n[x:y] + n[i]) * (1 - ratio) + 1e-6  # what alike texts may differ in
+                apart = np.abs(coarse[0, x:y] - coarse[0, i])
+                for c in coarse[1:]:
+                    apart += np.abs(c[x:y] - c[i])
+                j = np.flatnonzero(apart <= room)
+                j = x + j[np.abs(groups[x + j] - groups[i]).sum(axis=1) <= room[j]]
+                if not len(j):
+                    continue
+                here = slice(first[i], first[i + 1])
+                mine[place[here]] = counts[here]
+                lengths = first[j + 1] - first[j]
+                part = np.cumsum(lengths) // COMPARED
+                for some in np.split(np.arange(len(j)), np.flatnonzero(np.diff(part)) + 1):
+                    starts = np.cumsum(lengths[some]) - lengths[some]
+                    at = np.arange(int(lengths[some].sum())) + np.repeat(first[j[some]] - starts, lengths[some])
+                    shared = np.add.reduceat(np.minimum(counts[at], mine[place[at]]), starts)
+                    r = 2.0 * shared / (n[j[some]] + n[i])
+                    good = r >= ratio
+                    found.append(np.full(int(good.sum()), i))
+                    found2.append(j[some][good])
+                    likeness.append(r[good])
+                mine[place[here]] = 0
+            if sum(map(len, found)) > 20_000:
+                yield sent()
+                found, found2, likeness = [], [], []
+        if found:
+            yield sent()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            cells = b.column(0).to_pylist()
+            edges = [0, *(i for i in range(1, len(cells)) if cells[i] != cells[i - 1]), len(cells)]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if x == y:
+                    continue
+                if cells[x] != now and held:
+                    yield from compared(held)
+                    held = []
+                now = cells[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from compared(held)
+
+    return rows
 
 
 #: Rows of each group that a round decides in order, at first and at most; rows that one task holds against them.

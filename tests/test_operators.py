@@ -82,6 +82,27 @@ def test_near_dup_pairs_against_brute_force(spark, tmp_path):
     assert any(sources[a] != sources[b] for a, b in want) and any(rows[a][2] is None for a, _ in want)
 
 
+def test_likely_copies_in_chunks(spark, monkeypatch):
+    """Bands of many chunks give all pairs once, and no pair that is not alike leaves its cell."""
+    monkeypatch.setattr(dedup, "CHUNK", 3)
+    monkeypatch.setattr(dedup, "COMPARED", 20)
+    left = []
+    monkeypatch.setattr(dedup, "written", lambda df, label, f=dedup.written: (left.append((label, out := f(df, label))), out)[1])
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefg漢"), 100 + int(n))) for n in rng.integers(0, 6, 60)]
+    texts += texts[:5] + ["a" * 97, "a" * 99, "a" * 101, "a" * 103, "a" * 105, "", "", "z"]
+    got = [(r.a, r.b, round(r.ratio, 9)) for r in dedup.likely_copies(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "id int, t string, lang string"), "id", "t", "lang", 0.94).collect()]
+    want = {}
+    for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2):
+        alike = 2.0 * sum(min(x.count(c), y.count(c)) for c in set(x)) / (len(x) + len(y)) if x or y else 1.0
+        if alike >= 0.94:
+            want[(i, j) if len(x) <= len(y) else (j, i)] = round(alike, 9)
+    assert len(got) == len(want) > 20 and {(a, b): r for a, b, r in got} == want
+    nodes = {tuple(sorted(t)): i for i, t in reversed(list(enumerate(texts)))}
+    alike = [out.count() for label, out in left if label == "alike"]
+    assert alike == [sum(1 for i, j in want if {i, j} <= set(nodes.values()))]
+
+
 def test_greedy_clusters(spark):
     rows = [("g", 0, "aaaa"), ("g", 1, "aaab"), ("g", 2, "zzzz"), ("g", 3, None), ("g", 4, ""), ("h", 0, "aaaa"), (None, 0, "q"), (None, 1, "q"), (None, 2, "é😀")]
     got = {(r.g, r.o): (r.representative, r.is_first) for r in dedup.greedy_clusters(spark.createDataFrame(rows, "g string, o int, t string"), "g", "o", "t").collect()}
