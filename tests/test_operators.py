@@ -39,6 +39,25 @@ def test_round_robin_mixes_every_batch(spark):
         assert len({r.kind for r in group}) >= 3
 
 
+def reads(spark, df):
+    """df, and an accumulator of how many of its rows have been computed."""
+    seen, names = spark.sparkContext.accumulator(0), df.columns
+
+    def rows(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(rows, df.schema).select(*names), seen
+
+
+def test_round_robin_computes_its_rows_twice(spark):
+    """Once to count ranges of strata, once to rank: keys may be digests of long texts."""
+    df, seen = reads(spark, spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(90)], "id int, kind string"))
+    got = split.round_robin(df, "id", "kind", 9).collect()
+    assert sorted(r.place for r in got) == list(range(90)) and seen.value == 180
+
+
 def test_grid_retries_errors(spark):
     problems = spark.createDataFrame([("a",), ("b",)], "id string")
     done = spark.createDataFrame([("a", 0, None), ("b", 1, "boom")], "id string, gen int, error string")
