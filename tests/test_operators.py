@@ -58,6 +58,21 @@ def test_round_robin_computes_its_rows_twice(spark):
     assert sorted(r.place for r in got) == list(range(90)) and seen.value == 180
 
 
+def test_curation_report_computes_its_traces_once(spark):
+    problems = spark.createDataFrame([(str(i), f"p{i}", "7", "k") for i in range(4)], "id string, prompt string, answer string, category string")
+    answer = {0: "it is \\boxed{7}", 1: "it is \\boxed{8}", 2: None}
+    rows = [(str(i % 5), i, "NAR"[i % 3], answer[i % 4] if i % 4 < 3 else "so 7", None, "x" if i % 7 == 0 else None) for i in range(60)]
+    traces, seen = reads(spark, spark.createDataFrame(rows, "id string, gen long, source string, text string, answer_text string, error string"))
+    got = {r.source: r for r in corpus.curation_report(traces, problems, problems.where("id = '3'"), {"N": 0, "A": 1}, keep=2).collect()}
+    assert seen.value == 60
+    passed = {(s, i, g) for i, g, s, text, _, error in rows if not error and s != "R" and i not in "34" and text in (answer[0], "so 7")}
+    kept = {x for i in "012" for x in sorted((x for x in passed if x[1] == i), key=lambda x: ("NA".index(x[0]), len(rows[x[2]][3]), x[2]))[:2]}
+    for s in "NA":
+        assert (got[s].traces, got[s].kept) == (20, sum(x[0] == s for x in kept)) and got[s].outranked == sum(x[0] == s for x in passed - kept)
+        assert got[s].problem == sum(r[2] == s and not r[5] and r[0] in "34" for r in rows) and got[s].error == sum(r[2] == s and r[5] == "x" for r in rows)
+    assert got["R"].source_gate == 20 - got["R"].error and got["R"].kept == 0
+
+
 def test_grid_retries_errors(spark):
     problems = spark.createDataFrame([("a",), ("b",)], "id string")
     done = spark.createDataFrame([("a", 0, None), ("b", 1, "boom")], "id string, gen int, error string")
