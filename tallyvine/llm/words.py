@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the point and of its inverse, at least n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, _PIECE // 2)
+        size = 1 << max(16, int(n).bit_length())  # a worker keeps them
         _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, p, np.uint64)])) for p in (_POINT, pow(_POINT, -1, 2**64))]
     return _powers
 

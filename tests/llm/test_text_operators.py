@@ -156,6 +156,16 @@ def test_word_hashes_follow_words():
         words._PIECE = old
 
 
+def test_tables_of_powers_grow_with_the_batch(monkeypatch):
+    """What a worker keeps between tasks is in proportion to the bytes that it hashed at once."""
+    monkeypatch.setattr(words, "_powers", [])
+    for n in (1000, 300_000):
+        data = np.frombuffer(b"some words " * (n // 11), np.uint8)
+        found, first = words.word_hashes(data, np.array([0, len(data)]))
+        assert len(found) == first[-1] == n // 11 * 2 and len(set(found.tolist())) == 2
+        assert n < len(words._powers[0]) <= max(1 << 17, 4 * n)
+
+
 # language
 
 
