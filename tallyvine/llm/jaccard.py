@@ -18,9 +18,10 @@ in that number, so either both have wide keys or neither has skipped too many.
 
 The nodes of all this are distinct sets, so copies of one set, however many, are one node, and rows that share a
 doc_id but not their text are several. Candidates are verified exactly on the sets. A component needs no more than one
-path: a first round joins each key's members to its smallest member. After that only pairs of one key in different
-components can matter: their parity sketches bound the differences from below, and only pairs that can still be linked
-leave the task for a second round of verification. So no group is expanded into all its pairs and no link between
+path: a first round joins each key's members to its smallest member. After that only sets of one key in different
+components can matter: their parity sketches bound the differences from below, and a second round takes the sets that
+can still be linked with one of another component. They meet in blocks again, now as whole sets, and what leaves a task
+are links that join two of its components, fewer than it has components. So pairs are never rows, and no link between
 different components is lost.
 
 Defined results: null, empty and blank texts have no shingles and no links; 1 to 4 words are one shingle. A document's
@@ -31,11 +32,11 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, cut, lean, table, text_views, with_match, written
@@ -47,6 +48,8 @@ NUM, DEN = 3, 4  # the threshold as a fraction
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
+#: Shingles of the sets that such a block has where whole sets are compared.
+BLOCK_SHINGLES = 1 << 20
 #: Text that a task cuts into shingles at once.
 VIEW_BYTES = 1 << 18
 #: The frequency table: at most so many shingles, each in at least so many documents.
@@ -279,53 +282,73 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(able), b.column(1).filter(able)], names=["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each cell (a group, or a pair of blocks of a large one) that can be linked.
+def _by_cell(batches: Iterator[pa.RecordBatch], values: Callable[[pa.RecordBatch], list[list]]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """(run, cell) and the columns of its rows, for each cell of two rows or more, from rows sorted by run and cell, the
+    first two columns. values: the further columns of a batch."""
+    now, held = None, []
+    for b in batches:
+        columns = values(b)
+        for at, *row in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), *columns):
+            if at != now:
+                if held and len(held[0]) > 1:
+                    yield now, held
+                now, held = at, [[] for _ in columns]
+            for x, v in zip(held, row):
+                x.append(v)
+    if held and len(held[0]) > 1:
+        yield now, held
 
-    Rows come sorted by run and cell: run, cell, block, doc, component, n, sketch. A cell has two blocks at most.
-    """
-    seen: set[tuple[int, int]] = set()
 
-    def pairs(cell: tuple) -> list[tuple[int, int]]:
-        block, doc, component, n = (np.array(x) for x in cell[:4])
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of each cell (a group, or a pair of blocks of a large one) that can be linked with one of another component.
+
+    Rows come sorted by run and cell: run, cell, block, node, component, n, sketch. A cell has two blocks at most.
+    """
+    for (run, _), cell in _by_cell(batches, lambda b: [b.column(k).to_pylist() for k in range(2, 7)]):
+        block, node, component, n = (np.array(x) for x in cell[:4])
         sketch = folded(cell[4])
         of = np.unique(component, return_inverse=True)[1]
         main = np.bincount(of).argmax()
-        rest = np.flatnonzero(of != main)
         one = len(np.unique(block)) == 1
-        out = []
-        for i in rest:
-            j = np.flatnonzero((component != component[i]) & ((of == main) | (doc > doc[i])) & (one | (block != block[i])) & (np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM))
+        can = np.zeros(len(node), bool)
+        for i in np.flatnonzero(of != main):
+            j = np.flatnonzero((of != of[i]) & ((of == main) | (node > node[i])) & (one | (block != block[i])) & (np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM))
             if len(j):
                 apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
-                for k in doc[j[_able(n[j], n[i], apart)]].tolist():
-                    pair = (min(k, int(doc[i])), max(k, int(doc[i])))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append(pair)
-        if len(seen) > 1 << 18:
-            seen.clear()
-        return out
-
-    def sent(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-    now, held, found = None, ([], [], [], [], []), []
-    for b in batches:
-        columns = [b.column(k).to_pylist() for k in range(7)]
-        for run, cell, *row in zip(*columns):
-            if (run, cell) != now:
-                if len(held[0]) > 1:
-                    found += pairs(held)
-                now, held = (run, cell), ([], [], [], [], [])
-                if len(found) > 10_000:
-                    yield sent(found)
-                    found = []
-            for x, v in zip(held, row):
-                x.append(v)
-    if len(held[0]) > 1:
-        found += pairs(held)
-    yield sent(found)
+                j = j[_able(n[j], n[i], apart)]
+                can[j] = True
+                can[i] |= len(j) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(can.sum()), run, np.int64)), pa.array(node[can]), pa.array(component[can]), pa.array(n[can])], names=["run", "node", "component", "n"])
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of each cell, one for each two joined.
+
+    Rows come sorted by run and cell: run, cell, block, node, component, text. Cells are those of _open.
+    """
+
+    def values(b: pa.RecordBatch) -> list[list]:
+        return [*(b.column(k).to_pylist() for k in range(2, 5)), [s for _, _, data, offsets in text_views(b.column(5), VIEW_BYTES) for s in shingle_sets(data, offsets, SIZE)]]
+
+    for _, (block, node, component, sets) in _by_cell(batches, values):
+        block, n = np.array(block), np.array([len(s) for s in sets], np.int64)
+        sketch = folded([parity_sketch(s) for s in sets])
+        of = np.unique(np.array(component), return_inverse=True)[1]
+        one = len(np.unique(block)) == 1
+        found = []
+        for i, x in enumerate(sets):
+            j = i + 1 + np.flatnonzero((of[i + 1 :] != of[i]) & (one | (block[i + 1 :] != block[i])))
+            j = j[_able(n[j], n[i], np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64))]
+            if not len(j):
+                continue
+            others = np.concatenate([sets[k] for k in j])
+            same = x[np.minimum(np.searchsorted(x, others), len(x) - 1)] == others
+            both = np.add.reduceat(same, np.cumsum(n[j]) - n[j], dtype=np.int64)
+            for k in j[both * DEN >= (n[j] + n[i] - both) * NUM]:
+                if of[k] != of[i]:
+                    found.append((node[i], node[k]))
+                    of[of == of[k]] = of[i]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,16 +364,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
+def texts_of(some: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """node and text of each node in `some`; the others as in verified()."""
+    rows = cut(nodes.select("node", "doc", "th").join(some.select("node").distinct(), "node"))
+    few = rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    texts = docs.join(F.broadcast(rows) if few else rows.hint("merge"), ["doc", "th"]).select("node", "text")
+    return texts.dropDuplicates(["node"]) if repeated else texts
+
+
+def in_cells(held: DataFrame, weight: Column, most: int) -> DataFrame:
+    """held (run, node and more) with block and cell: a run is cut into blocks of about `most` of weight, and a row stands
+    in a cell for each block of its run, so any two rows of a run meet in one."""
+    blocks = held.groupBy("run").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    placed = with_match(held, "run", blocks, "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
+    return placed.withColumn("cell", F.explode(cells)).drop("blocks")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) of nodes that are links. nodes: their sizes, sketches and one row (doc, th) each; docs: doc, th
     and text, where `repeated` tells whether a row occurs more than once."""
     one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
     near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(lean(_near), "a long, b long"), "near")
-    rows = nodes.select("node", "doc", "th").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    few = rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    texts = docs.join(F.broadcast(rows) if few else rows.hint("merge"), ["doc", "th"]).select("node", "text")
-    if repeated:
-        texts = texts.dropDuplicates(["node"])
+    texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, repeated)
     # a hot hub's rows are slim on this side, and a partition of them that grows large is split by adaptive execution
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return written(both.select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long"), "links").distinct()
@@ -409,18 +445,15 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     links = verified(stars, nodes, docs, repeated)
     found = cut(components(links))
 
-    # pairs of one run that are in different components so far
+    # sets of one run that are in different components so far
     placed = members.join(found, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     # runs that touch the same least component are compared as one group, in which a set stands once
     open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high").select("run", F.col("low").alias("anchor"), "_n")
     held = cut(with_match(placed, "run", open_runs, "inner").select(F.col("anchor").alias("run"), "node", "component").distinct())
-    blocks = held.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
-    placed = with_match(held, "run", blocks, "inner").join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")).cast("long") * F.col("blocks") + F.greatest(k, F.col("block")))
-    placed = placed.withColumn("cell", F.explode(cells)).select("run", "cell", "block", "node", "component", "n", "sketch")
-    apart = placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_across), "a long, b long")
-    across = cut(apart.distinct().join(stars, ["a", "b"], "left_anti"))
-    more = verified(across, nodes, docs, repeated)
+    placed = in_cells(held, F.lit(1), BLOCK).join(nodes.select("node", "n", "sketch"), "node").select("run", "cell", "block", "node", "component", "n", "sketch")
+    able = cut(placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_open), "run long, node long, component long, n long").distinct())
+    whole = in_cells(able, F.col("n"), BLOCK_SHINGLES).join(texts_of(able, nodes, docs, repeated), "node").select("run", "cell", "block", "node", "component", "text")
+    more = cut(whole.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_joining), "a long, b long"))
 
     found = components(links.union(more))
     grouped = cut(nodes.join(found, "node", "left").where("component is not null or copies > 1").select("node", F.coalesce("component", "node").alias("component"), "doc", "th", "copies"))

@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyvine.llm import common, jaccard
+from tallyvine.llm import common, jaccard, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,6 +73,58 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     assert got == components_by_hand(texts)
 
 
+def near_copies(n, seed=5):
+    """Texts that differ from one base so much that about half of their pairs are links."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(n):
+        some = list(base)
+        for at in rng.sample(range(len(base)), rng.choice((3, 6, 8, 9))):
+            some[at] = f"x{k} {at}"
+        texts.append(" ".join(some))
+    return texts
+
+
+def test_a_group_of_near_copies_leaves_as_many_rows_as_it_has_sets():
+    """Not as many as it has pairs, and the links that leave join all that its links join."""
+    texts = near_copies(100)
+    made = [s for _, _, data, offsets in common.text_views(pa.array(texts)) for s in words.shingle_sets(data, offsets, 5)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[str(k) for k in range(len(rows[0]))])
+    sent = [r for b in jaccard._open(iter([batch([(1, 0, 0, k, k, len(x), jaccard.parity_sketch(x)) for k, x in enumerate(made)])])) for r in b.to_pylist()]
+    assert len(sent) == len({r["node"] for r in sent}) <= 100 and {r["node"] for r in sent} == {r["component"] for r in sent}
+    rows = [(1, 0, 0, r["node"], r["component"], texts[r["node"]]) for r in sent]
+    links = [(r["a"], r["b"]) for b in jaccard._joining(iter([batch(rows[:30]), batch(rows[30:])])) for r in b.to_pylist()]
+    by_hand = components_by_hand(texts)
+    pairs = sum(100 * len(x & y) >= 75 * len(x | y) for x, y in itertools.combinations([sets(t) for t in texts], 2))
+    assert len(links) == 100 - len({c for _, c in by_hand.values()}) and pairs > 1000
+    root = list(range(100))
+    for a, b in links:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert root == [by_hand[k][1] for k in range(100)]
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(4096, 1 << 20), (16, 1 << 20), (16, 2000)])
+def test_blocks_of_near_copies_against_all_pairs(spark, monkeypatch, block, shingles):
+    """Sets of a group meet in some cell, however it is cut into blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    texts = near_copies(60) + near_copies(30, 6)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    rounds = []
+    in_cells = jaccard.in_cells
+
+    def seen(held, *a):
+        out = in_cells(held, *a)
+        rounds.append((held.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "in_cells", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == components_by_hand(texts)
+    assert all(held for held, _ in rounds) and rounds[0][0] <= 2 * len(texts) and (rounds[1][1] > rounds[1][0]) == (shingles == 2000)
+
+
 def test_keys_never_miss_a_link():
     """Two linked sets always share a key, whatever the frequencies are."""
     rng = np.random.default_rng(3)
