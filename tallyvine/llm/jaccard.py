@@ -44,7 +44,7 @@ from .words import mix, shingle_sets
 
 SIZE = 5
 NUM, DEN = 3, 4  # the threshold as a fraction
-#: Bits of a set's parity sketch: four times its size or more as a power of two, within these bounds.
+#: Bits of a set's parity sketch: its size or more as a power of two, within these bounds.
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
@@ -54,6 +54,8 @@ BLOCK_SHINGLES = 1 << 20
 VIEW_BYTES = 1 << 18
 #: The frequency table: at most so many shingles, each in at least so many documents.
 FREQUENT, FREQUENT_LEAST = 1 << 16, 24
+#: The bits of a key that are sent. Keys that differ in the others alone only add candidates.
+KEY_BITS = np.uint64(2**64 - 2**16)
 #: Shingles and keys held by one task before they are counted and sent, and keys of one bucket.
 TASK_SHINGLES, TASK_KEYS, BUCKET_KEYS = 1 << 19, 1 << 18, 1 << 19
 
@@ -122,7 +124,7 @@ def keys_of(hashes: np.ndarray, cost: np.ndarray, ends: np.ndarray) -> np.ndarra
 def parity_sketch(hashes: np.ndarray) -> bytes:
     """A bit for each of b slots: whether an odd number of elements falls there. The bits in which two sketches differ
     are no more than the elements in which the sets differ."""
-    bits = min(max(1 << int(4 * len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
+    bits = min(max(1 << int(len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -183,7 +185,8 @@ def _unplaned(data: bytes) -> np.ndarray:
 
 
 def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
-    """Keys of each set, by bucket; a run's copies of one set send theirs once."""
+    """Keys of each set, by bucket and in their order, so that differences are small however many buckets there are; a
+    run's copies of one set send theirs once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = (np.frombuffer(x, t) for x, t in zip(frequent.value, (np.uint64, np.int64)))
@@ -192,14 +195,14 @@ def _emit(frequent: "pa.Broadcast", ends: np.ndarray, buckets: int):
         count = 0
 
         def send() -> pa.RecordBatch:
-            keys = np.concatenate([k for _, k in held])
+            keys = np.concatenate([k for _, k in held]) & KEY_BITS
             docs = np.repeat(np.array([d for d, _ in held], np.int64), [len(k) for _, k in held])
+            order = np.argsort(keys)
+            keys, docs = keys[order], docs[order]
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, docs = bucket[order], keys[order], docs[order]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             stops = np.concatenate([starts[1:], [len(keys)]])
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()), pa.array([_planes(docs[a:b]) for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "keys", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([_planes(keys[a:b].view(np.int64)) for a, b in zip(starts, stops)], pa.binary()), pa.array([docs[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "keys", "docs"])
 
         for b in batches:
             for _, _, data, offsets in text_views(b.column(0), VIEW_BYTES):
@@ -234,8 +237,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _runs_of(keys, docs)
                 keys, docs = [], []
             now = bucket
-            keys.append(np.frombuffer(of_keys.as_buffer(), np.uint64))
-            docs.append(_unplaned(of_docs.as_buffer()))
+            keys.append(_unplaned(of_keys.as_buffer()).view(np.uint64))
+            docs.append(np.frombuffer(of_docs.as_buffer(), np.int64))
     if keys:
         yield from _runs_of(keys, docs)
 
@@ -384,7 +387,7 @@ def in_cells(held: DataFrame, weight: Column, most: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) of nodes that are links. nodes: their sizes, sketches and one row (doc, th) each; docs: doc, th
     and text, where `repeated` tells whether a row occurs more than once."""
-    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "ab")
+    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch{k}")).hint("merge") for k in "ab")  # at every size: sketches are no rows to broadcast
     near = written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(lean(_near), "a long, b long"), "near")
     texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, repeated)
     # a hot hub's rows are slim on this side, and a partition of them that grows large is split by adaptive execution
@@ -450,7 +453,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     # runs that touch the same least component are compared as one group, in which a set stands once
     open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high").select("run", F.col("low").alias("anchor"), "_n")
     held = cut(with_match(placed, "run", open_runs, "inner").select(F.col("anchor").alias("run"), "node", "component").distinct())
-    placed = in_cells(held, F.lit(1), BLOCK).join(nodes.select("node", "n", "sketch"), "node").select("run", "cell", "block", "node", "component", "n", "sketch")
+    placed = in_cells(held, F.lit(1), BLOCK).join(nodes.select("node", "n", "sketch").hint("merge"), "node").select("run", "cell", "block", "node", "component", "n", "sketch")
     able = cut(placed.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_open), "run long, node long, component long, n long").distinct())
     whole = in_cells(able, F.col("n"), BLOCK_SHINGLES).join(texts_of(able, nodes, docs, repeated), "node").select("run", "cell", "block", "node", "component", "text")
     more = cut(whole.repartition("run", "cell").sortWithinPartitions("run", "cell").mapInArrow(lean(_joining), "a long, b long"))
