@@ -44,7 +44,7 @@ from .words import mix, shingle_sets
 
 SIZE = 5
 NUM, DEN = 3, 4  # the threshold as a fraction
-#: Bits of a set's parity sketch: its size or more as a power of two, within these bounds.
+#: Bits of a set's parity sketch: twice its size or more as a power of two, within these bounds.
 SKETCH_BITS = (256, 1 << 16)
 #: Members of a run that a task compares at once; larger runs are dealt out as pairs of such blocks.
 BLOCK = 4096
@@ -124,7 +124,7 @@ def keys_of(hashes: np.ndarray, cost: np.ndarray, ends: np.ndarray) -> np.ndarra
 def parity_sketch(hashes: np.ndarray) -> bytes:
     """A bit for each of b slots: whether an odd number of elements falls there. The bits in which two sketches differ
     are no more than the elements in which the sets differ."""
-    bits = min(max(1 << int(len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
+    bits = min(max(1 << int(2 * len(hashes) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]) if len(hashes) else SKETCH_BITS[0]
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
