@@ -6,11 +6,13 @@ columns of documents. Models are fitted on the labelled rows among the stage's o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvine.llm import jaccard, language, packing, secrets, token_counts, toxicity
-from tallyvine.llm.common import mark, release, table, written
+from tallyvine.llm.common import mark, release, set_batches, small_batches, table, written
 
 #: No SQL: the stages' models, segmentations and components are tested against brute force instead.
 ORACLE_SQL = None
@@ -44,14 +46,29 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(counts, "doc_id", F.col("n_tokens"), budget=PACK_TOKENS)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("packing", pack)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage in a session that keeps small Arrow batches: the caller runs what a stage returns, and whole texts in
+    batches of Spark's 10,000 rows stand in memory on both sides of each task."""
+
+    def small(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        set_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return small
+
+
+STAGES = [(name, bounded(stage)) for name, stage in (("toxicity", drop_toxic), ("language", keep_languages), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("packing", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES in order over all documents, each written and read again. Each stage's intermediate tables, and the
-    documents it read, are removed once its own are written."""
+    documents it read, are removed once its own are written; the session's own batches are set again at the end."""
     docs, since = table(spark, sf_dir, "documents"), mark()
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-        release(spark, since, docs)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+            release(spark, since, docs)
     return docs

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut, mark, release, written  # noqa: F401
+from ..sources.scratch import cut, mark, release, set_batches, small_batches, written  # noqa: F401
 
 #: Ids that a broadcast may hold (eight bytes each); above it the same join runs as a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000

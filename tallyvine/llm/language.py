@@ -29,7 +29,8 @@ from .words import mix
 FIT_DOCS = 2000
 WORDS, GRAMS, LONGEST = 30_000, 20_000, 5
 _POINT = 0x9E3779B97F4A7C15
-_LIMIT = 1 << 20
+#: Code points of a piece of a long text, twice over; those of a piece of several texts, and bytes of text that a task takes at once.
+_LIMIT, _TOGETHER = 1 << 20, 1 << 18
 #: Numbers of a dense block of words or n-grams by languages, and languages that the driver fetches at once.
 _CELLS, _FETCHED = 1 << 22, 16
 _letters: list[np.ndarray] = []
@@ -71,7 +72,7 @@ def _is_letter() -> np.ndarray:
 def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the spans of code points; every non-letter counts as the same."""
     if not _powers or len(_powers[0]) <= len(points):
-        n = max(_LIMIT, len(points)) + 1
+        n = max(_TOGETHER, 1 << len(points).bit_length())  # a worker keeps them
         _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, p, np.uint64)])) for p in (_POINT, pow(_POINT, -1, 2**64))]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(points.astype(np.uint64) + np.uint64(0x51)) * _powers[0][: len(points)])])
     return mix((sums[ends] - sums[starts]) * _powers[1][starts])
@@ -132,7 +133,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
         text = text.lower()
         for a in [0] if len(text) <= _LIMIT // 2 else _cuts(text):
             part = text[a : a + _LIMIT // 2] if len(text) <= _LIMIT // 2 else text[a[0] : a[1]]
-            if size and size + len(part) > _LIMIT:
+            if size and size + len(part) > _TOGETHER:
                 yield _points(held), rows
                 held, rows, size = [], [], 0
             held.append(part)
@@ -235,7 +236,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, _, _ in text_views(b.column(1)):
+            for first, end, _, _ in text_views(b.column(1), _TOGETHER):
                 part = b.slice(first, end - first)
                 langs, score, _ = predict(sent.value, [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
@@ -256,7 +257,7 @@ def with_language(docs: DataFrame, model: Model, least: int = EVIDENCE) -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
-            for first, end, _, _ in text_views(column):
+            for first, end, _, _ in text_views(column, _TOGETHER):
                 langs, _, basis = predict(sent.value, [t or "" for t in column.slice(first, end - first).to_pylist()])
                 yield b.slice(first, end - first).filter(pa.array((basis >= least) & (np.array(langs) != "und")))
 

@@ -1,10 +1,12 @@
 """The pipeline and its filters on empty and odd tables; packing under any partitioning; labels of one class."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyvine.llm import jaccard, packing, toxicity
+from tallyvine.llm import jaccard, language, packing, toxicity
+from tallyvine.sources.scratch import BATCH_BYTES, BATCH_ROWS
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _TH string, score string, n_tokens int"
 
@@ -67,3 +69,33 @@ def test_near_duplicates_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, text, "a", "b", 0), (2, text, "c", "d", 0), (3, "something else that is long enough to stay", "e", "f", 0)], "doc_id long, text string, _doc string, _Th string, _doc_ int")
     kept = jaccard.without_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(tuple(r)[:3] for r in kept.collect()) == [(1, text, "a"), (3, "something else that is long enough to stay", "e")]
+
+
+def test_stages_keep_batches_small(spark, tmp_path):
+    """What a stage returns is run by its caller: batches of whole texts are small there too, and run() leaves no trace."""
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    before = [spark.conf.get(n) for n in names]
+    where = saved(spark, tmp_path, [(k, f"plain words about matter number {k}", "en") for k in range(9)], [(1, 0, 0), (2, 0, 1)])
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for n, value in zip(names, ("10000", str(1 << 26))):
+                spark.conf.set(n, value)
+            docs = stage(spark, docs, where)
+            assert [int(spark.conf.get(n)) for n in names] == [BATCH_ROWS, BATCH_BYTES], name
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    corpus_pipeline.run(spark, where)
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_language_takes_texts_in_small_pieces():
+    """However many texts there are, few code points are held at once, and packing changes no prediction."""
+    texts = [f"some plain words of text {k} " * 100 for k in range(400)] + ["ein anderer Text " * 20_000]
+    assert max(len(points) for (points, _), _ in language._pieces(texts)) <= max(1 << 18, len(texts[-1])) + 3
+    words = np.sort(language._hash_of(["some", "text", "text "]))
+    model = language.Model(["de", "en"], (words[:1], np.log(np.array([[0.1, 0.9]]))), {k: (words[1:], np.log(np.array([[0.3, 0.2], [0.2, 0.4]]))) for k in range(1, 6)})
+    langs, scores, basis = language.predict(model, texts)
+    alone = [language.predict(model, [t]) for t in texts[::40]]
+    assert [(x[0], y[0], z[0]) for x, y, z in alone] == list(zip(langs[::40], scores[::40], basis[::40]))
